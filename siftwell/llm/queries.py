@@ -7,8 +7,32 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import media
-from siftwell.llm.common import table
+from siftwell.llm import media, mixing, warc
+from siftwell.llm.common import table, written
+
+
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page written to WARC archives and read back."""
+    archives = written(warc.write_archives(warc.deduplicated(table(spark, sf_dir, "pages"))), "warc", "uncompressed")
+    return warc.read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "error")
+
+
+OP1_SQL = """
+WITH p AS (
+  SELECT page_id, encode(coalesce(html, '')) AS payload, sha1(coalesce(html, '')) AS hex FROM pages
+), g AS (
+  SELECT page_id, payload, hex, max(page_id) OVER (PARTITION BY payload) AS last FROM p
+), v AS (
+  SELECT *, list_transform(range(8), lambda i: cast('0x' || substr(hex, cast(1 + 5 * i AS INT), 5) AS INT)) AS parts FROM g
+)
+SELECT page_id, octet_length(payload) AS payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i:
+    substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + ((parts[cast(i // 4 + 1 AS INT)] >> cast(15 - 5 * (i % 4) AS INT)) & 31) AS INT), 1)), 'string_agg', '') AS payload_digest,
+  CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN last IS NOT NULL AND page_id IS DISTINCT FROM last THEN last END AS refers_to,
+  CAST(NULL AS VARCHAR) AS error
+FROM v
+"""
 
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,9 +44,18 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed to weights 5, 2, 1 of their sources by pivotal rounding."""
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op2_media_columns": op2_media_columns}
+    return {
+        "op1_warc": op1_warc,
+        "op2_media_columns": op2_media_columns,
+        "op4_source_mix": op4_source_mix,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op1_warc": OP1_SQL}
