@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import media, mixing, toxicity, warc
+from siftwell.llm import media, mixing, secrets, toxicity, warc
 from siftwell.llm.common import table, written
 
 
@@ -49,6 +49,17 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets of every text: base patterns, and formats inferred from what they find."""
+    scanned = written(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "secrets")
+    out = secrets.add_formats(scanned, secrets.fit(scanned))
+    count = lambda kind: F.size(F.filter("base_spans", lambda s: s["kind"] == kind)).cast("long")
+    return out.select(
+        "doc_id", count("assign").alias("n_assign"), count("access").alias("n_access"), count("hex").alias("n_hex"),
+        F.sha2(secrets.joined(F.col("base_spans")).cast("binary"), 256).alias("base_sha256"), secrets.joined(F.col("spans")).alias("spans"),
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text scored by a model of the labels that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -61,6 +72,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_warc": op1_warc,
         "op2_media_columns": op2_media_columns,
         "op4_source_mix": op4_source_mix,
+        "op6_secret_scan": op6_secret_scan,
         "op10_toxicity": op10_toxicity,
     }
 
