@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import media, mixing, secrets, toxicity, warc
+from siftwell.llm import media, mixing, mtree, secrets, toxicity, warc
 from siftwell.llm.common import table, written
 
 
@@ -44,6 +44,26 @@ def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_metric_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 largest integer inner products of every twentieth vector with all others."""
+    return mtree.top_k(table(spark, sf_dir, "embeddings"))
+
+
+OP3_SQL = """
+WITH v AS (
+  SELECT vec_id, list_transform(embedding, lambda x: cast(floor(64 * cast(x AS DOUBLE)) AS BIGINT)) AS e, row_number() OVER () AS r
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, q.r AS qr, c.vec_id, cast(list_sum(list_transform(list_zip(q.e, c.e), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 20 = 0
+), t AS (
+  SELECT *, cast(row_number() OVER (PARTITION BY qr ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s
+)
+SELECT query_id, rank, vec_id, score FROM t WHERE rank <= 20
+"""
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed to weights 5, 2, 1 of their sources by pivotal rounding."""
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
@@ -71,6 +91,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
         "op2_media_columns": op2_media_columns,
+        "op3_metric_top_k": op3_metric_top_k,
         "op4_source_mix": op4_source_mix,
         "op6_secret_scan": op6_secret_scan,
         "op10_toxicity": op10_toxicity,
@@ -78,4 +99,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL}
+    return {"op1_warc": OP1_SQL, "op3_metric_top_k": OP3_SQL}
