@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import media, mixing, mtree, secrets, toxicity, warc
+from siftwell.llm import bpe, media, mixing, mtree, secrets, toxicity, warc
 from siftwell.llm.common import table, written
 
 
@@ -80,6 +81,16 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text encoded by byte-level BPE and decoded again."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN), ranks)
+    return coded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " ").cast("binary"), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text scored by a model of the labels that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -94,6 +105,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_metric_top_k": op3_metric_top_k,
         "op4_source_mix": op4_source_mix,
         "op6_secret_scan": op6_secret_scan,
+        "op7_bpe_round_trip": op7_bpe_round_trip,
         "op10_toxicity": op10_toxicity,
     }
 
