@@ -44,10 +44,10 @@ class _Chunk:
         self.lens: list[int] = []
         self.codes: list[np.ndarray] = []
         self.chars = 0
-        self.words: defaultdict[str, int] = defaultdict()
+        self.words: defaultdict[str | bytes, int] = defaultdict()
         self.words.default_factory = self.words.__len__
 
-    def add(self, doc_id: int | None, flag: bool | None, chars: int, tokens: list[str]) -> None:
+    def add(self, doc_id: int | None, flag: bool | None, chars: int, tokens: list[str] | list[bytes]) -> None:
         self.ids.append(doc_id)
         self.flags.append(flag)
         self.lens.append(len(tokens))
@@ -55,7 +55,8 @@ class _Chunk:
         self.chars += chars
 
     def row(self, number: int) -> pa.RecordBatch:
-        codes, words = np.concatenate(self.codes), np.array(list(self.words), object)
+        codes, words = np.concatenate(self.codes), np.empty(len(self.words), object)
+        words[:] = [w.decode() if isinstance(w, bytes) else w for w in self.words]
         counts = np.bincount(codes, minlength=len(words))
         order = np.argsort(-counts, kind="stable")
         rank = np.empty(len(order), np.uint32)
@@ -71,7 +72,7 @@ class _Chunk:
         return pa.RecordBatch.from_arrays(arrays, ["chunk", "ids", "flags", "lens", "codes", "words", "flagged"])
 
 
-def chunk_table(df: DataFrame, tokenizer: Callable[[], Callable[[str], list[str]]], flag: str | None = None, name: str = "chunks", bucketed: bool = True) -> tuple[DataFrame, DataFrame]:
+def chunk_table(df: DataFrame, tokenizer: Callable[[], Callable[[str], list[str] | list[bytes]]], flag: str | None = None, name: str = "chunks", bucketed: bool = True) -> tuple[DataFrame, DataFrame]:
     """(codes, words) of df(doc_id, text, optionally a boolean column `flag`).
 
     codes: chunk, ids, flags, lens, codes. words: chunk, slot, word, flagged. tokenizer makes the

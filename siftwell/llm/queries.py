@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import bpe, media, mixing, mtree, secrets, toxicity, warc
+from siftwell.llm import bpe, hmm, media, mixing, mtree, secrets, tokencount, toxicity, warc
 from siftwell.llm.common import table, written
 
 
@@ -70,6 +70,11 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every text under unigram scores of a public vocabulary."""
+    return tokencount.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets of every text: base patterns, and formats inferred from what they find."""
     scanned = written(secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("text"), "secrets")
@@ -91,6 +96,12 @@ def op7_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored by unigram counts and by a hidden Markov model of the texts that aren't held out."""
+    out = hmm.score_corpus(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", (~F.col("training")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text scored by a model of the labels that aren't held out."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -104,8 +115,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_media_columns": op2_media_columns,
         "op3_metric_top_k": op3_metric_top_k,
         "op4_source_mix": op4_source_mix,
+        "op5_token_counts": op5_token_counts,
         "op6_secret_scan": op6_secret_scan,
         "op7_bpe_round_trip": op7_bpe_round_trip,
+        "op8_hidden_markov_scores": op8_hidden_markov_scores,
         "op10_toxicity": op10_toxicity,
     }
 
