@@ -69,35 +69,27 @@ def encode(df: DataFrame, ranks_path: str, pattern: str = KNOWN_PATTERN) -> Data
     spark = df.sparkSession
     raw = spark.sparkContext.broadcast(read_ranks(ranks_path))  # as large as the vocabulary
 
-    def work() -> Callable[[list[str]], list]:
+    def work() -> Callable[[list[bytes], np.ndarray], chunks.Values]:
         ranks, one = _ranks(raw.value), _merger(raw.value, pattern)._core_bpe.encode_single_piece
 
-        def words_to_ids(words: list[str]) -> list:
-            out = []
-            for w in words:
-                b = w.encode()
-                whole = ranks.get(b)
-                out.append([whole] if whole is not None else one(b))
-            return out
+        def ids_of(words: list[bytes], _: np.ndarray) -> chunks.Values:
+            out = [[whole] if (whole := ranks.get(w)) is not None else one(w) for w in words]
+            count = np.fromiter(map(len, out), np.int64, len(out))
+            return chunks.Values(np.fromiter((i for x in out for i in x), np.int64, int(count.sum())), count)
 
-        return words_to_ids
+        return ids_of
 
-    def finish(row: pa.Table, lens: np.ndarray, codes: np.ndarray, values: pa.Array) -> pa.Table:
+    def finish(row: pa.Table, lens: np.ndarray, codes: np.ndarray, values: tuple) -> pa.Table:
+        pool, begin, count = values
+        each = count[codes]
+        ends = np.concatenate([[0], np.cumsum(each)])
+        flat = pool.astype(np.int32)[np.repeat(begin[codes] - ends[:-1], each) + np.arange(int(ends[-1]))]
+        offsets = ends[np.concatenate([[0], np.cumsum(lens)])].astype(np.int32)
         ids = row.column("ids").combine_chunks().flatten()
-        if not len(codes):
-            offsets, flat = np.zeros(len(lens) + 1, np.int32), np.zeros(0, np.int32)
-        else:
-            bounds = np.asarray(values.offsets, np.int64)
-            pool, begin, count = np.asarray(values.values, np.int32), bounds[:-1], np.diff(bounds)
-            each = count[codes]
-            ends = np.cumsum(each)
-            flat = pool[np.repeat(begin[codes] - (ends - each), each) + np.arange(int(ends[-1]))]
-            offsets = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(lens)])].astype(np.int32)
         return pa.table({"doc_id": ids, "ids": pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.int32()))})
 
-    codes, words = chunks.chunk_table(df, splitter(pattern), name="bpe_chunks")
-    parts = chunks.by_word(words, work, pa.list_(pa.int32()), "array<int>")
-    return chunks.reassembled(codes, parts, finish, "doc_id long, ids array<int>")
+    codes, packs = chunks.chunk_table(df, splitter(pattern), name="bpe_chunks")
+    return chunks.reassembled(codes, chunks.by_word(packs, work), finish, "doc_id long, ids array<int>", arrays=True)
 
 
 def decode(df: DataFrame, ranks_path: str) -> DataFrame:

@@ -22,7 +22,7 @@ columns are ignored.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -169,76 +169,27 @@ def log_likelihoods(model: Hmm, classes: np.ndarray, lens: np.ndarray) -> np.nda
 # ---------------------------------------------------------------- tables
 
 
-def word_counts(words: DataFrame) -> DataFrame:
-    """(chunk, slots, values) as chunks.by_word, with count * CLASSES + class for each word; rows of chunk -1 and -2 hold tokens and distinct words by class."""
+def word_counts(packs: DataFrame) -> DataFrame:
+    """(chunk, slots, values) as chunks.by_word, with count * CLASSES + class for each word; the tally has tokens, then distinct words of each class."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        open_word, ready, size = None, [], 0
-        tokens, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-
-        def close(word: str, rows: list) -> None:
-            c = int(sum(int(r[2].sum()) for r in rows))
-            k = word_class(word)
-            tokens[k] += c
-            distinct[k] += c > 0
-            ready.extend((r[0], r[1], np.full(len(r[0]), c * CLASSES + k, np.int64)) for r in rows)
-
-        def flush() -> pa.RecordBatch:
-            c, s, v = (np.concatenate([r[i] for r in ready]) for i in range(3))
-            order = np.argsort(c, kind="stable")
-            c, s, v = c[order], s[order].astype(np.int32), v[order]
-            starts = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-            offsets = pa.array(np.append(starts, len(c)).astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(c[starts]), pa.ListArray.from_arrays(offsets, pa.array(s)), pa.ListArray.from_arrays(offsets, pa.array(v))], ["chunk", "slots", "values"])
+    def work() -> Callable[[list[bytes], np.ndarray], chunks.Values]:
+        def counted(words: list[bytes], total: np.ndarray) -> chunks.Values:
+            return chunks.Values(total * CLASSES + np.fromiter((word_class(w.decode()) for w in words), np.int64, len(words)))
 
-        for batch in batches:
-            encoded = batch.column(2).dictionary_encode()
-            names, index = encoded.dictionary.to_pylist(), np.asarray(encoded.indices)
-            chunk, slot, flagged = (np.asarray(batch.column(i)) for i in (0, 1, 3))
-            if open_word is not None and names and names[0] != open_word:
-                close(open_word, held)
-                held, open_word = [], None
-            # all words of the batch but the last are whole, with what is held of the first
-            last = int(np.searchsorted(index, len(names) - 1, "left"))
-            if len(names) > 1:
-                sums = np.bincount(index[:last], weights=flagged[:last], minlength=len(names)).astype(np.int64)
-                if held:
-                    cut = int(np.searchsorted(index, 1, "left"))
-                    close(names[0], [*held, (chunk[:cut], slot[:cut], flagged[:cut])])
-                    begin, names_at = cut, 1
-                    held = []
-                else:
-                    begin, names_at = 0, 0
-                kinds = np.array([word_class(w) for w in names[:-1]], np.int64)
-                np.add.at(tokens, kinds[names_at:], sums[names_at : len(names) - 1])
-                np.add.at(distinct, kinds[names_at:], (sums[names_at : len(names) - 1] > 0).astype(np.int64))
-                each = index[begin:last]
-                ready.append((chunk[begin:last], slot[begin:last], sums[each] * CLASSES + kinds[each]))
-            open_word = names[-1]
-            held.append((chunk[last:], slot[last:], flagged[last:]))
-            size += len(batch)
-            if size >= chunks.FLUSH_ROWS and any(len(r[0]) for r in ready):
-                yield flush()
-                ready.clear()
-                size = 0
-        if open_word is not None:
-            close(open_word, held)
-        if any(len(r[0]) for r in ready):
-            yield flush()
-        every = pa.array([list(range(CLASSES))] * 2, pa.list_(pa.int32()))
-        yield pa.RecordBatch.from_arrays([pa.array([-1, -2], pa.int64()), every, pa.array([tokens.tolist(), distinct.tolist()], pa.list_(pa.int64()))], ["chunk", "slots", "values"])
-
-    dealt = words.select("chunk", "slot", "word", "flagged").repartition("word").sortWithinPartitions("word")
-    return dealt.mapInArrow(run, "chunk long, slots array<int>, values array<long>")
+        return counted
+
+    def by_class(words: list[bytes], total: np.ndarray) -> np.ndarray:
+        k = np.fromiter((word_class(w.decode()) for w in words), np.int64, len(words))
+        return np.concatenate([np.bincount(k, weights=x, minlength=CLASSES) for x in (total, total > 0)]).astype(np.int64)
+
+    return chunks.by_word(packs, work, by_class)
 
 
 def sequences(codes: DataFrame, parts: DataFrame, tokens: np.ndarray, distinct: np.ndarray) -> DataFrame:
     """A row a chunk: class codes of its texts, and what words alone give each text (base score, words within classes, known tokens)."""
     n, v = int(tokens.sum()), int(distinct.sum())
 
-    def finish(row: pa.Table, lens: np.ndarray, numbers: np.ndarray, values: pa.Array) -> pa.Table:
-        value = np.asarray(values, np.int64)
+    def finish(row: pa.Table, lens: np.ndarray, numbers: np.ndarray, value: np.ndarray) -> pa.Table:
         c, k = value // CLASSES, value % CLASSES
         base = np.log10((c + 1) / (n + 1 * (v + 1)))
         word = np.log10((c + 1) / (tokens[k] + distinct[k] + 1))
@@ -249,7 +200,7 @@ def sequences(codes: DataFrame, parts: DataFrame, tokens: np.ndarray, distinct:
         return pa.table(cols | {name: pa.array([x], t) for name, x, t in zip(("base", "word", "known"), sums, kinds)})
 
     ddl = "chunk long, ids array<long>, flags array<boolean>, lens array<int>, classes binary, base array<double>, word array<double>, known array<long>"
-    return chunks.reassembled(codes, parts.where("chunk >= 0"), finish, ddl)
+    return chunks.reassembled(codes, parts, finish, ddl)
 
 
 def train(seqs: DataFrame, model: Hmm, iterations: int = 4) -> Hmm:
@@ -261,7 +212,7 @@ def train(seqs: DataFrame, model: Hmm, iterations: int = 4) -> Hmm:
             for batch in batches:
                 for flags, lens, classes in zip(batch.column(0), batch.column(1), batch.column(2)):
                     use, lens = np.array(flags.as_py(), bool), np.asarray(lens.values, np.int64)
-                    obs = chunks.unpack(classes.as_py()).astype(np.int64)[np.repeat(use, lens)]
+                    obs = chunks.unpack(classes.as_py())[np.repeat(use, lens)]
                     if use.any():
                         got = expected_counts(model, obs, lens[use])
                         total = got if total is None else total + got
@@ -285,7 +236,7 @@ def scores(seqs: DataFrame, model: Hmm) -> DataFrame:
         for batch in batches:
             for row in batch.to_pylist():
                 lens = np.array(row["lens"], np.int64)
-                log = log_likelihoods(model, chunks.unpack(row["classes"]).astype(np.int64), lens) / np.log(10)
+                log = log_likelihoods(model, chunks.unpack(row["classes"]), lens) / np.log(10)
                 cols = [pa.array(row["ids"], pa.int64()), pa.array(row["flags"], pa.bool_()), pa.array(lens), pa.array(row["known"], pa.int64()), pa.array(row["base"]), pa.array(log + np.array(row["word"]))]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "training", "n_tokens", "n_known", "base_score", "score"])
 
@@ -296,12 +247,9 @@ def scores(seqs: DataFrame, model: Hmm) -> DataFrame:
 def score_corpus(df: DataFrame, states: int = 4, iterations: int = 4, training: Column | None = None) -> DataFrame:
     """scores() of df(doc_id, text) and train_tokens, learning from the rows for which `training` holds (those not held out)."""
     training = ~held_out(F.col("doc_id")) if training is None else training
-    codes, words = chunks.chunk_table(df.select("doc_id", "text", training.alias("training")), lambda: words_of, "training", "lm_chunks")
-    parts = written(word_counts(words), "lm-parts")
-    by_class = parts.where("chunk < 0").select("chunk", F.posexplode("values").alias("k", "n")).groupBy("chunk", "k").agg(F.sum("n").alias("n")).collect()  # 2 * CLASSES rows
-    tokens, distinct = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
-    for r in by_class:
-        (tokens if r["chunk"] == -1 else distinct)[r["k"]] = r["n"]
+    codes, packs = chunks.chunk_table(df.select("doc_id", "text", training.alias("training")), lambda: words_of, "training", "lm_chunks")
+    parts = written(word_counts(packs), "lm-parts")
+    tokens, distinct = np.split(chunks.tallied(parts, 2 * CLASSES), 2)
     seqs = written(sequences(codes, parts, tokens, distinct), "lm-sequences")
     model = train(seqs, Hmm.initial(states, tokens.astype(float)), iterations)
     return scores(seqs, model).withColumn("train_tokens", F.lit(int(tokens.sum())).cast("long"))

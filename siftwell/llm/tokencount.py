@@ -2,7 +2,7 @@
 
 The best segmentation of a word into vocabulary pieces has the largest sum of piece scores; its
 forward score at a position depends on the prefix alone, so all words below a trie node share it.
-The distinct pre-tokens reach a partition in order, which is the depth-first order of their trie:
+Distinct pre-tokens with a common beginning meet in one bucket, in order, which is the depth-first order of their trie:
 the path to the last word stays on a stack of forward scores and token counts, the next word keeps
 the part of the path that both share and computes the rest once. Counts at terminal nodes are joined
 back to the documents (see chunks). Scores follow from ranks: a piece of rank r has the logarithm
@@ -34,6 +34,11 @@ def zipf_scores(ranks: dict[bytes, int]) -> dict[bytes, float]:
     return {p: -math.log(r + 1) - base for p, r in ranks.items()}
 
 
+def beginning(word: bytes) -> bytes:
+    """Words that share so much of a prefix meet in one bucket."""
+    return word[:6]
+
+
 class TrieCounter:
     """Counts of words that arrive in order; the path to the last word is kept."""
 
@@ -72,15 +77,18 @@ def token_counts(df: DataFrame, ranks_path: str, pattern: str = bpe.KNOWN_PATTER
     """(doc_id, n_pretokens, n_tokens) of every whole text in df(doc_id, text); pieces longer than longest_piece bytes aren't used."""
     raw = df.sparkSession.sparkContext.broadcast(bpe.read_ranks(ranks_path))
 
-    def work() -> Callable[[list[str]], list]:
-        trie = TrieCounter({p: s for p, s in zipf_scores(bpe._ranks(raw.value)).items() if len(p) <= longest_piece})
-        return lambda words: [trie.count(w.encode()) for w in words]
+    def work() -> Callable[[list[bytes], np.ndarray], chunks.Values]:
+        scores = {p: s for p, s in zipf_scores(bpe._ranks(raw.value)).items() if len(p) <= longest_piece}
+
+        def counts(words: list[bytes], _: np.ndarray) -> chunks.Values:
+            trie = TrieCounter(scores)
+            return chunks.Values(np.fromiter(map(trie.count, words), np.int64, len(words)))
+
+        return counts
 
-    def finish(row: pa.Table, lens: np.ndarray, codes: np.ndarray, values: pa.Array) -> pa.Table:
-        sums = np.concatenate([[0], np.cumsum(np.asarray(values, np.int64)[codes])]) if len(codes) else np.zeros(1, np.int64)
-        ends = np.cumsum(lens)
+    def finish(row: pa.Table, lens: np.ndarray, codes: np.ndarray, values: np.ndarray) -> pa.Table:
+        sums, ends = np.concatenate([[0], np.cumsum(values[codes])]), np.cumsum(lens)
         return pa.table({"doc_id": row.column("ids").combine_chunks().flatten(), "n_pretokens": pa.array(lens), "n_tokens": pa.array(sums[ends] - sums[ends - lens])})
 
-    codes, words = chunks.chunk_table(df, bpe.splitter(pattern), name="count_chunks")
-    parts = chunks.by_word(words, work, pa.int32(), "int")
-    return chunks.reassembled(codes, parts, finish, "doc_id long, n_pretokens long, n_tokens long")
+    codes, packs = chunks.chunk_table(df, bpe.splitter(pattern), name="count_chunks", key=beginning)
+    return chunks.reassembled(codes, chunks.by_word(packs, work), finish, "doc_id long, n_pretokens long, n_tokens long")

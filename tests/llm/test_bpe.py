@@ -38,7 +38,7 @@ def test_given_table(spark):
 
 def test_small_chunks_and_edges(spark, monkeypatch):
     monkeypatch.setattr(chunks, "CHUNK_CHARS", 50)
-    monkeypatch.setattr(chunks, "FLUSH_ROWS", 7)
+
     texts = [None, "", "one two three", "one two three", "two three 日本語 <|endoftext|>", "x" * 200_000, " ", "'s 12a"] * 4
     df = spark.createDataFrame([(None if i == 3 else i // 2, t, 0) for i, t in enumerate(texts)], "doc_id long, text string, ids int")
     rows = bpe.decode(bpe.encode(df, RANKS), RANKS).collect()

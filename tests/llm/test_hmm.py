@@ -64,7 +64,7 @@ def test_training_raises_the_likelihood(spark):
 
 def test_base_against_brute_force(spark, monkeypatch):
     monkeypatch.setattr(chunks, "CHUNK_CHARS", 40_000)
-    monkeypatch.setattr(chunks, "FLUSH_ROWS", 500)
+
     d = "/root/testdata/sf0.001"
     tokens = {r.doc_id: [*(w.decode() for w in (r.text or "").encode().lower().split()), "\n"] for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
     held = {i: zlib.crc32(str(i).encode()) % 7 == 2 for i in tokens}
