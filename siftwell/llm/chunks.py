@@ -61,6 +61,7 @@ class _Chunk:
     def __init__(self) -> None:
         self.ids: list[int | None] = []
         self.flags: list[bool | None] = []
+        self.notes: list[bytes] = []
         self.lens: list[int] = []
         self.codes: list[np.ndarray] = []
         self.chars = 0
@@ -91,19 +92,20 @@ class _Chunk:
         kind = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("slots", pa.binary()), ("flagged", pa.binary())]))
         arrays = [
             pa.array([number], pa.int64()), pa.array([self.ids], pa.list_(pa.int64())), pa.array([self.flags], pa.list_(pa.bool_())), pa.array([self.lens], pa.list_(pa.int32())),
-            pa.array([n], pa.int32()), pa.array([pack(rank[codes])], pa.binary()), pa.array([packs], kind),
+            pa.array([n], pa.int32()), pa.array([pack(rank[codes])], pa.binary()), pa.array([packs], kind), pa.array([self.notes], pa.list_(pa.binary())),
         ]
-        return pa.RecordBatch.from_arrays(arrays, ["chunk", "ids", "flags", "lens", "n_words", "codes", "packs"])
+        return pa.RecordBatch.from_arrays(arrays, ["chunk", "ids", "flags", "lens", "n_words", "codes", "packs", "notes"])
 
 
 def chunk_table(
-    df: DataFrame, tokenizer: Callable[[], Callable[[str], list[str] | list[bytes]]], flag: str | None = None, name: str = "chunks", key: Callable[[bytes], bytes] = whole_word
+    df: DataFrame, tokenizer: Callable[[], Callable[[str], list[str] | list[bytes]]], flag: str | None = None, name: str = "chunks", key: Callable[[bytes], bytes] = whole_word, noted: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(codes, packs) of df(doc_id, text, optionally a boolean column `flag`).
 
-    codes: chunk, ids, flags, lens, n_words, codes. packs: chunk, bucket, words, slots, flagged (how
+    codes: chunk, ids, flags, lens, n_words, codes, notes. packs: chunk, bucket, words, slots, flagged (how
     often each word stands in texts with the flag). tokenizer makes the function that cuts a text
-    into words; null texts count as empty.
+    into words; null texts count as empty. If noted, it makes a function to (words, note), and the
+    notes are kept by document in codes.
     """
     buckets = BUCKETS_EACH * shuffle_partitions(df.sparkSession)
 
@@ -112,7 +114,11 @@ def chunk_table(
         for batch in batches:
             for doc_id, text, flagged in zip(batch.column(0), batch.column(1), batch.column(2)):
                 text = text.as_py() or ""
-                chunk.add(doc_id.as_py(), flagged.as_py(), len(text), cut(text))
+                tokens = cut(text)
+                if noted:
+                    tokens, note = tokens
+                    chunk.notes.append(note)
+                chunk.add(doc_id.as_py(), flagged.as_py(), len(text), tokens)
                 if chunk.chars >= CHUNK_CHARS:
                     yield chunk.row(number, buckets, key)
                     number, chunk = number + 1, _Chunk()
@@ -120,7 +126,7 @@ def chunk_table(
             yield chunk.row(number, buckets, key)
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(flag) if flag else F.lit(True)).cast("boolean").alias("flag"))
-    ddl = "chunk long, ids array<long>, flags array<boolean>, lens array<int>, n_words int, codes binary, packs array<struct<bucket:int,words:binary,slots:binary,flagged:binary>>"
+    ddl = "chunk long, ids array<long>, flags array<boolean>, lens array<int>, n_words int, codes binary, packs array<struct<bucket:int,words:binary,slots:binary,flagged:binary>>, notes array<binary>"
     table = written_bucketed(rows.mapInArrow(run, ddl), name, "chunk", shuffle_partitions(df.sparkSession))
     return table.drop("packs"), table.select("chunk", F.explode("packs").alias("p")).select("chunk", "p.*")
 

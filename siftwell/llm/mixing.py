@@ -31,10 +31,11 @@ WORD = "[^\\x20\\x09-\\x0D]+"
 BLOCK = 256
 
 
-def sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """(doc_id, source, size, deal): words of each document, and a hash that deals documents to blocks."""
+def sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
+    """(row, doc_id, source, size, deal): words of each document, and a hash that deals documents to blocks."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return df.select(
+        (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"),
         F.col(id_col).cast("long").alias("doc_id"),
         F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
@@ -71,13 +72,13 @@ def _unit(*parts: Column) -> Column:
 
 
 def _fold(items: Column, seed: int) -> Column:
-    """Pivotal rounding along an array of (size, deal, doc_id, p): struct(carry, decided array of (doc_id, size, up))."""
+    """Pivotal rounding along an array of (size, deal, doc_id, row, p): struct(carry, decided array of (row, doc_id, size, up))."""
 
     def decided(x: Column, up: int) -> Column:
-        return F.struct(x["doc_id"].alias("doc_id"), x["size"].alias("size"), F.lit(up).alias("up"))
+        return F.struct(x["row"].alias("row"), x["doc_id"].alias("doc_id"), x["size"].alias("size"), F.lit(up).alias("up"))
 
     def carrying(x: Column, p: Column) -> Column:
-        return F.struct(x["size"].alias("size"), x["deal"].alias("deal"), x["doc_id"].alias("doc_id"), p.alias("p"))
+        return F.struct(x["size"].alias("size"), x["deal"].alias("deal"), x["doc_id"].alias("doc_id"), x["row"].alias("row"), p.alias("p"))
 
     def meet(acc: Column, x: Column) -> Column:
         c = acc["carry"]
@@ -88,14 +89,17 @@ def _fold(items: Column, seed: int) -> Column:
         done = F.when(low, F.when(to_x, decided(c, 0)).otherwise(decided(x, 0))).otherwise(F.when(c_up, decided(c, 1)).otherwise(decided(x, 1)))
         return F.struct(carry.alias("carry"), F.concat(acc["decided"], F.array(done)).alias("decided"))
 
-    none = F.expr("cast(array() as array<struct<doc_id:bigint,size:bigint,up:int>>)")
+    none = F.expr("cast(array() as array<struct<row:bigint,doc_id:bigint,size:bigint,up:int>>)")
     first = F.struct(items[0].alias("carry"), none.alias("decided"))
     return F.aggregate(F.slice(items, F.lit(2), F.size(items)), first, meet)
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple[int, ...] = (5, 2, 1), max_copies: int = 3, seed: int = 7) -> DataFrame:
-    """(doc_id, source, size, source_size, target, copies, taken): how often the mix takes each document."""
-    sized = written(sizes(df, id_col, text_col, source_col), "mix-sizes")
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None, weights: tuple[int, ...] = (5, 2, 1), max_copies: int = 3, seed: int = 7) -> DataFrame:
+    """(row, doc_id, source, size, source_size, target, copies, taken): how often the mix takes each document.
+
+    row is the value of row_col, carried along for those who need to tell rows apart.
+    """
+    sized = written(sizes(df, id_col, text_col, source_col, row_col), "mix-sizes")
     return _rounded(sized, written(source_targets(sized, weights, max_copies), "mix-sources"), seed)
 
 
@@ -106,25 +110,25 @@ def _rounded(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     docs = docs.withColumn("whole", F.floor(rate).cast("int")).withColumn("p", rate - F.floor(rate))
     open_ = (F.col("size") > 0) & (F.col("p") > 0)
     keep = ["source", "source_size", "target", "whole"]
-    shut = docs.where(~open_).select("doc_id", "size", *keep, F.lit(0).alias("up"))
+    shut = docs.where(~open_).select("row", "doc_id", "size", *keep, F.lit(0).alias("up"))
 
     results = [shut]
     level = docs.where(open_).withColumn("blocks", F.ceil(F.col("n_docs") / BLOCK)).withColumn("block", F.pmod(F.col("deal"), F.col("blocks")))
-    level = level.select(*keep, "blocks", "block", F.struct("size", "deal", "doc_id", "p").alias("item"))
+    level = level.select(*keep, "blocks", "block", F.struct("size", "deal", "doc_id", "row", "p").alias("item"))
     most = sources.agg(F.max(F.ceil(F.col("n_docs") / BLOCK))).first()[0] or 0
     while most:
         folded = level.groupBy(*keep, "blocks", "block").agg(_fold(F.array_sort(F.collect_list("item")), seed).alias("f"))
         folded = written(folded, "mix-level")
-        results.append(folded.select("f.decided", *keep).select(F.explode("decided").alias("d"), *keep).select("d.doc_id", "d.size", *keep, "d.up"))
+        results.append(folded.select("f.decided", *keep).select(F.explode("decided").alias("d"), *keep).select("d.row", "d.doc_id", "d.size", *keep, "d.up"))
         # blocks of the level above: about BLOCK residuals each
         above = F.ceil(F.col("blocks") / BLOCK)
         level = folded.select(*keep, above.alias("blocks"), F.pmod(F.col("block"), above).alias("block"), F.col("f.carry").alias("item"), (F.col("blocks") == 1).alias("last"))
         top = F.when(_unit(F.lit(seed), F.col("item.doc_id"), F.col("item.deal"), F.lit("last")) < F.col("item.p"), 1).otherwise(0)
-        results.append(level.where("last").select("item.doc_id", "item.size", *keep, top.alias("up")))
+        results.append(level.where("last").select("item.row", "item.doc_id", "item.size", *keep, top.alias("up")))
         level = level.where("not last").drop("last")
         most = 0 if most == 1 else -(-most // BLOCK)
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
     copies = F.col("whole") + F.col("up")
-    return out.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
+    return out.select("row", "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).cast("long").alias("taken"))
