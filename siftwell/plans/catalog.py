@@ -1,19 +1,706 @@
-"""All queries of the screening engine by name, with their SQL."""
+"""All queries of the screening engine by name, with SQL that gives the same rows in DuckDB."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from siftwell.functions import gates
+from siftwell.functions import keys as K
+from siftwell.functions import redact as R
+from siftwell.functions import text as T
+from siftwell.operators import budget, evaluation, lines, logs, merging, pairing
+from siftwell.plans import engine
+
+Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+#: DuckDB expressions that several queries share.
+SENTENCES = r"""list_filter(string_split(regexp_replace(regexp_replace({t}, '([.!?:])\s+([A-Z`#*0-9-])', '\1' || chr(30) || '\2', 'g'), '\n([-*|#])', chr(30) || '\1', 'g'), chr(30)), lambda s: length(s) > 0)"""
+WORDS = r"len(list_filter(regexp_split_to_array({s}, '[ \t\n\v\f\r]+'), lambda w: length(w) > 0))"
+NORM = r"trim(regexp_replace(lower({t}), '[^\p{{L}}\p{{N}}_]+', ' ', 'g'))"
+HEX4 = "cast('0x' || substr({h}, {i}, 4) AS INT)"
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _queries[f.__name__] = f
+        if sql:
+            _sql[f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- text
+
+
+@query(f"""
+SELECT doc_id, cast(i + 1 AS INT) AS sentence_no, s[cast(i + 1 AS INT)] AS sentence
+FROM (SELECT doc_id, s, unnest(range(len(s))) AS i FROM (SELECT doc_id, {SENTENCES.format(t="text")} AS s FROM documents))
+""")
+def sentence_split(spark, sf_dir):
+    """Every sentence of every document."""
+    return lines.sentence_rows(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query(f"""
+SELECT lang, count(*) AS n, count(*) FILTER (WHERE w >= 5) AS n_long, sum(w) AS words
+FROM (SELECT lang, cast({WORDS.format(s="s")} AS DOUBLE) AS w FROM (SELECT lang, unnest({SENTENCES.format(t="text")}) AS s FROM documents))
+GROUP BY lang
+""")
+def sentence_length_filter(spark, sf_dir):
+    """Sentences with the words of a requirement, by language."""
+    rows = lines.sentence_rows(table(spark, sf_dir, "documents"), ["lang"]).withColumn("w", T.word_count(F.col("sentence")))
+    return rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.count_if(T.long_enough(F.col("sentence"))).alias("n_long"), F.sum("w").alias("words"))
+
+
+_BLOCK = r"^\s*(#|[-*+]\s|\d+[.)]\s|[a-z][.)]\s|\||>|```|---+\s*$)"
+
+
+@query(rf"""
+WITH l AS (
+  SELECT doc_id, i AS line_no, x AS line, trim(x, ' ') AS t,
+    coalesce(lag(x) OVER (PARTITION BY doc_id ORDER BY i), '') AS above
+  FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+), f AS (
+  SELECT *, sum(CASE WHEN starts_with(t, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS fences FROM l
+), s AS (
+  SELECT *, CASE WHEN line_no = 1 OR coalesce(fences, 0) % 2 = 1 OR NOT (
+      trim(above, ' ') <> '' AND NOT regexp_matches(trim(above, ' '), '^(```|\||#)') AND NOT regexp_matches(trim(above, ' '), '^-{{3,}}$')
+      AND t <> '' AND NOT regexp_matches(line, '{_BLOCK}')) THEN 1 ELSE 0 END AS starts FROM f
+), g AS (
+  SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY line_no) AS p FROM s
+)
+SELECT doc_id, cast(min(line_no) AS INT) AS line_no,
+  string_agg(CASE WHEN starts = 1 AND n > 1 THEN rtrim(line, ' ') WHEN starts = 1 THEN line ELSE t END, ' ' ORDER BY line_no) AS paragraph
+FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, p) AS n FROM g) GROUP BY doc_id, p
+""")
+def paragraph_islands(spark, sf_dir):
+    """Wrapped lines joined to paragraphs, each with the line it starts on."""
+    return lines.paragraph_rows(table(spark, sf_dir, "documents"), ["doc_id"])
+
+
+@query(rf"""
+SELECT doc_id, len(regexp_extract_all(s, '\b[A-Z][A-Z0-9_]{{3,}}\b')) AS n_names, len(regexp_extract_all(s, '\b[0-9]+(?:\.[0-9]+)?\b')) AS n_numbers, count(*) AS n
+FROM (SELECT doc_id, unnest({SENTENCES.format(t="text")}) AS s FROM documents) GROUP BY ALL
+""")
+def sentence_mentions(spark, sf_dir):
+    """How many names in capitals and numbers sentences mention. Words end where ASCII letters, digits and _ do."""
+    rows = lines.sentence_rows(table(spark, sf_dir, "documents"), ["doc_id"])
+    m = lines.mentions(F.col("sentence"))
+    rows = rows.select("doc_id", F.size(F.regexp_extract_all("sentence", F.lit(r"(?<!\w)([A-Z][A-Z0-9_]{3,})(?!\w)"), 1)).cast("long").alias("n_names"), F.size(m["numbers"]).cast("long").alias("n_numbers"))
+    return rows.groupBy("doc_id", "n_names", "n_numbers").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"""
+WITH k AS (SELECT doc_id AS id, sha256({NORM.format(t="text")}) AS key FROM documents WHERE {NORM.format(t="text")} <> '')
+SELECT id, m AS duplicate_of FROM (SELECT id, min(id) OVER (PARTITION BY key) AS m FROM k) WHERE id <> m
+""")
+def normalised_twins(spark, sf_dir):
+    """Documents equal to an earlier one but for case, punctuation and spacing."""
+    return merging.twins(table(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+_RULE_FLAGS = {
+    "negation": r"(?i)\b(?:never|not|no|avoid|without|forbidden|disallowed)\b",
+    "exception": r"(?i)\b(?:except|unless|other than|apart from)\b",
+    "linter": r"(?i)\b(?:lint|linter|line length|indentation|pre-commit)\b",
+    "comments": r"(?i)\b(?:comments?|docstrings?|license|copyright|todo)\b",
+}
+
+
+@query(
+    "SELECT flag, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM ("
+    + " UNION ALL ".join(f"SELECT doc_id, '{k}' AS flag FROM (SELECT doc_id, unnest({SENTENCES.format(t='text')}) AS s FROM documents) WHERE regexp_matches(s, '{p}')" for k, p in _RULE_FLAGS.items())
+    + ") GROUP BY flag"
+)
+def rule_flag_counts(spark, sf_dir):
+    """Sentences by what should be looked at when they are read as rules."""
+    rows = lines.sentence_rows(table(spark, sf_dir, "documents"), ["doc_id"])
+    flags = F.array_compact(F.array(*[F.when(F.col("sentence").rlike(p), F.lit(k)) for k, p in _RULE_FLAGS.items()]))
+    return rows.select("doc_id", F.explode(flags).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
+
+
+# ---------------------------------------------------------------- redaction and masks
+
+_DUCK_SHAPES = "text"
+for _p in R.SHAPES.values():
+    _DUCK_SHAPES = f"regexp_replace({_DUCK_SHAPES}, '{_p}', '<redacted>', 'g')"
+_DUCK_SHAPES = f"regexp_replace({_DUCK_SHAPES}, '{R.URL_LOGIN}', '://<redacted>@', 'g')"
+
+
+def _shapes(text: Column) -> Column:
+    for p in R.SHAPES.values():
+        text = F.regexp_replace(text, F.lit(p), F.lit(R.MASK))
+    return F.regexp_replace(text, F.lit(R.URL_LOGIN), F.lit(f"://{R.MASK}@"))
+
+
+@query(f"SELECT doc_id, sha256({_DUCK_SHAPES}) AS clean_sha256, {_DUCK_SHAPES} <> text AS changed FROM documents")
+def redact_shapes(spark, sf_dir):
+    """Documents without credentials of known shapes, by the hash of what is left."""
+    clean = _shapes(F.col("text"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(clean.cast("binary"), 256).alias("clean_sha256"), (clean != F.col("text")).alias("changed"))
+
+
+@query(rf"""
+SELECT source, count(*) FILTER (WHERE n_mail > 0) AS docs_with_mail, sum(n_mail) AS mails, sum(n_aws) AS aws_keys
+FROM (SELECT source, len(regexp_extract_all(text, '{R.EMAIL}')) AS n_mail, len(regexp_extract_all(text, '{R.SHAPES["aws"]}')) AS n_aws FROM documents) GROUP BY source
+""")
+def redaction_counts_by_source(spark, sf_dir):
+    """How often each source holds e-mail addresses and keys."""
+    n = lambda p: F.size(F.regexp_extract_all("text", F.lit(p), 0)).cast("long")
+    rows = table(spark, sf_dir, "documents").select("source", n(R.EMAIL).alias("m"), n(R.SHAPES["aws"]).alias("a"))
+    return rows.groupBy("source").agg(F.count_if(F.col("m") > 0).alias("docs_with_mail"), F.sum("m").alias("mails"), F.sum("a").alias("aws_keys"))
+
+
+@query(rf"""
+SELECT conv_id, turn, sha256(rtrim(regexp_replace(regexp_replace(regexp_replace(text, '(/home/|/Users/)[^/\\\s]+', '\1<user>', 'g'), '{R.EMAIL}', '<email>', 'g'), '(?i)\b(bearer |basic |token )[A-Za-z0-9._~+/=\-]{{12,}}', '\1<redacted>', 'g'), ' ')) AS clean_sha256
+FROM conversations
+""")
+def log_scrub(spark, sf_dir):
+    """Turns of conversations without home folders, addresses and bearer tokens."""
+    out = F.regexp_replace(F.regexp_replace("text", F.lit(r"(/home/|/Users/)[^/\\\s]+"), F.lit("$1<user>")), F.lit(R.EMAIL), F.lit("<email>"))
+    out = F.rtrim(F.regexp_replace(out, F.lit(R.LOG_RULES[0]), F.lit(f"$1{R.MASK}")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(out.cast("binary"), 256).alias("clean_sha256"))
+
+
+_MASKED = r"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({t}), '\b(?:ubuntu|macos|windows)(?:-latest|-\d+[.\d]*)?\b', '<os>', 'g'), '0x[0-9a-f]+|\b[0-9a-f]{{7,}}\b', '#', 'g'), '\d+', '#', 'g'), '\\', '/', 'g'), '[ \t\n\v\f\r]+', ' ', 'g')"
+
+
+@query(f"""
+SELECT sha256(m) AS key, count(*) AS n, count(DISTINCT doc_id) AS n_docs, min(doc_id) AS first_doc
+FROM (SELECT doc_id, substr({_MASKED.format(t="x")}, 1, 160) AS m FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x FROM documents))
+GROUP BY m HAVING count(*) > 1
+""")
+def mask_signature_groups(spark, sf_dir):
+    """Lines that are one but for numbers and such."""
+    rows = lines.line_rows(table(spark, sf_dir, "documents"), ["doc_id"]).select("doc_id", F.substring(K.masked(F.col("line")), 1, 160).alias("m"))
+    per = rows.groupBy("m").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    return per.select(F.sha2(F.col("m").cast("binary"), 256).alias("key"), "n", "n_docs", "first_doc")
+
+
+# ---------------------------------------------------------------- logs
+
+
+@query(r"""
+WITH l AS (
+  SELECT doc_id, i AS line_no, trim(x, ' ') AS t FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS x, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)
+), u AS (
+  SELECT *, CASE WHEN regexp_matches(t, '(?i)licen[sc]e|copyright|token =') THEN 1 ELSE 0 END AS strong, regexp_matches(t, '[0-9]') AS weak FROM l WHERE length(t) >= 4
+), w AS (
+  SELECT *, max(strong) OVER (PARTITION BY doc_id ORDER BY line_no RANGE BETWEEN 3 PRECEDING AND 3 FOLLOWING) AS near,
+    max(strong) OVER (PARTITION BY doc_id) AS anywhere, max(line_no) OVER (PARTITION BY doc_id) AS last FROM u
+), p AS (
+  SELECT *, substr(t, 1, 240) AS line FROM w WHERE strong = 1 OR weak AND (near = 1 OR anywhere = 0)
+), d AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id, regexp_replace(lower(line), '[0-9]+', '#', 'g') ORDER BY line_no) AS nth FROM p
+), s AS (
+  SELECT *, strong + 1 + CASE WHEN last - line_no <= 60 THEN 1 ELSE 0 END AS score FROM d WHERE nth = 1
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, line_no) AS place FROM s
+)
+SELECT doc_id, cast(line_no AS INT) AS line_no, line, cast(score AS INT) AS score FROM r WHERE place <= 30
+""")
+def candidate_lines(spark, sf_dir):
+    """At most 30 candidate lines a document: strong ones, and weak ones near them."""
+    rows = lines.line_rows(table(spark, sf_dir, "documents"), ["doc_id"])
+    return logs.candidates(rows, ["doc_id"], r"(?i)licen[sc]e|copyright|token =", "[0-9]").withColumn("score", F.col("score").cast("int"))
+
+
+@query("""
+SELECT conv_id, turn FROM (
+  SELECT conv_id, turn, sum(length(text) + 1) OVER (PARTITION BY conv_id ORDER BY turn DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM conversations
+) WHERE s <= 1000
+""")
+def tail_budget(spark, sf_dir):
+    """The last turns of each conversation that fit 1,000 characters."""
+    return budget.fitting(table(spark, sf_dir, "conversations"), ["conv_id"], [F.col("turn").desc()], F.length("text") + 1, 1000, at_least_one=False).select("conv_id", "turn")
+
+
+@query("""
+SELECT source, doc_id FROM (
+  SELECT source, doc_id, sum(length(text)) OVER w AS s, row_number() OVER w AS nth FROM documents
+  WINDOW w AS (PARTITION BY source ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+) WHERE s <= 30000 OR nth = 1
+""")
+def reply_fit(spark, sf_dir):
+    """The first documents of each source that fit 30,000 characters, one at least."""
+    return budget.fitting(table(spark, sf_dir, "documents"), ["source"], [F.col("doc_id")], F.length("text"), 30_000).select("source", "doc_id")
+
+
+@query(r"""
+WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents)
+SELECT doc_id, cast(line_no AS INT) AS line_no, sha256(line) AS line_sha256 FROM (
+  SELECT *, max(CASE WHEN regexp_matches(line, '@|[0-9]{4}') THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no RANGE BETWEEN 2 PRECEDING AND 2 FOLLOWING) AS h FROM l
+) WHERE h = 1
+""")
+def slice_context(spark, sf_dir):
+    """Lines within two lines of an address or a long number."""
+    rows = lines.line_rows(table(spark, sf_dir, "documents"), ["doc_id"])
+    return budget.slices(rows, ["doc_id"], F.col("line").rlike("@|[0-9]{4}")).select("doc_id", "line_no", F.sha2(F.col("line").cast("binary"), 256).alias("line_sha256"))
+
+
+@query("""
+WITH e AS (
+  SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step_no,
+  FROM events
+), g AS (
+  SELECT *, date_diff('second', lag(date_trunc('second', ts)) OVER (PARTITION BY user_id, step_no ORDER BY ts, event_id), date_trunc('second', ts)) AS gap FROM e
+)
+SELECT user_id, step_no, count(*) AS n, cast(coalesce(max(gap), 0) AS BIGINT) AS silent, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors FROM g GROUP BY user_id, step_no
+""")
+def step_islands(spark, sf_dir):
+    """Islands of a user's events between sign-ups, with their longest silence."""
+    along = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    rows = table(spark, sf_dir, "events").withColumn("step_no", F.sum((F.col("event_type") == "signup").cast("long")).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    rows = rows.withColumn("gap", at - F.lag(at).over(Window.partitionBy("user_id", "step_no").orderBy("ts", "event_id")))
+    return rows.groupBy("user_id", "step_no").agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.max("gap"), F.lit(0)).cast("long").alias("silent"), F.sum((F.col("event_type") == "error").cast("long")).alias("errors"))
+
+
+@query("""
+WITH s AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step_no FROM events),
+g AS (SELECT user_id, step_no, event_type, count(*) AS n FROM s GROUP BY user_id, step_no, event_type)
+SELECT user_id, step_no, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id, step_no ORDER BY n DESC, event_type) AS r FROM g) WHERE r = 1
+""")
+def step_main_kind(spark, sf_dir):
+    """The most frequent kind of event of each island."""
+    along = Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0)
+    rows = table(spark, sf_dir, "events").withColumn("step_no", F.sum((F.col("event_type") == "signup").cast("long")).over(along))
+    per = rows.groupBy("user_id", "step_no", "event_type").agg(F.count(F.lit(1)).alias("n"))
+    return merging.first_wins(per, ["user_id", "step_no"], [F.col("n").desc(), F.col("event_type")])
+
+
+# ---------------------------------------------------------------- pairing
+
+
+@query("""
+SELECT e.event_id, p.event_id AS last_value
+FROM (SELECT * FROM events WHERE event_type = 'error') e ASOF LEFT JOIN (
+  SELECT user_id, ts, max(event_id) AS event_id FROM events WHERE event_type = 'purchase' GROUP BY user_id, ts
+) p ON e.user_id = p.user_id AND e.ts >= p.ts
+""")
+def last_purchase_before_error(spark, sf_dir):
+    """As-of join: the user's last purchase at or before each error."""
+    e = table(spark, sf_dir, "events")
+    errors = e.where("event_type = 'error'").select("event_id", "user_id", "ts")
+    bought = e.where("event_type = 'purchase'").select("user_id", F.col("ts").alias("rts"), F.col("event_id").alias("v"), F.col("event_id").alias("tie"))
+    return pairing.last_before(errors, "ts", bought, "rts", ["user_id"], "v", "tie").select("event_id", "last_value")
+
+
+@query("""
+WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+r AS (SELECT doc_id, 2 + doc_id % 5 AS a, 6 + doc_id % 11 AS z FROM documents)
+SELECT l.doc_id, count(*) AS n, cast(sum(l.line_no) AS BIGINT) AS lines FROM l JOIN r ON l.doc_id = r.doc_id AND l.line_no BETWEEN r.a AND r.z GROUP BY l.doc_id
+""")
+def lines_in_ranges(spark, sf_dir):
+    """Range join: the lines of each document that lie in a range of it."""
+    docs = table(spark, sf_dir, "documents")
+    ranges = docs.select("doc_id", (2 + F.col("doc_id") % 5).alias("a"), (6 + F.col("doc_id") % 11).alias("z"))
+    met = pairing.in_range(lines.line_rows(docs, ["doc_id"]).drop("line"), "line_no", ranges, "a", "z", ["doc_id"], bin_size=8)
+    return met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("line_no").cast("long").alias("lines"))
+
+
+@query("""
+SELECT a.event_id, count(*) AS n FROM events a JOIN events b
+ON a.user_id = b.user_id AND b.event_type = 'click' AND date_diff('second', date_trunc('second', a.ts), date_trunc('second', b.ts)) BETWEEN -5 AND 300
+WHERE a.event_type = 'error' GROUP BY a.event_id
+""")
+def clicks_around_errors(spark, sf_dir):
+    """Range join in time: clicks from 5 seconds before to 300 after an error of the same user."""
+    e = table(spark, sf_dir, "events").withColumn("at", F.unix_seconds(F.col("ts").cast("timestamp")))
+    errors = e.where("event_type = 'error'").select("event_id", "user_id", (F.col("at") - 5).alias("a"), (F.col("at") + 300).alias("z"))
+    clicks = e.where("event_type = 'click'").select("user_id", "at")
+    return pairing.in_range(clicks, "at", errors, "a", "z", ["user_id"], bin_size=512).groupBy("event_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+_RULES = [("news", ["*example.com*"]), ("english", ["**/en/*", "!*#top"]), ("paged", ["*page=[0-9]*"]), ("all", ["!http:*"])]
+
+
+@query("""
+SELECT 'news' AS rule, count(*) AS n, min(page_id) AS first FROM pages WHERE regexp_matches(url, '^.*example\\.com.*$') HAVING count(*) > 0
+UNION ALL SELECT 'english', count(*), min(page_id) FROM pages WHERE regexp_matches(url, '^(?:.*/)?en/.*$') AND NOT regexp_matches(url, '^.*#top$') HAVING count(*) > 0
+UNION ALL SELECT 'paged', count(*), min(page_id) FROM pages WHERE regexp_matches(url, '^.*page=[0-9].*$') HAVING count(*) > 0
+UNION ALL SELECT 'all', count(*), min(page_id) FROM pages WHERE NOT regexp_matches(url, '^http:.*$') HAVING count(*) > 0
+""".replace("\\\\", "\\"))
+def rules_in_scope(spark, sf_dir):
+    """Glob join: which pages the globs of a rule name and its exclusions leave."""
+    pages = table(spark, sf_dir, "pages").select("page_id", F.col("url").alias("path"))
+    rules = spark.createDataFrame(_RULES, "rule string, scope array<string>")
+    return pairing.in_scope(pages, rules).dropDuplicates(["rule", "page_id"]).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, regexp_replace(url, '^https?://[^/]*/', '') AS path FROM pages),
+k AS (SELECT DISTINCT regexp_replace(path, '[?#].*$', '') AS known_path FROM p WHERE page_id % 3 = 0)
+SELECT page_id, known_path FROM p JOIN k ON string_split(path, '/')[-1] = string_split(known_path, '/')[-1]
+  AND (path = known_path OR ends_with(known_path, '/' || path) OR ends_with(path, '/' || known_path))
+""")
+def pages_by_suffix(spark, sf_dir):
+    """Suffix join: paths that are equal, or end with one another."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", F.lit("^https?://[^/]*/"), F.lit("")).alias("named_path"))
+    k = p.where("page_id % 3 = 0").select(F.regexp_replace("named_path", F.lit("[?#].*$"), F.lit("")).alias("known_path")).distinct()
+    return pairing.by_suffix(p, k).select("page_id", "known_path")
+
+
+@query(r"""
+WITH p AS (SELECT page_id, '/' || trim(regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*$', ''), '/+', '/', 'g'), '/') AS path FROM pages),
+r(route_path, pattern) AS (VALUES ('/{lang}/{id}', '^/[^/]+/[^/]+$'), ('/en/{id}', '^/en/[^/]+$'))
+SELECT page_id, route_path FROM p JOIN r ON regexp_matches(path, pattern)
+""")
+def pages_by_route(spark, sf_dir):
+    """Route join: paths that a route with parameters serves."""
+    path = F.regexp_replace(F.regexp_replace("url", F.lit("^https?://[^/]*"), F.lit("")), F.lit("[?#].*$"), F.lit(""))
+    wanted = table(spark, sf_dir, "pages").select("page_id", F.lit(None).cast("string").alias("verb"), path.alias("path"))
+    routes = spark.createDataFrame([("GET", "/{lang}/{id}"), ("ANY", "/en/<int:id>")], "route_verb string, route_path string")
+    got = pairing.by_route(wanted, routes)
+    return got.select("page_id", F.when(F.col("route_path") == "/en/<int:id>", "/en/{id}").otherwise(F.col("route_path")).alias("route_path"))
+
+
+@query(r"""
+WITH q AS (SELECT item_id, list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 5)) AS words FROM benchmark),
+t AS (SELECT doc_id, unnest(list_distinct(list_filter(string_split(lower(text), ' '), lambda w: length(w) > 5))) AS word FROM documents),
+d AS (SELECT word, 1 + 1 / (1 + count(*) / 5) AS weight FROM t GROUP BY word),
+s AS (SELECT item_id, doc_id, count(*) AS shared, sum(weight) AS score FROM (SELECT item_id, unnest(words) AS word FROM q) JOIN d USING (word) JOIN t USING (word) GROUP BY ALL)
+SELECT item_id, doc_id, shared FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY shared DESC, round(score, 6) DESC, doc_id) AS place FROM s) WHERE place <= 3
+""")
+def benchmark_overlap(spark, sf_dir):
+    """Inverted index: the three documents that share most words with each benchmark item."""
+    words = F.array_distinct(F.filter(F.split(F.lower("text"), " ", -1), lambda w: F.length(w) > 5))
+    q = table(spark, sf_dir, "benchmark").select("item_id", words.alias("words"))
+    t = table(spark, sf_dir, "documents").select("doc_id", words.alias("words"))
+    return pairing.word_overlap(q, "item_id", t, "doc_id").select("item_id", "doc_id", "shared")
+
+
+@query("""
+WITH RECURSIVE e AS (SELECT n_nationkey AS child, n_nationkey // 3 AS parent, '/' || n_nationkey AS prefix FROM nation WHERE n_nationkey > 0),
+p(node, prefix) AS (SELECT 0, '' UNION ALL SELECT e.child, p.prefix || e.prefix FROM p JOIN e ON e.parent = p.node)
+SELECT cast(node AS BIGINT) AS node, prefix FROM p
+""")
+def mounted_prefixes(spark, sf_dir):
+    """Recursive join: the path above every node of a tree of nations."""
+    n = table(spark, sf_dir, "nation").where("n_nationkey > 0")
+    edges = n.select(F.expr("n_nationkey div 3").cast("long").alias("parent"), F.col("n_nationkey").cast("long").alias("child"), F.concat(F.lit("/"), F.col("n_nationkey").cast("string")).alias("prefix"))
+    return pairing.mounted_prefixes(edges)
+
+
+@query("""
+SELECT conv_id, turn, len(list_filter(a, lambda w: NOT list_contains(b, w))) AS added, len(list_filter(b, lambda w: NOT list_contains(a, w))) AS removed FROM (
+  SELECT conv_id, turn, list_distinct(string_split(lower(text), ' ')) AS a,
+    coalesce(lag(list_distinct(string_split(lower(text), ' '))) OVER (PARTITION BY conv_id ORDER BY turn), []) AS b FROM conversations)
+""")
+def changed_words(spark, sf_dir):
+    """Words that a turn adds to the one before it, and those it leaves out."""
+    words = F.array_distinct(F.split(F.lower("text"), " ", -1))
+    before = F.coalesce(F.lag(words).over(Window.partitionBy("conv_id").orderBy("turn")), F.array().cast("array<string>"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("a"), before.alias("b"))
+    n = lambda x, y: F.size(F.array_except(x, y)).cast("long")
+    return rows.select("conv_id", "turn", n("a", "b").alias("added"), n("b", "a").alias("removed"))
+
+
+# ---------------------------------------------------------------- merging
+
+
+@query("""
+SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS asked_as FROM documents
+""")
+def request_key_dedupe(spark, sf_dir):
+    """Requests asked alike: who asks for each document's text."""
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text").cast("binary"), 256).alias("request_key"))
+    return merging.asked_alike(rows, order="doc_id").select("doc_id", "asked_as")
+
+
+_VERDICTS = """v AS (
+  SELECT d.source AS rule, cast(d.doc_id % 7 AS VARCHAR) AS file, cast(d.n_chars % 3 AS VARCHAR) AS code_sha, CASE WHEN l.toxic = 0 THEN 'false_positive' ELSE 'confirmed' END AS verdict, d.doc_id AS seq
+  FROM labels l JOIN documents d ON d.doc_id = l.doc_id
+), last AS (SELECT rule, file, code_sha, arg_max(verdict, seq) AS verdict FROM v GROUP BY ALL)"""
+
+
+def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return (
+        table(spark, sf_dir, "labels")
+        .join(table(spark, sf_dir, "documents"), "doc_id")
+        .select(
+            F.col("source").alias("rule"), (F.col("doc_id") % 7).cast("string").alias("file"), (F.col("n_chars") % 3).cast("string").alias("code_sha"),
+            F.when(F.col("toxic") == 0, "false_positive").otherwise("confirmed").alias("verdict"), F.col("doc_id").alias("seq"),
+        )
+    )
+
+
+@query(f"""
+WITH {_VERDICTS}
+SELECT rule, count(*) FILTER (WHERE verdict = 'false_positive') AS false_positives, count(*) AS verdicts,
+  count(*) >= 5 AND count(*) FILTER (WHERE verdict = 'false_positive') / count(*) >= 0.6 AS poor FROM last GROUP BY rule
+""")
+def rule_records(spark, sf_dir):
+    """Each rule's record: its findings' last verdicts."""
+    return merging.rule_records(_verdicts(spark, sf_dir))
+
+
+@query(f"""
+WITH {_VERDICTS},
+poor AS (SELECT rule FROM last GROUP BY rule HAVING count(*) >= 5 AND count(*) FILTER (WHERE verdict = 'false_positive') / count(*) >= 0.6),
+r AS (SELECT doc_id AS id, source AS rule, cast(doc_id % 7 AS VARCHAR) AS file, cast(n_chars % 3 AS VARCHAR) AS code_sha, CASE doc_id % 3 WHEN 0 THEN 'BREAKS' WHEN 1 THEN 'review' ELSE 'ok' END AS label FROM documents)
+SELECT r.id, CASE WHEN r.label <> 'ok' THEN last.verdict END AS recorded, r.label <> 'ok' AND poor.rule IS NOT NULL AS poor_record
+FROM r LEFT JOIN last ON r.rule = last.rule AND r.file = last.file AND r.code_sha = last.code_sha LEFT JOIN poor ON r.rule = poor.rule
+""")
+def apply_verdicts(spark, sf_dir):
+    """Results with what was recorded for them; labels stay."""
+    label = F.when(F.col("doc_id") % 3 == 0, "BREAKS").when(F.col("doc_id") % 3 == 1, "review").otherwise("ok")
+    r = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.col("source").alias("rule"), (F.col("doc_id") % 7).cast("string").alias("file"), (F.col("n_chars") % 3).cast("string").alias("code_sha"), label.alias("label"))
+    return merging.apply_verdicts(r, _verdicts(spark, sf_dir)).select("id", "recorded", "poor_record")
+
+
+@query(r"""
+WITH p AS (SELECT page_id, regexp_replace(url, '^https?://([^/]*)/.*$', '\1') AS host FROM pages)
+SELECT host, max(page_id) AS last_page, count(*) AS n FROM p GROUP BY host
+""")
+def last_page_per_host(spark, sf_dir):
+    """The newest row of each path: here, the last page of each host."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", F.lit("^https?://([^/]*)/.*$"), F.lit("$1")).alias("host"))
+    return p.groupBy("host").agg(F.max("page_id").alias("last_page"), F.count(F.lit(1)).alias("n"))
+
+
+@query(r"""
+WITH p AS (SELECT page_id, lower(regexp_replace(url, '[?#].*$', '')) AS path FROM pages),
+f AS (SELECT *, regexp_replace(regexp_replace(regexp_replace(path, '\d{4}-\d{2}-\d{2}|\bv?\d+(?:\.\d+)*\b|\b(?:old|new|draft|final|archive[d]?|legacy|deprecated|latest|current|copy)\b', '', 'g'), '[-_. ]+', '-', 'g'), '-*/-*', '/', 'g') AS family FROM p)
+SELECT page_id, family, CASE WHEN count(*) FILTER (WHERE length(path) = m) OVER (PARTITION BY family) = 1 THEN min(CASE WHEN length(path) = m THEN path END) OVER (PARTITION BY family) END AS newest
+FROM (SELECT *, max(length(path)) OVER (PARTITION BY family) AS m FROM f)
+""")
+def document_families(spark, sf_dir):
+    """Versions of one document by path, and the last of each family (here by length), null where tied."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.lower(F.regexp_replace("url", F.lit("[?#].*$"), F.lit(""))).alias("path"))
+    return merging.newest_of_family(p, [F.length("path")]).select("page_id", "family", "newest")
+
+
+@query(r"""
+SELECT k AS key, min(CASE WHEN p_size < 40 THEN p_partkey END) AS first_small, count(*) AS n FROM (
+  SELECT *, lower(regexp_replace(p_brand, '[-_]', '', 'g')) AS k FROM part) GROUP BY k
+""")
+def effective_config(spark, sf_dir):
+    """Relaxed keys with their first plain definition: brands of parts, defined where the size is under 40."""
+    rows = table(spark, sf_dir, "part").select(
+        F.lower(F.regexp_replace("p_brand", F.lit("[-_]"), F.lit(""))).alias("key"), F.when(F.col("p_size") < 40, "defined").otherwise("used").alias("role"),
+        F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("file"), F.lit(1).alias("line"), F.col("p_partkey").cast("string").alias("value"),
+        F.lit(None).cast("string").alias("profile"), F.lit(False).alias("is_test"),
+    )
+    return merging.effective_config(rows).select("key", F.col("value").cast("long").alias("first_small"), F.size("uses").cast("long").alias("n"))
+
+
+@query("""
+SELECT lang, sum(t) AS tokens, cast(round(sum(t) * 0.042, 0) AS BIGINT) AS micro_price FROM (SELECT lang, 259 + cast(floor(length(text) / 3.4) AS BIGINT) AS t FROM documents) GROUP BY lang
+""")
+def cost_estimate(spark, sf_dir):
+    """Tokens that requests of all texts would take, by language."""
+    rows = table(spark, sf_dir, "documents").select("lang", merging.estimated_tokens(F.col("text")).alias("t"))
+    return rows.groupBy("lang").agg(F.sum("t").alias("tokens")).withColumn("micro_price", F.round(F.col("tokens") * 0.042, 0).cast("long"))
+
+
+# ---------------------------------------------------------------- gates and screening
+
+_CHOICES = {
+    "drift": ["accurate", "drifted", "unrelated", "not_enough_information"],
+    "triage": ["the_change", "not_the_change", "not_enough_information"],
+    "audit": ["follows", "breaks", "not_applicable", "not_enough_information"],
+    "doc": ["consistent", "stale_signature", "stale_behaviour", "too_general", "cannot_tell"],
+    "change": ["implemented", "contradicted", "not_shown", "too_vague", "cannot_tell"],
+}
+_CAUSES = ["change_broke_code", "environment"]
+
+
+def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents")
+    return d.select(F.col("doc_id").alias("item_id"), F.sha2(F.col("text").cast("binary"), 256).alias("request_key"), F.col("text").alias("body"), F.col("doc_id").alias("seq"))
+
+
+def _duck_answer(family: str, n: str = "0") -> str:
+    """Answers of the hashed scorer: choice, confidence, noul and cause for each distinct request and sample."""
+    c = _CHOICES[family]
+    h = f"sha256(request_key || ':' || {n})"
+    pick = lambda xs, i: f"[{', '.join(repr(x) for x in xs)}][{HEX4.format(h=h, i=1 + 4 * i)} % {len(xs)} + 1]"
+    return f"{pick(c, 0)} AS choice, {HEX4.format(h=h, i=5)} % 1001 / 1000 AS confidence, {HEX4.format(h=h, i=9)} % 101 / 100 AS noul, {pick(_CAUSES, 3)} AS cause"
+
+
+_DUCK_GATES = {
+    "drift": "CASE WHEN choice IN ('not_enough_information', 'unrelated') THEN 'unverifiable' WHEN choice = 'drifted' AND confidence >= 0.905 THEN 'act' WHEN choice = 'drifted' OR confidence < 0.987 OR noul >= 0.70 THEN 'review' ELSE 'clean' END",
+    "triage": "CASE WHEN choice = 'not_enough_information' THEN 'unverifiable' WHEN choice = 'the_change' AND confidence >= 0.905 AND cause = 'change_broke_code' THEN 'act' ELSE 'review' END",
+    "audit": "CASE WHEN choice = 'not_enough_information' THEN 'unverifiable' WHEN choice = 'not_applicable' AND noul < 0.295 THEN 'na' WHEN choice = 'breaks' AND confidence >= 0.905 THEN 'act' WHEN choice = 'follows' AND confidence >= 0.905 AND noul < 0.295 THEN 'clean' ELSE 'review' END",
+    "doc": "CASE WHEN choice = 'cannot_tell' THEN 'unverifiable' WHEN choice = 'too_general' AND noul < 0.295 THEN 'na' WHEN choice IN ('stale_signature', 'stale_behaviour') AND confidence >= 0.905 THEN 'act' WHEN choice = 'consistent' AND confidence >= 0.905 AND noul < 0.295 THEN 'clean' ELSE 'review' END",
+    "change": "CASE WHEN choice = 'cannot_tell' THEN 'unverifiable' WHEN choice = 'too_vague' AND noul < 0.295 THEN 'na' WHEN choice IN ('contradicted', 'not_shown') AND confidence >= 0.905 THEN 'act' WHEN choice = 'implemented' AND confidence >= 0.905 AND noul < 0.295 THEN 'clean' ELSE 'review' END",
+}
+_DUCK_AGREED = {
+    "drift": "CASE WHEN choice = 'drifted' THEN 'act' WHEN choice = 'accurate' AND worst < 0.70 THEN 'clean' WHEN choice IN ('not_enough_information', 'unrelated') THEN 'unverifiable' END",
+    "audit": "CASE WHEN choice = 'breaks' THEN 'act' WHEN choice = 'follows' AND worst < 0.295 THEN 'clean' WHEN choice = 'not_applicable' AND worst < 0.295 THEN 'na' END",
+    "doc": "CASE WHEN choice IN ('stale_signature', 'stale_behaviour') THEN 'act' WHEN choice = 'consistent' AND worst < 0.295 THEN 'clean' WHEN choice = 'too_general' AND worst < 0.295 THEN 'na' END",
+    "change": "CASE WHEN choice IN ('contradicted', 'not_shown') THEN 'act' WHEN choice = 'implemented' AND worst < 0.295 THEN 'clean' WHEN choice = 'too_vague' AND worst < 0.295 THEN 'na' END",
+}
+
+
+def _gate_query(family: str) -> None:
+    @query(f"""
+    SELECT item_id, {_DUCK_GATES[family]} AS action, confidence FROM (SELECT item_id, {_duck_answer(family)} FROM (SELECT doc_id AS item_id, sha256(text) AS request_key FROM documents))
+    """)
+    def gate(spark, sf_dir):
+        r = _requests(spark, sf_dir)
+        a = engine.hashed_scorer(_CHOICES[family], _CAUSES)(r.select("request_key", "body").dropDuplicates(["request_key"]), 0)
+        got = a.select("request_key", engine.FAMILIES[family].gate(F.col("answer"))["action"].alias("action"), F.col("answer.confidence").alias("confidence"))
+        return r.select("item_id", "request_key").join(got, "request_key").select("item_id", "action", "confidence")
+
+    _queries[f"gate_{family}"], _sql[f"gate_{family}"] = _queries.pop("gate"), _sql.pop("gate")
+
+
+def _screen_query(family: str) -> None:
+    labels = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in gates.LABELS[family].items())
+    floor, settled = gates.FLOORS[family], ", ".join(repr(x) for x in engine.FAMILIES[family].settled)
+
+    @query(f"""
+    WITH r AS (SELECT doc_id AS item_id, sha256(text) AS request_key FROM documents),
+    a AS (SELECT request_key, n, {_duck_answer(family, "n")} FROM (SELECT DISTINCT request_key FROM r), (SELECT unnest([0, 1, 2]) AS n)),
+    one AS (SELECT request_key, {_DUCK_GATES[family]} AS action FROM a WHERE n = 0),
+    three AS (SELECT request_key, CASE WHEN count(DISTINCT choice) = 1 AND min(confidence) >= {floor} THEN ({_DUCK_AGREED[family]}) END AS agreed FROM
+      (SELECT request_key, choice, confidence, max(noul) OVER (PARTITION BY request_key) AS worst FROM a) GROUP BY request_key, choice, worst HAVING count(*) = 3)
+    SELECT r.item_id, CASE CASE WHEN action IN ({settled}) THEN action ELSE coalesce(agreed, action) END {labels} END AS label
+    FROM r JOIN one USING (request_key) LEFT JOIN three USING (request_key)
+    """)
+    def screen(spark, sf_dir):
+        out, _ = engine.screen(_requests(spark, sf_dir), family, engine.hashed_scorer(_CHOICES[family], _CAUSES))
+        return out.select("item_id", "label")
+
+    _queries[f"screen_{family}"], _sql[f"screen_{family}"] = _queries.pop("screen"), _sql.pop("screen")
+
+
+for _f in _CHOICES:
+    _gate_query(_f)
+for _f in _DUCK_AGREED:
+    _screen_query(_f)
+
+
+@query(f"""
+WITH a AS (SELECT request_key, n, {_duck_answer("audit", "n")} FROM (SELECT DISTINCT sha256(text) AS request_key FROM documents), (SELECT unnest([0, 1]) AS n))
+SELECT request_key, min(choice) AS choice, count(*) AS n FROM a GROUP BY request_key HAVING count(DISTINCT choice) = 1 AND min(confidence) >= 0.5
+""")
+def sample_agreement(spark, sf_dir):
+    """Requests whose two samples say the same, both at 0.5 or more."""
+    r = _requests(spark, sf_dir).select("request_key", "body").dropDuplicates(["request_key"])
+    score = engine.hashed_scorer(_CHOICES["audit"], _CAUSES)
+    both = score(r, 0).unionByName(score(r, 1))
+    per = both.groupBy("request_key").agg(F.min("answer.choice").alias("choice"), F.max("answer.choice").alias("o"), F.min("answer.confidence").alias("c"), F.count(F.lit(1)).alias("n"))
+    return per.where("choice = o and c >= 0.5").select("request_key", "choice", "n")
+
+
+_RESULTS = f"""r AS (SELECT doc_id AS id, source, CASE {_DUCK_GATES["audit"]} WHEN 'act' THEN 'BREAKS' WHEN 'review' THEN 'review' WHEN 'unverifiable' THEN '??' WHEN 'clean' THEN 'ok' ELSE 'n/a' END AS label, noul AS p, n_chars
+  FROM (SELECT doc_id, source, n_chars, {_duck_answer("audit")} FROM (SELECT doc_id, source, n_chars, sha256(text) AS request_key FROM documents)))"""
+
+
+def _results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "source", "n_chars", "text", F.sha2(F.col("text").cast("binary"), 256).alias("request_key"))
+    a = engine.hashed_scorer(_CHOICES["audit"], _CAUSES)(d.select("request_key").distinct(), 0)
+    action = engine.FAMILIES["audit"].gate(F.col("answer"))["action"]
+    return d.join(a, "request_key").select("id", "source", gates.label("audit", action).alias("label"), F.col("answer.noul").alias("p"), "n_chars", "text")
+
+
+@query(f"""
+WITH {_RESULTS}
+SELECT id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN label = 'BREAKS' THEN 0 WHEN label = 'review' AND p >= 0.295 THEN 1 WHEN label = '??' THEN 2 WHEN label = 'review' THEN 4 WHEN label = 'ok' THEN 6 ELSE 7 END, p DESC, id) AS place FROM r
+""")
+def audit_order(spark, sf_dir):
+    """Results of each source in reading order: flagged, likely, unknown, low, passed."""
+    low = (F.col("label") == "review") & (F.col("p") < gates.NO)
+    group = F.when(F.col("label") == "BREAKS", 0).when(low, 4).when(F.col("label") == "review", 1).when(F.col("label") == "??", 2).when(F.col("label") == "ok", 6).otherwise(7)
+    w = Window.partitionBy("source").orderBy(group, F.col("p").desc(), "id")
+    return _results(spark, sf_dir).select("id", F.row_number().over(w).cast("long").alias("place"))
+
+
+@query(f"""
+WITH {_RESULTS},
+x AS (SELECT *, CASE WHEN label = 'BREAKS' THEN 0 WHEN label = 'review' AND p >= 0.295 THEN 1 WHEN label = '??' THEN 2 WHEN label = 'review' THEN 3 ELSE 4 END AS part FROM r),
+y AS (SELECT *, CASE WHEN part = 1 THEN source ELSE '#' || id END AS unit FROM x),
+u AS (SELECT part, unit, max(p) AS place_p, sum(n_chars) AS s FROM y GROUP BY part, unit),
+z AS (SELECT part, unit, sum(s) OVER (ORDER BY part, place_p DESC, unit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 30000 AS listed FROM u)
+SELECT y.id, y.part, y.unit, z.listed FROM y JOIN z ON y.part = z.part AND y.unit = z.unit
+""")
+def reading_plan(spark, sf_dir):
+    """The reading plan: what is listed within 30,000 characters, reviews of one place whole or not."""
+    r = _results(spark, sf_dir).withColumn("body", F.col("text"))
+    return budget.reading_plan(r, "source", 30_000).select("id", "part", "unit", "listed")
+
+
+@query(f"""
+WITH {_RESULTS} SELECT source, count(*) AS n, count(*) FILTER (WHERE label = '??') AS n_unknown, count(*) FILTER (WHERE label = 'BREAKS') AS n_flagged, CASE WHEN count(*) FILTER (WHERE label = 'BREAKS') > 0 THEN 1 ELSE 0 END AS exit_code FROM r GROUP BY source
+""")
+def map_health(spark, sf_dir):
+    """Each place's share of unknown and flagged results, and its exit code."""
+    r = _results(spark, sf_dir).groupBy("source")
+    out = r.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("label") == "??").alias("n_unknown"), F.count_if(F.col("label") == "BREAKS").alias("n_flagged"))
+    return out.withColumn("exit_code", (F.col("n_flagged") > 0).cast("int"))
+
+
+@query(rf"""
+WITH s AS (SELECT doc_id, lang, unnest({SENTENCES.format(t=_DUCK_SHAPES)}) AS s FROM documents),
+q AS (SELECT DISTINCT lang, doc_id, s, sha256(s) AS request_key FROM s WHERE {WORDS.format(s="s")} >= 5),
+a AS (SELECT q.*, {_duck_answer("drift")} FROM q)
+SELECT lang, {_DUCK_GATES["drift"]} AS action, count(*) AS n, count(DISTINCT request_key) AS n_requests FROM a GROUP BY ALL
+""")
+def flagship_screen(spark, sf_dir):
+    """Sentences of redacted documents, asked once each, gated and counted by language."""
+    return flagship(spark, sf_dir)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("lang").count()
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", _shapes(F.col("text")).alias("text"))
+    asked = lines.sentence_rows(docs, ["doc_id", "lang"]).where(T.word_count(F.col("sentence")) >= 5).select("lang", "doc_id", "sentence").distinct()
+    asked = asked.withColumn("request_key", F.sha2(F.col("sentence").cast("binary"), 256))
+    answers = engine.hashed_scorer(_CHOICES["drift"], _CAUSES)(asked.select("request_key").distinct(), 0)
+    gated = answers.select("request_key", engine.FAMILIES["drift"].gate(F.col("answer"))["action"].alias("action"))
+    return asked.join(gated, "request_key").groupBy("lang", "action").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("request_key").alias("n_requests"))
+
+
+# ---------------------------------------------------------------- evaluation and limits
+
+
+@query("""
+SELECT count(*) FILTER (WHERE quality = 1 AND toxic = 0) AS tp, count(*) FILTER (WHERE quality = 0 AND toxic = 0) AS fp, count(*) FILTER (WHERE quality = 1 AND toxic = 1) AS fn, count(*) FILTER (WHERE quality = 0 AND toxic = 1) AS tn,
+  count(*) FILTER (WHERE quality = 1 AND toxic = 0) / count(*) FILTER (WHERE toxic = 0) AS precision, count(*) FILTER (WHERE quality = 1 AND toxic = 0) / count(*) FILTER (WHERE quality = 1) AS recall FROM labels
+""")
+def label_confusion(spark, sf_dir):
+    """How well the absence of toxicity tells quality."""
+    return evaluation.confusion(table(spark, sf_dir, "labels"), F.col("quality"), F.col("toxic") == 0)
+
+
+@query("""
+WITH x AS (SELECT l.quality AS t, d.n_chars % 1000 AS s FROM labels l JOIN documents d ON l.doc_id = d.doc_id),
+g AS (SELECT s, sum(t) AS pos, sum(1 - t) AS neg FROM x GROUP BY s),
+b AS (SELECT *, coalesce(sum(neg) OVER (ORDER BY s ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM g)
+SELECT cast(sum(pos) AS BIGINT) AS n_pos, cast(sum(neg) AS BIGINT) AS n_neg, sum(pos * (below + neg / 2)) / (sum(pos) * sum(neg)) AS auc FROM b
+""")
+def quality_auc(spark, sf_dir):
+    """Area under the curve of a score for quality, ties counting half."""
+    rows = table(spark, sf_dir, "labels").join(table(spark, sf_dir, "documents"), "doc_id")
+    return evaluation.area_under_curve(rows, F.col("quality"), F.col("n_chars") % 1000)
+
+
+@query("""
+SELECT user_id, count(*) FILTER (WHERE k > 2) AS over FROM (
+  SELECT user_id, count(*) OVER (PARTITION BY user_id ORDER BY epoch(date_trunc('second', ts)) RANGE BETWEEN 3600 PRECEDING AND CURRENT ROW) AS k FROM events) GROUP BY user_id
+""")
+def sliding_limit(spark, sf_dir):
+    """How many of a user's events were more than the second within an hour."""
+    at = F.unix_seconds(F.col("ts").cast("timestamp"))
+    w = Window.partitionBy("user_id").orderBy(at).rangeBetween(-3600, 0)
+    return table(spark, sf_dir, "events").withColumn("k", F.count(F.lit(1)).over(w)).groupBy("user_id").agg(F.count_if(F.col("k") > 2).alias("over"))
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
