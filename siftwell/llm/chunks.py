@@ -62,6 +62,7 @@ class _Chunk:
         self.ids: list[int | None] = []
         self.flags: list[bool | None] = []
         self.notes: list[bytes] = []
+        self.texts: list[str] = []
         self.lens: list[int] = []
         self.codes: list[np.ndarray] = []
         self.chars = 0
@@ -92,20 +93,20 @@ class _Chunk:
         kind = pa.list_(pa.struct([("bucket", pa.int32()), ("words", pa.binary()), ("slots", pa.binary()), ("flagged", pa.binary())]))
         arrays = [
             pa.array([number], pa.int64()), pa.array([self.ids], pa.list_(pa.int64())), pa.array([self.flags], pa.list_(pa.bool_())), pa.array([self.lens], pa.list_(pa.int32())),
-            pa.array([n], pa.int32()), pa.array([pack(rank[codes])], pa.binary()), pa.array([packs], kind), pa.array([self.notes], pa.list_(pa.binary())),
+            pa.array([n], pa.int32()), pa.array([pack(rank[codes])], pa.binary()), pa.array([packs], kind), pa.array([self.notes], pa.list_(pa.binary())), pa.array([self.texts], pa.list_(pa.string())),
         ]
-        return pa.RecordBatch.from_arrays(arrays, ["chunk", "ids", "flags", "lens", "n_words", "codes", "packs", "notes"])
+        return pa.RecordBatch.from_arrays(arrays, ["chunk", "ids", "flags", "lens", "n_words", "codes", "packs", "notes", "texts"])
 
 
 def chunk_table(
-    df: DataFrame, tokenizer: Callable[[], Callable[[str], list[str] | list[bytes]]], flag: str | None = None, name: str = "chunks", key: Callable[[bytes], bytes] = whole_word, noted: bool = False
+    df: DataFrame, tokenizer: Callable[[], Callable[[str], list[str] | list[bytes]]], flag: str | None = None, name: str = "chunks", key: Callable[[bytes], bytes] = whole_word, noted: bool = False, texts: bool = False
 ) -> tuple[DataFrame, DataFrame]:
     """(codes, packs) of df(doc_id, text, optionally a boolean column `flag`).
 
     codes: chunk, ids, flags, lens, n_words, codes, notes. packs: chunk, bucket, words, slots, flagged (how
     often each word stands in texts with the flag). tokenizer makes the function that cuts a text
     into words; null texts count as empty. If noted, it makes a function to (words, note), and the
-    notes are kept by document in codes.
+    notes are kept by document in codes; with texts, codes keeps the texts too (see texts_at).
     """
     buckets = BUCKETS_EACH * shuffle_partitions(df.sparkSession)
 
@@ -118,6 +119,8 @@ def chunk_table(
                 if noted:
                     tokens, note = tokens
                     chunk.notes.append(note)
+                if texts:
+                    chunk.texts.append(text)
                 chunk.add(doc_id.as_py(), flagged.as_py(), len(text), tokens)
                 if chunk.chars >= CHUNK_CHARS:
                     yield chunk.row(number, buckets, key)
@@ -126,7 +129,7 @@ def chunk_table(
             yield chunk.row(number, buckets, key)
 
     rows = df.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), (F.col(flag) if flag else F.lit(True)).cast("boolean").alias("flag"))
-    ddl = "chunk long, ids array<long>, flags array<boolean>, lens array<int>, n_words int, codes binary, packs array<struct<bucket:int,words:binary,slots:binary,flagged:binary>>, notes array<binary>"
+    ddl = "chunk long, ids array<long>, flags array<boolean>, lens array<int>, n_words int, codes binary, packs array<struct<bucket:int,words:binary,slots:binary,flagged:binary>>, notes array<binary>, texts array<string>"
     table = written_bucketed(rows.mapInArrow(run, ddl), name, "chunk", shuffle_partitions(df.sparkSession))
     return table.drop("packs"), table.select("chunk", F.explode("packs").alias("p")).select("chunk", "p.*")
 
@@ -246,4 +249,16 @@ def reassembled(codes: DataFrame, parts: DataFrame, finish: Callable, ddl: str,
             tables.append(finish(row, lens, unpack(row.column("codes")[0].as_py()), got if arrays else got[0]))
         return pa.concat_tables(tables)
 
-    return codes.groupBy("chunk").cogroup(parts.where("chunk >= 0").groupBy("chunk")).applyInArrow(run, ddl)
+    return codes.drop("texts").groupBy("chunk").cogroup(parts.where("chunk >= 0").groupBy("chunk")).applyInArrow(run, ddl)
+
+
+def texts_at(codes: DataFrame, places: DataFrame) -> DataFrame:
+    """(doc_id, text) of the documents at places(chunk, at); only these move."""
+
+    def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        at = right.column("at").combine_chunks() if len(left) else pa.array([], pa.int32())
+        if not len(at):
+            return pa.table({"doc_id": pa.array([], pa.int64()), "text": pa.array([], pa.string())})
+        return pa.table({c: left.column(n).combine_chunks().flatten().take(at) for c, n in (("doc_id", "ids"), ("text", "texts"))})
+
+    return codes.select("chunk", "ids", "texts").groupBy("chunk").cogroup(places.groupBy("chunk")).applyInArrow(run, "doc_id long, text string")

@@ -255,8 +255,8 @@ def components(edges: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------- tables
 
 
-def _hashed(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Step 1: (doc_id, n, sid, shared) for each document, shared: of its first shingles those in other documents too."""
+def _hashed(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Step 1: (doc_id, n, sid, shared, chunk, at) for each document, shared: of its first shingles those in other documents too; and the chunks, with texts."""
 
     def tokenizer() -> Callable:
         shingles = hasher(words)
@@ -278,14 +278,15 @@ def _hashed(docs: DataFrame, words: int, percent: int) -> DataFrame:
         sums, ends = np.concatenate([[0], np.cumsum(values[codes] > 1)]), np.cumsum(lens)
         notes = np.frombuffer(b"".join(row.column("notes")[0].as_py()), "<i8").reshape(-1, 2)
         ids = row.column("ids").combine_chunks().flatten()
-        return pa.table({"doc_id": ids, "n": pa.array(notes[:, 0]), "sid": pa.array(notes[:, 1]), "shared": pa.array(sums[ends] - sums[ends - lens])})
+        place = {"chunk": pa.array(np.full(len(lens), row.column("chunk")[0].as_py())), "at": pa.array(np.arange(len(lens), dtype=np.int32))}
+        return pa.table({"doc_id": ids, "n": pa.array(notes[:, 0]), "sid": pa.array(notes[:, 1]), "shared": pa.array(sums[ends] - sums[ends - lens])} | place)
 
-    codes, packs = chunks.chunk_table(docs, tokenizer, name="jaccard_first", noted=True)
-    return chunks.reassembled(codes, chunks.by_word(packs, work), finish, "doc_id long, n long, sid long, shared long")
+    codes, packs = chunks.chunk_table(docs, tokenizer, name="jaccard_first", noted=True, texts=True)
+    return chunks.reassembled(codes, chunks.by_word(packs, work), finish, "doc_id long, n long, sid long, shared long, chunk long, at int"), codes
 
 
 def _ordered(docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """Step 2: (sid, n, tokens) of docs(doc_id, text, sid), one for each set: shared shingles in the global order."""
+    """Step 2: (sid, n, tokens) of docs(doc_id, text), one for each set: shared shingles in the global order."""
 
     def tokenizer() -> Callable:
         shingles = hasher(words)
@@ -397,15 +398,15 @@ def _set_links(sets: DataFrame, percent: int) -> DataFrame:
 def classes(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every document of docs(doc_id, text)."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    hashed = written(_hashed(docs, words, percent), "jaccard-docs")
+    hashed, codes = _hashed(docs, words, percent)
+    hashed = written(hashed, "jaccard-docs")
     full = hashed.where("n > 0")
-    least_id = written(full.groupBy("sid").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("shared").alias("shared")), "jaccard-distinct")
+    least_id = full.groupBy("sid").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("shared").alias("shared"), F.min(F.struct("chunk", "at")).alias("place"))
+    least_id = written(least_id, "jaccard-distinct")
     # what any linked set would share at least of the first shingles
-    smallest = F.ceil(F.col("n") * percent / 100)
-    asked = F.greatest(F.lit(1), F.floor(smallest * EXTRA / 100))
-    kept = least_id.where((F.col("shared") >= asked) & F.col("first").isNotNull()).select(F.col("first").alias("_id")).distinct()
-    chosen = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").union(docs.where("doc_id is null"))
-    sets = written(_ordered(chosen, words, percent).dropDuplicates(["sid"]), "jaccard-ordered")
+    asked = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) * EXTRA / 100))
+    kept = least_id.where(F.col("shared") >= asked).select("place.chunk", "place.at")
+    sets = written(_ordered(chunks.texts_at(codes, kept), words, percent), "jaccard-ordered")
     linked = least_id.join(_set_links(sets, percent).withColumnRenamed("node", "sid"), "sid")
     linked = written(linked.select("sid", "label", "first"), "jaccard-linked")
     whole = linked.groupBy("label").agg(F.min("first").alias("whole"))
