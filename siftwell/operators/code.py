@@ -239,7 +239,10 @@ def arithmetic(text: str) -> list[str]:
         if isinstance(node, ast.BinOp) and id(node) not in inner:
             try:
                 v = _value(node)
-            except (ValueError, TypeError, ArithmeticError):
+            except (ValueError, TypeError):
+                continue
+            except ArithmeticError:  # only numbers, but no value: its parts aren't read alone
+                inner.update(id(x) for x in ast.walk(node))
                 continue
             inner.update(id(x) for x in ast.walk(node))
             notes = []

@@ -92,8 +92,8 @@ def settings(files: DataFrame) -> DataFrame:
     rows = plain.select(F.col("path").alias("file"), F.posexplode(F.split(joined, "\n", -1)).alias("i", "raw"), joined.alias("_t"))
     before = F.slice(F.split("_t", "\n", -1), F.lit(1), F.col("i"))
     skipped = F.aggregate(before, F.lit(0), lambda a, x: a + F.length(x) - F.length(F.replace(x, F.lit("\u0001"), F.lit(""))))
-    rows = rows.withColumn("line", F.col("i") + 1 + skipped).withColumn("raw", F.replace("raw", F.lit("\u0001"), F.lit(""))).where(~F.trim("raw").rlike("^([#!]|$)"))
-    key = F.trim(F.regexp_replace(F.regexp_extract("raw", r"^\s*((?:[^=:\s\\]|\\.)+)\s*[=:\s]", 1), F.lit("^export +"), F.lit("")))
+    rows = rows.withColumn("line", F.col("i") + 1 + skipped).withColumn("raw", F.regexp_replace(F.replace("raw", F.lit("\u0001"), F.lit("")), F.lit("^export +"), F.lit(""))).where(~F.trim("raw").rlike("^([#!]|$)"))
+    key = F.regexp_extract("raw", r"^\s*((?:[^=:\s\\]|\\.)+)\s*[=:\s]", 1)
     value = F.trim(F.regexp_extract("raw", r"^\s*(?:[^=:\s\\]|\\.)+\s*[=:\s]\s*(.*)$", 1))
     profile = F.nullif(F.regexp_extract("file", r"application-([\w-]+)\.properties$", 1), F.lit(""))
     return rows.where(key != "").select("file", "line", key.alias("key"), value.alias("value"), profile.alias("profile"))
