@@ -123,9 +123,10 @@ _RULE_FLAGS = {
     + ") GROUP BY flag"
 )
 def rule_flag_counts(spark, sf_dir):
-    """Sentences by what should be looked at when they are read as rules."""
+    """Sentences by what should be looked at when they are read as rules. Words end where ASCII letters, digits and _ do."""
     rows = lines.sentence_rows(table(spark, sf_dir, "documents"), ["doc_id"])
-    flags = F.array_compact(F.array(*[F.when(F.col("sentence").rlike(p), F.lit(k)) for k, p in _RULE_FLAGS.items()]))
+    ascii_word = lambda p: p.replace(r"\b(", r"(?<!\w)(").replace(r")\b", r")(?!\w)")
+    flags = F.array_compact(F.array(*[F.when(F.col("sentence").rlike(ascii_word(p)), F.lit(k)) for k, p in _RULE_FLAGS.items()]))
     return rows.select("doc_id", F.explode(flags).alias("flag")).groupBy("flag").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("doc_id").alias("n_docs"))
 
 
