@@ -71,3 +71,14 @@ def secret_file(path: Column) -> Column:
     name = F.lower(F.element_at(F.split(path, r"[/\\]"), -1))
     template = name.rlike(r"\.(example|sample|template|dist)$|^\.env\.(example|sample|template|dist)$")
     return name.rlike(r"^\.env(\..+)?$|\.(pem|key|p12|pfx|jks|keystore|kdbx)$|^id_(rsa|dsa|ecdsa|ed25519)$|^(credentials|secrets?)(\.(json|ya?ml|toml|ini))?$|^\.(npmrc|pypirc|netrc)$") & ~template
+
+
+def redact_settings(text: Column) -> Column:
+    """Settings of YAML, TOML or .properties without the values of secret names, line by line; placeholders stay.
+
+    A block that follows a secret name (| or >) is blanked as far as it is indented.
+    """
+    name = rf"(?im)^([ \t]*(?:export[ \t]+)?[\"']?[\w.\-]*{SECRET_NAME}[\w.\-]*[\"']?[ \t]*[:=][ \t]*+)"
+    out = F.regexp_replace(text, F.lit(name + r"[|>][+-]?[ \t]*\n((?:[ \t]+[^\n]*\n?|\n)+)"), F.lit(f"$1{MASK}\n"))
+    out = F.regexp_replace(out, F.lit(name + r"(?!$|[\"']?\$\{|<redacted>|[|>][+-]?[ \t]*$)[^\n]+"), F.lit(f"$1{MASK}"))
+    return redact(out)
