@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from siftwell.llm.common import shuffle_partitions, written, written_bucketed
 
-CHUNK_CHARS, BUCKETS_EACH = 12 << 20, 2
+CHUNK_CHARS, BUCKETS_EACH = 8 << 20, 2
 
 
 def pack(numbers: np.ndarray, width: int = 4) -> bytes:
@@ -99,7 +99,7 @@ class _Chunk:
 
 
 def chunk_table(
-    df: DataFrame, tokenizer: Callable[[], Callable[[str], list[str] | list[bytes]]], flag: str | None = None, name: str = "chunks", key: Callable[[bytes], bytes] = whole_word, noted: bool = False, texts: bool = False
+    df: DataFrame, tokenizer: Callable[[], Callable[[str], list[str] | list[bytes]]], flag: str | None = None, name: str = "chunks", key: Callable[[bytes], bytes] = whole_word, noted: bool = False, texts: bool = False, chunk_chars: int | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """(codes, packs) of df(doc_id, text, optionally a boolean column `flag`).
 
@@ -107,8 +107,9 @@ def chunk_table(
     often each word stands in texts with the flag). tokenizer makes the function that cuts a text
     into words; null texts count as empty. If noted, it makes a function to (words, note), and the
     notes are kept by document in codes; with texts, codes keeps the texts too (see texts_at).
+    Tokenizers whose words hardly repeat should have smaller chunks, as memory follows a chunk's distinct words.
     """
-    buckets = BUCKETS_EACH * shuffle_partitions(df.sparkSession)
+    buckets, most = BUCKETS_EACH * shuffle_partitions(df.sparkSession), chunk_chars or CHUNK_CHARS
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cut, number, chunk = tokenizer(), TaskContext.get().partitionId() << 32, _Chunk()
@@ -122,7 +123,7 @@ def chunk_table(
                 if texts:
                     chunk.texts.append(text)
                 chunk.add(doc_id.as_py(), flagged.as_py(), len(text), tokens)
-                if chunk.chars >= CHUNK_CHARS:
+                if chunk.chars >= most:
                     yield chunk.row(number, buckets, key)
                     number, chunk = number + 1, _Chunk()
         if chunk.ids:

@@ -15,7 +15,7 @@ shorter), as 64-bit hashes. Two sets link when 100 |A n B| >= percent |A u B|. T
 4. Each component's sets are stored in a trie (`Trie`) along the global order. A set walks the trie
    with its partial overlap, shared by all sets below a node; a subtree is passed over when even its
    remaining length can't reach the overlap needed, or when all its sets are linked to the walker
-   already. Components of over BLOCK sets are dealt to blocks; the blocks' classes meet by
+   already. Components of over BLOCK sets, or BLOCK_TOKENS shingles, are dealt to blocks; the blocks' classes meet by
    representatives, and then every two blocks meet that still hold different classes.
 
 Only links between sets are kept, as forests, and never collected. Copies are not expanded to pairs.
@@ -42,7 +42,10 @@ from siftwell.llm.common import written
 
 #: Share of a set by which the first filter's prefixes are longer, in hundredths.
 EXTRA = 5
-BLOCK = 1000
+#: Sets, and shingles of sets, that one task joins.
+BLOCK, BLOCK_TOKENS = 1000, 1_000_000
+#: Characters of a chunk in the first and second step: shingles hardly repeat, so chunks are small.
+CHUNKS = (4 << 20, 2 << 20)
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
@@ -281,7 +284,7 @@ def _hashed(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
         place = {"chunk": pa.array(np.full(len(lens), row.column("chunk")[0].as_py())), "at": pa.array(np.arange(len(lens), dtype=np.int32))}
         return pa.table({"doc_id": ids, "n": pa.array(notes[:, 0]), "sid": pa.array(notes[:, 1]), "shared": pa.array(sums[ends] - sums[ends - lens])} | place)
 
-    codes, packs = chunks.chunk_table(docs, tokenizer, name="jaccard_first", noted=True, texts=True)
+    codes, packs = chunks.chunk_table(docs, tokenizer, name="jaccard_first", noted=True, texts=True, chunk_chars=CHUNKS[0])
     return chunks.reassembled(codes, chunks.by_word(packs, work), finish, "doc_id long, n long, sid long, shared long, chunk long, at int"), codes
 
 
@@ -325,7 +328,7 @@ def _ordered(docs: DataFrame, words: int, percent: int) -> DataFrame:
         flat = np.concatenate(tokens) if tokens else np.zeros(0, np.int64)
         return pa.table({"sid": pa.array(sids, pa.int64()), "n": pa.array(sizes, pa.int64()), "tokens": pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))})
 
-    codes, packs = chunks.chunk_table(docs, tokenizer, name="jaccard_sets", noted=True)
+    codes, packs = chunks.chunk_table(docs, tokenizer, name="jaccard_sets", noted=True, chunk_chars=CHUNKS[1])
     return chunks.reassembled(codes, chunks.by_word(packs, work), finish, "sid long, n long, tokens array<long>", arrays=True)
 
 
@@ -342,7 +345,7 @@ def _ranked(lists: list[np.ndarray]) -> list[np.ndarray]:
 
 def _joined(table: pa.Table, percent: int) -> pa.Table:
     """Forest edges among the sets of one task: columns sid, n, tokens, label (known class or null), walks (compared with all)."""
-    sids, lists = table.column("sid").to_pylist(), [np.array(x, np.int64) for x in table.column("tokens").to_pylist()]
+    sids, lists = table.column("sid").to_pylist(), [np.asarray(x.values) for c in table.column("tokens").chunks for x in c]
     labels, walks = table.column("label").to_pylist(), table.column("walks").to_pylist()
     cls = linked_classes(_ranked(lists), table.column("n").to_pylist(), percent, labels, [i for i, w in enumerate(walks) if w])
     pairs = [(sids[i], sids[c]) for i, c in enumerate(cls) if sids[i] != sids[c]]
@@ -358,7 +361,9 @@ def _set_links(sets: DataFrame, percent: int) -> DataFrame:
     least = heads.groupBy("h").agg(F.min("sid").alias("v"))
     near = heads.join(written(least, "jaccard-least"), "h").where("sid <> v").select(F.col("sid").alias("u"), "v")
     candidates = written(components(near), "jaccard-candidates")
-    sizes = written(candidates.groupBy("label").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "jaccard-sizes")
+    weighed = candidates.join(sets.select(F.col("sid").alias("node"), (F.size("tokens") / 2).alias("k")), "node")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("k") / BLOCK_TOKENS))
+    sizes = written(weighed.groupBy("label").agg(blocks.alias("blocks")), "jaccard-sizes")
     homed = candidates.join(sizes, "label").select(F.col("node").alias("sid"), F.col("label").alias("home"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
     homed = written(sets.join(homed, "sid"), "jaccard-homed")
 
