@@ -82,6 +82,124 @@ def python_symbols(path: str, text: str) -> list[dict]:
     return out
 
 
+_JS = re.compile(
+    r"^[ \t]*(?:export\s+)?(?:default\s+)?(?:(?:async\s+)?function\s*\*?\s*(?P<fn>[A-Za-z_$][\w$]*)\s*\(|(?:abstract\s+)?class\s+(?P<cls>[A-Za-z_$][\w$]*)|(?:const|let|var)\s+(?P<var>[A-Za-z_$][\w$]*)\s*(?::[^=\n]+)?=\s*(?P<val>[^\n]*))",
+    re.M,
+)
+_JS_ROUTE = re.compile(r"\b(?:app|router|server|fastify|api|\w+Router)\.(get|post|put|patch|delete|head|options|all)\(\s*([\"'`])(/[^\"'`]*)\2")
+_JS_ENV = re.compile(r"\bprocess\.env(?:\.([A-Z_][A-Z0-9_]*)|\[\s*[\"']([^\"']+)[\"']\s*\])")
+_JAVA = re.compile(
+    r"^[ \t]*(?:(?:public|protected|private|static|final|abstract|sealed|synchronized|default)\s+)*(?:(?:class|interface|enum|record)\s+(?P<cls>[A-Z]\w*)|(?:static\s+final|final\s+static)\s+[\w<>\[\], ?]+\s+(?P<const>[A-Z][A-Z0-9_]*)\s*=\s*(?P<val>[^;]*);|[\w<>\[\], ?.]+\s+(?P<fn>[a-z]\w*)\s*\([^;{}]*\)\s*(?:throws\s+[\w., ]+)?\{)",
+    re.M,
+)
+_JAVA_ROUTE = re.compile(r"@(Get|Post|Put|Patch|Delete|Request)Mapping\s*(?:\(\s*(?:(?:value|path)\s*=\s*)?\{?\s*\"([^\"]*)\"[^)]*\))?")
+_JAVA_VALUE = re.compile(r"@Value\(\s*\"\$\{([^}:\"]+)")
+_WORDS_NOT_NAMES = {"if", "for", "while", "switch", "catch", "return", "new", "else", "throw"}
+
+
+def _line_of(text: str, at: int) -> int:
+    return text.count("\n", 0, at) + 1
+
+
+def _block_end(text: str, at: int) -> int:
+    """Where the block that opens at or after `at` closes: at the brace that matches, or at the line's end without one."""
+    depth, i, opened = 0, at, False
+    while i < len(text):
+        c = text[i]
+        if c in "\"'`":
+            j = i + 1
+            while j < len(text) and text[j] != c and (c == "`" or text[j] != "\n"):
+                j += 2 if text[j] == "\\" else 1
+            i = j
+        elif c == "{":
+            depth, opened = depth + 1, True
+        elif c == "}":
+            depth -= 1
+            if opened and depth <= 0:
+                return i + 1
+        elif c == "\n" and not opened and depth == 0:
+            return i
+        i += 1
+    return len(text)
+
+
+def brace_symbols(path: str, text: str) -> list[dict]:
+    """Classes, functions, constants, routes and settings of a JavaScript, TypeScript or Java file, by layout."""
+    java, bare, out = path.endswith(".java"), without_comments(path, text), []
+
+    def add(name: str, kind: str, a: int, z: int, value: str | None = None) -> None:
+        out.append({"name": name, "kind": kind, "file": path, "line": _line_of(bare, a), "source": bare[a:z].strip("\n"), "value": value and value[:400]})
+
+    spans: list[tuple[int, int, str]] = []
+    bodies: list[tuple[int, int]] = []
+    for m in (_JAVA if java else _JS).finditer(bare):
+        g = m.groupdict()
+        name = g.get("cls") or g.get("fn") or g.get("var") or g.get("const")
+        if name in _WORDS_NOT_NAMES or (java and g.get("fn") and m[0].split()[0] in _WORDS_NOT_NAMES):
+            continue
+        end = m.end() if java and g.get("const") else _block_end(bare, m.start("cls") if g.get("cls") else m.start())
+        owner = next((n for a, z, n in reversed(spans) if a < m.start() < z), "")
+        if not java and g.get("var"):
+            arrow = re.match(r"(?:async\s*)?(?:\([^)]*\)|[\w$]+)\s*(?::[^=]+)?=>|(?:async\s+)?function\b", g["val"])
+            if owner or any(a < m.start() < z for a, z in bodies) or not (arrow or name.isupper() or re.match(r"[\"'\d\[{]", g["val"])):
+                continue
+            bodies.append((m.start(), end))
+            add(name, "function" if arrow else "constant", m.start(), end, None if arrow else g["val"].rstrip(" ;"))
+        elif g.get("const"):
+            add(f"{owner}.{name}" if owner else name, "constant", m.start(), end, g["val"].strip())
+        elif g.get("cls"):
+            spans.append((m.start(), end, name))
+            add(name, "class", m.start(), end)
+        else:
+            bodies.append((m.start(), end))
+            add(f"{owner}.{name}" if owner else name, "function", m.start(), end)
+    if java:
+        bases = {n: (b[2] or "") for a, _, n in spans if (b := next((r for r in _JAVA_ROUTE.finditer(bare, 0, a + 1) if r[1] == "Request" and bare.count("{", r.end(), a) == 0), None))}
+        for m in _JAVA_ROUTE.finditer(bare):
+            owner = next((n for a, z, n in reversed(spans) if a < m.start() < z), None)
+            if owner is not None:
+                path_ = "/" + "/".join(x for x in f"{bases.get(owner, '')}/{m[2] or ''}".split("/") if x)
+                verb = "ANY" if m[1] == "Request" else m[1].upper()
+                add(f"{verb} {path_}", "route", m.start(), _block_end(bare, m.end()), verb)
+        for m in _JAVA_VALUE.finditer(bare):
+            add(m[1], "config", m.start(), bare.find("\n", m.end()) if "\n" in bare[m.end() :] else len(bare))
+    else:
+        for m in _JS_ROUTE.finditer(bare):
+            verb = "ANY" if m[1] == "all" else m[1].upper()
+            add(f"{verb} {m[3]}", "route", m.start(), _block_end(bare, m.end()), verb)
+        for m in _JS_ENV.finditer(bare):
+            add(m[1] or m[2], "config", bare.rfind("\n", 0, m.start()) + 1, bare.find("\n", m.end()) if "\n" in bare[m.end() :] else len(bare))
+    return out
+
+
+def python_prose(text: str) -> list[tuple[int, str]]:
+    """(line, text) of a Python file's docstrings and its `#:` comments: the documentation that it holds."""
+    try:
+        tree = ast.parse(text.removeprefix("\ufeff"))
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    out = []
+    for node in ast.walk(tree):
+        if isinstance(node, (ast.Module, ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)) and (doc := ast.get_docstring(node)):
+            base = 1 if isinstance(node, ast.Module) else node.lineno
+            out += [(base + i, ln) for i, ln in enumerate(doc.split("\n"))]
+    out += [(i, ln.strip().lstrip("#: ")) for i, ln in enumerate(text.split("\n"), 1) if ln.strip().startswith("#:")]
+    return sorted(out)
+
+
+_PEM = re.compile(r"-----BEGIN [A-Z0-9 ]*PRIVATE KEY[A-Z ]*-----(.*?)(?:-----END|\Z)", re.S)
+
+
+def hide_key_material(raw: str, sent: str) -> str:
+    """sent without any run of the private keys that stand in raw, wherever it was moved or however its marks were cut."""
+    runs = {r for body in _PEM.findall(raw) for r in re.findall(r"[A-Za-z0-9+/=]{16,}", body)}
+    for r in sorted(runs, key=len, reverse=True):
+        for i in range(0, len(r) - 15, 16):  # a run that was wrapped anew is hidden piece by piece
+            sent = sent.replace(r[i : i + 16], "<redacted>")
+        sent = sent.replace(r[-16:], "<redacted>")
+    return re.sub(r"(?:<redacted>[A-Za-z0-9+/=]{0,15}){2,}", "<redacted>", sent) if runs else sent
+
+
 def without_comments(path: str, text: str) -> str:
     """text with comments and docstrings blanked; line numbers stay."""
     if path.endswith((".py", ".pyi")):
@@ -262,14 +380,14 @@ SYMBOLS = "name string, kind string, file string, line int, source string, value
 
 
 def symbols(files: DataFrame) -> DataFrame:
-    """Symbols of the Python files in files(path, text)."""
+    """Symbols of the Python, JavaScript, TypeScript and Java files in files(path, text)."""
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for part in parts:
-            rows = [s for p, t in zip(part["path"], part["text"]) for s in python_symbols(p, t or "")]
+            rows = [s for p, t in zip(part["path"], part["text"]) for s in (python_symbols if p.endswith((".py", ".pyi")) else brace_symbols)(p, t or "")]
             yield pd.DataFrame(rows, columns=["name", "kind", "file", "line", "source", "value"])
 
-    return files.where(F.col("path").rlike(r"\.pyi?$")).select("path", "text").mapInPandas(run, SYMBOLS)
+    return files.where(F.col("path").rlike(r"\.(pyi?|[cm]?jsx?|tsx?|java)$")).select("path", "text").mapInPandas(run, SYMBOLS)
 
 
 def code_units(files: DataFrame) -> DataFrame:
@@ -293,6 +411,34 @@ def stripped(files: DataFrame) -> DataFrame:
     return files.withColumn("text", strip("path", "text"))
 
 
+def prose(files: DataFrame) -> DataFrame:
+    """(doc, text) of files(path, text) as documents: Python files as their docstrings, lines kept where they are; others as they are."""
+
+    @F.pandas_udf("string")
+    def documented(paths: pd.Series, texts: pd.Series) -> pd.Series:
+        def one(path: str, text: str | None) -> str | None:
+            if text is None or not path.endswith(".py"):
+                return text
+            said = dict(python_prose(text))
+            return "\n".join(said.get(i, "") for i in range(1, max(said, default=0) + 1))
+
+        return pd.Series([one(p or "", t) for p, t in zip(paths, texts)])
+
+    return files.select(F.col("path").alias("doc"), documented("path", "text").alias("text"))
+
+
+def without_keys(unit_rows: DataFrame, files: DataFrame) -> DataFrame:
+    """unit_rows(path, text, ...) without pieces of the private keys of their files(path, text). A file that can't be matched fails: nothing is sent unscrubbed."""
+
+    @F.pandas_udf("string")
+    def hidden(raws: pd.Series, texts: pd.Series) -> pd.Series:
+        return pd.Series([None if t is None else hide_key_material(r, t) for r, t in zip(raws, texts)])
+
+    raw = files.select("path", F.col("text").alias("_raw"))
+    met = unit_rows.join(raw, "path", "left").withColumn("_raw", F.when(F.col("_raw").isNull(), F.raise_error(F.concat(F.lit("no file for "), "path"))).otherwise(F.col("_raw")))
+    return met.withColumn("text", hidden("_raw", "text")).drop("_raw")
+
+
 def claims(unit_rows: DataFrame) -> DataFrame:
     """unit_rows(path, start, end, text) that say something about themselves, with kind and claim."""
 

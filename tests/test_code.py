@@ -169,3 +169,60 @@ def test_maps(spark, tmp_path):
     assert writers.load_snapshot(spark, str(tmp_path / "snap")).count() == 1
     with pytest.raises(ValueError):
         writers.load_snapshot(spark, str(tmp_path / "snap"), version=2)
+
+
+JS = """import x from 'y'
+// const hidden = 1
+export const MAX = 30
+const load = async (id) => {
+  const inner = 2
+  return process.env.ORDER_DB
+}
+export default class Store {
+  put(x) { return x }
+}
+function go() { return "{" }
+app.get('/orders/:id', (req, res) => {
+  res.send(1)
+})
+"""
+JAVA = """package a;
+@RestController
+@RequestMapping("/api")
+public class Orders {
+  static final int LIMIT = 50;
+  @Value("${db.url:none}") String url;
+  @GetMapping("/orders/{id}")
+  public Order load(String id) {
+    if (id == null) { return null; }
+    return repo.find(id);
+  }
+}
+"""
+
+
+def test_brace_symbols():
+    got = {(s["name"], s["kind"]): s for s in code.brace_symbols("a.ts", JS)}
+    assert set(got) == {("MAX", "constant"), ("load", "function"), ("Store", "class"), ("go", "function"), ("GET /orders/:id", "route"), ("ORDER_DB", "config")}
+    assert got[("MAX", "constant")]["value"] == "30" and got[("load", "function")]["source"].endswith("}") and got[("GET /orders/:id", "route")]["line"] == 12
+    got = {(s["name"], s["kind"]) for s in code.brace_symbols("A.java", JAVA)}
+    assert got == {("Orders", "class"), ("Orders.LIMIT", "constant"), ("Orders.load", "function"), ("GET /api/orders/{id}", "route"), ("db.url", "config")}
+
+
+def test_prose(spark):
+    got = code.prose(spark.createDataFrame([("a.py", PY), ("b.md", "x"), ("c.py", None)], "path string, text string")).orderBy("doc").collect()
+    assert got[0].text.split("\n")[0] == "Module words that are said here." and "Return the order of the given id." in got[0].text and got[1].text == "x" and got[2].text is None
+
+
+def test_key_material(spark):
+    key = "".join(chr(97 + i % 26) for i in range(128))
+    raw = f"K = '''-----BEGIN RSA PRIVATE KEY-----\n{key[:64]}\n{key[64:]}\n-----END RSA PRIVATE KEY-----'''\nx = 1\n"
+    moved = f"a {key[:64]} b {key[64:100]} c"
+    assert not any(key[i : i + 16] in code.hide_key_material(raw, moved) for i in range(0, 64, 16))
+    assert code.hide_key_material("no key here", moved) == moved
+    units_ = spark.createDataFrame([("k.py", raw), ("l.py", "x")], "path string, text string")
+    files = spark.createDataFrame([("k.py", raw), ("l.py", "x")], "path string, text string")
+    got = {r.path: r.text for r in code.without_keys(units_, files).collect()}
+    assert got["l.py"] == "x" and key[:32] not in got["k.py"]
+    with pytest.raises(Exception, match="no file for"):
+        code.without_keys(units_, files.where("path = 'l.py'")).collect()
