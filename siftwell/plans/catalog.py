@@ -12,7 +12,7 @@ from siftwell.functions import keys as K
 from siftwell.functions import redact as R
 from siftwell.functions import text as T
 from siftwell.operators import budget, evaluation, lines, logs, merging, pairing
-from siftwell.plans import engine
+from siftwell.plans import engine, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -700,8 +700,8 @@ def sliding_limit(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return dict(_queries)
+    return _queries | fixtures.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(_sql)
+    return _sql | fixtures.oracle_sql()
