@@ -52,12 +52,18 @@ def windows(text: str) -> list[bytes]:
 # ---------------------------------------------------------------- training
 
 
-def _contexts(texts: Iterable[str]) -> set[tuple[str, str, str]]:
-    out: set[tuple[str, str, str]] = set()
+def _contexts(texts: Iterable[str]) -> Counter[str]:
+    """In how many contexts (the words beside it) each word stands; contexts are kept as hashes."""
+    seen: set[int] = set()
+    counts: Counter[str] = Counter()
     for text in texts:
         words = ["", *WORD.findall(text.lower()), ""]
-        out.update(zip(words, words[1:], words[2:]))
-    return out
+        for context in zip(words, words[1:], words[2:]):
+            h = hash(context)
+            if h not in seen:
+                seen.add(h)
+                counts[context[1]] += 1
+    return counts
 
 
 def _grams(word: str) -> set[str]:
@@ -83,17 +89,16 @@ def _grown(gram: str, words: list[str]) -> str:
 
 def toxic_spans(toxic: list[str], ordinary: list[str]) -> list[str]:
     """The fewest spans that cover the words of toxic text which ordinary text lacks, the most frequent first."""
-    in_toxic, in_ordinary = _contexts(toxic), _contexts(ordinary)
-    per_word = Counter(w for _, w, _ in in_toxic)
+    per_word, ordinary_words = _contexts(toxic), _contexts(ordinary)
     counts: Counter[str] = Counter()
     for w, n in per_word.items():
         for g in _grams(w):
             counts[g] += n
     other: Counter[str] = Counter()
-    for w, n in Counter(w for _, w, _ in in_ordinary).items():
+    for w, n in ordinary_words.items():
         for g in _grams(w) & counts.keys():
             other[g] += n
-    scale = len(in_ordinary) / max(1, len(in_toxic))
+    scale = ordinary_words.total() / max(1, per_word.total())
     marked = {g for g, n in counts.items() if n - other[g] / scale >= LEAST_CONTEXTS and n * scale >= LEAST_RATIO * (other[g] + 0.5)}
     words_of: dict[str, set[str]] = defaultdict(set)
     for w in per_word:
