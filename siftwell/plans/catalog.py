@@ -152,7 +152,7 @@ def redact_shapes(spark, sf_dir):
 
 
 @query(rf"""
-SELECT source, count(*) FILTER (WHERE n_mail > 0) AS docs_with_mail, sum(n_mail) AS mails, sum(n_aws) AS aws_keys
+SELECT source, count(*) FILTER (WHERE n_mail > 0) AS docs_with_mail, cast(sum(n_mail) AS BIGINT) AS mails, cast(sum(n_aws) AS BIGINT) AS aws_keys
 FROM (SELECT source, len(regexp_extract_all(text, '{R.EMAIL}')) AS n_mail, len(regexp_extract_all(text, '{R.SHAPES["aws"]}')) AS n_aws FROM documents) GROUP BY source
 """)
 def redaction_counts_by_source(spark, sf_dir):
@@ -251,12 +251,12 @@ def slice_context(spark, sf_dir):
 
 @query("""
 WITH e AS (
-  SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step_no,
+  SELECT *, cast(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS step_no
   FROM events
 ), g AS (
   SELECT *, date_diff('second', lag(date_trunc('second', ts)) OVER (PARTITION BY user_id, step_no ORDER BY ts, event_id), date_trunc('second', ts)) AS gap FROM e
 )
-SELECT user_id, step_no, count(*) AS n, cast(coalesce(max(gap), 0) AS BIGINT) AS silent, sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS errors FROM g GROUP BY user_id, step_no
+SELECT user_id, step_no, count(*) AS n, cast(coalesce(max(gap), 0) AS BIGINT) AS silent, cast(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors FROM g GROUP BY user_id, step_no
 """)
 def step_islands(spark, sf_dir):
     """Islands of a user's events between sign-ups, with their longest silence."""
@@ -268,7 +268,7 @@ def step_islands(spark, sf_dir):
 
 
 @query("""
-WITH s AS (SELECT *, sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS step_no FROM events),
+WITH s AS (SELECT *, cast(sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS BIGINT) AS step_no FROM events),
 g AS (SELECT user_id, step_no, event_type, count(*) AS n FROM s GROUP BY user_id, step_no, event_type)
 SELECT user_id, step_no, event_type, n FROM (SELECT *, row_number() OVER (PARTITION BY user_id, step_no ORDER BY n DESC, event_type) AS r FROM g) WHERE r = 1
 """)
@@ -497,7 +497,7 @@ def effective_config(spark, sf_dir):
 
 
 @query("""
-SELECT lang, sum(t) AS tokens, cast(round(sum(t) * 0.042, 0) AS BIGINT) AS micro_price FROM (SELECT lang, 259 + cast(floor(length(text) / 3.4) AS BIGINT) AS t FROM documents) GROUP BY lang
+SELECT lang, cast(sum(t) AS BIGINT) AS tokens, cast(round(sum(t) * 0.042, 0) AS BIGINT) AS micro_price FROM (SELECT lang, 259 + cast(floor(length(text) / 3.4) AS BIGINT) AS t FROM documents) GROUP BY lang
 """)
 def cost_estimate(spark, sf_dir):
     """Tokens that requests of all texts would take, by language."""
