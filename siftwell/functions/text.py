@@ -106,3 +106,13 @@ def table_cells(row: Column) -> Column:
 def tidy(source: Column) -> Column:
     """Runs of blank lines as one blank line."""
     return F.regexp_replace(source, lit("\n{3,}"), lit("\n\n"))
+
+
+def unmarked(text: Column) -> Column:
+    """Text without the marks of bold; names such as __init__, masks, globs and code spans keep theirs."""
+    spans = F.regexp_extract_all(text, lit("(`[^`\n]+`)"), 1)
+    held = F.regexp_replace(text, lit("`[^`\n]+`"), lit("\u0002"))
+    out = F.regexp_replace(held, lit(r"(?<![\w*/])\*\*(?=[^\s*/])((?:(?!\*\*)[^\n])+?)(?<=[^\s*/])\*\*(?![\w*/])"), lit("$1"))
+    out = F.regexp_replace(out, lit(r"(?<![\w_])__(?=[^\s_])(?!\w+__(?!\w))((?:(?!__)[^\n])+?)(?<=[^\s_])__(?![\w_])"), lit("$1"))
+    parts = F.split(out, "\u0002", -1)
+    return F.array_join(F.flatten(F.transform(parts, lambda p, i: F.array(p, F.coalesce(F.get(spans, i), lit(""))))), "")

@@ -117,3 +117,17 @@ def mounted_prefixes(edges: DataFrame, most: int = 64) -> DataFrame:
 def mentions_in(text: Column, words: Column) -> Column:
     """Those of the words that stand in the text."""
     return F.filter(words, lambda w: F.contains(text, w))
+
+
+def contract_routes(routes: DataFrame, symbols: DataFrame) -> DataFrame:
+    """Routes of a contract, routes(verb, path, operation_id), that no code route serves and whose operation names a handler in symbols.
+
+    The handler is a function outside tests and clients; the first by file and line wins, and the first contract entry of a verb and path.
+    """
+    served = symbols.where("kind = 'route'").select(F.col("value").alias("verb"), K.route_key(F.regexp_extract("name", " (.*)$", 1)).alias("_key"))
+    free = routes.withColumn("_key", K.route_key(F.col("path"))).join(served, ["verb", "_key"], "left_anti")
+    outside = F.lower("file").rlike(r"(^|/)(tests?|__tests__|clients?)(/|$)|(^|[/_.-])(test|spec|client)[^/]*$")
+    handlers = symbols.where((F.col("kind") == "function") & ~outside & F.lower("file").rlike(r"controller|handler|route|api|view|endpoint|resource"))
+    handlers = handlers.withColumn("operation_id", F.element_at(F.split("name", r"\."), -1)).groupBy("operation_id").agg(F.min(F.struct("file", "line", "name")).alias("h"))
+    met = free.join(handlers, "operation_id")
+    return met.groupBy("verb", "_key").agg(F.min(F.struct("path", "operation_id", "h")).alias("r")).select("verb", "r.path", "r.operation_id", F.col("r.h.name").alias("handler"), F.col("r.h.file").alias("file"))

@@ -116,3 +116,12 @@ def test_suffix_globs_routes_mounts(spark):
     assert {(r.path, r.route_verb) for r in pairing.by_route(want, routes).collect()} == {("/orders/123", "GET"), ("/orders/9", "ANY"), ("/v1/ping", "GET")}
     edges = spark.createDataFrame([("app", "api", "/api"), ("api", "v1", "/v1"), ("app", "v1", "/old"), ("x", "y", "/y"), ("y", "x", "/x")], "parent string, child string, prefix string")
     assert {(r.node, r.prefix) for r in pairing.mounted_prefixes(edges).collect()} == {("app", ""), ("api", "/api"), ("v1", "/api/v1"), ("v1", "/old")}
+
+
+def test_contract_routes(spark):
+    symbols = spark.createDataFrame(
+        [("GET /a/{x}", "route", "app.py", 1, "GET"), ("listOrders", "function", "src/orders_controller.py", 5, None), ("listOrders", "function", "tests/test_controller.py", 1, None), ("ping", "function", "src/client_api.py", 1, None)],
+        "name string, kind string, file string, line int, value string",
+    )
+    routes = spark.createDataFrame([("GET", "/a/{id}", "a"), ("GET", "/orders", "listOrders"), ("GET", "/orders/", "listOrders"), ("GET", "/ping", "ping")], "verb string, path string, operation_id string")
+    assert [tuple(r) for r in pairing.contract_routes(routes, symbols).collect()] == [("GET", "/orders", "listOrders", "listOrders", "src/orders_controller.py")]

@@ -108,3 +108,14 @@ def test_nulls_and_empty_tables(spark):
     assert lines.requirement_rows(df, ["doc"]).count() == 0 and lines.sentence_rows(df, ["doc"]).count() == 0
     assert lines.paragraph_rows(df.limit(0), ["doc"]).count() == 0
     assert one(spark, None, redact.redact) is None and one(spark, None, T.normalised) is None
+
+
+@pytest.mark.parametrize(
+    "text,want",
+    [
+        ("**Never** use it", "Never use it"), ("a **b c** d **e**", "a b c d e"), ("call __init__ first", "call __init__ first"), ("__Note this__ well", "Note this well"),
+        ("`**kwargs**` stays", "`**kwargs**` stays"), ("src/**/*.py and **/x", "src/**/*.py and **/x"), ("2 ** 3 ** 4", "2 ** 3 ** 4"), ("", ""),
+    ],
+)
+def test_unmarked(spark, text, want):
+    assert one(spark, text, T.unmarked) == want
