@@ -5,12 +5,12 @@ source's size and the excess is shared again by weight (water filling, in closed
 sources in the order in which they reach their caps). A document is to be copied target / size of
 its source times: the whole part always, the fraction by pivotal rounding. Two fractional
 probabilities meet and mass moves at random from one to the other until one of them is 0 or 1, which
-is decided; the other meets the next. Neighbours in size meet, so the words taken stay near the
+is decided; the other meets the next. Neighbours in size meet, the largest first, so the words taken stay near the
 target and not only the number of documents.
 
-The pairing runs in a reduction tree: blocks of about BLOCK documents of a source fold into decided
-rows and one residual each, the residuals fold in blocks again, up to one for each source, which is
-rounded alone. No group holds more than about BLOCK rows whatever a source's share of them. Random
+The pairing runs in a reduction tree: blocks of about BLOCK documents of a source and a class of size
+(CLASSES to a doubling) fold into decided rows and one residual each, the residuals fold in blocks
+again, up to one for each class; these fold to one for each source, which is rounded alone. No group holds more than about BLOCK rows whatever a source's share of them. Random
 numbers are hashes of the ids that meet and of the seed, so reruns agree.
 
 Cases: null or empty texts have size 0 and are taken 0 times; a null source is a source of its own,
@@ -27,8 +27,8 @@ from pyspark.sql import functions as F
 from siftwell.llm.common import written
 
 WORD = "[^\\x20\\x09-\\x0D]+"
-#: Documents that fold into one residual at each level of the tree.
-BLOCK = 256
+#: Documents that fold into one residual at each level of the tree, and classes of size to a doubling.
+BLOCK, CLASSES = 256, 8
 
 
 def sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
@@ -112,21 +112,36 @@ def _rounded(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     keep = ["source", "source_size", "target", "whole"]
     shut = docs.where(~open_).select("row", "doc_id", "size", *keep, F.lit(0).alias("up"))
 
-    results = [shut]
-    level = docs.where(open_).withColumn("blocks", F.ceil(F.col("n_docs") / BLOCK)).withColumn("block", F.pmod(F.col("deal"), F.col("blocks")))
-    level = level.select(*keep, "blocks", "block", F.struct("size", "deal", "doc_id", "row", "p").alias("item"))
-    most = sources.agg(F.max(F.ceil(F.col("n_docs") / BLOCK))).first()[0] or 0
+    def decided(folded: DataFrame) -> DataFrame:
+        return folded.select(F.explode("f.decided").alias("d"), *keep).select("d.row", "d.doc_id", "d.size", *keep, "d.up")
+
+    results, tops = [shut], []
+    class_ = F.floor(F.log2("size") * CLASSES).cast("int")
+    classed = docs.where(open_).withColumn("class", class_)
+    counts = sized.where("size > 0").groupBy(F.col("source").alias("_source"), class_.alias("_class")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
+    counts = written(counts, "mix-classes")
+    level = classed.join(counts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class")))
+    level = level.select(*keep, "class", "blocks", F.pmod(F.col("deal"), F.col("blocks")).alias("block"), F.struct("size", "deal", "doc_id", "row", "p").alias("item"))
+    most = counts.agg(F.max("blocks")).first()[0] or 0
     while most:
-        folded = level.groupBy(*keep, "blocks", "block").agg(_fold(F.array_sort(F.collect_list("item")), seed).alias("f"))
+        folded = level.groupBy(*keep, "class", "blocks", "block").agg(_fold(F.sort_array(F.collect_list("item"), asc=False), seed).alias("f"))
         folded = written(folded, "mix-level")
-        results.append(folded.select("f.decided", *keep).select(F.explode("decided").alias("d"), *keep).select("d.row", "d.doc_id", "d.size", *keep, "d.up"))
+        results.append(decided(folded))
+        tops.append(folded.where("blocks = 1").select(*keep, F.col("f.carry").alias("item")))
         # blocks of the level above: about BLOCK residuals each
         above = F.ceil(F.col("blocks") / BLOCK)
-        level = folded.select(*keep, above.alias("blocks"), F.pmod(F.col("block"), above).alias("block"), F.col("f.carry").alias("item"), (F.col("blocks") == 1).alias("last"))
-        top = F.when(_unit(F.lit(seed), F.col("item.doc_id"), F.col("item.deal"), F.lit("last")) < F.col("item.p"), 1).otherwise(0)
-        results.append(level.where("last").select("item.row", "item.doc_id", "item.size", *keep, top.alias("up")))
-        level = level.where("not last").drop("last")
+        level = folded.where("blocks > 1").select(*keep, "class", above.alias("blocks"), F.pmod(F.col("block"), above).alias("block"), F.col("f.carry").alias("item"))
         most = 0 if most == 1 else -(-most // BLOCK)
+    # one residual a class is left in each source: a fixed number, as sizes are bounded
+    if tops:
+        rest = tops[0]
+        for t in tops[1:]:
+            rest = rest.unionByName(t)
+        folded = written(rest.groupBy(*keep).agg(_fold(F.sort_array(F.collect_list("item"), asc=False), seed).alias("f")), "mix-top")
+        results.append(decided(folded))
+        last = folded.select(F.col("f.carry").alias("item"), *keep)
+        up = F.when(_unit(F.lit(seed), F.col("item.doc_id"), F.col("item.deal"), F.lit("last")) < F.col("item.p"), 1).otherwise(0)
+        results.append(last.select("item.row", "item.doc_id", "item.size", *keep, up.alias("up")))
     out = results[0]
     for r in results[1:]:
         out = out.unionByName(r)
