@@ -9,6 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
+#: Ranges of the scripts, their stops and brackets.
 _DENSE = "\u3041-\u3096\u309d-\u309f\u30a1-\u30fa\u30fc-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff"
 _HANGUL = "\uac00-\ud7a3\u1100-\u11ff\u3130-\u318f"
 _ANY = re.compile(f"[{_DENSE}{_HANGUL}]")

@@ -12,6 +12,7 @@ def _sub(text: Column, pattern: str, to: str) -> Column:
 
 def masked(text: Column) -> Column:
     """Lower case with system names, hexadecimal, numbers, slashes and spaces made alike."""
+    # fixed values: the patterns that are masked
     out = _sub(F.lower(text), r"\b(?:ubuntu|macos|windows)(?:-latest|-\d+[.\d]*)?\b", "<os>")
     out = _sub(_sub(out, r"0x[0-9a-f]+|\b[0-9a-f]{7,}\b", "#"), r"\d+", "#")
     return _sub(_sub(out, r"\\", "/"), r"\s+", " ")

@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: A unit's size, where definitions begin, and what belongs above them.
 UNIT_CHARS = 2600
 _DEFINITION = re.compile(
     r"^\s{0,4}(?:@\w|def |async def |class |func |fn |pub |impl |struct |enum |trait |export |function |const \w+ ?= ?(?:async )?\(|public |private |protected |static |interface |type \w+ (?:struct|interface))"

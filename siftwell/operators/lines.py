@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from siftwell.functions import text as T
 
+#: Lines of the shape of code, and routes as sentences write them.
 CODE_LINE = (
     r"^(?:>>>|\.\.\.\s)|^(?:async\s+)?def\s+\w+\s*\(|^class\s+\w+\s*[(:{<]|^(?:fn|func|function|let|const|var|val|pub)\s+\w+\s*[(<:=]"
     r"|^import\s+[\w.*]+\s*(?:;|$)|^import\s+[{*]|^from\s+[\w.]+\s+import\s+[\w*(]|^(?:return|raise|yield|await|assert)\s+[^\s]*[.(\[]"
