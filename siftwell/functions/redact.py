@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from siftwell.functions.text import let
+
 MASK = "<redacted>"
 #: Shapes of credentials, by who issues them.
 SHAPES = {
@@ -39,17 +41,39 @@ TIMESTAMP = r"^\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d(?:\.\d+)?Z ?"
 INVISIBLE = r"[\x{200b}-\x{200f}\x{202a}-\x{202e}\x{2060}-\x{2069}\x{feff}]"
 
 
-def _sub(text: Column, pattern: str, to: str) -> Column:
-    return F.regexp_replace(text, F.lit(pattern), F.lit(to))
+#: What a text must hold for a pattern to match at all; a plain search is far cheaper than the pattern.
+MARKS = {
+    "stripe": ("_live_", "_test_"), "github": ("ghp_", "gho_", "ghu_", "ghs_", "github_pat_"), "slack": ("xox",), "google": ("AIza",), "model_api": ("sk-",), "jwt": ("eyJ",), "aws": ("AKIA", "ASIA"),
+    "gitlab": ("glpat-", "gldt-", "glrt-", "glptt-", "glcbt-", "glimt-", "glsoat-", "glft-", "gloas-"), "npm": ("npm_",), "pypi": ("pypi-",), "slack_hook": ("hooks.slack.com",), "vault": ("hvs.", "hvb."),
+}
+
+
+def _sub(text: Column, pattern: str, to: str, *marks: str) -> Column:
+    """text with the pattern replaced; with marks, searched only where the text holds one of them."""
+    if not marks:
+        return F.regexp_replace(text, F.lit(pattern), F.lit(to))
+
+    def where_marked(t: Column) -> Column:
+        some = F.contains(t, F.lit(marks[0]))
+        for m in marks[1:]:
+            some = some | F.contains(t, F.lit(m))
+        return F.when(some, F.regexp_replace(t, F.lit(pattern), F.lit(to))).otherwise(t)
+
+    return let(text, where_marked)
+
+
+def shapes(text: Column) -> Column:
+    """text without credentials of known shapes."""
+    for name, pattern in SHAPES.items():
+        text = _sub(text, pattern, MASK, *MARKS[name])
+    return _sub(text, URL_LOGIN, f"://{MASK}@", "://")
 
 
 def redact(text: Column) -> Column:
     """text without private keys, values of secret names (placeholders stay, their defaults go) and credential shapes."""
-    out = _sub(text, PEM, MASK)
-    out = _sub(_sub(out, PLACEHOLDER_DEFAULT, f"$1{MASK}$2"), NAMED_VALUE, f"$1$2{MASK}$2")
-    for pattern in SHAPES.values():
-        out = _sub(out, pattern, MASK)
-    return _sub(out, URL_LOGIN, f"://{MASK}@")
+    out = _sub(text, PEM, MASK, "PRIVATE KEY")
+    out = _sub(_sub(out, PLACEHOLDER_DEFAULT, f"$1{MASK}$2", "${"), NAMED_VALUE, f"$1$2{MASK}$2", "=", ":")
+    return shapes(out)
 
 
 def light_clean(line: Column, most: int = 4000) -> Column:
@@ -60,7 +84,7 @@ def light_clean(line: Column, most: int = 4000) -> Column:
 
 def scrub(line: Column) -> Column:
     """A log line without home directories, e-mail addresses and secrets; labels stay."""
-    out = redact(_sub(_sub(line, HOME, "$1<user>"), EMAIL, "<email>"))
+    out = redact(_sub(_sub(line, HOME, "$1<user>", "/home/", "/Users/", ":\\"), EMAIL, "<email>", "@"))
     for pattern in LOG_RULES:
         out = _sub(out, pattern, f"$1{MASK}")
     return F.rtrim(out)

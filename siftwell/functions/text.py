@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -69,32 +71,40 @@ def normalised(text: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(text), lit(r"[^\p{L}\p{N}_]+"), lit(" ")))
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once, however often body uses it (lambdas compute what stands in them for each element)."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def paragraphs(text: Column) -> Column:
     """Array of struct(line, text): wrapped lines joined to the line they continue, fences as they are.
 
     line counts from 1 and is where the paragraph starts. Row-local: no line is shuffled.
     """
-    all_lines = lines(text)
 
-    def fenced(i: Column) -> Column:
-        before = F.slice(all_lines, F.lit(1), i)
-        return F.size(F.filter(before, lambda x: F.trim(x).startswith("```"))) % 2 == 1
+    def begins(all_lines: Column, fences: Column) -> Column:
+        def one(line: Column, i: Column) -> Column:
+            above = F.trim(F.coalesce(F.get(all_lines, i - 1), F.lit("")))
+            joins = (above != "") & ~above.rlike(r"^(```|\||#)") & ~above.rlike("^-{3,}$") & (F.trim(line) != "") & ~line.rlike(BLOCK_START)
+            inside = (F.size(fences) > 0) & (F.size(F.filter(fences, lambda f: f < i)) % 2 == 1)
+            return F.when((i == 0) | ~joins | inside, i)
+
+        return F.filter(F.transform(all_lines, one), lambda x: x.isNotNull())
 
-    def starts(line: Column, i: Column) -> Column:
-        above = F.coalesce(F.get(all_lines, i - 1), F.lit(""))
-        joins = (F.trim(above) != "") & ~F.trim(above).rlike(r"^(```|\||#)") & ~F.trim(above).rlike("^-{3,}$") & (F.trim(line) != "") & ~line.rlike(BLOCK_START)
-        return F.when((i == 0) | ~joins | fenced(i), i)
+    def joined(all_lines: Column, begin: Column) -> Column:
+        def one(a: Column, j: Column) -> Column:
+            z = F.coalesce(F.get(begin, j + 1), F.size(all_lines))
+            rest = F.transform(F.slice(all_lines, a + 2, z - a - 1), lambda x: F.trim(x))
+            head = F.get(all_lines, a)
+            return F.struct((a + 1).alias("line"), F.when(z - a > 1, F.concat_ws(" ", F.rtrim(head), F.array_join(rest, " "))).otherwise(head).alias("text"))
 
-    begin = F.filter(F.transform(all_lines, starts), lambda x: x.isNotNull())
-    ends = F.concat(F.slice(begin, 2, F.size(begin)), F.array(F.size(all_lines)))
+        return F.transform(begin, one)
 
-    def one(pair: Column) -> Column:
-        a, z = pair["a"], pair["z"]
-        head = F.get(all_lines, a)
-        rest = F.transform(F.slice(all_lines, a + 2, z - a - 1), lambda x: F.trim(x))
-        return F.struct((a + 1).alias("line"), F.when(z - a > 1, F.concat_ws(" ", F.rtrim(head), F.array_join(rest, " "))).otherwise(head).alias("text"))
+    def of(all_lines: Column) -> Column:
+        fences = F.filter(F.transform(all_lines, lambda x, i: F.when(F.trim(x).startswith("```"), i)), lambda x: x.isNotNull())
+        return let(fences, lambda f: let(begins(all_lines, f), lambda b: joined(all_lines, b)))
 
-    return F.transform(F.arrays_zip(begin.alias("a"), ends.alias("z")), one)
+    return let(lines(text), of)
 
 
 def table_cells(row: Column) -> Column:

@@ -138,17 +138,12 @@ for _p in R.SHAPES.values():
 _DUCK_SHAPES = f"regexp_replace({_DUCK_SHAPES}, '{R.URL_LOGIN}', '://<redacted>@', 'g')"
 
 
-def _shapes(text: Column) -> Column:
-    for p in R.SHAPES.values():
-        text = F.regexp_replace(text, F.lit(p), F.lit(R.MASK))
-    return F.regexp_replace(text, F.lit(R.URL_LOGIN), F.lit(f"://{R.MASK}@"))
-
-
 @query(f"SELECT doc_id, sha256({_DUCK_SHAPES}) AS clean_sha256, {_DUCK_SHAPES} <> text AS changed FROM documents")
 def redact_shapes(spark, sf_dir):
     """Documents without credentials of known shapes, by the hash of what is left."""
-    clean = _shapes(F.col("text"))
-    return table(spark, sf_dir, "documents").select("doc_id", F.sha2(clean.cast("binary"), 256).alias("clean_sha256"), (clean != F.col("text")).alias("changed"))
+    clean = R.shapes(F.col("text"))
+    both = T.let(clean, lambda c: F.struct(F.sha2(c.cast("binary"), 256).alias("clean_sha256"), (c != F.col("text")).alias("changed")))
+    return table(spark, sf_dir, "documents").select("doc_id", both.alias("r")).select("doc_id", "r.*")
 
 
 @query(rf"""
@@ -656,9 +651,10 @@ def flagship_screen(spark, sf_dir):
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", _shapes(F.col("text")).alias("text"))
-    asked = lines.sentence_rows(docs, ["doc_id", "lang"]).where(T.word_count(F.col("sentence")) >= 5).select("lang", "doc_id", "sentence").distinct()
-    asked = asked.withColumn("request_key", F.sha2(F.col("sentence").cast("binary"), 256))
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", R.shapes(F.col("text")).alias("text"))
+    asked = lines.sentence_rows(docs, ["doc_id", "lang"]).where(T.word_count(F.col("sentence")) >= 5)
+    # written, as every pass is: the requests are counted and scored without reading the texts again
+    asked = engine.written(asked.select("lang", "doc_id", F.sha2(F.col("sentence").cast("binary"), 256).alias("request_key")).distinct(), "requests")
     answers = engine.hashed_scorer(_CHOICES["drift"], _CAUSES)(asked.select("request_key").distinct(), 0)
     gated = answers.select("request_key", engine.FAMILIES["drift"].gate(F.col("answer"))["action"].alias("action"))
     return asked.join(gated, "request_key").groupBy("lang", "action").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("request_key").alias("n_requests"))

@@ -56,13 +56,15 @@ def claims(docs: DataFrame, symbols: DataFrame, routes: DataFrame | None = None)
 
 def relevant_slice(source: Column, words: Column, most: int = CODE_CHARS, reach: int = 2) -> Column:
     """Lines of source within `reach` lines of one that holds a word, gaps marked, cut to `most`; its beginning where none does."""
-    all_lines = T.lines(source)
-    hits = F.transform(all_lines, lambda x: F.exists(words, lambda w: F.contains(x, w)))
-    near = F.transform(all_lines, lambda x, i: F.exists(F.slice(hits, F.greatest(F.lit(1), i + 1 - reach), F.lit(2 * reach + 1)), lambda h: h))
-    kept = F.array_join(F.transform(F.arrays_zip(all_lines.alias("l"), near.alias("n")), lambda p: F.when(p["n"], p["l"]).otherwise(F.lit("\u0001"))), "\n")
-    kept = F.regexp_replace(F.regexp_replace(kept, F.lit("(\u0001\n?)+"), F.lit("...\n")), F.lit("\n$"), F.lit(""))
-    short = F.length(source) <= most
-    return F.when(short, source).when(F.exists(hits, lambda h: h), F.substring(kept, 1, most)).otherwise(F.substring(source, 1, most))
+
+    def of(all_lines: Column, hits: Column) -> Column:
+        near = lambda i: F.exists(F.slice(hits, F.greatest(F.lit(1), i + 1 - reach), F.lit(2 * reach + 1) + F.least(F.lit(0), i - reach)), lambda h: h)
+        kept = F.array_join(F.transform(all_lines, lambda x, i: F.when(near(i), x).otherwise(F.lit("\u0001"))), "\n")
+        kept = F.regexp_replace(F.regexp_replace(kept, F.lit("(\u0001\n?)+"), F.lit("...\n")), F.lit("\n$"), F.lit(""))
+        return F.when(F.exists(hits, lambda h: h), F.substring(kept, 1, most)).otherwise(F.substring(source, 1, most))
+
+    found = lambda ls: T.let(F.transform(ls, lambda x: F.exists(words, lambda w: F.contains(x, w))), lambda hits: of(ls, hits))
+    return F.when(F.length(source) <= most, source).otherwise(T.let(T.lines(source), found))
 
 
 def drift_requests(claim_rows: DataFrame) -> DataFrame:
