@@ -45,7 +45,7 @@ EXTRA = 5
 #: Sets, and shingles of sets, that one task joins.
 BLOCK, BLOCK_TOKENS = 1000, 1_000_000
 #: Characters of a chunk in the first and second step: shingles hardly repeat, so chunks are small.
-CHUNKS = (4 << 20, 2 << 20)
+CHUNKS = (2 << 20, 1 << 19)
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
 
 
