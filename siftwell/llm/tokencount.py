@@ -44,7 +44,7 @@ class TrieCounter:
 
     def __init__(self, scores: dict[bytes, float]) -> None:
         self.scores = scores
-        self.longest = max(map(len, scores), default=1)
+        self.lengths = sorted({len(p) for p in scores} - {0})  # only lengths that occur are looked up
         self.word = b""
         self.best, self.tokens = [0.0], [0]
         self.steps = 0  # trie nodes computed
@@ -56,11 +56,14 @@ class TrieCounter:
             if a != b:
                 break
             shared += 1
-        best, tokens, get, longest = self.best, self.tokens, self.scores.get, self.longest
+        best, tokens, get, lengths = self.best, self.tokens, self.scores.get, self.lengths
         del best[shared + 1 :], tokens[shared + 1 :]
         for end in range(shared + 1, len(word) + 1):
             top, n = best[end - 1] + MISSING, tokens[end - 1] + 1
-            for start in range(max(0, end - longest), end):
+            for length in lengths:
+                if length > end:
+                    break
+                start = end - length
                 s = get(word[start:end])
                 if s is not None:
                     total = best[start] + s
@@ -73,12 +76,12 @@ class TrieCounter:
         return tokens[len(word)]
 
 
-def token_counts(df: DataFrame, ranks_path: str, pattern: str = bpe.KNOWN_PATTERN, longest_piece: int = 24) -> DataFrame:
-    """(doc_id, n_pretokens, n_tokens) of every whole text in df(doc_id, text); pieces longer than longest_piece bytes aren't used."""
+def token_counts(df: DataFrame, ranks_path: str, pattern: str = bpe.KNOWN_PATTERN) -> DataFrame:
+    """(doc_id, n_pretokens, n_tokens) of every whole text in df(doc_id, text), under all pieces of the vocabulary."""
     raw = df.sparkSession.sparkContext.broadcast(bpe.read_ranks(ranks_path))
 
     def work() -> Callable[[list[bytes], np.ndarray], chunks.Values]:
-        scores = {p: s for p, s in zipf_scores(bpe._ranks(raw.value)).items() if len(p) <= longest_piece}
+        scores = zipf_scores(bpe._ranks(raw.value))
 
         def counts(words: list[bytes], _: np.ndarray) -> chunks.Values:
             trie = TrieCounter(scores)

@@ -40,6 +40,17 @@ def test_given_table_against_brute_force(spark):
     assert {r.doc_id: (r.n_pretokens, r.n_tokens) for r in queries.op5_token_counts(spark, d).collect()} == want
 
 
+def test_longest_pieces_against_brute_force(spark):
+    scores = tokencount.zipf_scores(bpe._ranks(bpe.read_ranks(RANKS)))
+    cut, longest = bpe.splitter(public_tokenizers.PATTERN)(), max(map(len, scores))
+    long = sorted(p.decode() for p in scores if len(p) > 24)
+    texts = [t for p in long for t in (p, f"above {p} below", p + p[:7], p * 3)]
+    got = tokencount.token_counts(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), RANKS, public_tokenizers.PATTERN)
+    want = {i: sum(_brute(w.encode(), scores, longest) for w in cut(t)) for i, t in enumerate(texts)}
+    assert len(long) >= 20 and {r.doc_id: r.n_tokens for r in got.collect()} == want
+    assert want[texts.index("-" * 64)] == 1
+
+
 def test_edges(spark):
     rows = [(1, None, 0), (2, "", 0), (3, "hello world", 0), (3, "hello world", 0), (None, "x" * 30_000, 0), (4, "日本", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, n_tokens int")
