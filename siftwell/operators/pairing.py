@@ -1,7 +1,7 @@
 """Joins that pair things with what they are about: by name, route, glob, suffix, range and time.
 
 Each is an equi-join on a derived key first and a condition after it, so that no pair of tables is
-multiplied: routes meet by their number of segments, suffixes by their last part, ranges by bins.
+multiplied: routes meet by their number of segments, suffixes by their ends, ranges by bins.
 """
 
 from __future__ import annotations
@@ -50,11 +50,18 @@ def in_scope(files: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def by_suffix(named: DataFrame, known: DataFrame) -> DataFrame:
-    """named(named_path) and known(known_path): equal, or one ends with the other at a slash."""
-    a = named.withColumn("_a", K.base_name(F.col("named_path")))
-    b = known.withColumn("_b", K.base_name(F.col("known_path")))
-    fits = (F.col("named_path") == F.col("known_path")) | F.col("known_path").endswith(F.concat(F.lit("/"), "named_path")) | F.col("named_path").endswith(F.concat(F.lit("/"), "known_path"))
-    return a.join(b, F.col("_a") == F.col("_b")).where(fits).drop("_a", "_b")
+    """named(named_path) and known(known_path): equal, or one ends with the other at a slash.
+
+    Each side's ends meet the other's whole paths, so only pairs that fit are ever made.
+    """
+
+    def ends(path: str) -> Column:
+        parts = F.split(path, "/")
+        return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(2), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "/"))).otherwise(F.array().cast("array<string>"))
+
+    longer = named.withColumn("_end", F.explode(F.concat(F.array("named_path"), ends("named_path")))).join(known, F.col("_end") == F.col("known_path")).drop("_end")
+    shorter = named.join(known.withColumn("_end", F.explode(ends("known_path"))), F.col("named_path") == F.col("_end")).drop("_end")
+    return longer.union(shorter)
 
 
 def in_range(points: DataFrame, at: str, ranges: DataFrame, start: str, end: str, keys: list[str], bin_size: int = 64) -> DataFrame:

@@ -341,12 +341,20 @@ SELECT page_id, known_path FROM p JOIN k ON string_split(path, '/')[-1] = string
   AND (path = known_path OR ends_with(known_path, '/' || path) OR ends_with(path, '/' || known_path))
 """)
 def pages_by_suffix(spark, sf_dir):
-    """Suffix join: paths that are equal, or end with one another."""
+    """Suffix join: paths that are equal, or end with one another. As its SQL, only pages whose id is a multiple of 3 give known paths; pages_by_suffix_all takes all."""
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", F.lit("^https?://[^/]*/"), F.lit("")).alias("named_path"))
     k = p.where("page_id % 3 = 0").select(F.regexp_replace("named_path", F.lit("[?#].*$"), F.lit("")).alias("known_path")).distinct()
     return pairing.by_suffix(p, k).select("page_id", "known_path")
 
 
+@query()
+def pages_by_suffix_all(spark, sf_dir):
+    """Suffix join: paths that are equal, or end with one another; the paths of all pages are known."""
+    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", F.lit("^https?://[^/]*/"), F.lit("")).alias("named_path"))
+    k = p.select(F.regexp_replace("named_path", F.lit("[?#].*$"), F.lit("")).alias("known_path")).distinct()
+    return pairing.by_suffix(p, k).select("page_id", "known_path")
+
+
 @query(r"""
 WITH p AS (SELECT page_id, '/' || trim(regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*$', ''), '/+', '/', 'g'), '/') AS path FROM pages),
 r(route_path, pattern) AS (VALUES ('/{lang}/{id}', '^/[^/]+/[^/]+$'), ('/en/{id}', '^/en/[^/]+$'))
