@@ -1,12 +1,13 @@
 """Secret scans: known shapes by pattern, further ones by inferred grammars.
 
 `scan` finds the base spans of three kinds and the candidates: runs of CANDIDATE_LENGTH or more
-credential characters with a digit that touch no base span. `fit` learns one probabilistic automaton
-a kind from the labelled credentials (the base spans), and one from other candidates: the strings
+credential characters that aren't within a base span. `fit` learns one probabilistic automaton
+a kind from the labelled credentials (the base spans), and two from the candidates that touch no base
+span, one with and one without digits: the strings
 make a prefix tree whose states merge where a Hoeffding bound can't tell their next symbols and ends
 apart (`Automaton.infer`). `add_formats` scores every candidate under all automata; it is a span of
 kind "format" where the likeliest credential format beats the other tokens by MARGIN nats and is about as likely a
-symbol as the labelled credentials are. Base spans stay as they are.
+symbol as the labelled credentials are. Base spans stay as they are; a format span may overlap them.
 
 The automata are fitted on at most `most_each` distinct strings a kind of at most SAMPLE_LENGTH characters,
 by a hash; scanning and scoring take every whole text.
@@ -21,8 +22,10 @@ from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -57,9 +60,12 @@ def base_spans(text: str) -> list[tuple[str, int, int, str]]:
 
 
 def candidates(text: str, taken: list[tuple[str, int, int, str]]) -> list[tuple[int, int, str]]:
-    """(start, end, token) of every run that may be a credential and touches no base span."""
-    out = [(m.start(), m.end(), m[0]) for m in _RUN.finditer(text) if _DIGIT.search(m[0])]
-    return [c for c in out if not any(s < c[1] and c[0] < e for _, s, e, _ in taken)] if taken and out else out
+    """(start, end, token) of every run that may be a credential and isn't within a base span; taken is in order of starts."""
+    out = [(m.start(), m.end(), m[0]) for m in _RUN.finditer(text)]
+    if not taken or not out:
+        return out
+    starts, reach = [s for _, s, _, _ in taken], [0, *accumulate((e for _, _, e, _ in taken), max)]
+    return [c for c in out if reach[bisect_right(starts, c[0])] < c[1]]
 
 
 # ---------------------------------------------------------------- grammars
@@ -164,19 +170,20 @@ class Automaton:
 
 @dataclass
 class Formats:
-    """Automata of the credential kinds with the least likelihood a symbol of each, and of other tokens."""
+    """Automata of the credential kinds with the least likelihood a symbol of each, and of other tokens with and without digits."""
 
     kinds: dict[str, tuple[Automaton, float]]
     other: Automaton | None
+    words: Automaton | None = None
 
     def scorers(self):
         """A function from a token to (likeliest kind, margin over other tokens, whether it is a credential's format)."""
         own = [(k, a.scorer(), floor) for k, (a, floor) in sorted(self.kinds.items())]
-        other = self.other.scorer() if self.other else lambda s: -4.2 * (len(s) + 1)
+        others = [a.scorer() for a in (self.other, self.words) if a] or [lambda s: -4.2 * (len(s) + 1)]
 
         def judge(token: str) -> tuple[str, float, bool]:
             ll, kind, floor = max((f(token), k, floor) for k, f, floor in own)
-            margin = ll - other(token)
+            margin = ll - max(f(token) for f in others)
             return kind, margin, margin >= MARGIN and ll / (len(token) + 1) >= floor
 
         return judge
@@ -191,7 +198,8 @@ def learn(labelled: dict[str, list[str]], others: list[str]) -> Formats | None:
             f = a.scorer()
             each = sorted(f(s) / (len(s) + 1) for s in strings)
             kinds[kind] = (a, each[len(each) // 100] - 0.3)
-    return Formats(kinds, Automaton.infer(sorted(others)) if len(others) >= 8 else None) if kinds else None
+    background = [[t for t in others if bool(_DIGIT.search(t)) == digit] for digit in (True, False)]
+    return Formats(kinds, *(Automaton.infer(sorted(b)) if len(b) >= 8 else None for b in background)) if kinds else None
 
 
 # ---------------------------------------------------------------- tables
@@ -219,12 +227,13 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def fit(scanned: DataFrame, most_each: int = 1000) -> Formats | None:
-    """Formats from at most most_each distinct labelled credentials a kind, and as many other candidates."""
+    """Formats from at most most_each distinct labelled credentials a kind, and as many other candidates with and without digits."""
     labelled = scanned.select(F.explode("base_spans").alias("s")).select(F.col("s.kind").alias("kind"), F.col("s.secret").alias("token"))
-    others = scanned.select(F.explode("candidates").alias("s")).select(F.lit("other").alias("kind"), F.col("s.token").alias("token"))
+    free = F.filter("candidates", lambda c: ~F.exists("base_spans", lambda s: (s["start"] < c["end"]) & (c["start"] < s["end"])))
+    others = scanned.select(F.explode(free).alias("s")).select(F.when(F.col("s.token").rlike(_DIGIT.pattern), "other").otherwise("word").alias("kind"), F.col("s.token").alias("token"))
     strings = labelled.unionByName(others).where(F.length("token") <= SAMPLE_LENGTH).distinct()
-    got = {k: [r["token"] for r in strings.where(F.col("kind") == k).orderBy(F.xxhash64("token"), "token").limit(most_each).collect()] for k in ("assign", "access", "hex", "other")}
-    return learn({k: got[k] for k in KINDS[:3]}, got["other"])
+    got = {k: [r["token"] for r in strings.where(F.col("kind") == k).orderBy(F.xxhash64("token"), "token").limit(most_each).collect()] for k in ("assign", "access", "hex", "other", "word")}
+    return learn({k: got[k] for k in KINDS[:3]}, got["other"] + got["word"])
 
 
 def add_formats(scanned: DataFrame, formats: Formats | None) -> DataFrame:
