@@ -10,7 +10,8 @@ kind "format" where the likeliest credential format beats the other tokens by MA
 symbol as the labelled credentials are. Base spans stay as they are; a format span may overlap them.
 
 The automata are fitted on at most `most_each` distinct strings a kind of at most SAMPLE_LENGTH characters,
-by a hash; scanning and scoring take every whole text.
+by a hash, and on however few there are; scanning and scoring take every whole text. Where there are no other
+tokens at all, their symbols count as alike (log 1/64, about -4.2).
 
 Cases: null and empty texts have no spans; repeated rows get equal spans; without labelled
 credentials nothing is added to the base; further columns stay, but for columns named like those
@@ -190,16 +191,16 @@ class Formats:
 
 
 def learn(labelled: dict[str, list[str]], others: list[str]) -> Formats | None:
-    """Formats from credentials by kind and from other tokens; None without credentials."""
+    """Formats from credentials by kind and from other tokens, of any number; None without credentials."""
     kinds = {}
     for kind, strings in labelled.items():
-        if len(strings) >= 8:
+        if strings:
             a = Automaton.infer(sorted(strings))
             f = a.scorer()
             each = sorted(f(s) / (len(s) + 1) for s in strings)
             kinds[kind] = (a, each[len(each) // 100] - 0.3)
     background = [[t for t in others if bool(_DIGIT.search(t)) == digit] for digit in (True, False)]
-    return Formats(kinds, *(Automaton.infer(sorted(b)) if len(b) >= 8 else None for b in background)) if kinds else None
+    return Formats(kinds, *(Automaton.infer(sorted(b)) if b else None for b in background)) if kinds else None
 
 
 # ---------------------------------------------------------------- tables

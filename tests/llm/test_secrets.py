@@ -105,3 +105,14 @@ def test_candidates_against_brute_force():
         base = secrets.base_spans(text)
         runs = [(m.start(), m.end(), m[0]) for m in re.finditer(r"[A-Za-z0-9+/_=-]{12,}", text)]
         assert secrets.candidates(text, base) == [c for c in runs if not any(s <= c[0] and c[1] <= e for _, s, e, _ in base)]
+
+
+def test_few_strings_are_fitted():
+    r = random.Random(6)
+    keys = [r.randbytes(16).hex() for _ in range(8)]
+    for n in range(1, 8):
+        f = secrets.learn({"hex": keys[:n], "access": [], "assign": []}, ["international", "4379362835490466"][: n % 3])
+        assert set(f.kinds) == {"hex"} and f.scorers()(keys[0])[2]
+        assert not f.scorers()("international")[2]
+        assert (f.other is not None, f.words is not None) == (n % 3 > 1, n % 3 > 0)
+    assert secrets.learn({"hex": [], "access": [], "assign": []}, ["international"]) is None
