@@ -25,12 +25,16 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each component of near copies (five-word shingles, similarity of 0.8 or more) the document of the smallest id.
 
-    Documents without an id can't be told from one another and stay.
+    Each row is judged by its own text, whatever rows share its id or have none: rows are told apart by
+    a hash of all their columns, so equal rows are one. Rows with an id go before those without; of
+    equal ids the smallest hash stays.
     """
-    found = jaccard.classes(docs, words=5, percent=80)
-    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
-    named = docs.join(kept, F.col("doc_id") == F.col("_id"), "left_semi").dropDuplicates(["doc_id"])
-    return named.union(docs.where("doc_id is null")).select(*COLUMNS)
+    keyed = docs.withColumn("_key", F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]))
+    found = jaccard.classes(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80)
+    rows = found.select(F.col("doc_id").alias("_key"), "component_id").join(keyed.select("_key", "doc_id"), "_key")
+    first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"))
+    kept = keyed.join(first.select(F.col("first._key").alias("_kept")), F.col("_key") == F.col("_kept"), "left_semi")
+    return kept.dropDuplicates(["_key", "doc_id"]).select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -56,6 +56,14 @@ def test_nulls_and_repeats(spark):
     assert corpus_pipeline.run(spark, "/root/testdata/sf0.001").count() > 0
 
 
+def test_rows_are_judged_by_their_own_texts(spark):
+    first, other, third = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    rows = [(1, first), (1, other), (2, first + " more"), (2, third), (2, third), (None, third + " more"), (None, "x y z"), (None, "X y z"), (None, "u v w"), (5, ""), (6, None), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en", "a", len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = Counter((r.doc_id, (r.text or "").lower()) for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect())
+    assert got == Counter([(1, first), (1, other), (2, third), (None, "x y z"), (None, "u v w"), (5, ""), (6, ""), (None, "")])
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_rows_equal_those_of_sql(spark, name):
     d = "/root/testdata/sf0.01" if name.startswith("op1_") else "/root/testdata/sf0.001"
