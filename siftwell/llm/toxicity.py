@@ -1,30 +1,34 @@
-"""Toxicity by compression distance: which of two Zstandard dictionaries shortens a window more?
-
-Two dictionaries are trained on labelled texts. The toxic one holds what
-contrast training finds in toxic text: the fewest spans that cover the words which occur in many
-contexts there and hardly in ordinary text, each grown as long as its occurrences agree. The ordinary
-one is cover training over ordinary text without these spans, and the ordinary windows without them
-that the toxic one was seen to shorten all the same (hard negatives). Contexts are
-counted once each, so copies of one text carry no weight of their own. As the toxic dictionary ends
-with the ordinary one, a window of ordinary text has the same length under both and the difference
-in bytes speaks of toxic spans alone.
-
-A text is lower-cased and cut into windows of about WINDOW characters at white space; the largest
-three differences, the number of windows and of those shortened are the features of a logistic score that is calibrated
-on the same labelled sample. The sample is bounded: `most_each` texts of each label, of at most
-SAMPLE_CHARS characters, by a hash of their ids. Scoring takes every window of every text.
+"""Toxicity by compression distance: which of two trained Zstandard dictionaries shortens a window more?
+
+Windows are about WINDOW characters of lower-case text, cut at white space; two spaces part their words,
+so that a short stem at the start of a word is long enough for the trainer. Toxic texts are mostly made
+of ordinary windows, so the windows that make them toxic are found in PASSES passes, each by
+Zstandard's own trainer and by compressed lengths alone. The toxic texts are dealt to FOLDS folds; for each
+a dictionary is trained on what is chosen from the others (at first all windows), a counterweight is
+trained likewise on what that dictionary shortens in ordinary text, and of the fold's windows that the
+toxic dictionary shortens beyond the counterweight those words are chosen without which it doesn't. What
+recurs in other toxic texts and not in ordinary ones is chosen again by every pass, all else fades. The
+counterweight is half as large as what it counters, so what is merely rarer in ordinary text stays.
+
+What the last passes chose then trains pairs of dictionaries of several sizes (SIZES): the ordinary one holds the
+counterweight and a dictionary of ordinary windows, the toxic one the same after what toxic windows
+train, so on ordinary text both lengths agree. Training uses half of the ordinary texts; a logistic score
+over the distribution of a text's differences is calibrated on the other half and the toxic texts. The sample is
+bounded: `most_each` texts of each label (twice as many ordinary ones) by a hash of their ids; a text of
+over SAMPLE_CHARS characters takes part with that many, in pieces spread over all of it. Scoring takes
+every window of every text.
 
 Cases: null and empty texts have no window and get the score of that; repeated rows get equal scores;
-of several labels for an id the largest counts; without labels of both kinds, or without any span
+of several labels for an id the largest counts; without labels of both kinds, or without any window
 that tells them apart, every score is 0. Null ids are scored like others and never trained on.
 Further columns are ignored. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import random
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -34,153 +38,132 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-WINDOW, GRAMS = 48, (4, 5, 6, 7)
-#: A span must cover so many more contexts than ordinary text would have, and be so much likelier in toxic text.
-LEAST_CONTEXTS, LEAST_RATIO = 12, 8.0
+WINDOW, FOLDS, PASSES, LAST_PASSES = 48, 4, 5, 3
+#: Bytes of the dictionary of ordinary windows, of the dictionaries of a pass, and of the pairs that score.
+ORDINARY_BYTES, PASS_BYTES, SIZES = 16_000, 4000, (1000, 2000, 4000)
+#: Bytes by which a window must become shorter, and by which a word must matter to that, to be chosen.
+LEAST_GAIN = 2
 SAMPLE_CHARS = 20_000
-ORDINARY_BYTES, NEGATIVE_BYTES = 30_000, 20_000
-WORD = re.compile(r"[^\x20\x09-\x0D]+")
 _WINDOWS = re.compile(r"(?s).{%d}[^\x20\x09-\x0D]{0,40}\s?|.+" % WINDOW)
-_PARAMS = zstandard.ZstdCompressionParameters.from_level(6, window_log=17, min_match=5, write_content_size=False, write_checksum=False, write_dict_id=False)
+_PARAMS = zstandard.ZstdCompressionParameters.from_level(6, window_log=17, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
 
 
 def windows(text: str) -> list[bytes]:
-    """Lower-case windows of a text as UTF-8, with a space at both ends."""
-    return [f" {w} ".encode("utf-8", "replace") for w in _WINDOWS.findall(text.lower())]
+    """Lower-case windows of a text as UTF-8, with two spaces at both ends of each word."""
+    return [f"  {'  '.join(w.split())}  ".encode("utf-8", "replace") for w in _WINDOWS.findall(text.lower())]
 
 
 # ---------------------------------------------------------------- training
 
 
-def _contexts(texts: Iterable[str]) -> Counter[str]:
-    """In how many contexts (the words beside it) each word stands; contexts are kept as hashes."""
-    seen: set[int] = set()
-    counts: Counter[str] = Counter()
-    for text in texts:
-        words = ["", *WORD.findall(text.lower()), ""]
-        for context in zip(words, words[1:], words[2:]):
-            h = hash(context)
-            if h not in seen:
-                seen.add(h)
-                counts[context[1]] += 1
-    return counts
-
-
-def _grams(word: str) -> set[str]:
-    w = f" {word} "
-    return {w[i : i + n] for n in GRAMS for i in range(len(w) - n + 1)}
-
-
-def _grown(gram: str, words: list[str]) -> str:
-    """gram, longer on either side as long as nine of ten occurrences agree."""
-    for right in (True, False):
-        while True:
-            following: Counter[str] = Counter()
-            for w in words:
-                at = w.find(gram)
-                if at >= 0:
-                    following[w[at + len(gram) : at + len(gram) + 1] if right else w[max(at - 1, 0) : at]] += 1
-            letter, n = following.most_common(1)[0]
-            if not letter or n < 0.9 * following.total():
-                break
-            gram = gram + letter if right else letter + gram
-    return gram
-
-
-def toxic_spans(toxic: list[str], ordinary: list[str]) -> list[str]:
-    """The fewest spans that cover the words of toxic text which ordinary text lacks, the most frequent first."""
-    per_word, ordinary_words = _contexts(toxic), _contexts(ordinary)
-    counts: Counter[str] = Counter()
-    for w, n in per_word.items():
-        for g in _grams(w):
-            counts[g] += n
-    other: Counter[str] = Counter()
-    for w, n in ordinary_words.items():
-        for g in _grams(w) & counts.keys():
-            other[g] += n
-    scale = ordinary_words.total() / max(1, per_word.total())
-    marked = {g for g, n in counts.items() if n - other[g] / scale >= LEAST_CONTEXTS and n * scale >= LEAST_RATIO * (other[g] + 0.5)}
-    words_of: dict[str, set[str]] = defaultdict(set)
-    for w in per_word:
-        for g in _grams(w) & marked:
-            words_of[g].add(w)
-    left, spans = {g: set(ws) for g, ws in words_of.items()}, {}
-    while left:
-        weight = {g: sum(per_word[w] for w in ws) for g, ws in left.items()}
-        left = {g: ws for g, ws in left.items() if weight[g] >= LEAST_CONTEXTS}
-        if not left:
-            break
-        best = max(left, key=lambda g: (weight[g], g))
-        spans.setdefault(_grown(best, [f" {w} " for w in words_of[best] for _ in range(per_word[w])]), None)
-        covered = left.pop(best)
-        left = {g: rest for g, ws in left.items() if (rest := ws - covered)}
-    return list(spans)
+def trained(samples: list[bytes], size: int, k: int = 16, d: int = 6) -> bytes:
+    """A dictionary trained by Zstandard; the last bytes of the samples where they are too few to train on."""
+    try:
+        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
+    except zstandard.ZstdError:
+        return b"".join(samples)[-size:]
+
+
+def compressor(*contents: bytes) -> Callable[[bytes], bytes]:
+    """Compresses after a dictionary of the given contents."""
+    content = b"".join(contents)
+    if len(content) < 8:
+        return zstandard.ZstdCompressor(compression_params=_PARAMS).compress
+    d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+    d.precompute_compress(compression_params=_PARAMS)
+    return zstandard.ZstdCompressor(dict_data=d, compression_params=_PARAMS).compress
+
+
+def chosen(texts: list[list[bytes]], plain: Callable, marked: Callable, rng: random.Random) -> list[bytes]:
+    """For each text (windows) the words that `marked` shortens beyond `plain`, as one sample.
+
+    Bytes that no text has and that don't recur part the words, so that the trainer takes whole ones.
+    """
+    out = []
+    for parts in texts:
+        own = []
+        for w in parts:
+            gain = len(plain(w)) - len(marked(w))
+            if gain < LEAST_GAIN:
+                continue
+            words = w.strip().split(b"  ")
+            for i, word in enumerate(words):
+                rest = b"  " + b"  ".join(words[:i] + words[i + 1 :]) + b"  "
+                if gain - (len(plain(rest)) - len(marked(rest))) >= LEAST_GAIN:
+                    own.append(bytes(rng.choices(range(1, 9), k=10)) + b"  " + word + b"  ")
+        if own:
+            out.append(b"".join(own))
+    return out
 
 
 @dataclass
 class Model:
-    """Two dictionaries and a logistic score; small enough to travel with each task."""
+    """Pairs of an ordinary and a toxic dictionary, and a logistic score; small enough to travel with each task."""
 
-    ordinary: bytes
-    toxic: bytes
+    pairs: list[tuple[bytes, bytes]]
     weights: list[float]
 
-    def compressors(self) -> tuple[zstandard.ZstdCompressor, zstandard.ZstdCompressor]:
-        out = []
-        for content in (self.ordinary, self.toxic):
-            d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(compression_params=_PARAMS)
-            out.append(zstandard.ZstdCompressor(dict_data=d, compression_params=_PARAMS))
-        return out[0], out[1]
+    def compressors(self) -> list[tuple[Callable, Callable]]:
+        return [(compressor(a), compressor(b)) for a, b in self.pairs]
 
 
-def _differences(parts: list[bytes], plain, toxic) -> list[int]:
-    a, b = plain.compress, toxic.compress
-    return [len(a(w)) - len(b(w)) for w in parts]
+def differences(parts: list[bytes], pairs: list[tuple[Callable, Callable]]) -> list[float]:
+    """By how many bytes the toxic dictionaries shorten each window more than the ordinary ones, on average."""
+    return [sum(len(a(w)) - len(b(w)) for a, b in pairs) / len(pairs) for w in parts]
 
 
-def features(diffs: list[int]) -> list[float]:
-    top = [min(max(x, 0), 10) for x in sorted(diffs, reverse=True)[:3]] + [0, 0, 0]
-    hits = sum(x > 1 for x in diffs)
-    return [1.0, *map(float, top[:3]), float(np.log1p(len(diffs))), float(np.log1p(hits)), hits / max(1, len(diffs)) ** 0.5]
+def features(diffs: list[float]) -> list[float]:
+    """The three largest differences, their positive and whole sums and how many exceed 1 to 4 bytes, absolute and by length."""
+    n, up = max(1, len(diffs)), sum(max(0, x) for x in diffs)
+    top = [min(max(x, 0), 20) for x in sorted(diffs, reverse=True)[:3]] + [0, 0, 0]
+    out = [1.0, *top[:3], np.log1p(len(diffs)), np.log1p(up), up / n, sum(diffs) / n**0.5, up / n**0.5]
+    for least in (1, 2, 3, 4):
+        hits = sum(x > least for x in diffs)
+        out += [np.log1p(hits), hits / n**0.5]
+    return [float(x) for x in out]
 
 
 def score(weights: list[float], x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x @ np.array(weights), -30, 30)))
 
 
-def train(toxic: list[str], ordinary: list[str], toxic_weight: float = 1.0) -> Model | None:
+def train(toxic: list[str], ordinary: list[str], toxic_weight: float = 1.0, seed: int = 1) -> Model | None:
     """A model from labelled texts, or None where nothing tells them apart. toxic_weight: how many rows a toxic text stands for."""
     if not toxic or not ordinary:
         return None
-    spans = toxic_spans(toxic, ordinary)
-    if not spans:
+    rng = random.Random(seed)
+    flat = lambda texts: [w for parts in texts for w in parts]
+    bad, good = [windows(t) for t in toxic], [windows(t) for t in ordinary]
+    base = trained(flat(good[::2]), ORDINARY_BYTES, 200, 8)
+    plain = compressor(base)
+
+    def counterweight(own: bytes, texts: list[list[bytes]], size: int) -> bytes:
+        found = chosen(texts, plain, compressor(own, base), rng)
+        return trained(found, size // 2) if found else b""
+
+    folds, half = [bad[i::FOLDS] for i in range(FOLDS)], good[::2]
+    samples, last = [flat(f) for f in folds], []
+    for n in range(PASSES):
+        found = []
+        for h in range(FOLDS):
+            own = trained([s for i in range(FOLDS) if i != h for s in samples[i]], PASS_BYTES)
+            against = counterweight(own, half[h::FOLDS], PASS_BYTES)
+            found.append(chosen(folds[h], compressor(against, base), compressor(own, against, base), rng))
+        samples = found
+        last += flat(found) if n >= PASSES - LAST_PASSES else []
+    if not last:
         return None
-    spanned = re.compile("|".join(re.escape(x) for x in spans))
-    without = re.compile(rf"[^\x20\x09-\x0D]*(?:{'|'.join(re.escape(x.strip()) for x in spans)})[^\x20\x09-\x0D]*")
-    pieces = [p[i : i + 512] for t in ordinary for p in (without.sub("", t.lower()).encode("utf-8", "replace"),) for i in range(0, len(p), 512)]
-    pieces = pieces[:: max(1, len(pieces) // 8000)]
-    try:
-        common = zstandard.train_dictionary(ORDINARY_BYTES, pieces, k=200, d=8).as_bytes()
-    except zstandard.ZstdError:  # too little text to train on
-        common = b"\n".join(pieces)[-ORDINARY_BYTES:]
-    distinct = b"\x01".join(s.encode() for s in reversed(spans)) + b"\x01"
-    # windows of ordinary text that the toxic dictionary shortens go to the ordinary one
-    plain, marked = Model(common, distinct + common, []).compressors()
-    negatives: dict[bytes, int] = {}
-    for t in ordinary[::2]:
-        for w in windows(t):
-            d = len(plain.compress(w)) - len(marked.compress(w))
-            if d > 0 and not spanned.search(w.decode()):
-                negatives[w] = d
-    hard = b"\n".join(sorted(negatives, key=lambda w: (negatives[w], w)))[-NEGATIVE_BYTES:]
-    model = Model(hard + common, distinct + hard + common, [])
-    plain, marked = model.compressors()
-    # the other half of the ordinary texts calibrates; toxic rows weigh what keeps the labels' proportion
-    rows = [(features(_differences(windows(t), plain, marked)), 1.0) for t in toxic]
-    rows += [(features(_differences(windows(t), plain, marked)), 0.0) for t in ordinary[1::2] or ordinary]
-    x, y = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
-    model.weights = _logistic(x, y, np.where(y == 1, toxic_weight * (len(rows) - y.sum()) / len(ordinary), 1.0))
+    model = Model([], [])
+    for size in SIZES:
+        own = trained(last, size)
+        against = counterweight(own, half, size)
+        model.pairs.append((against + base, own + against + base))
+    pairs = model.compressors()
+    rest = good[1::2] or good
+    x = np.array([features(differences(parts, pairs)) for parts in bad + rest])
+    y = np.array([1.0] * len(bad) + [0.0] * len(rest))
+    # toxic rows weigh what keeps the labels' proportion
+    model.weights = _logistic(x, y, np.where(y == 1, toxic_weight * len(rest) / len(good), 1.0))
     return model
 
 
@@ -205,46 +188,46 @@ def held_out(id_col: Column, mod: int = 4, rest: int = 2) -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, most_each: int = 1500) -> Model | None:
     """A model from at most most_each texts of each label (twice as many ordinary ones) that aren't held out."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg(F.max("toxic").alias("_toxic"))
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.max("toxic") > 0).alias("_toxic"))
     known = known.where(~held_out(F.col("_id")))
-    counts = {r["_toxic"] > 0: r["n"] for r in known.groupBy((F.col("_toxic") > 0).cast("int").alias("_toxic")).agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts.get(True) or not counts.get(False):
         return None
-    # narrow first: the sample's ids are chosen from the labels, a few more than needed as long texts drop out
-    texts = {}
-    for kind, most in ((True, most_each), (False, 2 * most_each)):
-        ids = known.where((F.col("_toxic") > 0) == F.lit(kind)).orderBy(F.xxhash64("_id"), "_id").limit(most)
-        rows = (
-            docs.select(F.col("doc_id").alias("_id"), F.col("text").cast("string").alias("_text"))
-            .where(F.length("_text").between(1, SAMPLE_CHARS))
-            .join(F.broadcast(ids), "_id")  # at most `most` ids
-            .groupBy("_id")
-            .agg(F.min("_text").alias("_text"))
-            .orderBy("_id")
-            .limit(most)
-            .collect()
-        )
-        texts[kind] = [r["_text"] for r in rows]
-    if not texts[True] or not texts[False]:
+    # narrow first: the sample's ids are chosen from the labels
+    by_hash = [F.xxhash64("_id"), F.col("_id")]
+    ids = known.where("_toxic").orderBy(*by_hash).limit(most_each).union(known.where("not _toxic").orderBy(*by_hash).limit(2 * most_each))
+    text, piece = F.col("text").cast("string"), SAMPLE_CHARS // 10
+    spread = F.concat_ws(" ", *[F.substr(text, F.floor((F.length(text) - piece) * i / 9).cast("int") + 1, F.lit(piece)) for i in range(10)])
+    rows = (
+        docs.select(F.col("doc_id").alias("_id"), F.when(F.length(text) > SAMPLE_CHARS, spread).otherwise(text).alias("_text"))
+        .where(F.length("_text") > 0)
+        .join(F.broadcast(ids), "_id")  # at most 3 * most_each ids
+        .groupBy("_id", "_toxic")
+        .agg(F.min("_text").alias("_text"))
+        .orderBy("_id")
+        .collect()
+    )
+    toxic, ordinary = [r["_text"] for r in rows if r["_toxic"]], [r["_text"] for r in rows if not r["_toxic"]]
+    if not toxic or not ordinary:
         return None
-    return train(texts[True], texts[False], toxic_weight=counts[True] / counts[False] * len(texts[False]) / len(texts[True]))
+    return train(toxic, ordinary, toxic_weight=counts[True] / counts[False] * len(ordinary) / len(toxic))
 
 
 def classify(docs: DataFrame, model: Model | None) -> DataFrame:
-    """docs with the columns toxic_score (0 to 1) and toxic_windows (windows that the toxic dictionary shortens); other columns stay."""
+    """docs with the columns toxic_score (0 to 1) and toxic_windows (windows that the toxic dictionaries shorten by more than a byte); other columns stay."""
     fields = [f for f in docs.schema.fields if f.name not in ("toxic_score", "toxic_windows")]
     if model is None:
         return docs.select(*[f"`{f.name}`" for f in fields]).withColumns({"toxic_score": F.lit(0.0), "toxic_windows": F.lit(0).cast("long")})
     at = [f.name for f in fields].index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        plain, marked = model.compressors()
+        pairs = model.compressors()
         for batch in batches:
             rows, hits = [], []
             for text in batch.column(at):
-                diffs = _differences(windows(text.as_py() or ""), plain, marked)
+                diffs = differences(windows(text.as_py() or ""), pairs)
                 rows.append(features(diffs))
-                hits.append(sum(d > 0 for d in diffs))
+                hits.append(sum(d > 1 for d in diffs))
             scores = score(model.weights, np.array(rows)) if rows else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(hits, pa.int64())], [*batch.schema.names, "toxic_score", "toxic_windows"])
 

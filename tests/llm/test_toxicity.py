@@ -1,5 +1,7 @@
+import math
 import random
 
+import zstandard
 from pyspark.sql import functions as F
 
 from siftwell.llm import queries, toxicity
@@ -27,10 +29,61 @@ def _rows(n):
     return out
 
 
-def test_spans_are_the_shortest_that_tell_apart():
+def test_dictionaries_are_trained_and_tell_apart():
     rows = _rows(400)
-    spans = toxicity.toxic_spans([t for _, t, y in rows if y], [t for _, t, y in rows if not y])
-    assert len(spans) == 3 and any("vilescum" in s for s in spans) and any("grobnik" in s for s in spans) and any(s.strip() == "zudge" for s in spans)
+    model = toxicity.train([t for _, t, y in rows if y], [t for _, t, y in rows if not y])
+    assert len(model.pairs) == len(toxicity.SIZES)
+    for plain, toxic in model.pairs:  # the toxic one is the ordinary one after what toxic windows trained
+        assert toxic.endswith(plain) and len(toxic) > len(plain)
+    for w in (b"vilesc", b"zudge", b"grobni"):
+        assert any(w in toxic for _, toxic in model.pairs) and not any(w in plain for plain, _ in model.pairs)
+
+
+def test_scores_follow_from_compressed_lengths(spark):
+    """Every score again, from one-shot compressions with dictionaries made anew and sums written out."""
+    rows = _rows(200) + [(900, None, 0), (901, "", 0), (902, "an " * 5000 + "vilescum", 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    model = toxicity.train([t for _, t, y in rows if y], [t for _, t, y in rows if not y and t])
+    params = zstandard.ZstdCompressionParameters.from_level(6, window_log=17, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
+
+    def length(window, content):
+        d = zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        return len(zstandard.ZstdCompressor(dict_data=d, compression_params=params).compress(window))
+
+    def cut(text):
+        out, at = [], 0
+        while at < len(text):
+            end = min(len(text), at + toxicity.WINDOW)
+            while end < len(text) and end < at + toxicity.WINDOW + 40 and text[end] not in " \t\n\v\f\r":
+                end += 1
+            end += end < len(text) and end - at >= toxicity.WINDOW and text[end] in " \t\n\v\f\r"
+            out.append("  " + "  ".join(text[at:end].split()) + "  ")
+            at = end
+        return [w.encode() for w in out]
+
+    known = {}
+
+    def difference(w):
+        if w not in known:
+            known[w] = sum(length(w, a) - length(w, b) for a, b in model.pairs) / len(model.pairs)
+        return known[w]
+
+    for r in toxicity.classify(docs, model).collect():
+        d = sorted((difference(w) for w in cut((r.text or "").lower())), reverse=True)
+        n, up = max(1, len(d)), sum(x for x in d if x > 0)
+        x = [1, *[min(max(v, 0), 20) for v in (d + [0, 0, 0])[:3]], math.log(1 + len(d)), math.log(1 + up), up / n, sum(d) / n**0.5, up / n**0.5]
+        for least in (1, 2, 3, 4):
+            k = len([v for v in d if v > least])
+            x += [math.log(1 + k), k / n**0.5]
+        z = sum(w * v for w, v in zip(model.weights, x))
+        assert math.isclose(r.toxic_score, 1 / (1 + math.exp(-max(-30, min(30, z)))), rel_tol=1e-9)
+
+
+def test_long_labelled_texts_take_part(spark):
+    long = [(i, _text(6000, ["zudgeter"] * 40 if i % 2 else ()), i % 2) for i in range(0, 16)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in long], "doc_id long, text string")
+    assert min(len(t) for _, t, _ in long) > toxicity.SAMPLE_CHARS
+    assert toxicity.fit(docs, spark.createDataFrame([(i, y) for i, _, y in long], "doc_id long, toxic int")) is not None
 
 
 def test_planted_words_are_found(spark):
