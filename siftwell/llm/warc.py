@@ -58,8 +58,15 @@ def record_id(page_id: int | None) -> str:
 
 
 def page_of(name: str | None) -> int | None:
-    m = re.fullmatch(r"<urn:x-page:(-?\d+)>", name or "")
-    return int(m[1]) if m else None
+    m = re.fullmatch(r"<urn:x-page:(-?[0-9]{1,19})>", name or "")
+    return int(m[1]) if m and -(2**63) <= int(m[1]) < 2**63 else None
+
+
+def length_of(digits: str) -> int:
+    """A length in decimal digits, of 18 at most. Raises WarcError."""
+    if not re.fullmatch(r"[0-9]{1,18}", digits):
+        raise WarcError("content-length is no number")
+    return int(digits)
 
 
 def make_record(page_id: int | None, url: str | None, payload: bytes, refers_to: int | None, revisit: bool, date: str = "2000-01-01T00:00:00Z") -> bytes:
@@ -99,9 +106,7 @@ def parse_record(data: bytes) -> dict:
         headers.setdefault(name.lower(), value.strip())
     if missing := [x for x in MANDATORY if x not in headers]:
         raise WarcError(f"no {missing[0]}")
-    if not headers["content-length"].isdigit():
-        raise WarcError("content-length is no number")
-    length = int(headers["content-length"])
+    length = length_of(headers["content-length"])
     if len(rest) != length + 4 or rest[length:] != b"\r\n\r\n":
         raise WarcError("content-length doesn't fit the record")
     block = rest[:length]
@@ -111,15 +116,16 @@ def parse_record(data: bytes) -> dict:
     out = {"headers": headers, "type": headers["warc-type"], "payload": None, "payload_bytes": None, "digest": headers.get("warc-payload-digest", "").removeprefix("sha1:") or None}
     if headers.get("content-type", "").startswith("application/http"):
         http, gap, payload = block.partition(b"\r\n\r\n")
-        m = re.search(rb"(?im)^content-length:[ \t]*(\d+)[ \t]*\r?$", http)
+        m = re.search(rb"(?im)^content-length:[ \t]*([0-9]+)[ \t]*\r?$", http)
+        told = length_of(m[1].decode()) if m else None
         if out["type"] == "response":
-            if not gap or m and int(m[1]) != len(payload):
+            if not gap or told is not None and told != len(payload):
                 raise WarcError("the HTTP content-length doesn't fit the payload")
             if out["digest"] and out["digest"] != digest32(payload):
                 raise WarcError("warc-payload-digest doesn't fit")
             out |= {"payload": payload, "payload_bytes": len(payload), "digest": digest32(payload)}
         elif m:
-            out["payload_bytes"] = int(m[1])
+            out["payload_bytes"] = told
     return out
 
 

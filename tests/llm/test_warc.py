@@ -49,6 +49,25 @@ def test_bad_records(change):
         warc.parse_record(good.replace(*change))
 
 
+@pytest.mark.parametrize("length", ["²", "9" * 5000, "", "-1", "1e3"])
+def test_odd_lengths_are_errors(spark, length):
+    good = warc.make_record(1, "u", b"x" * 50, None, False)
+    block = len(good.partition(b"\r\n\r\n")[2]) - 4
+    bad = [good.replace(b"\r\nContent-Length: %d\r\n\r\nHTTP" % block, b"\r\nContent-Length: %s\r\n\r\nHTTP" % length.encode())]
+    if length.isascii() and length.isdigit():
+        told = good.replace(b"Content-Length: 50", b"Content-Length: " + length.encode()).replace(b"WARC-Block-Digest", b"X-Digest")
+        bad.append(told.replace(b"\r\nContent-Length: %d\r\n\r\nHTTP" % block, b"\r\nContent-Length: %d\r\n\r\nHTTP" % (block + len(length) - 2)))
+    for record in bad:
+        with pytest.raises(warc.WarcError):
+            warc.parse_record(record)
+    archives = spark.createDataFrame([("a", bytearray(_one([*bad, good])))], "path string, content binary")
+    assert sorted(r.error is None for r in warc.read_archives(archives).collect()) == [False] * len(bad) + [True]
+
+
+def test_ids_beyond_64_bits_are_null():
+    assert warc.page_of(f"<urn:x-page:{2**63 - 1}>") == 2**63 - 1 and warc.page_of(f"<urn:x-page:{2**63}>") is None and warc.page_of("<urn:x-page:²>") is None
+
+
 def test_table(spark):
     big = "w" * 300_000
     rows = [(1, "u", "same"), (5, "u\r\nX: y", "same"), (3, None, "same"), (3, None, "same"), (7, "u", None), (8, "u", ""), (None, "u", "same"), (None, "v", "alone"), (9, "u", big), (10, "é", "é")]
