@@ -19,6 +19,7 @@ bounded by CHUNK_BLOCKS blocks and one image.
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,6 +33,7 @@ from pyspark.sql import functions as F
 #: Blocks that are coded or decoded at once (a work memory of about 30 MB).
 CHUNK_BLOCKS = 16384
 _COUNT_TAG = b"siftwell-blocks:"
+_COUNT = re.compile(_COUNT_TAG + rb"([0-9]{1,9})")
 
 
 class MediaError(ValueError):
@@ -160,18 +162,20 @@ def parse(data: bytes, tables: _Tables) -> Image:
             if len(body) != size - 2:
                 raise MediaError("a segment is cut off")
             at += 2 + size
-            if marker == 0xFE and body.startswith(_COUNT_TAG):
-                image.payload_blocks = int(body[len(_COUNT_TAG) :])
+            if marker == 0xFE and (own := _COUNT.fullmatch(body)):  # any other comment says nothing
+                image.payload_blocks = int(own[1])
             elif marker == 0xDB:
                 while body:
                     wide = body[0] >> 4
-                    image.quant[body[0] & 15] = list(struct.unpack_from(">64H", body, 1) if wide else body[1:65])
+                    image.quant[body[0] & 15] = list(struct.unpack_from(">64H" if wide else ">64B", body, 1))
                     body = body[129 if wide else 65 :]
             elif marker == 0xC0:
                 depth, image.height, image.width, n = struct.unpack_from(">BHHB", body)
                 if depth != 8 or not image.width or not image.height:
                     raise MediaError("samples must have 8 bits and the image a size")
                 image.components = [(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15, body[8 + 3 * i]) for i in range(n)]
+                if not all(1 <= c[1] <= 4 and 1 <= c[2] <= 4 for c in image.components):
+                    raise MediaError("a sampling factor isn't from 1 to 4")
             elif 0xC1 <= marker <= 0xCF and marker not in (0xC4, 0xC8, 0xCC):
                 raise MediaError("not a baseline image")
             elif marker == 0xC4:

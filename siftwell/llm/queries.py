@@ -38,7 +38,8 @@ FROM v
 
 def op2_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every text stored in a JPEG and read back: checksums of the payload, of the stored form, and thumbnail hashes."""
-    out = media.media_features(media.store_payloads(table(spark, sf_dir, "documents")))
+    stored = written(media.store_payloads(table(spark, sf_dir, "documents")), "media")
+    out = media.media_features(stored)
     return out.select(
         "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256",
         F.concat_ws(":", F.concat_ws("x", "width", "height"), "thumbnail_hash", "average_hash").alias("feature"),

@@ -54,6 +54,18 @@ def test_bad_images():
     assert not isinstance(media.decode_images([b"x", good])[1], media.MediaError)
 
 
+def test_odd_but_readable_and_unreadable_images():
+    good = media.encode_payload(bytes(range(64)))
+    comment = good.replace(b"siftwell-blocks:1", b"siftwell-blocks:x")
+    (x,) = media.decode_images([comment], True)
+    assert x.payload_blocks is None and x.blocks.shape == (1, 1, 64)  # a comment of someone else
+    no_sampling = good.replace(bytes([1, 1, 0x11, 0]), bytes([1, 1, 0x00, 0]), 1)
+    at = good.index(b"\xff\xdb")
+    short_table = good[:at] + media._segment(0xDB, bytes([0])) + good[at + 69 :]
+    for item in (no_sampling, short_table):
+        assert item != good and isinstance(media.decode_images([item])[0], media.MediaError)
+
+
 def test_columns(spark):
     rows = [(1, "a", 0), (2, None, 0), (3, "", 0), (4, "é" * 5000, 0), (4, "é" * 5000, 0), (None, "z", 0)]
     df = spark.createDataFrame(rows, "doc_id long, text string, media int")
