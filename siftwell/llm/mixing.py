@@ -14,8 +14,8 @@ again, up to one for each class; these fold to one for each source, which is rou
 numbers are hashes of the ids that meet and of the seed, so reruns agree.
 
 Cases: null or empty texts have size 0 and are taken 0 times; a null source is a source of its own,
-ordered last; repeated rows are documents of their own (rows equal in doc_id and size are dealt to
-the same block); an empty table gives an empty result. Sources of size 0 have target 0. Further
+ordered last; repeated rows are documents of their own (of more than BLOCK rows equal in id and text
+each is dealt by its row's number, as their hash alone would put them all into one block); an empty table gives an empty result. Sources of size 0 have target 0. Further
 columns of the input are ignored.
 """
 
@@ -32,7 +32,7 @@ BLOCK, CLASSES = 256, 8
 
 
 def sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", row_col: str | None = None) -> DataFrame:
-    """(row, doc_id, source, size, deal): words of each document, and a hash that deals documents to blocks."""
+    """(row, doc_id, source, size, deal, number): words of each document, a hash that deals documents to blocks, and a number of the row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     return df.select(
         (F.col(row_col) if row_col else F.lit(None)).cast("long").alias("row"),
@@ -40,6 +40,7 @@ def sizes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_
         F.col(source_col).cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"),
         F.xxhash64(F.lit(17), F.col(id_col), text).alias("deal"),
+        F.monotonically_increasing_id().alias("number"),
     )
 
 
@@ -118,10 +119,15 @@ def _rounded(sized: DataFrame, sources: DataFrame, seed: int) -> DataFrame:
     results, tops = [shut], []
     class_ = F.floor(F.log2("size") * CLASSES).cast("int")
     classed = docs.where(open_).withColumn("class", class_)
+    crowds = written(classed.groupBy("deal").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > BLOCK).select(F.col("deal").alias("_deal")), "mix-crowds")
+    spot = F.col("deal")
+    if not crowds.isEmpty():
+        classed = classed.join(crowds, F.col("deal") == F.col("_deal"), "left")
+        spot = F.when(F.col("_deal").isNull(), F.col("deal")).otherwise(F.xxhash64("deal", "number"))
     counts = sized.where("size > 0").groupBy(F.col("source").alias("_source"), class_.alias("_class")).agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
     counts = written(counts, "mix-classes")
     level = classed.join(counts, F.col("source").eqNullSafe(F.col("_source")) & (F.col("class") == F.col("_class")))
-    level = level.select(*keep, "class", "blocks", F.pmod(F.col("deal"), F.col("blocks")).alias("block"), F.struct("size", "deal", "doc_id", "row", "p").alias("item"))
+    level = level.select(*keep, "class", "blocks", F.pmod(spot, F.col("blocks")).alias("block"), F.struct("size", "deal", "doc_id", "row", "p").alias("item"))
     most = counts.agg(F.max("blocks")).first()[0] or 0
     while most:
         folded = level.groupBy(*keep, "class", "blocks", "block").agg(_fold(F.sort_array(F.collect_list("item"), asc=False), seed).alias("f"))

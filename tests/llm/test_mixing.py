@@ -69,3 +69,11 @@ def test_edges(spark):
     assert {(r.doc_id, r.size) for r in got} == {(1, 0), (2, 0), (3, 3), (None, 2), (5, 0)}
     assert all(r.taken == 0 for r in got if r.size == 0)
     assert mixing.mix(df.limit(0)).count() == 0
+
+
+def test_many_equal_rows(spark):
+    """Rows equal in id and text are spread over blocks too, and are counted one by one."""
+    df = spark.range(40_000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("a b c").alias("text"), F.lit("x").alias("source"))
+    df = df.union(spark.range(20_000).select(F.col("id"), F.lit("a b"), F.lit("y")))
+    got = mixing.mix(df).groupBy("source").agg(F.count("*").alias("n"), F.first("target").alias("target"), F.sum("taken").alias("taken")).collect()
+    assert {r.source: r.n for r in got} == {"x": 40_000, "y": 20_000} and all(abs(r.taken - r.target) <= 6 for r in got)
