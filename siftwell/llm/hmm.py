@@ -7,10 +7,12 @@ states emit classes, and a class emits its words by their counts, so that
     P(text) = sum over state paths of prod a(s', s) b_s(class of w) * prod P(w | class of w).
 
 `train` runs Baum-Welch: each partition of the written class sequences adds up its expected counts
-and their sums over all partitions give the next model; texts are cut to segments of SEGMENT tokens
-here, each token of the corpus counts in every iteration. `scores` computes the exact likelihood of
-each whole text by the scaled forward recursion: a segment's recursion from every state at once is a
-K x K matrix, these are made for all segments in lockstep and multiplied along the document.
+and their sums over all partitions give the next model (in whole multiples of 2^-UNIT_BITS, so that the
+order of sums doesn't matter). `scores` computes the exact likelihood of each text. Both recursions run
+over whole texts: a segment of SEGMENT tokens, from every state at once, is a K x K matrix; these are made
+for all segments in lockstep and multiplied along the document, from its start for what is known before
+a segment and from its end for what comes after; within segments the scaled forward and backward
+recursions go on from there, again in lockstep.
 
 Each text ends with one end token, which is a class of its own. The base score is the add-one
 unigram model's. Cases: null and empty texts are the end token alone; repeated rows and null ids are
@@ -33,7 +35,7 @@ from pyspark.sql import functions as F
 from siftwell.llm import chunks
 from siftwell.llm.common import written
 
-CLASSES, SEGMENT, AT_ONCE = 512, 128, 8192
+CLASSES, SEGMENT, AT_ONCE, UNIT_BITS = 512, 128, 8192, 20
 END = ""
 
 
@@ -60,7 +62,6 @@ def held_out(id_col: Column, mod: int = 7, rest: int = 2) -> Column:
 @dataclass
 class Hmm:
     start: np.ndarray  # (K,) at the first token of a text
-    inside: np.ndarray  # (K,) at the first token of a later segment
     move: np.ndarray  # (K, K)
     emit: np.ndarray  # (K, CLASSES)
 
@@ -71,40 +72,91 @@ class Hmm:
         move = np.full((states, states), 0.1 / max(1, states - 1)) if states > 1 else np.zeros((1, 1))
         np.fill_diagonal(move, 0.9 if states > 1 else 1.0)
         flat = np.full(states, 1 / states)
-        return cls(flat, flat.copy(), move, emit / emit.sum(1, keepdims=True))
+        return cls(flat, move, emit / emit.sum(1, keepdims=True))
 
     def updated(self, counts: np.ndarray) -> Hmm:
         """The model of expected counts, laid out as expected_counts gives them."""
         k, c = self.emit.shape
-        start, inside, move, emit = np.split(counts[:-1], [k, 2 * k, 2 * k + k * k])
+        start, move, emit = np.split(counts[:-1], [k, k + k * k])
         norm = lambda x: x / x.sum(-1, keepdims=True)
-        return Hmm(norm(start + 0.1), norm(inside + 0.1), norm(move.reshape(k, k) + 0.1), norm(emit.reshape(k, c) + 0.01))
+        return Hmm(norm(start + 0.1), norm(move.reshape(k, k) + 0.1), norm(emit.reshape(k, c) + 0.01))
 
 
-def _segments(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(begin, length, whether it begins a text) of each segment, the longest first; texts in a row of tokens."""
+def _segments(lens: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(begin, length) of each segment of texts in a row of tokens, then (first segment, number of segments) of each text."""
     per = -(-lens // SEGMENT)
-    first = np.repeat(np.cumsum(lens) - lens, per)
-    number = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    begin = first + number * SEGMENT
+    at = np.cumsum(per) - per
+    number = np.arange(per.sum()) - np.repeat(at, per)
+    begin = np.repeat(np.cumsum(lens) - lens, per) + number * SEGMENT
     length = np.minimum(SEGMENT, np.repeat(lens, per) - number * SEGMENT)
-    return begin, length, number == 0
+    return begin, length, at, per
+
+
+def _transfers(model: Hmm, classes: np.ndarray, begin: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each segment and state at its first token: the distribution at the token after it, and the logarithm of the segment's probability."""
+    k = len(model.start)
+    order = np.argsort(-length, kind="stable")
+    by_class = np.ascontiguousarray(model.emit.T)
+    matrix, log = np.zeros((len(begin), k, k)), np.zeros((len(begin), k))
+    for a in range(0, len(order), AT_ONCE):
+        own = order[a : a + AT_ONCE]
+        b, n = begin[own], length[own]
+        x, logs = np.broadcast_to(np.eye(k), (len(own), k, k)).copy(), np.zeros((len(own), k))
+        for t in range(int(n[0])):
+            m = int(np.searchsorted(-n, -t, "left"))
+            x[:m] = (x[:m] * by_class[classes[b[:m] + t]][:, None, :]) @ model.move
+            if t % 8 == 7 or t + 1 == int(n[0]):
+                s = x.sum(2)
+                x /= s[:, :, None]
+                logs += np.log(s)
+        s = x.sum(2)
+        matrix[own], log[own] = x / s[:, :, None], logs + np.log(s)
+    return matrix, log
+
+
+def _chained(model: Hmm, matrix: np.ndarray, log: np.ndarray, at: np.ndarray, per: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(state distribution before each segment, likelihood of what follows each segment by the next state, log-likelihood of each text)."""
+    k = len(model.start)
+    before, after, out = np.zeros((len(log), k)), np.ones((len(log), k)), np.zeros(len(per))
+    docs = np.argsort(-per, kind="stable")
+    peak = log.max(1)
+    weight = np.exp(log - peak[:, None])
+    v, steps = np.broadcast_to(model.start, (len(per), k)).copy(), int(per.max(initial=0))
+    for j in range(steps):
+        own = docs[: int(np.searchsorted(-per[docs], -j, "left"))]
+        seg = at[own] + j
+        before[seg] = v[own]
+        w = np.einsum("dk,dkl->dl", v[own] * weight[seg], matrix[seg])
+        s = w.sum(1)
+        v[own] = w / s[:, None]
+        out[own] += peak[seg] + np.log(s)
+    for j in range(steps - 1, 0, -1):
+        own = docs[: int(np.searchsorted(-per[docs], -j, "left"))]
+        seg = at[own] + j
+        w = weight[seg] * np.einsum("dkl,dl->dk", matrix[seg], after[seg])
+        after[seg - 1] = w / w.max(1)[:, None]
+    return before, after, out
 
 
 def expected_counts(model: Hmm, classes: np.ndarray, lens: np.ndarray) -> np.ndarray:
-    """Expected starts, inner starts, transitions and emissions over the texts, then the log-likelihood of the segments."""
+    """Expected starts, transitions and emissions over whole texts, then their log-likelihood."""
     k, c = model.emit.shape
-    start, inside, move, emit, total = np.zeros(k), np.zeros(k), np.zeros((k, k)), np.zeros((k, c)), 0.0
-    begin, length, first = _segments(lens)
+    start, move, emit, total = np.zeros(k), np.zeros((k, k)), np.zeros((k, c)), 0.0
+    begin, length, at, per = _segments(lens)
+    before, after = np.broadcast_to(model.start, (len(begin), k)), np.ones((len(begin), k))
+    if (per > 1).any():
+        before, after, _ = _chained(model, *_transfers(model, classes, begin, length), at, per)
+    first, last = np.zeros(len(begin), bool), np.zeros(len(begin), bool)
+    first[at[per > 0]], last[(at + per - 1)[per > 0]] = True, True
     order = np.argsort(-length, kind="stable")
     by_class = np.ascontiguousarray(model.emit.T)
     for a in range(0, len(order), AT_ONCE):
         own = order[a : a + AT_ONCE]
-        b, n, f = begin[own], length[own], first[own]
+        b, n = begin[own], length[own]
         steps = int(n[0])
         active = [int(np.searchsorted(-n, -t, "left")) for t in range(steps)]  # segments longer than t
         alpha, scale = np.zeros((steps, len(own), k)), np.ones((steps, len(own)))
-        x = np.where(f[:, None], model.start, model.inside)
+        x = before[own]
         for t in range(steps):
             m = active[t]
             x = x[:m] * by_class[classes[b[:m] + t]]
@@ -113,7 +165,12 @@ def expected_counts(model: Hmm, classes: np.ndarray, lens: np.ndarray) -> np.nda
             alpha[t, :m], scale[t, :m] = x, s
             x = x @ model.move
         total += float(np.log(scale).sum())
-        beta = np.ones((len(own), k))
+        end, ahead = alpha[n - 1, np.arange(len(own))], after[own]
+        beta = ahead @ model.move.T
+        norm = (end * beta).sum(1)[:, None]  # state probabilities sum to 1
+        beta = beta / norm
+        inner = ~last[own]
+        move += model.move * (end[inner].T @ (ahead / norm)[inner])
         for t in range(steps - 1, -1, -1):
             m = active[t]
             alpha[t, :m] *= beta[:m]  # state probabilities
@@ -121,49 +178,19 @@ def expected_counts(model: Hmm, classes: np.ndarray, lens: np.ndarray) -> np.nda
                 ahead = by_class[classes[b[:m] + t]] * beta[:m] / scale[t, :m, None]
                 move += model.move * (alpha[t - 1, :m].T @ ahead)
                 beta[:m] = ahead @ model.move.T
-        start += alpha[0][f].sum(0)
-        inside += alpha[0][~f].sum(0)
+        start += alpha[0][first[own]].sum(0)
         for t0 in range(0, steps, 32):
             obs = np.concatenate([classes[b[: active[t]] + t] for t in range(t0, min(steps, t0 + 32))])
             prob = np.concatenate([alpha[t, : active[t]] for t in range(t0, min(steps, t0 + 32))])
             for s in range(k):
                 emit[s] += np.bincount(obs, weights=prob[:, s], minlength=c)
-    return np.concatenate([start, inside, move.ravel(), emit.ravel(), [total]])
+    return np.concatenate([start, move.ravel(), emit.ravel(), [total]])
 
 
 def log_likelihoods(model: Hmm, classes: np.ndarray, lens: np.ndarray) -> np.ndarray:
     """Natural logarithm of each text's exact probability under the model."""
-    k = len(model.start)
-    begin, length, _ = _segments(lens)
-    order = np.argsort(-length, kind="stable")
-    by_class = np.ascontiguousarray(model.emit.T)
-    matrix, log = np.zeros((len(begin), k, k)), np.zeros((len(begin), k))
-    for a in range(0, len(order), AT_ONCE):
-        own = order[a : a + AT_ONCE]
-        b, n = begin[own], length[own]
-        x, logs = np.broadcast_to(np.eye(k), (len(own), k, k)).copy(), np.zeros((len(own), k))
-        for t in range(int(n[0])):
-            m = int(np.searchsorted(-n, -t, "left"))
-            x[:m] = (x[:m] * by_class[classes[b[:m] + t]][:, None, :]) @ model.move
-            if t % 8 == 7 or t + 1 == int(n[0]):
-                s = x.sum(2)
-                x /= s[:, :, None]
-                logs += np.log(s)
-        s = x.sum(2)
-        matrix[own], log[own] = x / s[:, :, None], logs + np.log(s)
-    per = -(-lens // SEGMENT)
-    at = np.cumsum(per) - per
-    docs = np.argsort(-per, kind="stable")
-    v, out = np.broadcast_to(model.start, (len(lens), k)).copy(), np.zeros(len(lens))
-    for j in range(int(per.max(initial=0))):
-        own = docs[: int(np.searchsorted(-per[docs], -j, "left"))]
-        seg = at[own] + j
-        peak = log[seg].max(1)
-        w = np.einsum("dk,dkl->dl", v[own] * np.exp(log[seg] - peak[:, None]), matrix[seg])
-        s = w.sum(1)
-        v[own] = w / s[:, None]
-        out[own] += peak + np.log(s)
-    return out
+    begin, length, at, per = _segments(lens)
+    return _chained(model, *_transfers(model, classes, begin, length), at, per)[2]
 
 
 # ---------------------------------------------------------------- tables
@@ -214,17 +241,17 @@ def train(seqs: DataFrame, model: Hmm, iterations: int = 4) -> Hmm:
                     use, lens = np.array(flags.as_py(), bool), np.asarray(lens.values, np.int64)
                     obs = chunks.unpack(classes.as_py())[np.repeat(use, lens)]
                     if use.any():
-                        got = expected_counts(model, obs, lens[use])
+                        got = np.rint(expected_counts(model, obs, lens[use]) * 2**UNIT_BITS).astype(np.int64)
                         total = got if total is None else total + got
             if total is not None:
                 yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(total))), pa.array(total)], ["i", "x"])
 
-        rows = seqs.select("flags", "lens", "classes").mapInArrow(run, "i long, x double").groupBy("i").agg(F.sum("x").alias("x")).collect()
+        rows = seqs.select("flags", "lens", "classes").mapInArrow(run, "i long, x long").groupBy("i").agg(F.sum(F.col("x").cast("decimal(38,0)")).alias("x")).collect()
         if not rows:
             return model
         counts = np.zeros(len(rows))
         for r in rows:
-            counts[r["i"]] = r["x"]
+            counts[r["i"]] = int(r["x"]) / 2**UNIT_BITS
         model = model.updated(counts)
     return model
 

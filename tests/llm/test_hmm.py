@@ -12,7 +12,7 @@ from siftwell.llm import chunks, hmm, queries
 def _model(k=3, c=5, seed=0):
     r = np.random.default_rng(seed)
     n = lambda x: x / x.sum(-1, keepdims=True)
-    return hmm.Hmm(n(r.random(k)), n(r.random(k)), n(r.random((k, k))), n(r.random((k, c))))
+    return hmm.Hmm(n(r.random(k)), n(r.random((k, k))), n(r.random((k, c))))
 
 
 def _paths(m, obs, start):
@@ -30,15 +30,19 @@ def _paths(m, obs, start):
     return total, starts / total, move / total, emit / total
 
 
-def test_likelihood_and_counts_against_all_paths():
+@pytest.mark.parametrize("segment, at_once", [(128, 8192), (2, 8192), (1, 3), (3, 2)])
+def test_likelihood_and_counts_against_all_paths(monkeypatch, segment, at_once):
+    """Texts shorter and longer than a segment: the counts are those of whole texts."""
+    monkeypatch.setattr(hmm, "SEGMENT", segment)
+    monkeypatch.setattr(hmm, "AT_ONCE", at_once)
     m, texts = _model(), [[0, 3, 1, 4, 2, 2], [1], [4, 4, 0], [2, 0]]
     obs, lens = np.array(sum(texts, [])), np.array([len(t) for t in texts])
     want = [_paths(m, t, m.start) for t in texts]
     assert hmm.log_likelihoods(m, obs, lens) == pytest.approx([math.log(w[0]) for w in want])
     got = hmm.expected_counts(m, obs, lens)
     assert got[:3] == pytest.approx(sum(w[1] for w in want))
-    assert got[6:15] == pytest.approx(sum(w[2] for w in want).ravel())
-    assert got[15:30] == pytest.approx(sum(w[3] for w in want).ravel())
+    assert got[3:12] == pytest.approx(sum(w[2] for w in want).ravel())
+    assert got[12:27] == pytest.approx(sum(w[3] for w in want).ravel())
     assert got[-1] == pytest.approx(sum(math.log(w[0]) for w in want))
 
 
