@@ -5,13 +5,15 @@ there: then |q - x|^2 = |q|^2 + M - 2 q.x, so the largest inner products are the
 in a metric space. Vectors are dealt to shards by their nearest pivot (pivots are a bounded sample;
 a crowded one is dealt on to several shards), and each shard holds an M-tree of three levels: routing
 nodes and leaf pages with centre, covering radius, smallest distance and the distance to the parent's
-centre, and entries with their distance to the page's centre.
+centre, and entries with their distance to the page's centre. Centres are rows of the tree, as in any
+M-tree, so a comparison with a centre is that row's comparison too and no row is compared twice.
 
-A block of queries searches a tree together: in each round every query takes its page of the least
-possible distance, and the queries at one page are evaluated at once. Pages whose centre needn't be
-compared (by the parent's distance), and entries by their own, are passed over by the triangle
-inequality; a search ends when no page can hold a better score or an equal one. Every block of queries
-meets every shard, as the task is a stated set of queries against all rows.
+A query first searches a shard of the pivot of its largest product. The k-th score found there goes with it: shards of
+a pivot p with radius r can't matter where q.p + |q| r is less, and the search of the others begins with
+that bound. A block of queries that began at one pivot searches a tree together: in each round every query takes its page
+of the least possible distance, and the queries at one page are evaluated at once. Pages whose centre
+needn't be compared (by the parent's distance), and each query's entries by their own, are passed over
+by the triangle inequality; a search ends when no page can hold a better score or an equal one.
 
 Cases: vectors that are null or hold null or non-finite components take no part, nor do rows without
 an id; shorter vectors count as padded with zeros; a repeated row is a row of its own, and only the
@@ -40,13 +42,21 @@ def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0))
 
 
+def _chosen(points: np.ndarray, n: int, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(rows of n points at random, the nearest of them for each point, its distance)."""
+    rows = np.sort(rng.choice(len(points), n, replace=False))
+    d = np.concatenate([_distances(points[i : i + 2048], points[rows]) for i in range(0, len(points), 2048)])
+    d[rows, np.arange(n)] = 0
+    return rows, d.argmin(1), d.min(1)
+
+
 @dataclass
 class Page:
-    centre: np.ndarray
+    centre: int  # a number of MTree.centres
     radius: float  # largest distance of a vector below from the centre
     hole: float  # smallest one
     to_parent: float
-    below: np.ndarray  # page numbers of a routing node, rows of a leaf
+    below: np.ndarray  # page numbers of a routing node, rows of a leaf but for centres
     own: np.ndarray | None = None  # a leaf's distances from the centre
 
 
@@ -58,59 +68,105 @@ class MTree:
         x = vectors.astype(np.float64)
         square = (x * x).sum(1)
         self.most = float(square.max(initial=0.0))
-        self.points = np.concatenate([x, np.sqrt(np.maximum(self.most - square, 0))[:, None]], 1)
+        points = np.concatenate([x, np.sqrt(np.maximum(self.most - square, 0))[:, None]], 1)
         self.leaves: list[Page] = []
         self.nodes: list[Page] = []
+        self.centres = np.zeros(0, np.int64)  # rows
         self.compared = 0
         n = len(x)
         if not n:
             return
         rng = np.random.default_rng(11)
-        centres = self.points[np.sort(rng.choice(n, max(1, -(-n // PAGE_ROWS)), replace=False))]
-        d = np.concatenate([_distances(self.points[i : i + 2048], centres) for i in range(0, n, 2048)])
-        home, dist = d.argmin(1), d.min(1)
-        for c in range(len(centres)):
-            rows = np.flatnonzero(home == c)
-            rows = rows[np.argsort(dist[rows], kind="stable")]
-            for i in range(0, len(rows), PAGE_ROWS):  # rings around the centre
-                part = rows[i : i + PAGE_ROWS]
-                self.leaves.append(Page(centres[c], float(dist[part].max()), float(dist[part].min()), 0.0, part, dist[part]))
-        at = np.stack([p.centre for p in self.leaves])
-        tops = at[np.sort(rng.choice(len(at), max(1, int(len(at) ** 0.5)), replace=False))]
-        d = _distances(at, tops)
-        home = d.argmin(1)
+        rows, home, dist = _chosen(points, max(1, -(-n // PAGE_ROWS)), rng)
+        at = points[rows]
+        self.centres = rows
+        is_centre = np.zeros(n, bool)
+        is_centre[rows] = True
+        for c in range(len(rows)):
+            mine = np.flatnonzero((home == c) & ~is_centre)
+            mine = mine[np.argsort(dist[mine], kind="stable")]
+            for i in range(0, len(mine), PAGE_ROWS):  # rings around the centre
+                part = mine[i : i + PAGE_ROWS]
+                self.leaves.append(Page(c, float(dist[part].max()), float(dist[part].min()), 0.0, part, dist[part]))
+        # routing nodes hold leaves and centres; a centre without a leaf is a leaf of no rows
+        empty = np.setdiff1d(np.arange(len(rows)), [p.centre for p in self.leaves])
+        self.leaves += [Page(int(c), 0.0, 0.0, 0.0, np.zeros(0, np.int64), np.zeros(0)) for c in empty]
+        tops, near, above = _chosen(at, max(1, int(len(rows) ** 0.5)), rng)
+        of = np.array([p.centre for p in self.leaves])
         for t in range(len(tops)):
-            mine = np.flatnonzero(home == t)
+            mine = np.flatnonzero(near[of] == t)
             if len(mine):
-                rows = np.concatenate([self.leaves[i].below for i in mine])
-                far = _distances(tops[t : t + 1], self.points[rows])[0]
+                below = np.concatenate([self.leaves[i].below for i in mine] + [rows[np.unique(of[mine])]])
+                far = _distances(at[tops[t]][None, :], points[below])[0]
                 for i in mine:
-                    self.leaves[i].to_parent = float(d[i, t])
-                self.nodes.append(Page(tops[t], float(far.max()), float(far.min()), 0.0, mine))
+                    self.leaves[i].to_parent = float(above[of[i]])
+                self.nodes.append(Page(int(tops[t]), float(far.max()), float(far.min()), 0.0, mine))
+
+    def search(self, queries: np.ndarray, k: int, skip: np.ndarray, floor: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(rows, scores) of the k best rows of each query, -1 where there are fewer.
 
-    def search(self, queries: np.ndarray, k: int, skip: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(rows, scores) of the k best rows of each query, -1 where there are fewer; skip: a row of its own for each query, or -1."""
+        skip: a row of its own for each query, or -1. floor: scores below it needn't be found.
+        """
         n, m = len(queries), len(self.vectors)
         q = queries.astype(np.float64)
         exact = float(np.abs(q).sum(1).max(initial=0.0)) * float(np.abs(self.vectors).max(initial=0)) < 2**53 / max(1, m)
         best = np.full((n, k), -1, np.int64)
-        top = np.full((n, k), -np.inf) if exact else np.full((n, k), None, object)
+        if not exact:  # too large for doubles: whole numbers of Python, without a bound
+            top = np.full((n, k), None, object)
+            for i in range(n):
+                scores = [(-int(np.dot(queries[i].astype(object), v.astype(object))), r) for r, v in enumerate(self.vectors) if r != skip[i]]
+                for j, (s, r) in enumerate(sorted(scores)[:k]):
+                    top[i, j], best[i, j] = -s, r
+            self.compared += n * m
+            return best, top
+        top = np.full((n, k), -np.inf)
         if not m or not n:
             return best, top
-        ahead = np.concatenate([q, np.zeros((n, 1))], 1)
         length = (q * q).sum(1)
         slack = 1e-6 * (1 + np.sqrt(length + self.most))
+        floor = np.full(n, -np.inf) if floor is None else floor
+        data = self.vectors.astype(np.float64)
+
+        def distance(score: np.ndarray, own: np.ndarray) -> np.ndarray:
+            return np.sqrt(np.maximum(length[own] + self.most - 2 * score, 0))
+
+        def bounded(own: np.ndarray) -> None:
+            low = np.maximum(top[own, -1], floor[own])
+            reach[own] = np.where(np.isfinite(low), distance(np.where(np.isfinite(low), low, 0), own), np.inf)
+
+        def offered(own: np.ndarray, got: np.ndarray, rows: np.ndarray) -> None:
+            """Scores of rows for the queries `own`, -inf where a row doesn't count."""
+            got[skip[own][:, None] == rows[None, :]] = -np.inf
+            scores = np.concatenate([top[own], got], 1)
+            ids = np.concatenate([best[own], np.broadcast_to(rows, got.shape)], 1)
+            pick = np.lexsort((ids, -scores), axis=1)[:, :k]
+            top[own], best[own] = np.take_along_axis(scores, pick, 1), np.take_along_axis(ids, pick, 1)
+            bounded(own)
+
         reach = np.full(n, np.inf)  # distance of the k-th best row so far
+        bounded(np.arange(n))
+        to_centre = np.full((n, len(self.centres)), np.nan)
+
+        def centre(own: np.ndarray, c: int) -> np.ndarray:
+            """Distances of queries to a centre; its row is compared once."""
+            fresh = own[np.isnan(to_centre[own, c])]
+            if len(fresh):
+                got, other = length[fresh], skip[fresh] != self.centres[c]  # its own score a query knows
+                got[other] = np.rint(q[fresh[other]] @ data[self.centres[c]])
+                self.compared += int(other.sum())
+                to_centre[fresh, c] = distance(got, fresh)
+                offered(fresh, got[:, None], self.centres[c : c + 1])
+            return to_centre[own, c]
+
         g = len(self.nodes)
         bound = np.full((n, g + len(self.leaves)), np.inf)
-        to_node = _distances(ahead, np.stack([p.centre for p in self.nodes]))
-        self.compared += to_node.size
+        everyone = np.arange(n)
         for j, p in enumerate(self.nodes):
-            bound[:, j] = np.maximum(0, np.maximum(to_node[:, j] - p.radius, p.hole - to_node[:, j]))
-        to_leaf = np.full((n, len(self.leaves)), np.nan)
+            d = centre(everyone, p.centre)
+            bound[:, j] = np.maximum(0, np.maximum(d - p.radius, p.hole - d))
         while True:
             page = bound.argmin(1)
-            live = np.flatnonzero(bound[np.arange(n), page] <= reach + slack)
+            live = np.flatnonzero(bound[everyone, page] <= reach + slack)
             live = live[np.isfinite(bound[live, page[live]])]
             if not len(live):
                 return best, top
@@ -119,39 +175,27 @@ class MTree:
                 at = int(page[own[0]])
                 bound[own, at] = np.inf
                 if at < g:
+                    top_distance = to_centre[own, self.nodes[at].centre]
                     for i in self.nodes[at].below:  # leaf pages: first by the stored distance to the parent
                         p = self.leaves[i]
-                        near = np.abs(to_node[own, at] - p.to_parent) - p.radius <= reach[own] + slack[own]
-                        some = own[near]
+                        some = own[np.abs(top_distance - p.to_parent) - p.radius <= reach[own] + slack[own]]
                         if len(some):
-                            d = _distances(ahead[some], p.centre[None, :])[:, 0]
-                            self.compared += len(some)
-                            to_leaf[some, i] = d
-                            bound[some, g + i] = np.maximum(0, np.maximum(d - p.radius, p.hole - d))
+                            d = centre(some, p.centre)
+                            bound[some, g + i] = np.maximum(0, np.maximum(d - p.radius, p.hole - d)) if len(p.below) else np.inf
                 else:
                     p = self.leaves[at - g]
-                    near = np.abs(to_leaf[own, at - g][:, None] - p.own[None, :]) <= (reach[own] + slack[own])[:, None]
-                    cols = np.flatnonzero(near.any(0))
-                    if not len(cols):
+                    near = np.abs(to_centre[own, p.centre][:, None] - p.own[None, :]) <= (reach[own] + slack[own])[:, None]
+                    near &= skip[own][:, None] != p.below[None, :]
+                    who, what = np.nonzero(near)
+                    self.compared += len(who)
+                    if not len(who):
                         continue
-                    rows = p.below[cols]
-                    self.compared += len(own) * len(rows)
-                    if exact:
-                        got = np.rint(q[own] @ self.vectors[rows].T.astype(np.float64))
-                        got[skip[own][:, None] == rows[None, :]] = -np.inf
-                        scores = np.concatenate([top[own], got], 1)
-                        ids = np.concatenate([best[own], np.broadcast_to(rows, got.shape)], 1)
-                        pick = np.lexsort((ids, -scores), axis=1)[:, :k]
-                        top[own], best[own] = np.take_along_axis(scores, pick, 1), np.take_along_axis(ids, pick, 1)
-                        last = top[own, -1]
-                        reach[own] = np.where(np.isfinite(last), np.sqrt(np.maximum(length[own] + self.most - 2 * np.where(np.isfinite(last), last, 0), 0)), np.inf)
-                    else:  # too large for doubles: whole numbers of Python, without a bound
-                        for i in own:
-                            have = [(-s, int(r)) for s, r in zip(top[i], best[i]) if s is not None]
-                            have += [(-int(np.dot(queries[i].astype(object), self.vectors[r].astype(object))), int(r)) for r in rows if r != skip[i]]
-                            for j, (s, r) in enumerate(sorted(have)[:k]):
-                                top[i, j], best[i, j] = -s, r
-        return best, top
+                    got = np.full(near.shape, -np.inf)
+                    if len(who) * 4 < near.size:
+                        got[who, what] = np.rint(np.einsum("ij,ij->i", q[own[who]], data[p.below[what]]))
+                    else:  # dense enough for one product of matrices
+                        got = np.where(near, np.rint(q[own] @ data[p.below].T), -np.inf)
+                    offered(own, got, p.below)
 
 
 # ---------------------------------------------------------------- tables
@@ -176,27 +220,50 @@ def _widened(a: np.ndarray, width: int) -> np.ndarray:
     return a if a.shape[1] >= width else np.concatenate([a, np.zeros((len(a), width - a.shape[1]), a.dtype)], 1)
 
 
-def build_index(vectors: DataFrame) -> DataFrame:
-    """(shard, tree): M-trees over vectors(row, vec_id, v), written to the shared folder."""
+def _pivots(vectors: DataFrame) -> np.ndarray:
+    """A bounded sample of vectors(row, vec_id, v): one for each SHARD_ROWS, at most MOST_PIVOTS."""
     n = vectors.count()
     sample = vectors.orderBy(F.xxhash64("vec_id", "row")).limit(max(1, min(MOST_PIVOTS, -(-n // SHARD_ROWS)))).select("v").toArrow()
-    pivots = _matrix(sample.column("v"))
+    return _matrix(sample.column("v"))
+
+
+def homes(vectors: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """vectors(row, vec_id, v) with pivot (the nearest one), away (the distance from it) and lead (the pivot of the largest product)."""
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             x = _matrix(batch.column(2))
             p = _widened(pivots, x.shape[1]).astype(np.float64)
-            home = _distances(_widened(x, p.shape[1]).astype(np.float64), p).argmin(1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(home, pa.int32())], [*batch.schema.names, "pivot"])
-
-    if not n:
-        homed = vectors.withColumn("pivot", F.lit(0))
-    else:
-        homed = written(vectors.mapInArrow(nearest, "row long, vec_id long, v array<long>, pivot int"), "mtree-homes")
-    # at most MOST_PIVOTS counts
-    parts = {r["pivot"]: -(-r["n"] // SHARD_ROWS) for r in homed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n")).collect()}
-    spread = F.create_map(*[F.lit(x) for kv in parts.items() for x in kv])[F.col("pivot")] if parts else F.lit(1)
-    sharded = homed.withColumn("shard", F.concat_ws("-", "pivot", F.pmod(F.xxhash64("row"), spread)))
+            x = _widened(x, p.shape[1]).astype(np.float64)
+            d, lead = (_distances(x, p), (x @ p.T).argmax(1)) if len(p) else (np.zeros((len(x), 1)), np.zeros(len(x)))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(d.argmin(1), pa.int32()), pa.array(d.min(1)), pa.array(lead.astype(np.int32))], [*batch.schema.names, "pivot", "away", "lead"])
+
+    return written(vectors.mapInArrow(nearest, "row long, vec_id long, v array<long>, pivot int, away double, lead int"), "mtree-homes")
+
+
+def top_k(df: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0, counts: list | None = None) -> DataFrame:
+    """(query_id, rank, vec_id, score): the k best rows for each row whose id is divisible by query_every.
+
+    counts: if given, the function that returns (comparisons made, pairs of a query and a row) is appended.
+    """
+    vectors = df.select(F.col(id_col).cast("long").alias("vec_id"), scaled(F.col(vector_col), scale).alias("v"))
+    vectors = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
+    vectors = written(vectors, "mtree-vectors")
+    pivots = _pivots(vectors)
+    homed = homes(vectors, pivots)
+    # at most MOST_PIVOTS rows: shards, queries and radius of each pivot
+    is_query = F.col("vec_id") % query_every == 0
+    each = homed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum(is_query.cast("long")).alias("queries"), F.max("away").alias("radius")).orderBy("pivot").collect()
+    shards = {r["pivot"]: -(-r["n"] // SHARD_ROWS) for r in each}
+    began = homed.where(is_query).groupBy("lead").agg(F.count(F.lit(1)).alias("n")).collect()
+    blocks = {r["lead"]: -(-r["n"] // QUERY_BLOCK) for r in began}
+    radius = {r["pivot"]: r["radius"] for r in each}
+
+    def dealt(pivot: str, numbers: dict[int, int], seed: int = 0) -> Column:
+        n = F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv])[F.col(pivot)] if numbers else F.lit(1)
+        return F.concat_ws("-", pivot, F.pmod(F.xxhash64("row", F.lit(seed)), F.coalesce(n, F.lit(1))))
+
+    homed = homed.withColumn("shard", dealt("pivot", shards))
 
     def build(table: pa.Table) -> pa.Table:
         order = np.argsort(np.array(table.column("vec_id")), kind="stable")
@@ -205,43 +272,61 @@ def build_index(vectors: DataFrame) -> DataFrame:
         body = pickle.dumps((tree, np.array(table.column("vec_id")), np.array(table.column("row"))), protocol=5)
         return pa.table({"shard": [table.column("shard")[0].as_py()], "tree": pa.array([body], pa.binary())})
 
-    return written(sharded.select("shard", "row", "vec_id", "v").groupBy("shard").applyInArrow(build, "shard string, tree binary"), "mtree-index")
-
-
-def top_k(df: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "vec_id", vector_col: str = "embedding", scale: float = 64.0) -> DataFrame:
-    """(query_id, rank, vec_id, score): the k best rows for each row whose id is divisible by query_every."""
-    vectors = df.select(F.col(id_col).cast("long").alias("vec_id"), scaled(F.col(vector_col), scale).alias("v"))
-    vectors = vectors.where(F.col("vec_id").isNotNull() & F.col("v").isNotNull()).select(F.monotonically_increasing_id().alias("row"), "vec_id", "v")
-    vectors = written(vectors, "mtree-vectors")
-    index = build_index(vectors)
-    queries = vectors.where(F.col("vec_id") % query_every == 0)
-    blocks = max(1, -(-queries.count() // QUERY_BLOCK))
-    packed = queries.withColumn("block", F.pmod(F.xxhash64("row"), F.lit(blocks))).groupBy("block").agg(F.collect_list(F.struct("row", "vec_id", "v")).alias("queries"))
-    # each shard once for each block of queries
-    pairs = index.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long")))).join(packed, "block")
-
-    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    index = written(homed.select("shard", "row", "vec_id", "v").groupBy("shard").applyInArrow(build, "shard string, tree binary"), "mtree-index")
+    queries = homed.where(is_query).select("row", "vec_id", "v", "lead", dealt("lead", shards, 1).alias("shard"), dealt("lead", blocks, 2).alias("block"))
+
+    def search(left: pa.Table, right: pa.Table) -> pa.Table:
+        """Queries (row, vec_id, v, floor) of one block against the tree of one shard; the best k each, then a row with the number of comparisons."""
+        schema = pa.schema([(x, pa.int64()) for x in ("q_row", "query_id", "row", "vec_id", "score", "compared")])
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        tree, ids, rows = pickle.loads(right.column("tree")[0].as_py())
+        q = _matrix(left.column("v"))
+        q_rows, q_ids = np.array(left.column("row")), np.array(left.column("vec_id"))
+        floor = np.array([-np.inf if x is None else float(x) for x in left.column("floor").to_pylist()])
+        place = {r: i for i, r in enumerate(rows.tolist())}
+        skip = np.array([place.get(r, -1) for r in q_rows.tolist()], np.int64)
+        width = max(q.shape[1], tree.vectors.shape[1])
+        q = _widened(q, width)
+        if tree.vectors.shape[1] < width:
+            tree = MTree(_widened(tree.vectors, width))
+        best, top = tree.search(q, k, skip, floor)
+        found = [(i, best[i, j], top[i, j]) for i in range(len(q)) for j in range(k) if best[i, j] >= 0 and top[i, j] is not None and top[i, j] != -np.inf]
+        cols = [[q_rows[i] for i, _, _ in found], [q_ids[i] for i, _, _ in found], [rows[r] for _, r, _ in found], [ids[r] for _, r, _ in found], [max(-(2**63), min(2**63 - 1, int(s))) for _, _, s in found]]
+        arrays = [pa.array([*(int(x) for x in c), None], pa.int64()) for c in cols]
+        return pa.Table.from_arrays([*arrays, pa.array([None] * len(found) + [tree.compared], pa.int64())], schema=schema)
+
+    def searched(pairs: DataFrame) -> DataFrame:
+        """search() for queries with a shard and a block each; a tree meets each block that asks for it."""
+        asks = pairs.select(F.col("shard").alias("_shard"), F.col("block").alias("_block")).distinct()
+        trees = index.join(asks, F.col("shard") == F.col("_shard")).select("shard", F.col("_block").alias("block"), "tree")
+        ddl = "q_row long, query_id long, row long, vec_id long, score long, compared long"
+        return pairs.select("shard", "block", "row", "vec_id", "v", "floor").groupBy("shard", "block").cogroup(trees.groupBy("shard", "block")).applyInArrow(search, ddl)
+
+    first = written(searched(queries.withColumn("floor", F.lit(None).cast("long"))), "mtree-first")
+    kth = first.where("q_row is not null").groupBy("q_row").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+
+    def elsewhere(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The shards that may hold a score of at least floor, but for the one that was searched."""
+        numbers = np.array(sorted(shards), np.int64)
+        reach = np.array([radius[p] for p in numbers.tolist()])
         for batch in batches:
-            for body, block in zip(batch.column(0), batch.column(1)):
-                tree, ids, rows = pickle.loads(body.as_py())
-                qs = block.values
-                q = _matrix(qs.field("v"))
-                width = max(q.shape[1], tree.vectors.shape[1])
-                q_rows, q_ids = np.array(qs.field("row")), np.array(qs.field("vec_id"))
-                place = {r: i for i, r in enumerate(rows.tolist())}
-                skip = np.array([place.get(r, -1) for r in q_rows.tolist()], np.int64)
-                if q.shape[1] < width:
-                    q = _widened(q, width)
-                elif tree.vectors.shape[1] < width:
-                    tree = MTree(_widened(tree.vectors, width))
-                best, top = tree.search(q, k, skip)
-                at, place_in = np.nonzero(best >= 0)
-                scores = [max(-(2**63), min(2**63 - 1, int(s))) for s in top[at, place_in].tolist() if s is not None and s != -np.inf]
-                keep = np.array([s is not None and s != -np.inf for s in top[at, place_in].tolist()], bool)
-                at, place_in = at[keep], place_in[keep]
-                found = best[at, place_in]
-                yield pa.RecordBatch.from_arrays([pa.array(q_rows[at]), pa.array(q_ids[at]), pa.array(rows[found]), pa.array(ids[found]), pa.array(scores, pa.int64())], ["q_row", "query_id", "row", "vec_id", "score"])
-
-    found = pairs.select("tree", "queries").mapInArrow(search, "q_row long, query_id long, row long, vec_id long, score long")
+            q = _matrix(batch.column(2))
+            p = _widened(pivots, q.shape[1]).astype(np.float64)[numbers] if len(pivots) else np.zeros((len(numbers), q.shape[1]))
+            q = _widened(q, p.shape[1]).astype(np.float64)
+            size = np.sqrt((q * q).sum(1))
+            most = q @ p.T + size[:, None] * reach[None, :] + 1e-6 * (1 + size[:, None] * (1 + np.abs(p).max(initial=0)))
+            floor = np.array([-np.inf if x is None else float(x) for x in batch.column(6).to_pylist()])
+            seen = batch.column(4).to_pylist()
+            wanted = [[s for x in numbers[most[i] >= floor[i]].tolist() for j in range(shards[x]) if (s := f"{x}-{j}") != seen[i]] for i in range(len(q))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(wanted, pa.list_(pa.string()))], [*batch.schema.names, "wanted"])
+
+    bounded = queries.join(kth, queries["row"] == kth["q_row"], "left").select("row", "vec_id", "v", "lead", "shard", "block", "floor")
+    asked = bounded.mapInArrow(elsewhere, "row long, vec_id long, v array<long>, lead int, shard string, block string, floor long, wanted array<string>")
+    asked = written(asked.select("row", "vec_id", "v", "block", "floor", F.explode("wanted").alias("shard")), "mtree-asked")
+    found = first.union(searched(asked))
+    if counts is not None:
+        found = written(found, "mtree-found")
+        counts.append(lambda: (found.agg(F.sum("compared")).first()[0] or 0, sum(r["queries"] for r in each) * max(0, sum(r["n"] for r in each) - 1)))
     order = Window.partitionBy("q_row").orderBy(F.col("score").desc(), "vec_id", "row")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    return found.where("q_row is not null").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -52,6 +52,22 @@ def test_shards_and_hot_vector(spark, monkeypatch):
     assert sorted(tuple(r) for r in mtree.top_k(df, k=7).collect()) == _brute(ints, 7)
 
 
+def test_bounds_save_comparisons(spark, monkeypatch):
+    """In clusters less than half of all pairs are compared, over several shards; on the given tables never more than all."""
+    counts = []
+    mtree.top_k(spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet"), counts=counts).count()
+    made, pairs = counts[0]()
+    assert 0 < made <= pairs
+    monkeypatch.setattr(mtree, "SHARD_ROWS", 2048)
+    monkeypatch.setattr(mtree, "PAGE_ROWS", 20)
+    rng = np.random.default_rng(5)
+    x = (rng.normal(size=(100, 8)) * 4)[rng.integers(0, 100, 4000)] + rng.normal(size=(4000, 8)) * 0.05
+    x /= np.linalg.norm(x, axis=1)[:, None] / 4  # embeddings are of one length as a rule
+    mtree.top_k(spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>"), counts=counts).count()
+    made, pairs = counts[1]()
+    assert made < 0.5 * pairs
+
+
 def test_edges(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 2.0]), (20, [1.0]), (40, None), (60, [nan, 1.0]), (80, [inf, 1.0]), (1, [0.5, None]), (2, []), (3, [3.0, 1.0]), (3, [3.0, 1.0]), (None, [9.0, 9.0])]
