@@ -1,7 +1,7 @@
 """N-gram Jaccard join: which documents share so much of their word shingles, in exact components.
 
 A document's set holds its distinct shingles of `words` words (its whole word sequence where it is
-shorter), as 64-bit hashes. Two sets link when 100 |A n B| >= percent |A u B|. The steps:
+shorter), as 64-bit hashes; sets are equal if 128 bits of a hash of theirs are. Two sets link when 100 |A n B| >= percent |A u B|. The steps:
 
 1. Every document is hashed; equal sets become one. Of each set the first shingles in hash order are
    counted over the corpus. Two linked sets have at least l common shingles among the first
@@ -10,13 +10,14 @@ shorter), as 64-bit hashes. Two sets link when 100 |A n B| >= percent |A u B|. T
 2. The remaining sets are hashed whole and their shingles counted, which gives the global order: rare
    shingles first, ties by hash. Shingles of one set alone need no place in it but count for lengths.
    A set that shares less than t of itself is dropped.
-3. Linked sets share a shingle among the first |A| - ceil(t |A|) + 1. Sets with such a common shingle
-   are in one candidate component; it is small but for groups of near copies.
-4. Each component's sets are stored in a trie (`Trie`) along the global order. A set walks the trie
-   with its partial overlap, shared by all sets below a node; a subtree is passed over when even its
-   remaining length can't reach the overlap needed, or when all its sets are linked to the walker
-   already. Components of over BLOCK sets, or BLOCK_TOKENS shingles, are dealt to blocks; the blocks' classes meet by
-   representatives, and then every two blocks meet that still hold different classes.
+3. Linked sets share a shingle among the first |A| - ceil(t |A|) + 1, their heads. Sets that heads connect
+   live in one home; this is where they are stored, not what is compared.
+4. The sets of a home are dealt by length (a band spans the lengths that one set can link with) and in
+   each band to blocks of at most about BLOCK sets or BLOCK_TOKENS shingles. A block is stored in a trie (`Trie`) along
+   the global order. A set walks the trie with its partial overlap, shared by all sets below a node; a
+   subtree is passed over when even its remaining length can't reach the overlap needed, or when all its
+   sets are linked to the walker already. Then the blocks' classes meet by representatives, and last every set that is not
+   of its home's largest class visits the blocks of fitting bands that hold one of its heads in another class.
 
 Only links between sets are kept, as forests, and never collected. Copies are not expanded to pairs.
 
@@ -43,7 +44,7 @@ from siftwell.llm.common import written
 #: Share of a set by which the first filter's prefixes are longer, in hundredths.
 EXTRA = 5
 #: Sets, and shingles of sets, that one task joins.
-BLOCK, BLOCK_TOKENS = 1000, 1_000_000
+BLOCK, BLOCK_TOKENS = 128, 250_000
 #: Characters of a chunk in the first and second step: shingles hardly repeat, so chunks are small.
 CHUNKS = (2 << 20, 1 << 19)
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -87,8 +88,10 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-def set_id(h: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(h.tobytes()) - (1 << 63)
+def set_id(h: np.ndarray) -> tuple[int, int]:
+    """Two numbers of 64 bits that tell sets apart."""
+    x = xxhash.xxh3_128_intdigest(h.tobytes())
+    return (x >> 64) - (1 << 63), (x & (1 << 64) - 1) - (1 << 63)
 
 
 # ---------------------------------------------------------------- trie
@@ -259,7 +262,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _hashed(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Step 1: (doc_id, n, sid, shared, chunk, at) for each document, shared: of its first shingles those in other documents too; and the chunks, with texts."""
+    """Step 1: (doc_id, n, sid, sid2, shared, chunk, at) for each document, shared: of its first shingles those in other documents too; and the chunks, with texts."""
 
     def tokenizer() -> Callable:
         shingles = hasher(words)
@@ -270,7 +273,7 @@ def _hashed(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
             first = h[: n - least_overlap(n, percent) + max(1, n * EXTRA // 100)] if n else h
             # five of eight bytes and the bucket tell enough: a chance match only keeps a set
             raw = first.astype("<u8").tobytes()
-            return [raw[i + 3 : i + 8] for i in range(0, len(raw), 8)], struct.pack("<qq", n, set_id(h) if n else 0)
+            return [raw[i + 3 : i + 8] for i in range(0, len(raw), 8)], struct.pack("<qqq", n, *(set_id(h) if n else (0, 0)))
 
         return cut
 
@@ -279,13 +282,13 @@ def _hashed(docs: DataFrame, words: int, percent: int) -> tuple[DataFrame, DataF
 
     def finish(row: pa.Table, lens: np.ndarray, codes: np.ndarray, values: np.ndarray) -> pa.Table:
         sums, ends = np.concatenate([[0], np.cumsum(values[codes] > 1)]), np.cumsum(lens)
-        notes = np.frombuffer(b"".join(row.column("notes")[0].as_py()), "<i8").reshape(-1, 2)
+        notes = np.frombuffer(b"".join(row.column("notes")[0].as_py()), "<i8").reshape(-1, 3)
         ids = row.column("ids").combine_chunks().flatten()
         place = {"chunk": pa.array(np.full(len(lens), row.column("chunk")[0].as_py())), "at": pa.array(np.arange(len(lens), dtype=np.int32))}
-        return pa.table({"doc_id": ids, "n": pa.array(notes[:, 0]), "sid": pa.array(notes[:, 1]), "shared": pa.array(sums[ends] - sums[ends - lens])} | place)
+        return pa.table({"doc_id": ids, "n": pa.array(notes[:, 0]), "sid": pa.array(notes[:, 1]), "sid2": pa.array(notes[:, 2]), "shared": pa.array(sums[ends] - sums[ends - lens])} | place)
 
     codes, packs = chunks.chunk_table(docs, tokenizer, name="jaccard_first", noted=True, texts=True, chunk_chars=CHUNKS[0])
-    return chunks.reassembled(codes, chunks.by_word(packs, work), finish, "doc_id long, n long, sid long, shared long, chunk long, at int"), codes
+    return chunks.reassembled(codes, chunks.by_word(packs, work), finish, "doc_id long, n long, sid long, sid2 long, shared long, chunk long, at int"), codes
 
 
 def _ordered(docs: DataFrame, words: int, percent: int) -> DataFrame:
@@ -297,7 +300,7 @@ def _ordered(docs: DataFrame, words: int, percent: int) -> DataFrame:
         def cut(text: str) -> tuple[list[bytes], bytes]:
             h = shingles(text)
             raw = h.astype("<u8").tobytes()
-            return [raw[i : i + 8] for i in range(0, len(raw), 8)], struct.pack("<qq", len(h), set_id(h))
+            return [raw[i : i + 8] for i in range(0, len(raw), 8)], struct.pack("<qq", len(h), set_id(h)[0])
 
         return cut
 
@@ -361,42 +364,51 @@ def _set_links(sets: DataFrame, percent: int) -> DataFrame:
     least = heads.groupBy("h").agg(F.min("sid").alias("v"))
     near = heads.join(written(least, "jaccard-least"), "h").where("sid <> v").select(F.col("sid").alias("u"), "v")
     candidates = written(components(near), "jaccard-candidates")
-    weighed = candidates.join(sets.select(F.col("sid").alias("node"), (F.size("tokens") / 2).alias("k")), "node")
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("k") / BLOCK_TOKENS))
-    sizes = written(weighed.groupBy("label").agg(blocks.alias("blocks")), "jaccard-sizes")
-    homed = candidates.join(sizes, "label").select(F.col("node").alias("sid"), F.col("label").alias("home"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block"))
-    homed = written(sets.join(homed, "sid"), "jaccard-homed")
+    # sets whose lengths can link are in one band or in neighbouring ones
+    band = F.floor(F.log(F.col("n").cast("double")) / max(1e-6, 1.000001 * float(np.log(100 / percent))))
+    placed = sets.join(candidates.select(F.col("node").alias("sid"), F.col("label").alias("home")), "sid").withColumn("band", band)
+    placed = written(placed, "jaccard-homes")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.size("tokens") / 2) / BLOCK_TOKENS))
+    counts = written(placed.groupBy("home", "band").agg(blocks.alias("blocks")), "jaccard-sizes")
+    large = counts.groupBy("home").agg((F.sum("blocks") > 1).alias("large"))
+    homed = placed.join(counts.join(large, "home"), ["home", "band"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
+    homed = written(homed, "jaccard-homed")
 
     def join(frame: DataFrame, *keys: str) -> DataFrame:
         cols = frame.select(*keys, "sid", "n", "tokens", "label", "walks")
         return cols.groupBy(*keys).applyInArrow(lambda t: _joined(t, percent), "u long, v long")
 
-    fresh = homed.withColumn("label", F.lit(None).cast("long")).withColumn("walks", F.lit(True))
-    edges = written(join(fresh, "home", "block"), "jaccard-links")
-    large = homed.where("blocks > 1")
-    if not large.isEmpty():
+    edges = written(join(homed.withColumn("label", F.lit(None).cast("long")).withColumn("walks", F.lit(True)), "home", "band", "block"), "jaccard-links")
+    spread = homed.where("large")
+    if not spread.isEmpty():
+
+        def classed() -> DataFrame:
+            known = written(components(edges), "jaccard-known")
+            return written(spread.join(known.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid")), "jaccard-classed")
+
         # representatives of the blocks' classes meet, in blocks again
-        known = written(components(edges), "jaccard-known")
-        classed = large.join(known.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        roots = classed.where("label = sid")
+        roots = classed().where("label = sid").drop("block")
         count = roots.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts"))
         roots = roots.join(count, "home").withColumn("block", F.pmod(F.xxhash64("sid"), F.col("parts"))).withColumn("walks", F.lit(True))
         edges = written(edges.union(join(roots, "home", "block")), "jaccard-links")
-        known = written(components(edges), "jaccard-known")
-        classed = large.join(known.withColumnRenamed("node", "sid"), "sid", "left").withColumn("label", F.coalesce("label", "sid"))
-        classed = written(classed, "jaccard-classed")
-        # the largest class of a component stays at home, all others visit every block
-        count = classed.groupBy("home", "label").agg(F.count(F.lit(1)).alias("k"))
+        rows = classed()
+        # the largest class of a home stays, all other sets visit the blocks that share a head with them
+        count = rows.groupBy("home", "label").agg(F.count(F.lit(1)).alias("k"))
         main = written(count.groupBy("home").agg(F.max(F.struct("k", "label")).alias("m")).select("home", F.col("m.label").alias("main")), "jaccard-main")
-        classed = classed.join(main, "home")
-        guests = classed.where("label <> main").withColumn("to", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        guests = guests.withColumn("from_block", F.col("block")).withColumn("block", F.col("to")).where("from_block <> block")
-        visits = guests.select("home", "block", "from_block").distinct()
-        hosts = classed.join(written(visits, "jaccard-visits"), ["home", "block"]).withColumn("walks", F.lit(False))
-        pairs = hosts.select("home", "block", "from_block", "sid", "n", "tokens", "label", "walks").union(
-            guests.withColumn("walks", F.lit(True)).select("home", "block", "from_block", "sid", "n", "tokens", "label", "walks")
-        )
-        edges = written(edges.union(join(pairs, "home", "block", "from_block")), "jaccard-links")
+        rows = rows.join(main, "home")
+        places = written(heads.join(rows.select("sid", "home", "band", "block", "label", (F.col("label") != F.col("main")).alias("guest")), "sid"), "jaccard-places")
+        hosts = places.select("h", "home", F.col("band").alias("to_band"), F.col("block").alias("to_block"), F.col("label").alias("other")).distinct()
+        seek = places.where("guest").select("h", "home", "band", "block", "sid", "label").join(hosts, ["h", "home"])
+        seek = seek.where("label <> other and abs(band - to_band) <= 1 and (band <> to_band or block <> to_block)")
+        seek = written(seek.select("sid", "home", "band", "block", "to_band", "to_block").distinct(), "jaccard-seek")
+        keys = ["home", "to_band", "to_block", "band", "block"]
+        inside = rows.select("sid", "n", "tokens", "label")
+        guests = seek.join(inside, "sid").withColumn("walks", F.lit(True))
+        own = seek.select(*keys).distinct()
+        stored = rows.select("home", F.col("band").alias("to_band"), F.col("block").alias("to_block"), "sid", "n", "tokens", "label")
+        stored = stored.join(own, ["home", "to_band", "to_block"]).withColumn("walks", F.lit(False))
+        cols = [*keys, "sid", "n", "tokens", "label", "walks"]
+        edges = written(edges.union(join(guests.select(*cols).union(stored.select(*cols)), *keys)), "jaccard-links")
     return written(components(edges), "jaccard-classes")
 
 
@@ -406,15 +418,15 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     hashed, codes = _hashed(docs, words, percent)
     hashed = written(hashed, "jaccard-docs")
     full = hashed.where("n > 0")
-    least_id = full.groupBy("sid").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("shared").alias("shared"), F.min(F.struct("chunk", "at")).alias("place"))
+    least_id = full.groupBy("sid", "sid2").agg(F.min("doc_id").alias("first"), F.max("n").alias("n"), F.max("shared").alias("shared"), F.min(F.struct("chunk", "at")).alias("place"))
     least_id = written(least_id, "jaccard-distinct")
     # what any linked set would share at least of the first shingles
     asked = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) * EXTRA / 100))
     kept = least_id.where(F.col("shared") >= asked).select("place.chunk", "place.at")
     sets = written(_ordered(chunks.texts_at(codes, kept), words, percent), "jaccard-ordered")
     linked = least_id.join(_set_links(sets, percent).withColumnRenamed("node", "sid"), "sid")
-    linked = written(linked.select("sid", "label", "first"), "jaccard-linked")
+    linked = written(linked.select("sid", "sid2", "label", "first"), "jaccard-linked")
     whole = linked.groupBy("label").agg(F.min("first").alias("whole"))
-    named = written(least_id.join(linked.join(whole, "label").select("sid", "whole"), "sid", "left").select("sid", F.coalesce("whole", "first").alias("component_id")), "jaccard-named")
-    out = full.join(named, "sid").select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    named = written(least_id.join(linked.join(whole, "label").select("sid", "sid2", "whole"), ["sid", "sid2"], "left").select("sid", "sid2", F.coalesce("whole", "first").alias("component_id")), "jaccard-named")
+    out = full.join(named, ["sid", "sid2"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     return out.union(hashed.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
