@@ -56,7 +56,7 @@ class Page:
     radius: float  # largest distance of a vector below from the centre
     hole: float  # smallest one
     to_parent: float
-    below: np.ndarray  # page numbers of a routing node, rows of a leaf but for centres
+    below: np.ndarray  # page numbers of a routing node, rows of a leaf (the first leaf of a centre begins with its row)
     own: np.ndarray | None = None  # a leaf's distances from the centre
 
 
@@ -84,19 +84,17 @@ class MTree:
         is_centre[rows] = True
         for c in range(len(rows)):
             mine = np.flatnonzero((home == c) & ~is_centre)
-            mine = mine[np.argsort(dist[mine], kind="stable")]
+            mine = np.concatenate([rows[c : c + 1], mine[np.argsort(dist[mine], kind="stable")]])
+            dist[rows[c]] = 0.0
             for i in range(0, len(mine), PAGE_ROWS):  # rings around the centre
                 part = mine[i : i + PAGE_ROWS]
                 self.leaves.append(Page(c, float(dist[part].max()), float(dist[part].min()), 0.0, part, dist[part]))
-        # routing nodes hold leaves and centres; a centre without a leaf is a leaf of no rows
-        empty = np.setdiff1d(np.arange(len(rows)), [p.centre for p in self.leaves])
-        self.leaves += [Page(int(c), 0.0, 0.0, 0.0, np.zeros(0, np.int64), np.zeros(0)) for c in empty]
         tops, near, above = _chosen(at, max(1, int(len(rows) ** 0.5)), rng)
         of = np.array([p.centre for p in self.leaves])
         for t in range(len(tops)):
             mine = np.flatnonzero(near[of] == t)
             if len(mine):
-                below = np.concatenate([self.leaves[i].below for i in mine] + [rows[np.unique(of[mine])]])
+                below = np.concatenate([self.leaves[i].below for i in mine])
                 far = _distances(at[tops[t]][None, :], points[below])[0]
                 for i in mine:
                     self.leaves[i].to_parent = float(above[of[i]])
@@ -131,39 +129,46 @@ class MTree:
             return np.sqrt(np.maximum(length[own] + self.most - 2 * score, 0))
 
         def bounded(own: np.ndarray) -> None:
-            low = np.maximum(top[own, -1], floor[own])
-            reach[own] = np.where(np.isfinite(low), distance(np.where(np.isfinite(low), low, 0), own), np.inf)
+            low[own] = np.maximum(top[own, -1], floor[own])
+            known = np.isfinite(low[own])
+            reach[own] = np.where(known, distance(np.where(known, low[own], 0), own), np.inf)
 
         def offered(own: np.ndarray, got: np.ndarray, rows: np.ndarray) -> None:
             """Scores of rows for the queries `own`, -inf where a row doesn't count."""
-            got[skip[own][:, None] == rows[None, :]] = -np.inf
+            good = (got >= low[own][:, None]) & (got > -np.inf)
+            who, what = np.flatnonzero(good.any(1)), np.flatnonzero(good.any(0))
+            if not len(who):
+                return
+            own, got, rows = own[who], np.where(good, got, -np.inf)[np.ix_(who, what)], rows[what]
             scores = np.concatenate([top[own], got], 1)
             ids = np.concatenate([best[own], np.broadcast_to(rows, got.shape)], 1)
             pick = np.lexsort((ids, -scores), axis=1)[:, :k]
             top[own], best[own] = np.take_along_axis(scores, pick, 1), np.take_along_axis(ids, pick, 1)
             bounded(own)
 
-        reach = np.full(n, np.inf)  # distance of the k-th best row so far
-        bounded(np.arange(n))
-        to_centre = np.full((n, len(self.centres)), np.nan)
-
-        def centre(own: np.ndarray, c: int) -> np.ndarray:
-            """Distances of queries to a centre; its row is compared once."""
-            fresh = own[np.isnan(to_centre[own, c])]
-            if len(fresh):
-                got, other = length[fresh], skip[fresh] != self.centres[c]  # its own score a query knows
-                got[other] = np.rint(q[fresh[other]] @ data[self.centres[c]])
-                self.compared += int(other.sum())
-                to_centre[fresh, c] = distance(got, fresh)
-                offered(fresh, got[:, None], self.centres[c : c + 1])
-            return to_centre[own, c]
+        low, reach = np.full(n, -np.inf), np.full(n, np.inf)  # score and distance of the k-th best row so far
+        everyone = np.arange(n)
+        bounded(everyone)
+        to_centre, of_centre = (np.full((n, len(self.centres)), np.nan) for _ in range(2))
+
+        def centres(own: np.ndarray, which: np.ndarray) -> None:
+            """Compares queries with centres; each pair once."""
+            fresh = np.isnan(to_centre[np.ix_(own, which)])
+            if not fresh.any():
+                return
+            got = np.rint(q[own] @ data[self.centres[which]].T)
+            self.compared += int((fresh & (skip[own][:, None] != self.centres[which])).sum())  # its own score a query knows
+            of_centre[np.ix_(own, which)] = got
+            to_centre[np.ix_(own, which)] = np.sqrt(np.maximum(length[own][:, None] + self.most - 2 * got, 0))
 
         g = len(self.nodes)
         bound = np.full((n, g + len(self.leaves)), np.inf)
-        everyone = np.arange(n)
+        centres(everyone, np.array([p.centre for p in self.nodes]))
         for j, p in enumerate(self.nodes):
-            d = centre(everyone, p.centre)
+            d = to_centre[:, p.centre]
             bound[:, j] = np.maximum(0, np.maximum(d - p.radius, p.hole - d))
+        leaf_centre = np.array([p.centre for p in self.leaves])
+        radius, hole, to_parent = (np.array([getattr(p, x) for p in self.leaves]) for x in ("radius", "hole", "to_parent"))
         while True:
             page = bound.argmin(1)
             live = np.flatnonzero(bound[everyone, page] <= reach + slack)
@@ -174,27 +179,30 @@ class MTree:
             for own in np.split(order, np.flatnonzero(np.diff(page[order])) + 1):
                 at = int(page[own[0]])
                 bound[own, at] = np.inf
-                if at < g:
-                    top_distance = to_centre[own, self.nodes[at].centre]
-                    for i in self.nodes[at].below:  # leaf pages: first by the stored distance to the parent
-                        p = self.leaves[i]
-                        some = own[np.abs(top_distance - p.to_parent) - p.radius <= reach[own] + slack[own]]
-                        if len(some):
-                            d = centre(some, p.centre)
-                            bound[some, g + i] = np.maximum(0, np.maximum(d - p.radius, p.hole - d)) if len(p.below) else np.inf
+                if at < g:  # leaf pages: first by the stored distance to the parent
+                    below = self.nodes[at].below
+                    top_distance = to_centre[own, self.nodes[at].centre][:, None]
+                    near = np.abs(top_distance - to_parent[below]) - radius[below] <= (reach[own] + slack[own])[:, None]
+                    some, pages = own[near.any(1)], below[near.any(0)]
+                    if len(some):
+                        centres(some, np.unique(leaf_centre[pages]))
+                        d = to_centre[np.ix_(some, leaf_centre[pages])]
+                        ahead = np.maximum(0, np.maximum(d - radius[pages], hole[pages] - d))
+                        bound[np.ix_(some, g + pages)] = np.where(near[np.ix_(near.any(1), near.any(0))], ahead, np.inf)
                 else:
                     p = self.leaves[at - g]
                     near = np.abs(to_centre[own, p.centre][:, None] - p.own[None, :]) <= (reach[own] + slack[own])[:, None]
                     near &= skip[own][:, None] != p.below[None, :]
+                    got = np.full(near.shape, -np.inf)
+                    if p.below[0] == self.centres[p.centre]:
+                        got[:, 0] = np.where(near[:, 0], of_centre[own, p.centre], -np.inf)
+                        near[:, 0] = False
                     who, what = np.nonzero(near)
                     self.compared += len(who)
-                    if not len(who):
-                        continue
-                    got = np.full(near.shape, -np.inf)
                     if len(who) * 4 < near.size:
                         got[who, what] = np.rint(np.einsum("ij,ij->i", q[own[who]], data[p.below[what]]))
                     else:  # dense enough for one product of matrices
-                        got = np.where(near, np.rint(q[own] @ data[p.below].T), -np.inf)
+                        got = np.where(near, np.rint(q[own] @ data[p.below].T), got)
                     offered(own, got, p.below)
 
 
