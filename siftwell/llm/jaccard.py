@@ -366,20 +366,21 @@ def _set_links(sets: DataFrame, percent: int) -> DataFrame:
     candidates = written(components(near), "jaccard-candidates")
     # sets whose lengths can link are in one band or in neighbouring ones
     band = F.floor(F.log(F.col("n").cast("double")) / max(1e-6, 1.000001 * float(np.log(100 / percent))))
-    placed = sets.join(candidates.select(F.col("node").alias("sid"), F.col("label").alias("home")), "sid").withColumn("band", band)
-    placed = written(placed, "jaccard-homes")
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.size("tokens") / 2) / BLOCK_TOKENS))
+    placed = sets.select(F.col("sid").alias("node"), band.alias("band"), (F.size("tokens") / 2).alias("k")).join(candidates, "node")
+    placed = written(placed.select(F.col("node").alias("sid"), F.col("label").alias("home"), "band", "k"), "jaccard-homes")
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("k") / BLOCK_TOKENS))
     counts = written(placed.groupBy("home", "band").agg(blocks.alias("blocks")), "jaccard-sizes")
     large = counts.groupBy("home").agg((F.sum("blocks") > 1).alias("large"))
-    homed = placed.join(counts.join(large, "home"), ["home", "band"]).withColumn("block", F.pmod(F.xxhash64("sid"), F.col("blocks")))
-    homed = written(homed, "jaccard-homed")
+    spots = placed.join(counts.join(large, "home"), ["home", "band"]).select("sid", "home", "band", F.pmod(F.xxhash64("sid"), F.col("blocks")).alias("block"), "large")
+    spots = written(spots, "jaccard-spots")
 
-    def join(frame: DataFrame, *keys: str) -> DataFrame:
-        cols = frame.select(*keys, "sid", "n", "tokens", "label", "walks")
-        return cols.groupBy(*keys).applyInArrow(lambda t: _joined(t, percent), "u long, v long")
+    def join(at: DataFrame, *keys: str) -> DataFrame:
+        """Links among the sets at(sid, keys, label, walks) of each group; only here their shingles move."""
+        rows = sets.join(at.select("sid", *keys, "label", "walks"), "sid").select(*keys, "sid", "n", "tokens", "label", "walks")
+        return rows.groupBy(*keys).applyInArrow(lambda t: _joined(t, percent), "u long, v long")
 
-    edges = written(join(homed.withColumn("label", F.lit(None).cast("long")).withColumn("walks", F.lit(True)), "home", "band", "block"), "jaccard-links")
-    spread = homed.where("large")
+    edges = written(join(spots.withColumn("label", F.lit(None).cast("long")).withColumn("walks", F.lit(True)), "home", "band", "block"), "jaccard-links")
+    spread = spots.where("large").drop("large")
     if not spread.isEmpty():
 
         def classed() -> DataFrame:
@@ -395,20 +396,20 @@ def _set_links(sets: DataFrame, percent: int) -> DataFrame:
         # the largest class of a home stays, all other sets visit the blocks that share a head with them
         count = rows.groupBy("home", "label").agg(F.count(F.lit(1)).alias("k"))
         main = written(count.groupBy("home").agg(F.max(F.struct("k", "label")).alias("m")).select("home", F.col("m.label").alias("main")), "jaccard-main")
-        rows = rows.join(main, "home")
-        places = written(heads.join(rows.select("sid", "home", "band", "block", "label", (F.col("label") != F.col("main")).alias("guest")), "sid"), "jaccard-places")
+        guest = (F.col("label") != F.col("main")).alias("guest")
+        places = written(heads.join(rows.join(main, "home").select("sid", "home", "band", "block", "label", guest), "sid"), "jaccard-places")
         hosts = places.select("h", "home", F.col("band").alias("to_band"), F.col("block").alias("to_block"), F.col("label").alias("other")).distinct()
         seek = places.where("guest").select("h", "home", "band", "block", "sid", "label").join(hosts, ["h", "home"])
         seek = seek.where("label <> other and abs(band - to_band) <= 1 and (band <> to_band or block <> to_block)")
-        seek = written(seek.select("sid", "home", "band", "block", "to_band", "to_block").distinct(), "jaccard-seek")
-        keys = ["home", "to_band", "to_block", "band", "block"]
-        inside = rows.select("sid", "n", "tokens", "label")
-        guests = seek.join(inside, "sid").withColumn("walks", F.lit(True))
-        own = seek.select(*keys).distinct()
-        stored = rows.select("home", F.col("band").alias("to_band"), F.col("block").alias("to_block"), "sid", "n", "tokens", "label")
-        stored = stored.join(own, ["home", "to_band", "to_block"]).withColumn("walks", F.lit(False))
-        cols = [*keys, "sid", "n", "tokens", "label", "walks"]
-        edges = written(edges.union(join(guests.select(*cols).union(stored.select(*cols)), *keys)), "jaccard-links")
+        keys = ["home", "to_band", "to_block"]
+        seek = written(seek.select("sid", *keys, "label").distinct(), "jaccard-seek")
+        # a block meets its guests in parties of about four times a block
+        parties = written(seek.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / (4 * BLOCK)).alias("parties")), "jaccard-parties")
+        guests = seek.join(parties, keys).withColumn("party", F.pmod(F.xxhash64("sid"), F.col("parties"))).withColumn("walks", F.lit(True))
+        stored = rows.select("sid", "home", F.col("band").alias("to_band"), F.col("block").alias("to_block"), "label").join(parties, keys)
+        stored = stored.withColumn("party", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parties") - 1))).withColumn("walks", F.lit(False))
+        cols = ["sid", *keys, "party", "label", "walks"]
+        edges = written(edges.union(join(guests.select(*cols).union(stored.select(*cols)), *keys, "party")), "jaccard-links")
     return written(components(edges), "jaccard-classes")
 
 
