@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 REVIEW_LEAST = 0.295
+#: Steps of p in which a reading plan sums sizes before it orders any.
+STEPS = 1000
 
 
 def fitting(items: DataFrame, keys: list[str], order: list[Column], size: Column, most: int, at_least_one: bool = True) -> DataFrame:
@@ -35,7 +37,15 @@ def reading_plan(results: DataFrame, place: str, most: int) -> DataFrame:
     group = F.when(F.col("part") == 1, F.col(place).cast("string")).otherwise(F.concat(F.lit("#"), F.col("id").cast("string")))
     rows = rows.withColumn("unit", group)
     units = rows.groupBy("part", "unit").agg(F.max(F.coalesce("p", F.lit(0.0))).alias("place_p"), F.sum("size").alias("unit_size"))
-    # the plan is one report: its units, not the corpus, pass through this window
-    order = Window.partitionBy(F.lit(0)).orderBy("part", F.col("place_p").desc(), "unit").rowsBetween(Window.unboundedPreceding, 0)
-    units = units.withColumn("listed", F.sum("unit_size").over(order) <= most)
-    return rows.join(units, ["part", "unit"]).drop("size", "unit_size")
+    # units are summed by part and hundredth of p; only those of the step where the budget ends are put in line
+    step = F.floor(F.col("place_p") * STEPS)
+    units = units.withColumn("step", step)
+    steps = units.groupBy("part", "step").agg(F.sum("unit_size").alias("step_size"))
+    by_step = Window.partitionBy(F.lit(0)).orderBy("part", F.col("step").desc()).rowsBetween(Window.unboundedPreceding, 0)  # at most 5 x (STEPS + 1) rows for p from 0 to 1
+    steps = steps.withColumn("after", F.sum("step_size").over(by_step)).withColumn("before", F.col("after") - F.col("step_size"))
+    met = units.join(F.broadcast(steps.select("part", "step", "before", "after")), ["part", "step"])
+    order = Window.partitionBy("part", "step").orderBy(F.col("place_p").desc(), "unit").rowsBetween(Window.unboundedPreceding, 0)
+    edge = met.where((F.col("before") < most) & (F.col("after") > most)).withColumn("listed", F.col("before") + F.sum("unit_size").over(order) <= most)
+    whole = met.where((F.col("before") >= most) | (F.col("after") <= most)).withColumn("listed", F.col("after") <= most)
+    listed = whole.union(edge).select("part", "unit", "place_p", "listed")
+    return rows.join(listed, ["part", "unit"]).drop("size", "unit_size")

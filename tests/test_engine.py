@@ -125,3 +125,25 @@ def test_contract_routes(spark):
     )
     routes = spark.createDataFrame([("GET", "/a/{id}", "a"), ("GET", "/orders", "listOrders"), ("GET", "/orders/", "listOrders"), ("GET", "/ping", "ping")], "verb string, path string, operation_id string")
     assert [tuple(r) for r in pairing.contract_routes(routes, symbols).collect()] == [("GET", "/orders", "listOrders", "listOrders", "src/orders_controller.py")]
+
+
+def test_reading_plan_against_one_running_sum(spark, monkeypatch):
+    import random
+
+    from siftwell.operators import budget
+
+    r = random.Random(3)
+    rows = [(i, r.choice(["DRIFT", "review", "??", "ok"]), r.choice([None, 0.1, 0.3, 0.3004, 0.9, r.random()]), "x" * r.randint(1, 40), r.choice("abcdef")) for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, label string, p double, body string, source string")
+    part = lambda label, p: 0 if label == "DRIFT" else 1 if label == "review" and (p or 0) >= budget.REVIEW_LEAST else 2 if label == "??" else 3 if label == "review" else 4
+    units = {}
+    for i, label, p, body, source in rows:
+        k = part(label, p)
+        u = units.setdefault((k, source if k == 1 else f"#{i}"), [0.0, 0, []])
+        units[(k, source if k == 1 else f"#{i}")] = [max(u[0], p or 0.0), u[1] + len(body), [*u[2], i]]
+    for most in (0, 700, 3000, 10**6):
+        total, want = 0, set()
+        for (k, name), (p, size, ids) in sorted(units.items(), key=lambda x: (x[0][0], -x[1][0], x[0][1])):
+            total += size
+            want |= set(ids) if total <= most else set()
+        assert {x.id for x in budget.reading_plan(df, "source", most).where("listed").collect()} == want
