@@ -128,11 +128,22 @@ def files_not_in_change(claim_rows: DataFrame, section_rows: DataFrame) -> DataF
 
 
 def within_budget(section_rows: DataFrame, named: DataFrame, most: int = 5000) -> DataFrame:
-    """Sections that fit `most` characters, files that errors name first: (change_id, path, section, named)."""
+    """What fits `most` characters of a change, files that errors name first: (change_id, file_no, path, section, named).
+
+    Files are taken hunk by hunk; a file's first hunk brings the file's header along. Of a change whose
+    very first hunk is larger, that hunk's first `most` characters are kept. A file of one hunk or none
+    is one piece.
+    """
     marks = named.select("change_id", "path", F.lit(True).alias("_named")).distinct()
     rows = section_rows.join(marks, ["change_id", "path"], "left").withColumn("named", F.coalesce("_named", F.lit(False))).drop("_named")
-    order = Window.partitionBy("change_id").orderBy(F.col("named").desc(), "file_no").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("_sum", F.sum(F.length("section")).over(order)).where(F.col("_sum") <= most).drop("_sum")
+    cut = F.split("section", r"(?m)^(?=@@ )")
+    pieces = F.when(F.size(cut) < 2, cut).otherwise(F.concat(F.array(F.concat(cut[0], cut[1])), F.slice(cut, F.lit(3), F.greatest(F.lit(0), F.size(cut) - 2))))
+    rows = rows.select("change_id", "file_no", "path", "named", F.posexplode(pieces).alias("_no", "_piece"))
+    along = Window.partitionBy("change_id").orderBy(F.col("named").desc(), "file_no", "_no").rowsBetween(Window.unboundedPreceding, 0)
+    rows = rows.withColumn("_sum", F.sum(F.length("_piece")).over(along)).withColumn("_first", F.count(F.lit(1)).over(along) == 1)
+    kept = rows.where((F.col("_sum") <= most) | F.col("_first")).withColumn("_piece", F.substring("_piece", 1, most))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", "_piece"))), lambda x: x["_piece"]), "")
+    return kept.groupBy("change_id", "file_no", "path", "named").agg(whole.alias("section"))
 
 
 def named_by_change(error_rows: DataFrame, tokens: DataFrame, most: int = 3) -> DataFrame:

@@ -167,10 +167,11 @@ def triage_requests(failures: DataFrame, diffs: DataFrame | None) -> DataFrame:
     if diffs is None:
         rows = failures.withColumn("change", F.lit(None).cast("string"))
     else:
-        secs = changes.sections(diffs)
-        named = failures.select(F.explode(F.coalesce("overlap", F.array().cast("array<string>"))).alias("path")).distinct().crossJoin(F.broadcast(diffs.select("change_id").limit(1)))
-        kept = changes.within_budget(secs, named).groupBy("change_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_no", "section"))), lambda s: R.redact(s["section"])), "").alias("change"))
-        rows = failures.crossJoin(F.broadcast(kept.limit(1)))  # one change a run, of a fixed budget
+        # all diffs of the run are its change, in the order of their ids, with one budget
+        secs = changes.sections(diffs).withColumn("file_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("change_id", "file_no"))).withColumn("change_id", F.lit("run"))
+        named = failures.select(F.explode(F.coalesce("overlap", F.array().cast("array<string>"))).alias("path")).distinct().withColumn("change_id", F.lit("run"))
+        kept = changes.within_budget(secs, named).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_no", "section"))), lambda s: R.redact(s["section"])), "").alias("change"))
+        rows = failures.crossJoin(F.broadcast(kept))  # one row of a fixed budget
     labelled = F.array_join(F.transform("candidates", lambda x, i: F.concat(F.lit("L"), (i + 1).cast("string"), F.lit(" "), x)), "\n")
     return _requests(rows, "triage", F.col("signature"), facts(rows).alias("a_facts"), labelled.alias("b_error_lines"), F.array_join("tail", "\n").alias("c_output_end"), F.col("change").alias("d_change"))
 

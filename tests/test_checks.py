@@ -138,3 +138,10 @@ def test_cache_stream(spark, tmp_path):
     q = streams.into_cache(answers, str(tmp_path / "cache"), str(tmp_path / "check"), upsert)
     q.awaitTermination(60)
     assert spark.read.parquet(str(tmp_path / "cache")).count() == 1
+
+
+def test_triage_takes_all_diffs_of_a_run(spark):
+    fails = spark.createDataFrame([("s", ["a.py"], ["error: x"], ["end"], 1, True, ["j"], "test", "t")], "signature string, overlap array<string>, candidates array<string>, tail array<string>, exit_code int, passed_before boolean, jobs array<string>, kind string, step string")
+    diffs = spark.createDataFrame([(c, f"diff --git a/{c}.py b/{c}.py\n--- a/{c}.py\n+++ b/{c}.py\n@@ -1,1 +1,1 @@\n-old{c}\n+new{c}\n") for c in "ba"], "change_id string, diff string")
+    (r,) = checks.triage_requests(fails, diffs).collect()
+    assert "newa" in r.body and "newb" in r.body and r.body.index("newa") < r.body.index("newb")

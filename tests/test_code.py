@@ -226,3 +226,17 @@ def test_key_material(spark):
     assert got["l.py"] == "x" and key[:32] not in got["k.py"]
     with pytest.raises(Exception, match="no file for"):
         code.without_keys(units_, files.where("path = 'l.py'")).collect()
+
+
+def test_budget_keeps_whole_hunks_of_a_large_first_file(spark):
+    hunk = lambda n: f"@@ -{n},1 +{n},1 @@\n-{'a' * 90}{n}\n+{'b' * 90}{n}\n"
+    head = "diff --git a/x.py b/x.py\n--- a/x.py\n+++ b/x.py\n"
+    diff = head + "".join(hunk(n) for n in range(1, 40)) + "diff --git a/y.py b/y.py\n--- a/y.py\n+++ b/y.py\n" + hunk(1)
+    secs = changes.sections(spark.createDataFrame([("c", diff)], "change_id string, diff string"))
+    none = spark.createDataFrame([], "change_id string, path string")
+    (got,) = changes.within_budget(secs, none, most=1000).collect()
+    assert got.path == "x.py" and got.section.startswith(head + hunk(1)) and got.section.endswith(hunk(4)) and len(got.section) <= 1000
+    (small,) = changes.within_budget(secs, none, most=50).collect()
+    assert small.section == (head + hunk(1))[:50]
+    first = spark.createDataFrame([("c", "y.py")], "change_id string, path string")
+    assert {r.path for r in changes.within_budget(secs, first, most=600).collect()} == {"x.py", "y.py"}
