@@ -10,7 +10,7 @@ M-tree, so a comparison with a centre is that row's comparison too and no row is
 
 A query first searches a shard of the pivot of its largest product. The k-th score found there goes with it: shards of
 a pivot p with radius r can't matter where q.p + |q| r is less, and the search of the others begins with
-that bound. A block of queries that began at one pivot searches a tree together: in each round every query takes its page
+that bound. A block of queries that began at neighbouring pivots searches a tree together: in each round every query takes its page
 of the least possible distance, and the queries at one page are evaluated at once. Pages whose centre
 needn't be compared (by the parent's distance), and each query's entries by their own, are passed over
 by the triangle inequality; a search ends when no page can hold a better score or an equal one.
@@ -263,15 +263,23 @@ def top_k(df: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "vec_
     is_query = F.col("vec_id") % query_every == 0
     each = homed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"), F.sum(is_query.cast("long")).alias("queries"), F.max("away").alias("radius")).orderBy("pivot").collect()
     shards = {r["pivot"]: -(-r["n"] // SHARD_ROWS) for r in each}
-    began = homed.where(is_query).groupBy("lead").agg(F.count(F.lit(1)).alias("n")).collect()
-    blocks = {r["lead"]: -(-r["n"] // QUERY_BLOCK) for r in began}
+    began = homed.where(is_query).groupBy("lead").agg(F.count(F.lit(1)).alias("n")).orderBy("lead").collect()
+    # leads share a block up to QUERY_BLOCK queries; one with more has several
+    blocks, parts, size = {}, {}, 0
+    for r in began:
+        fresh = not blocks or size + r["n"] > QUERY_BLOCK
+        size = r["n"] if fresh else size + r["n"]
+        blocks[r["lead"]] = r["lead"] if fresh else list(blocks.values())[-1]
+        parts[r["lead"]] = -(-r["n"] // QUERY_BLOCK)
     radius = {r["pivot"]: r["radius"] for r in each}
 
-    def dealt(pivot: str, numbers: dict[int, int], seed: int = 0) -> Column:
-        n = F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv])[F.col(pivot)] if numbers else F.lit(1)
-        return F.concat_ws("-", pivot, F.pmod(F.xxhash64("row", F.lit(seed)), F.coalesce(n, F.lit(1))))
+    def number_of(pivot: str, numbers: dict[int, int]) -> Column:
+        return F.coalesce(F.create_map(*[F.lit(x) for kv in numbers.items() for x in kv])[F.col(pivot)], F.lit(1)) if numbers else F.lit(1)
 
-    homed = homed.withColumn("shard", dealt("pivot", shards))
+    def dealt(name: Column, n: Column, seed: int = 0) -> Column:
+        return F.concat_ws("-", name, F.pmod(F.xxhash64("row", F.lit(seed)), n))
+
+    homed = homed.withColumn("shard", dealt(F.col("pivot"), number_of("pivot", shards)))
 
     def build(table: pa.Table) -> pa.Table:
         order = np.argsort(np.array(table.column("vec_id")), kind="stable")
@@ -281,7 +289,7 @@ def top_k(df: DataFrame, k: int = 20, query_every: int = 20, id_col: str = "vec_
         return pa.table({"shard": [table.column("shard")[0].as_py()], "tree": pa.array([body], pa.binary())})
 
     index = written(homed.select("shard", "row", "vec_id", "v").groupBy("shard").applyInArrow(build, "shard string, tree binary"), "mtree-index")
-    queries = homed.where(is_query).select("row", "vec_id", "v", "lead", dealt("lead", shards, 1).alias("shard"), dealt("lead", blocks, 2).alias("block"))
+    queries = homed.where(is_query).select("row", "vec_id", "v", "lead", dealt(F.col("lead"), number_of("lead", shards), 1).alias("shard"), dealt(number_of("lead", blocks), number_of("lead", parts), 2).alias("block"))
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         """Queries (row, vec_id, v, floor) of one block against the tree of one shard; the best k each, then a row with the number of comparisons."""
