@@ -26,6 +26,8 @@ def shared_dir(spark: SparkSession) -> str:
         return named.rstrip("/")
     app = spark.sparkContext.applicationId
     if app not in _own_dirs:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         _own_dirs[app] = "file://" + tempfile.mkdtemp(prefix="siftwell-")
     return _own_dirs[app]
 
