@@ -36,6 +36,11 @@ _BEYOND = re.compile(rf"[^\t-\r -~{_LATIN}]")
 KNOWN_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 
 
+def beyond_latin(text: str) -> bool:
+    """Whether a text has characters in which libraries' tables of letters may differ."""
+    return _BEYOND.search(text) is not None
+
+
 def read_ranks(path: str) -> bytes:
     with open(path, "rb") as f:
         return f.read()

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import bpe, hmm, jaccard, media, mixing, mtree, secrets, tokencount, toxicity, warc
+from siftwell.llm import align, bpe, hmm, jaccard, media, mixing, mtree, secrets, tokencount, toxicity, warc
 from siftwell.llm.common import table, written
 
 
@@ -137,6 +137,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.3).cast("int").alias("predicted"), "toxic_windows")
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut by two public tokenizers, aligned by bytes, and scored by corpus counts of the pairs that end together."""
+    return align.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -149,6 +154,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_hidden_markov_scores": op8_hidden_markov_scores,
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_toxicity": op10_toxicity,
+        "op11_token_alignment": op11_token_alignment,
     }
 
 
