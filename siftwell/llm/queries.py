@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import align, bpe, hmm, jaccard, media, mixing, mtree, secrets, tokencount, toxicity, warc
+from siftwell.llm import align, bpe, convtrie, hmm, jaccard, media, mixing, mtree, secrets, tokencount, toxicity, warc
 from siftwell.llm.common import table, written
 
 
@@ -142,6 +142,43 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return align.score(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def op12_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the trie of all conversations after their exchange of first turns."""
+    return convtrie.trie(table(spark, sf_dir, "conversations"))
+
+
+OP12_SQL = """
+WITH t AS (
+  SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+    row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS i
+  FROM conversations WHERE conv_id IS NOT NULL
+), o AS (
+  SELECT conv_id, list(struct_pack(r := role, t := text) ORDER BY i) AS own, conv_id - conv_id % 5 AS base,
+    cast(xor(4294967295, list_reduce(
+      list_prepend(4294967295, flatten(list_transform(string_split(cast(conv_id AS VARCHAR), ''), lambda x: [cast(ord(x) AS BIGINT), -1, -1, -1, -1, -1, -1, -1, -1]))),
+      lambda a, x: CASE WHEN x >= 0 THEN xor(a, x) WHEN a % 2 = 1 THEN xor(a // 2, 3988292384) ELSE a // 2 END)) % 9 AS INT) AS h
+  FROM t GROUP BY conv_id
+), r AS (
+  SELECT o.conv_id, CASE WHEN o.conv_id = o.base THEN o.own ELSE list_concat(coalesce(b.own[:o.h], []), o.own[o.h + 1:]) END AS path
+  FROM o LEFT JOIN o b ON b.conv_id = o.base
+), m AS (
+  SELECT conv_id, path, unnest(range(0, len(path) + 1)) AS d FROM r
+), n AS (
+  SELECT path[:d] AS p, d, min(conv_id) AS conv_id, count(*) AS n_convs,
+    sha256(coalesce(string_agg(cast(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE len(path) = d), '')) AS ends
+  FROM m GROUP BY path[:d], d
+), k AS (
+  SELECT p[:d - 1] AS p, count(*) AS n FROM n WHERE d > 0 GROUP BY p[:d - 1]
+), v AS (
+  SELECT n.*, coalesce(k.n, 0) AS n_children, CASE WHEN d > 0 THEN (n_convs - 1) * octet_length(encode(n.p[d].t)) ELSE 0 END AS saved FROM n LEFT JOIN k ON k.p = n.p
+), below AS (
+  SELECT p[:j] AS p, sum(CASE WHEN n_children = 0 THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS j FROM v) GROUP BY p[:j]
+)
+SELECT v.conv_id, v.d AS depth, u.conv_id AS parent_conv_id, v.n_convs, v.n_children, cast(below.leaves AS BIGINT) AS n_leaves, cast(below.saved AS BIGINT) AS saved_tokens, v.ends AS ends_sha256
+FROM v JOIN below ON below.p = v.p LEFT JOIN n u ON v.d > 0 AND u.d = v.d - 1 AND u.p = v.p[:v.d - 1]
+"""
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -155,8 +192,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_ngram_jaccard": op9_ngram_jaccard,
         "op10_toxicity": op10_toxicity,
         "op11_token_alignment": op11_token_alignment,
+        "op12_conversation_trie": op12_conversation_trie,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc": OP1_SQL, "op3_metric_top_k": OP3_SQL, "op9_ngram_jaccard": OP9_SQL}
+    return {"op1_warc": OP1_SQL, "op3_metric_top_k": OP3_SQL, "op9_ngram_jaccard": OP9_SQL, "op12_conversation_trie": OP12_SQL}
