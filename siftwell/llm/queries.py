@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siftwell.llm import align, bpe, convtrie, hmm, jaccard, media, mixing, mtree, secrets, tokencount, toxicity, warc
+from siftwell.llm import align, bpe, convtrie, hmm, jaccard, media, mixing, mtree, quality, secrets, tokencount, toxicity, warc
 from siftwell.llm.common import table, written
 
 
@@ -179,6 +179,13 @@ FROM v JOIN below ON below.p = v.p LEFT JOIN n u ON v.d > 0 AND u.d = v.d - 1 AN
 """
 
 
+def op13_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text scored for quality by a model of the labels that aren't held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.classify(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", quality.held_out(F.col("doc_id")).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"), "bad_windows")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_warc": op1_warc,
@@ -193,6 +200,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_toxicity": op10_toxicity,
         "op11_token_alignment": op11_token_alignment,
         "op12_conversation_trie": op12_conversation_trie,
+        "op13_quality": op13_quality,
     }
 
 
