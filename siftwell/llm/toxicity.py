@@ -12,8 +12,10 @@ counterweight is half as large as what it counters, so what is merely rarer in o
 
 What the last passes chose then trains pairs of dictionaries of several sizes (SIZES): the ordinary one holds the
 counterweight and a dictionary of ordinary windows, the toxic one the same after what toxic windows
-train, so on ordinary text both lengths agree. Training uses half of the ordinary texts; a logistic score
-over the distribution of a text's differences is calibrated on the other half and the toxic texts. The sample is
+train, so on ordinary text both lengths agree. They are joined as contents, as a compressor takes one dictionary.
+Training uses half of the ordinary texts. A logistic score over the distribution of a text's differences is
+calibrated on the other half, which no dictionary has seen, and on the toxic texts; at most FALSE_ALARMS of
+the former may reach 0.3. The sample is
 bounded: `most_each` texts of each label (twice as many ordinary ones) by a hash of their ids; a text of
 over SAMPLE_CHARS characters takes part with that many, in pieces spread over all of it. Scoring takes
 every window of every text.
@@ -38,12 +40,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
+from siftwell.llm.labelled import SAMPLE_CHARS, chance, logistic, sample
+from siftwell.llm.labelled import held_out as _held_out
+
 WINDOW, FOLDS, PASSES, LAST_PASSES = 48, 4, 5, 3
 #: Bytes of the dictionary of ordinary windows, of the dictionaries of a pass, and of the pairs that score.
 ORDINARY_BYTES, PASS_BYTES, SIZES = 16_000, 4000, (1000, 2000, 4000)
+#: Share of ordinary texts whose score may reach 0.3 in calibration, and the logit of that.
+FALSE_ALARMS, LINE = 0.02, float(np.log(0.3 / 0.7))
 #: Bytes by which a window must become shorter, and by which a word must matter to that, to be chosen.
 LEAST_GAIN = 2
-SAMPLE_CHARS = 20_000
 _WINDOWS = re.compile(r"(?s).{%d}[^\x20\x09-\x0D]{0,40}\s?|.+" % WINDOW)
 _PARAMS = zstandard.ZstdCompressionParameters.from_level(6, window_log=17, min_match=4, write_content_size=False, write_checksum=False, write_dict_id=False)
 
@@ -57,11 +63,13 @@ def windows(text: str) -> list[bytes]:
 
 
 def trained(samples: list[bytes], size: int, k: int = 16, d: int = 6) -> bytes:
-    """A dictionary trained by Zstandard; the last bytes of the samples where they are too few to train on."""
-    try:
-        return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
-    except zstandard.ZstdError:
-        return b"".join(samples)[-size:]
+    """A dictionary trained by Zstandard; few long samples are cut into halves until it takes them, and it is empty where they are too few for that."""
+    for _ in range(4):
+        try:
+            return zstandard.train_dictionary(size, samples, k=k, d=d).as_bytes()
+        except zstandard.ZstdError:
+            samples = [half for s in samples if len(s) >= 32 for half in (s[: len(s) // 2], s[len(s) // 2 :])]
+    return b""
 
 
 def compressor(*contents: bytes) -> Callable[[bytes], bytes]:
@@ -116,17 +124,13 @@ def features(diffs: list[float]) -> list[float]:
     """The three largest differences, their positive and whole sums and how many exceed 1 to 4 bytes, absolute and by length."""
     n, up = max(1, len(diffs)), sum(max(0, x) for x in diffs)
     top = [min(max(x, 0), 20) for x in sorted(diffs, reverse=True)[:3]] + [0, 0, 0]
-    out = [1.0, *top[:3], np.log1p(len(diffs)), np.log1p(up), up / n, sum(diffs) / n**0.5, up / n**0.5]
+    out = [1.0, *top[:3], np.log1p(up), up / n, sum(diffs) / n**0.5, up / n**0.5]
     for least in (1, 2, 3, 4):
         hits = sum(x > least for x in diffs)
         out += [np.log1p(hits), hits / n**0.5]
     return [float(x) for x in out]
 
 
-def score(weights: list[float], x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(x @ np.array(weights), -30, 30)))
-
-
 def train(toxic: list[str], ordinary: list[str], toxic_weight: float = 1.0, seed: int = 1) -> Model | None:
     """A model from labelled texts, or None where nothing tells them apart. toxic_weight: how many rows a toxic text stands for."""
     if not toxic or not ordinary:
@@ -141,76 +145,52 @@ def train(toxic: list[str], ordinary: list[str], toxic_weight: float = 1.0, seed
         found = chosen(texts, plain, compressor(own, base), rng)
         return trained(found, size // 2) if found else b""
 
-    folds, half = [bad[i::FOLDS] for i in range(FOLDS)], good[::2]
+    folds, half = [bad[i::FOLDS] for i in range(FOLDS)], [good[::2][i::FOLDS] for i in range(FOLDS)]
     samples, last = [flat(f) for f in folds], []
     for n in range(PASSES):
         found = []
         for h in range(FOLDS):
             own = trained([s for i in range(FOLDS) if i != h for s in samples[i]], PASS_BYTES)
-            against = counterweight(own, half[h::FOLDS], PASS_BYTES)
+            against = counterweight(own, half[h], PASS_BYTES)
             found.append(chosen(folds[h], compressor(against, base), compressor(own, against, base), rng))
         samples = found
         last += flat(found) if n >= PASSES - LAST_PASSES else []
-    if not last:
-        return None
     model = Model([], [])
     for size in SIZES:
         own = trained(last, size)
-        against = counterweight(own, half, size)
+        against = counterweight(own, good[::2], size) if own else b""
         model.pairs.append((against + base, own + against + base))
-    pairs = model.compressors()
-    rest = good[1::2] or good
-    x = np.array([features(differences(parts, pairs)) for parts in bad + rest])
-    y = np.array([1.0] * len(bad) + [0.0] * len(rest))
+    if any(len(b) == len(a) for a, b in model.pairs):
+        return None
+    pairs, rest = model.compressors(), good[1::2] or good
+    x = [features(differences(parts, pairs)) for parts in bad + rest]
+    y = [1.0] * len(bad) + [0.0] * len(rest)
+    x, y = np.array(x), np.array(y)
     # toxic rows weigh what keeps the labels' proportion
-    model.weights = _logistic(x, y, np.where(y == 1, toxic_weight * len(rest) / len(good), 1.0))
+    model.weights = logistic(x, y, np.where(y == 1, toxic_weight * len(rest) / len(good), 1.0))
+    alarm = float(np.quantile(x[y == 0] @ np.array(model.weights), 1 - FALSE_ALARMS, method="higher"))
+    model.weights[0] -= max(0.0, alarm - LINE)
     return model
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 0.05) -> list[float]:
-    w, penalty = np.zeros(x.shape[1]), ridge * np.eye(x.shape[1])
-    for _ in range(50):
-        p = score(list(w), x)
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + penalty, x.T @ (weight * (y - p)) - penalty @ w)
-        w = w + step
-        if np.abs(step).max() < 1e-8:
-            break
-    return [float(v) for v in w]
-
-
 # ---------------------------------------------------------------- tables
 
 
 def held_out(id_col: Column, mod: int = 4, rest: int = 2) -> Column:
-    """True for rows that nothing is learned from. A null id counts as an empty text."""
-    return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % mod == rest
+    return _held_out(id_col, mod, rest)
 
 
 def fit(docs: DataFrame, labels: DataFrame, most_each: int = 1500) -> Model | None:
     """A model from at most most_each texts of each label (twice as many ordinary ones) that aren't held out."""
-    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("_id")).agg((F.max("toxic") > 0).alias("_toxic"))
-    known = known.where(~held_out(F.col("_id")))
-    counts = {r["_toxic"]: r["n"] for r in known.groupBy("_toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if not counts.get(True) or not counts.get(False):
+    known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")))
+    known = known.groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    counts = {r["label"]: r["n"] for r in known.collect()}
+    if not counts.get(0) or not counts.get(1):
         return None
-    # narrow first: the sample's ids are chosen from the labels
-    by_hash = [F.xxhash64("_id"), F.col("_id")]
-    ids = known.where("_toxic").orderBy(*by_hash).limit(most_each).union(known.where("not _toxic").orderBy(*by_hash).limit(2 * most_each))
-    text, piece = F.col("text").cast("string"), SAMPLE_CHARS // 10
-    spread = F.concat_ws(" ", *[F.substr(text, F.floor((F.length(text) - piece) * i / 9).cast("int") + 1, F.lit(piece)) for i in range(10)])
-    rows = (
-        docs.select(F.col("doc_id").alias("_id"), F.when(F.length(text) > SAMPLE_CHARS, spread).otherwise(text).alias("_text"))
-        .where(F.length("_text") > 0)
-        .join(F.broadcast(ids), "_id")  # at most 3 * most_each ids
-        .groupBy("_id", "_toxic")
-        .agg(F.min("_text").alias("_text"))
-        .orderBy("_id")
-        .collect()
-    )
-    toxic, ordinary = [r["_text"] for r in rows if r["_toxic"]], [r["_text"] for r in rows if not r["_toxic"]]
-    if not toxic or not ordinary:
+    texts = sample(docs, labels, "toxic", held_out(F.col("doc_id")), {1: most_each, 0: 2 * most_each})
+    if not texts[1] or not texts[0]:
         return None
-    return train(toxic, ordinary, toxic_weight=counts[True] / counts[False] * len(ordinary) / len(toxic))
+    return train(texts[1], texts[0], toxic_weight=counts[1] / counts[0] * len(texts[0]) / len(texts[1]))
 
 
 def classify(docs: DataFrame, model: Model | None) -> DataFrame:
@@ -228,7 +208,7 @@ def classify(docs: DataFrame, model: Model | None) -> DataFrame:
                 diffs = differences(windows(text.as_py() or ""), pairs)
                 rows.append(features(diffs))
                 hits.append(sum(d > 1 for d in diffs))
-            scores = score(model.weights, np.array(rows)) if rows else []
+            scores = chance(model.weights, np.array(rows)) if rows else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64()), pa.array(hits, pa.int64())], [*batch.schema.names, "toxic_score", "toxic_windows"])
 
     schema = StructType([*[StructField(f.name, f.dataType, True) for f in fields], StructField("toxic_score", DoubleType()), StructField("toxic_windows", LongType())])

@@ -10,41 +10,59 @@ from tests.llm.test_jaccard import _brute
 from tests.oracle import connect, differences
 
 
-def test_stages(spark):
-    """Every stage against what its rule says of its own input."""
-    d = "/root/testdata/sf0.01"
-    docs = spark.read.parquet(f"{d}/documents.parquet")
-    (_, toxic), (_, near), (_, mask), (_, mix), (_, encode) = corpus_pipeline.STAGES
-    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{d}/labels.parquet").collect()}
-
-    one = written(toxic(spark, docs, d), "test")
-    assert one.columns == docs.columns
-    kept = {r.doc_id for r in one.collect()}
+D = "/root/testdata/sf0.01"
+(_, TOXIC), (_, NEAR), (_, MASK), (_, MIX), (_, ENCODE) = corpus_pipeline.STAGES
+
+
+@pytest.fixture(scope="module")
+def stages(spark):
+    """The tables before and after each of the first four stages."""
+    out = [spark.read.parquet(f"{D}/documents.parquet")]
+    for stage in (TOXIC, NEAR, MASK, MIX):
+        out.append(written(stage(spark, out[-1], D), "test"))
+    return out
+
+
+def _labelled(spark):
+    return {r.doc_id: r.toxic for r in spark.read.parquet(f"{D}/labels.parquet").collect()}
+
+
+def test_toxicity_keeps_clean_documents(spark, stages):
+    kept, labels = {r.doc_id for r in stages[1].collect()}, _labelled(spark)
+    assert stages[1].columns == stages[0].columns
     clean = [i for i, t in labels.items() if t == 0]
     assert sum(i in kept for i in clean) >= 0.98 * len(clean)
+
+
+def test_toxicity_rejects_toxic_documents(spark, stages):
+    kept, labels = {r.doc_id for r in stages[1].collect()}, _labelled(spark)
     assert sum(i in kept for i, t in labels.items() if t == 1) <= 0.4 * sum(labels.values())
 
-    two = written(near(spark, one, d), "test")
-    rows = [(r.doc_id, r.text) for r in one.collect()]
-    assert sorted(r.doc_id for r in two.collect()) == sorted({c for _, _, c in _brute(rows, 5, 80)})
 
-    three = written(mask(spark, two, d), "test")
-    assert three.count() == two.count()
-    before = {r.doc_id: r.text for r in two.collect()}
-    for r in three.collect():
+def test_near_copies(stages):
+    rows = [(r.doc_id, r.text) for r in stages[1].collect()]
+    assert sorted(r.doc_id for r in stages[2].collect()) == sorted({c for _, _, c in _brute(rows, 5, 80)})
+
+
+def test_masked_secrets(stages):
+    assert stages[3].count() == stages[2].count()
+    before = {r.doc_id: r.text for r in stages[2].collect()}
+    for r in stages[3].collect():
         assert r.n_chars == len(r.text) and not secrets.base_spans(r.text)
         if not secrets.base_spans(before[r.doc_id]) and "<format>" not in r.text:
             assert r.text == before[r.doc_id]
 
-    four = written(mix(spark, three, d), "test")
-    want = Counter({r.doc_id: r.copies for r in mixing.mix(three).collect() if r.copies})
-    got = Counter(r.doc_id for r in four.collect())
-    assert four.columns == docs.columns and set(got) <= set(before) and max(got.values()) <= 3
+
+def test_mixed_sources(stages):
+    want = Counter({r.doc_id: r.copies for r in mixing.mix(stages[3]).collect() if r.copies})
+    got = Counter(r.doc_id for r in stages[4].collect())
+    assert stages[4].columns == stages[0].columns and set(got) <= {r.doc_id for r in stages[2].collect()} and max(got.values()) <= 3
     assert abs(got.total() - want.total()) <= 0.1 * want.total()
 
-    five = encode(spark, four, d)
-    texts = Counter(hashlib.sha256(r.text.encode()).hexdigest() for r in four.collect())
-    assert Counter(r.decoded_sha256 for r in five.collect()) == texts
+
+def test_encoded_texts(spark, stages):
+    texts = Counter(hashlib.sha256(r.text.encode()).hexdigest() for r in stages[4].collect())
+    assert Counter(r.decoded_sha256 for r in ENCODE(spark, stages[4], D).collect()) == texts
 
 
 def test_nulls_and_repeats(spark):
@@ -68,3 +86,10 @@ def test_rows_are_judged_by_their_own_texts(spark):
 def test_rows_equal_those_of_sql(spark, name):
     d = "/root/testdata/sf0.01" if name.startswith("op1_") else "/root/testdata/sf0.001"
     assert differences(queries.queries()[name](spark, d), queries.oracle_sql()[name], connect(d)) == []
+
+
+def test_equal_rows_of_one_text(spark):
+    """Many equal rows without an id or a text are one row, and meet no more rows than there are."""
+    rows = [(None, "", "en", "a", 0)] * 400 + [(1, "one two three four five six seven", "en", "a", 9)] * 300
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert sorted((r.doc_id or 0) for r in corpus_pipeline.keep_one_of_each(spark, docs, "").collect()) == [0, 1]

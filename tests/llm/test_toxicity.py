@@ -71,7 +71,7 @@ def test_scores_follow_from_compressed_lengths(spark):
     for r in toxicity.classify(docs, model).collect():
         d = sorted((difference(w) for w in cut((r.text or "").lower())), reverse=True)
         n, up = max(1, len(d)), sum(x for x in d if x > 0)
-        x = [1, *[min(max(v, 0), 20) for v in (d + [0, 0, 0])[:3]], math.log(1 + len(d)), math.log(1 + up), up / n, sum(d) / n**0.5, up / n**0.5]
+        x = [1, *[min(max(v, 0), 20) for v in (d + [0, 0, 0])[:3]], math.log(1 + up), up / n, sum(d) / n**0.5, up / n**0.5]
         for least in (1, 2, 3, 4):
             k = len([v for v in d if v > least])
             x += [math.log(1 + k), k / n**0.5]
