@@ -30,11 +30,12 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     equal ids the smallest hash stays.
     """
     keyed = docs.withColumn("_key", F.xxhash64(*COLUMNS, *[F.col(c).isNull() for c in COLUMNS]))
+    keyed = keyed.dropDuplicates(["_key"])
     found = jaccard.classes(keyed.select(F.col("_key").alias("doc_id"), "text"), words=5, percent=80)
     rows = found.select(F.col("doc_id").alias("_key"), "component_id").join(keyed.select("_key", "doc_id"), "_key")
     first = rows.groupBy("component_id").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "_key")).alias("first"))
     kept = keyed.join(first.select(F.col("first._key").alias("_kept")), F.col("_key") == F.col("_kept"), "left_semi")
-    return kept.dropDuplicates(["_key", "doc_id"]).select(*COLUMNS)
+    return kept.select(*COLUMNS)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
