@@ -28,13 +28,13 @@ def reading_plan(results: DataFrame, place: str, most: int) -> DataFrame:
     """results(id, label, p, body) in reading order, with part, place_p and listed.
 
     Flagged ones by severity, then reviews with p of REVIEW_LEAST or more grouped by place (the
-    highest p first; a place is listed whole or not), then unknown ones, then low reviews. listed
-    tells which fit the budget of characters.
+    highest p first; a place is listed whole or not, a review without one is its own), then unknown ones, then low
+    reviews. listed tells which fit the budget of characters; a null body has none.
     """
     part = F.when(F.col("label").isin("DRIFT", "BREAKS", "STALE", "UNSUPPORTED", "CHANGE"), 0).when((F.col("label") == "review") & (F.coalesce("p", F.lit(0.0)) >= REVIEW_LEAST), 1)
     part = part.when(F.col("label") == "??", 2).when(F.col("label") == "review", 3).otherwise(4)
-    rows = results.withColumn("part", part).withColumn("size", F.length("body"))
-    group = F.when(F.col("part") == 1, F.col(place).cast("string")).otherwise(F.concat(F.lit("#"), F.col("id").cast("string")))
+    rows = results.withColumn("part", part).withColumn("size", F.coalesce(F.length("body"), F.lit(0)))
+    group = F.when((F.col("part") == 1) & F.col(place).isNotNull(), F.col(place).cast("string")).when(F.col("part") == 1, F.concat(F.lit("no place #"), F.col("id").cast("string"))).otherwise(F.concat(F.lit("#"), F.col("id").cast("string")))
     rows = rows.withColumn("unit", group)
     units = rows.groupBy("part", "unit").agg(F.max(F.coalesce("p", F.lit(0.0))).alias("place_p"), F.sum("size").alias("unit_size"))
     # units are summed by part and hundredth of p; only those of the step where the budget ends are put in line

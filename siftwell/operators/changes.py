@@ -130,20 +130,34 @@ def files_not_in_change(claim_rows: DataFrame, section_rows: DataFrame) -> DataF
 def within_budget(section_rows: DataFrame, named: DataFrame, most: int = 5000) -> DataFrame:
     """What fits `most` characters of a change, files that errors name first: (change_id, file_no, path, section, named).
 
-    Files are taken hunk by hunk; a file's first hunk brings the file's header along. Of a change whose
-    very first hunk is larger, that hunk's first `most` characters are kept. A file of one hunk or none
-    is one piece.
+    Files are taken hunk by hunk; the first that is kept of a file brings the file's header along. A hunk
+    that doesn't fit what room is left is passed over, and later ones that fit are kept. Where none fits at
+    all, the first keeps those of its lines, from its header on, that fit. A file without hunks is one piece.
     """
     marks = named.select("change_id", "path", F.lit(True).alias("_named")).distinct()
     rows = section_rows.join(marks, ["change_id", "path"], "left").withColumn("named", F.coalesce("_named", F.lit(False))).drop("_named")
     cut = F.split("section", r"(?m)^(?=@@ )")
-    pieces = F.when(F.size(cut) < 2, cut).otherwise(F.concat(F.array(F.concat(cut[0], cut[1])), F.slice(cut, F.lit(3), F.greatest(F.lit(0), F.size(cut) - 2))))
-    rows = rows.select("change_id", "file_no", "path", "named", F.posexplode(pieces).alias("_no", "_piece"))
-    along = Window.partitionBy("change_id").orderBy(F.col("named").desc(), "file_no", "_no").rowsBetween(Window.unboundedPreceding, 0)
-    rows = rows.withColumn("_sum", F.sum(F.length("_piece")).over(along)).withColumn("_first", F.count(F.lit(1)).over(along) == 1)
-    kept = rows.where((F.col("_sum") <= most) | F.col("_first")).withColumn("_piece", F.substring("_piece", 1, most))
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", "_piece"))), lambda x: x["_piece"]), "")
-    return kept.groupBy("change_id", "file_no", "path", "named").agg(whole.alias("section"))
+    head = F.when(F.size(cut) < 2, F.lit("")).otherwise(cut[0])
+    hunks = F.when(F.size(cut) < 2, cut).otherwise(F.slice(cut, F.lit(2), F.greatest(F.lit(0), F.size(cut) - 1)))
+    pieces = rows.select("change_id", "file_no", "path", "named", head.alias("_head"), F.posexplode(hunks).alias("_no", "_piece"))
+    sizes = pieces.groupBy("change_id").agg(F.array_sort(F.collect_list(F.struct((~F.col("named")).alias("later"), "file_no", "_no", F.length("_head").alias("head"), F.length("_piece").alias("size")))).alias("_all"))
+    none = F.struct(F.lit(most).alias("room"), F.lit(-1).cast("long").alias("begun"), F.array().cast("array<struct<file_no:long,no:int>>").alias("kept"))
+
+    def take(acc: Column, x: Column) -> Column:
+        need = x["size"] + F.when(acc["begun"] == x["file_no"], 0).otherwise(x["head"])
+        one = F.struct(x["file_no"].cast("long").alias("file_no"), x["_no"].alias("no"))
+        more = F.struct((acc["room"] - need).alias("room"), x["file_no"].cast("long").alias("begun"), F.concat(acc["kept"], F.array(one)).alias("kept"))
+        return F.when(need <= acc["room"], more).otherwise(acc)
+
+    # a running sum can't pass over what doesn't fit, so each change is folded in order; only sizes are in the array
+    taken = sizes.select("change_id", F.aggregate("_all", none, take)["kept"].alias("_kept"), F.get("_all", F.lit(0)).alias("_first"))
+    whole = F.array(F.struct(F.col("_first.file_no").cast("long").alias("file_no"), F.col("_first._no").alias("no")))
+    chosen = taken.select("change_id", (F.size("_kept") == 0).alias("_part"), F.explode(F.when(F.size("_kept") == 0, whole).otherwise(F.col("_kept"))).alias("k"))
+    kept = pieces.join(chosen.select("change_id", F.col("k.file_no").alias("file_no"), F.col("k.no").alias("_no"), "_part"), ["change_id", "file_no", "_no"])
+    text = F.concat(F.first("_head"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_no", "_piece"))), lambda x: x["_piece"]), ""))
+    out = kept.groupBy("change_id", "file_no", "path", "named").agg(text.alias("section"), F.max("_part").alias("_part"))
+    lines = F.regexp_extract(F.substring("section", 1, most), r"(?s)\A(.*\n)", 1)
+    return out.withColumn("section", F.when(F.col("_part"), lines).otherwise(F.col("section"))).drop("_part")
 
 
 def named_by_change(error_rows: DataFrame, tokens: DataFrame, most: int = 3) -> DataFrame:

@@ -76,7 +76,7 @@ def drift_requests(claim_rows: DataFrame) -> DataFrame:
 
     src = R.redact(F.array_join(F.transform("symbols", lambda s: F.concat(F.lit("# "), s["file"], F.lit(":"), s["line"].cast("string"), F.lit("\n"), s["source"])), "\n\n"))
     words = F.filter(F.split("sentence", r"[^A-Za-z0-9_]+"), lambda w: F.length(w) > 3)
-    rows = claim_rows.withColumn("code", relevant_slice(src, words)).withColumn("sums", sums(src))
+    rows = claim_rows.withColumn("_src", src).withColumn("sums", sums("_src")).withColumn("code", relevant_slice(F.col("_src"), words)).drop("_src")
     return _requests(rows, "drift", F.col("claim_id"), F.col("sums").alias("a_sums"), F.col("code").alias("b_code"), F.substring("sentence", 1, 400).alias("c_sentence"))
 
 
@@ -153,39 +153,53 @@ def facts(failures: DataFrame) -> Column:
     )
 
 
+def _with_run(failures: DataFrame) -> DataFrame:
+    return failures if "run" in failures.columns else failures.withColumn("run", F.lit("run"))
+
+
 def overlap(failures: DataFrame, changed: DataFrame | None) -> DataFrame:
-    """failures with overlap: the changed(path) files that their errors name, null where the change is unknown (changed None), empty where it is known and touches none."""
+    """failures with overlap: the changed(path, run) files of their run that their errors name (of any run where changed has no run), null where the change is unknown (changed None), empty where it is known and touches none."""
     if changed is None:
-        return failures.withColumn("overlap", F.lit(None).cast("array<string>"))
-    named = failures.select("signature", F.explode("files").alias("named_path"))
-    met = pairing.by_suffix(named, changed.select(F.col("path").alias("known_path"))).groupBy("signature").agg(F.array_sort(F.collect_set("known_path")).alias("overlap"))
-    return failures.join(met, "signature", "left").withColumn("overlap", F.coalesce("overlap", F.array().cast("array<string>")))
+        return _with_run(failures).withColumn("overlap", F.lit(None).cast("array<string>"))
+    failures = _with_run(failures)
+    named = failures.select("run", "signature", F.explode("files").alias("named_path"))
+    met = pairing.by_suffix(named, changed.select(F.col("path").alias("known_path"), *([F.col("run").cast("string").alias("_of")] if "run" in changed.columns else [F.lit(None).cast("string").alias("_of")])))
+    met = met.where("_of is null or _of = run").groupBy("run", "signature").agg(F.array_sort(F.collect_set("known_path")).alias("overlap"))
+    return failures.join(met, ["run", "signature"], "left").withColumn("overlap", F.coalesce("overlap", F.array().cast("array<string>")))
 
 
 def triage_requests(failures: DataFrame, diffs: DataFrame | None) -> DataFrame:
-    """Requests of failures: facts, labelled error lines, the output's end and the change within its budget."""
+    """Requests of failures: facts, labelled error lines, the output's end and the change of their run within its budget.
+
+    diffs(change_id, diff, run): without a column run they are all of the run named "run". Sections are
+    redacted before any of them is cut.
+    """
+    failures = _with_run(failures)
     if diffs is None:
         rows = failures.withColumn("change", F.lit(None).cast("string"))
     else:
-        # all diffs of the run are its change, in the order of their ids, with one budget
-        secs = changes.sections(diffs).withColumn("file_no", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("change_id", "file_no"))).withColumn("change_id", F.lit("run"))
-        named = failures.select(F.explode(F.coalesce("overlap", F.array().cast("array<string>"))).alias("path")).distinct().withColumn("change_id", F.lit("run"))
-        kept = changes.within_budget(secs, named).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_no", "section"))), lambda s: R.redact(s["section"])), "").alias("change"))
-        rows = failures.crossJoin(F.broadcast(kept))  # one row of a fixed budget
+        # all diffs of a run are its change, in the order of their ids, with one budget
+        of_run = diffs.select("change_id", F.coalesce(F.col("run").cast("string"), F.lit("run")).alias("run")) if "run" in diffs.columns else diffs.select("change_id", F.lit("run").alias("run"))
+        secs = changes.sections(diffs).withColumn("section", R.redact_lines(F.col("section"))).join(of_run.distinct(), "change_id")
+        secs = secs.withColumn("file_no", F.row_number().over(Window.partitionBy("run").orderBy("change_id", "file_no"))).withColumn("change_id", F.col("run"))
+        named = failures.select(F.col("run").alias("change_id"), F.explode(F.coalesce("overlap", F.array().cast("array<string>"))).alias("path")).distinct()
+        kept = changes.within_budget(secs, named).groupBy(F.col("change_id").alias("run")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("file_no", "section"))), lambda s: s["section"]), "").alias("change"))
+        rows = failures.join(kept, "run", "left")
     labelled = F.array_join(F.transform("candidates", lambda x, i: F.concat(F.lit("L"), (i + 1).cast("string"), F.lit(" "), x)), "\n")
-    return _requests(rows, "triage", F.col("signature"), facts(rows).alias("a_facts"), labelled.alias("b_error_lines"), F.array_join("tail", "\n").alias("c_output_end"), F.col("change").alias("d_change"))
+    return _requests(rows, "triage", F.concat_ws("|", "run", "signature"), facts(rows).alias("a_facts"), labelled.alias("b_error_lines"), F.array_join("tail", "\n").alias("c_output_end"), F.col("change").alias("d_change"))
 
 
 def triage(log_rows: DataFrame, scorer: engine.Scorer, changed: DataFrame | None = None, diffs: DataFrame | None = None, passed: DataFrame | None = None) -> DataFrame:
-    """Did the change cause each failure? logs(file, text); passed(job, passed_before), where known."""
-    fails = overlap(logs.failures(logs.step_lines(log_rows)), changed)
+    """Did the change cause each failure? logs(file, text, run); passed(job, passed_before), where known. A failure meets the change of its own run."""
+    runs = log_rows.select("file", "run").distinct() if "run" in log_rows.columns else None
+    fails = overlap(logs.failures(logs.step_lines(log_rows), runs), changed)
     if passed is None:
         fails = fails.withColumn("passed_before", F.lit(None).cast("boolean"))
     else:
         fails = fails.withColumn("job", F.col("jobs")[0]).join(passed, "job", "left").drop("job")
     requests = triage_requests(fails, diffs)
     out, _ = engine.screen(requests, "triage", scorer)
-    rows = out.join(requests.select("item_id", "jobs", "step", "kind", "candidates", "overlap", "passed_before"), "item_id").withColumn("next_step", next_step(F.col("label"), F.col("overlap"), F.col("passed_before"), F.array_join("candidates", "\n")))
+    rows = out.join(requests.select("item_id", "run", "jobs", "step", "kind", "candidates", "overlap", "passed_before"), "item_id").withColumn("next_step", next_step(F.col("label"), F.col("overlap"), F.col("passed_before"), F.array_join("candidates", "\n")))
     order = F.when(F.col("label") == "CHANGE", 0).when(F.col("label") == "review", 1).when(F.col("label") == "??", 2).otherwise(3)
     return rows.orderBy(order, F.col("confidence").desc(), "item_id")
 
@@ -204,6 +218,7 @@ def next_step(label: Column, overlapping: Column, passed_before: Column, errors:
 
 def audit_pairs(rules: DataFrame, files: DataFrame, changed_lines: DataFrame | None = None) -> DataFrame:
     """Reviewed rules(rule, scope, status, keep_comments) with the units of files(path, text) in their scope; of changed_lines(path, line_no) alone where given."""
+    files = files.withColumn("text", R.redact_lines(F.col("text")))  # whole, as a key may go on beyond a unit
     reviewed = rules.where("status = 'reviewed'").select("rule", F.coalesce("scope", F.array(F.lit("**/*"))).alias("scope"), F.coalesce("keep_comments", F.lit(False)).alias("keep_comments"))
     met = pairing.in_scope(files.where(~R.secret_file(F.col("path"))).select("path"), reviewed.withColumn("scope", F.filter("scope", lambda g: g != "tests-only")))
     plain = code.code_units(code.stripped(files)).withColumn("keep_comments", F.lit(False))
@@ -216,7 +231,7 @@ def audit_pairs(rules: DataFrame, files: DataFrame, changed_lines: DataFrame | N
 
 
 def audit_requests(pairs: DataFrame) -> DataFrame:
-    unit = R.redact(F.substring("text", 1, CODE_CHARS))
+    unit = F.substring(R.redact(F.col("text")), 1, CODE_CHARS)
     return _requests(pairs, "audit", F.concat_ws("|", "rule", "path", "start"), F.substring("rule", 1, RULE_CHARS).alias("a_rule"), unit.alias("b_code"))
 
 
@@ -241,11 +256,11 @@ def check_code_rules(rules: DataFrame, files: DataFrame, scorer: engine.Scorer,
 
 def check_doc_claims(files: DataFrame, scorer: engine.Scorer) -> DataFrame:
     """Does the code do what its own comments, docstrings and test names say?"""
-    made = code.claims(code.code_units(files))
+    made = code.claims(code.code_units(files.withColumn("text", R.redact_lines(F.col("text")))))
     # the code is shown without comments; units pair by their lines, which stripping keeps
     bare = code.stripped(made.select("path", "start", "text").withColumnRenamed("start", "_s")).select("path", F.col("_s").alias("start"), F.col("text").alias("bare"))
     rows = made.join(bare, ["path", "start"])
-    requests = _requests(rows, "doc", F.concat_ws("|", "path", "start"), R.scrub(F.substring("claim", 1, 400)).alias("a_claim"), R.redact(F.substring("bare", 1, CODE_CHARS)).alias("b_code"))
+    requests = _requests(rows, "doc", F.concat_ws("|", "path", "start"), F.substring(R.scrub(F.col("claim")), 1, 400).alias("a_claim"), F.substring(R.redact(F.col("bare")), 1, CODE_CHARS).alias("b_code"))
     out, answers = engine.screen(requests, "doc", scorer)
     rows = out.join(answers.where("n = 0").select("request_key", F.col("answer.noul").alias("p")), "request_key").join(requests.select("item_id", "path", "start", "end", "kind", "claim"), "item_id")
     return rows.orderBy(_claim_order("STALE"), F.col("p").desc(), "item_id")
