@@ -49,3 +49,34 @@ def reading_plan(results: DataFrame, place: str, most: int) -> DataFrame:
     whole = met.where((F.col("before") >= most) | (F.col("after") <= most)).withColumn("listed", F.col("after") <= most)
     listed = whole.union(edge).select("part", "unit", "place_p", "listed")
     return rows.join(listed, ["part", "unit"]).drop("size", "unit_size")
+
+
+def passing_over(items: DataFrame, keys: list[str], order: list[Column], size: Column, most: int) -> DataFrame:
+    """items in order, each kept if it fits what room is left of `most`; what doesn't fit is passed over.
+
+    A running sum can't pass over, so each group's sizes are folded in order; the items themselves don't
+    move into the fold. Items of null size take no room.
+    """
+    along = Window.partitionBy(*keys).orderBy(*order)
+    rows = items.withColumn("_nth", F.row_number().over(along)).withColumn("_size", F.coalesce(size, F.lit(0)).cast("long"))
+    sizes = rows.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_nth", "_size"))).alias("_all"))
+    start = F.struct(F.lit(most).cast("long").alias("room"), F.array().cast("array<int>").alias("kept"))
+    take = lambda acc, x: F.when(x["_size"] <= acc["room"], F.struct((acc["room"] - x["_size"]).alias("room"), F.concat(acc["kept"], F.array(x["_nth"])).alias("kept"))).otherwise(acc)
+    kept = sizes.select(*keys, F.explode(F.aggregate("_all", start, take)["kept"]).alias("_nth"))
+    return rows.join(kept, [*keys, "_nth"], "left_semi").select(*items.columns)
+
+
+def fair_shares(items: DataFrame, keys: list[str], size: Column, room: int) -> DataFrame:
+    """items with share: how much of a group's room each may have, so that none has less than another unless it needs less.
+
+    With sizes in line, the level is the room that the smaller ones leave, dealt to those not smaller, at the
+    first size above it; where no size is, all have what they need. Shares are whole numbers.
+    """
+    along = Window.partitionBy(*keys).orderBy("_size")
+    rows = items.withColumn("_size", F.coalesce(size, F.lit(0)).cast("long"))
+    rows = rows.withColumn("_k", F.row_number().over(along)).withColumn("_less", F.sum("_size").over(along.rowsBetween(Window.unboundedPreceding, 0)) - F.col("_size"))
+    whole = Window.partitionBy(*keys)
+    level = F.floor((F.lit(room) - F.col("_less")) / (F.count(F.lit(1)).over(whole) - F.col("_k") + 1))
+    rows = rows.withColumn("_level", level)
+    rows = rows.withColumn("_cut", F.min_by(F.when(F.col("_size") > F.col("_level"), F.col("_level")), F.when(F.col("_size") > F.col("_level"), F.col("_k"))).over(whole))
+    return rows.withColumn("share", F.least("_size", F.coalesce("_cut", F.col("_size")))).drop("_size", "_k", "_less", "_level", "_cut")

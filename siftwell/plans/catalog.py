@@ -12,7 +12,7 @@ from siftwell.functions import keys as K
 from siftwell.functions import redact as R
 from siftwell.functions import text as T
 from siftwell.operators import budget, evaluation, lines, logs, merging, pairing
-from siftwell.plans import engine, fixtures
+from siftwell.plans import engine, evidence, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -704,8 +704,8 @@ def sliding_limit(spark, sf_dir):
 
 
 def queries() -> dict[str, Query]:
-    return _queries | fixtures.queries()
+    return _queries | evidence.queries() | fixtures.queries()
 
 
 def oracle_sql() -> dict[str, str]:
-    return _sql | fixtures.oracle_sql()
+    return _sql | evidence.oracle_sql() | fixtures.oracle_sql()

@@ -276,10 +276,10 @@ def check_change_claims(descriptions: DataFrame, diffs: DataFrame, scorer: engin
     total = secs.groupBy("change_id").agg(F.sum(F.length("section")).alias("_all"))
     rest = said.join(pairs, ["change_id", "claim_no"], "left_anti").join(total.where(F.col("_all") <= changes.ROOM), "change_id").join(secs.select("change_id", "path"), "change_id").select("change_id", "claim_no", "claim", "path")
     both = pairs.union(rest)
-    count = both.groupBy("change_id", "claim_no").agg(F.count(F.lit(1)).alias("_n"))
-    rows = both.join(count, ["change_id", "claim_no"]).join(secs, ["change_id", "path"])
-    # the room is shared equally by the files of a claim
-    part = F.substring(R.redact(F.col("section")), F.lit(1), F.greatest(F.lit(400), F.floor(F.lit(changes.ROOM) / F.col("_n"))).cast("int"))
+    rows = both.join(secs, ["change_id", "path"])
+    # no file of a claim is cut while another has more room; what small ones leave goes to larger ones
+    rows = budget.fair_shares(rows.withColumn("section", R.redact(F.col("section"))), ["change_id", "claim_no"], F.length("section"), changes.ROOM)
+    part = F.substring(F.col("section"), F.lit(1), F.col("share").cast("int"))
     grouped = rows.groupBy("change_id", "claim_no", "claim").agg(F.array_sort(F.collect_list(F.struct("path", part.alias("t")))).alias("s"))
     grouped = grouped.withColumn("hunks", F.substring(F.array_join("s.t", ""), 1, changes.ROOM)).withColumn("files", F.col("s.path"))
     requests = _requests(grouped, "change", F.concat_ws("|", "change_id", "claim_no"), F.col("claim").alias("a_claim"), F.col("hunks").alias("b_hunks"))

@@ -8,8 +8,6 @@ so that independent samples never collapse into one.
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,29 +16,10 @@ from pyspark.sql import functions as F
 
 from siftwell import schemas
 from siftwell.functions import gates
+from siftwell.tables import written
 
 Scorer = Callable[[DataFrame, int], DataFrame]
-_own: dict[str, str] = {}
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a temporary folder where it is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _own:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        _own[app] = "file://" + tempfile.mkdtemp(prefix="siftwell-")
-    return _own[app]
-
-
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a table in the shared folder, read back."""
-    path = f"{shared_dir(df.sparkSession)}/siftwell/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
 
 
 @dataclass(frozen=True)
