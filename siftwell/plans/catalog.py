@@ -12,7 +12,7 @@ from siftwell.functions import keys as K
 from siftwell.functions import redact as R
 from siftwell.functions import text as T
 from siftwell.operators import budget, evaluation, lines, logs, merging, pairing
-from siftwell.plans import engine, evidence, fixtures
+from siftwell.plans import checks, engine, evidence, fixtures
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -163,8 +163,7 @@ FROM conversations
 """)
 def log_scrub(spark, sf_dir):
     """Turns of conversations without home folders, addresses and bearer tokens."""
-    out = F.regexp_replace(F.regexp_replace("text", F.lit(r"(/home/|/Users/)[^/\\\s]+"), F.lit("$1<user>")), F.lit(R.EMAIL), F.lit("<email>"))
-    out = F.rtrim(F.regexp_replace(out, F.lit(R.LOG_RULES[0]), F.lit(f"$1{R.MASK}")))
+    out = R.scrub(F.col("text"))
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.sha2(out.cast("binary"), 256).alias("clean_sha256"))
 
 
@@ -617,9 +616,7 @@ SELECT id, row_number() OVER (PARTITION BY source ORDER BY CASE WHEN label = 'BR
 """)
 def audit_order(spark, sf_dir):
     """Results of each source in reading order: flagged, likely, unknown, low, passed."""
-    low = (F.col("label") == "review") & (F.col("p") < gates.NO)
-    group = F.when(F.col("label") == "BREAKS", 0).when(low, 4).when(F.col("label") == "review", 1).when(F.col("label") == "??", 2).when(F.col("label") == "ok", 6).otherwise(7)
-    w = Window.partitionBy("source").orderBy(group, F.col("p").desc(), "id")
+    w = Window.partitionBy("source").orderBy(checks.audit_group(F.col("label"), F.col("p")), F.col("p").desc(), "id")
     return _results(spark, sf_dir).select("id", F.row_number().over(w).cast("long").alias("place"))
 
 

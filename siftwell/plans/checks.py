@@ -248,10 +248,15 @@ def check_code_rules(rules: DataFrame, files: DataFrame, scorer: engine.Scorer,
         rows = merging.apply_verdicts(rows, verdicts)
     else:
         rows = rows.withColumn("recorded", F.lit(None).cast("string")).withColumn("poor_record", F.lit(False))
-    low = (F.col("label") == "review") & (F.coalesce("p", F.lit(0.0)) < gates.NO)
     known = (F.col("recorded") == "false_positive") & F.col("label").isin(*merging.FLAGGED)
-    group = F.when(known, 5).when(F.col("label") == "BREAKS", 0).when(low, 4).when(F.col("label") == "review", 1).when(F.col("label") == "??", 2).when(F.col("label") == "not checked", 3).when(F.col("label") == "ok", 6).otherwise(7)
-    return rows.orderBy(group, "poor_record", F.col("p").desc(), "item_id")
+    return rows.orderBy(audit_group(F.col("label"), F.col("p"), known), "poor_record", F.col("p").desc(), "item_id")
+
+
+def audit_group(label: Column, p: Column, known: Column | None = None) -> Column:
+    """Where a result stands in an audit's order: flagged, likely, unknown, not checked, low, known to be none, passed, not applicable."""
+    low = (label == "review") & (F.coalesce(p, F.lit(0.0)) < gates.NO)
+    group = F.when(label == "BREAKS", 0).when(low, 4).when(label == "review", 1).when(label == "??", 2).when(label == "not checked", 3).when(label == "ok", 6).otherwise(7)
+    return group if known is None else F.when(F.coalesce(known, F.lit(False)), 5).otherwise(group)
 
 
 def check_doc_claims(files: DataFrame, scorer: engine.Scorer) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from siftwell.operators import budget, closure, history, matching
+from siftwell.operators import budget, changes, closure, history, matching, merging, runs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -192,3 +192,108 @@ SELECT t.conv_id, t.turn, cast(least(t.s, coalesce(l.level, t.s)) AS BIGINT) AS
 def fair_room(spark, sf_dir):
     """Max-min fair shares: 2,000 characters of each conversation dealt to its turns, none less than another but by need."""
     return budget.fair_shares(table(spark, sf_dir, "conversations"), ["conv_id"], F.length("text"), 2000).select("conv_id", "turn", "share")
+
+
+# ---------------------------------------------------------------- runs
+
+_JOBS = """
+j AS (
+  SELECT event_id, user_id % 40 AS run, CASE WHEN event_id % 2 = 0 THEN 'build' ELSE 'test' END AS base, event_id % 3 AS variant, 's' || (event_id % 5) AS step,
+    CASE event_type WHEN 'error' THEN 'failure' WHEN 'signup' THEN 'timed_out' WHEN 'purchase' THEN 'cancelled' ELSE 'success' END AS conclusion, ts AS completed_at
+  FROM events
+), jobs AS (SELECT *, base || ' (' || variant || ')' AS name FROM j)
+"""
+
+
+def _jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events as jobs of runs: a matrix of builds and tests, each with an end and a conclusion."""
+    kinds = F.create_map(*[F.lit(x) for x in ("error", "failure", "signup", "timed_out", "purchase", "cancelled")])
+    base = F.when(F.col("event_id") % 2 == 0, "build").otherwise("test")
+    return table(spark, sf_dir, "events").select(
+        "event_id", (F.col("user_id") % 40).alias("run"), F.concat(base, F.lit(" ("), (F.col("event_id") % 3).cast("string"), F.lit(")")).alias("name"),
+        F.concat(F.lit("s"), (F.col("event_id") % 5).cast("string")).alias("step"), F.coalesce(kinds[F.col("event_type")], F.lit("success")).alias("conclusion"), F.col("ts").cast("timestamp").alias("completed_at"),
+    )
+
+
+@query(f"""
+WITH {_JOBS}
+SELECT event_id, name, conclusion FROM (SELECT *, bool_or(conclusion IN ('failure', 'timed_out')) OVER (PARTITION BY event_id // 3) AS any_failed FROM jobs)
+WHERE conclusion IN ('failure', 'timed_out') OR (NOT any_failed AND conclusion = 'cancelled')
+""")
+def jobs_to_triage(spark, sf_dir):
+    """Which jobs of each run are looked into: failed ones, else the cancelled."""
+    rows = _jobs(spark, sf_dir).withColumn("run", F.floor(F.col("event_id") / 3))  # three jobs a run, so that some have no failure
+    return runs.to_triage(rows).select("event_id", "name", "conclusion")
+
+
+@query(f"""
+WITH {_JOBS},
+e AS (SELECT *, cast(floor(epoch(completed_at)) AS BIGINT) AS t FROM jobs)
+SELECT run, name, EXISTS (SELECT 1 FROM e f WHERE f.run = e.run AND f.base = e.base AND f.conclusion IN ('failure', 'timed_out') AND e.t - f.t BETWEEN -5 AND 300) AS by_fail_fast
+FROM e WHERE conclusion = 'cancelled'
+""")
+def cancelled_by_a_failure(spark, sf_dir):
+    """Interval join of ends: jobs that were cancelled from 5 seconds before to 300 after a failure of their matrix."""
+    return runs.cancelled_jobs(_jobs(spark, sf_dir))
+
+
+@query(f"""
+WITH {_JOBS},
+f AS (SELECT DISTINCT run, base, name, step FROM jobs WHERE conclusion = 'failure'),
+p AS (SELECT DISTINCT run, base, name, step FROM jobs WHERE conclusion = 'success')
+SELECT f.run, f.name AS job, f.step, coalesce(string_agg(p.name, ',' ORDER BY p.name), '') AS passed_in
+FROM f LEFT JOIN p ON p.run = f.run AND p.base = f.base AND p.step = f.step AND p.name <> f.name GROUP BY ALL
+""")
+def steps_passed_elsewhere(spark, sf_dir):
+    """For each failed step, the jobs of its matrix in which it passed."""
+    steps = _jobs(spark, sf_dir).select("run", F.col("name").alias("job"), "step", "conclusion").distinct()
+    out = runs.passed_in(steps.where("conclusion = 'failure'").drop("conclusion"), steps)
+    return out.withColumn("passed_in", F.array_join("passed_in", ","))
+
+
+# ---------------------------------------------------------------- changes
+
+
+def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each conversation as a change: a file a turn, whose role is replaced by the lines of its text."""
+    path = F.concat(F.lit("t"), F.col("turn").cast("string"), F.lit(".txt"))
+    n = F.size(F.split("text", "\n", -1)).cast("string")
+    part = F.concat(F.lit("diff --git a/"), path, F.lit(" b/"), path, F.lit("\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -1,1 +1,"), n, F.lit(" @@\n-"), "role", F.lit("\n+"), F.replace("text", F.lit("\n"), F.lit("\n+")), F.lit("\n"))
+    per = table(spark, sf_dir, "conversations").where("text is not null").groupBy(F.col("conv_id").cast("string").alias("change_id")).agg(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))).alias("x"))
+    return per.select("change_id", F.array_join("x.p", "").alias("diff"))
+
+
+@query(r"""
+WITH l AS (SELECT cast(conv_id AS VARCHAR) AS change_id, 't' || turn || '.txt' AS path, role, string_split(text, chr(10)) AS ls FROM conversations WHERE text IS NOT NULL)
+SELECT change_id, path, '-' AS sign, 1 AS line_no, role AS line FROM l
+UNION ALL
+SELECT change_id, path, '+', cast(i AS INT), ls[i] FROM (SELECT *, unnest(range(1, len(ls) + 1)) AS i FROM l)
+""")
+def changed_lines(spark, sf_dir):
+    """Diffs by line: the lines that each turn adds and the one it removes, with their numbers."""
+    return changes.diff_lines(changes.sections(_diffs(spark, sf_dir)))
+
+
+@query(r"""
+WITH RECURSIVE t AS (
+  SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS i,
+    4 * length('t' || turn || '.txt') + length('diff --git a/ b/--- a/+++ b/@@ -1,1 +1, @@-+') + 6 + length(cast(len(string_split(text, chr(10))) AS VARCHAR)) + length(role) + length(text) + length(text) - length(replace(text, chr(10), '')) AS s
+  FROM conversations WHERE text IS NOT NULL
+), f(conv_id, i, turn, s, room, kept) AS (
+  SELECT conv_id, i, turn, s, CASE WHEN s <= 5000 THEN 5000 - s ELSE 5000 END, s <= 5000 FROM t WHERE i = 1
+  UNION ALL
+  SELECT t.conv_id, t.i, t.turn, t.s, CASE WHEN t.s <= f.room THEN f.room - t.s ELSE f.room END, t.s <= f.room FROM f JOIN t ON t.conv_id = f.conv_id AND t.i = f.i + 1
+)
+SELECT cast(conv_id AS VARCHAR) AS change_id, 't' || turn || '.txt' AS path, cast(s AS INT) AS n_chars FROM f WHERE kept
+""")
+def change_budget(spark, sf_dir):
+    """The files of each change that fit 5,000 characters, passing over those that don't."""
+    secs = changes.sections(_diffs(spark, sf_dir))
+    none = secs.select("change_id", "path").where("false")
+    return changes.within_budget(secs, none).select("change_id", "path", F.length("section").alias("n_chars"))
+
+
+@query("SELECT source, count(*) AS n FROM documents GROUP BY source ORDER BY n DESC, source LIMIT 5")
+def most_paired_places(spark, sf_dir):
+    """Health of a map: the five places that most results are paired with."""
+    return merging.health(table(spark, sf_dir, "documents").withColumn("label", F.lit("ok")), "source")[1]
