@@ -293,13 +293,13 @@ def last_purchase_before_error(spark, sf_dir):
 
 @query("""
 WITH l AS (SELECT doc_id, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
-r AS (SELECT doc_id, 2 + doc_id % 5 AS a, 6 + doc_id % 11 AS z FROM documents)
+r AS (SELECT doc_id, 1 + (7 * doc_id) % len(string_split(text, chr(10))) AS a, 1 + (7 * doc_id) % len(string_split(text, chr(10))) + doc_id % 11 AS z FROM documents WHERE text IS NOT NULL)
 SELECT l.doc_id, count(*) AS n, cast(sum(l.line_no) AS BIGINT) AS lines FROM l JOIN r ON l.doc_id = r.doc_id AND l.line_no BETWEEN r.a AND r.z GROUP BY l.doc_id
 """)
 def lines_in_ranges(spark, sf_dir):
-    """Range join: the lines of each document that lie in a range of it."""
+    """Range join: the lines of each document that lie in a range of it, which begins anywhere."""
     docs = table(spark, sf_dir, "documents")
-    ranges = docs.select("doc_id", (2 + F.col("doc_id") % 5).alias("a"), (6 + F.col("doc_id") % 11).alias("z"))
+    ranges = docs.where("text is not null").select("doc_id", (1 + (7 * F.col("doc_id")) % F.size(F.split("text", "\n", -1))).alias("a")).withColumn("z", F.col("a") + F.col("doc_id") % 11)
     met = pairing.in_range(lines.line_rows(docs, ["doc_id"]).drop("line"), "line_no", ranges, "a", "z", ["doc_id"], bin_size=8)
     return met.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum("line_no").cast("long").alias("lines"))
 
@@ -333,27 +333,28 @@ def rules_in_scope(spark, sf_dir):
     return pairing.in_scope(pages, rules).dropDuplicates(["rule", "page_id"]).groupBy("rule").agg(F.count(F.lit(1)).alias("n"), F.min("page_id").alias("first"))
 
 
-@query(r"""
+_SUFFIX_SQL = r"""
 WITH p AS (SELECT page_id, regexp_replace(url, '^https?://[^/]*/', '') AS path FROM pages),
-k AS (SELECT DISTINCT regexp_replace(path, '[?#].*$', '') AS known_path FROM p WHERE page_id % 3 = 0)
+k AS (SELECT DISTINCT regexp_replace(path, '[?#].*$', '') AS known_path FROM p)
 SELECT page_id, known_path FROM p JOIN k ON string_split(path, '/')[-1] = string_split(known_path, '/')[-1]
   AND (path = known_path OR ends_with(known_path, '/' || path) OR ends_with(path, '/' || known_path))
-""")
-def pages_by_suffix(spark, sf_dir):
-    """Suffix join: paths that are equal, or end with one another. As its SQL, only pages whose id is a multiple of 3 give known paths; pages_by_suffix_all takes all."""
-    p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", F.lit("^https?://[^/]*/"), F.lit("")).alias("named_path"))
-    k = p.where("page_id % 3 = 0").select(F.regexp_replace("named_path", F.lit("[?#].*$"), F.lit("")).alias("known_path")).distinct()
-    return pairing.by_suffix(p, k).select("page_id", "known_path")
+"""
 
 
-@query()
-def pages_by_suffix_all(spark, sf_dir):
+@query(_SUFFIX_SQL)
+def pages_by_suffix(spark, sf_dir):
     """Suffix join: paths that are equal, or end with one another; the paths of all pages are known."""
     p = table(spark, sf_dir, "pages").select("page_id", F.regexp_replace("url", F.lit("^https?://[^/]*/"), F.lit("")).alias("named_path"))
     k = p.select(F.regexp_replace("named_path", F.lit("[?#].*$"), F.lit("")).alias("known_path")).distinct()
     return pairing.by_suffix(p, k).select("page_id", "known_path")
 
 
+@query(_SUFFIX_SQL)
+def pages_by_suffix_all(spark, sf_dir):
+    """pages_by_suffix, by the name it had while that took only some pages."""
+    return pages_by_suffix(spark, sf_dir)
+
+
 @query(r"""
 WITH p AS (SELECT page_id, '/' || trim(regexp_replace(regexp_replace(regexp_replace(url, '^https?://[^/]*', ''), '[?#].*$', ''), '/+', '/', 'g'), '/') AS path FROM pages),
 r(route_path, pattern) AS (VALUES ('/{lang}/{id}', '^/[^/]+/[^/]+$'), ('/en/{id}', '^/en/[^/]+$'))
