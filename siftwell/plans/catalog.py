@@ -541,6 +541,7 @@ _DUCK_GATES = {
     "change": "CASE WHEN choice = 'cannot_tell' THEN 'unverifiable' WHEN choice = 'too_vague' AND noul < 0.295 THEN 'na' WHEN choice IN ('contradicted', 'not_shown') AND confidence >= 0.905 THEN 'act' WHEN choice = 'implemented' AND confidence >= 0.905 AND noul < 0.295 THEN 'clean' ELSE 'review' END",
 }
 _DUCK_AGREED = {
+    "triage": "CASE WHEN choice = 'the_change' AND causes THEN 'act' END",
     "drift": "CASE WHEN choice = 'drifted' THEN 'act' WHEN choice = 'accurate' AND worst < 0.70 THEN 'clean' WHEN choice IN ('not_enough_information', 'unrelated') THEN 'unverifiable' END",
     "audit": "CASE WHEN choice = 'breaks' THEN 'act' WHEN choice = 'follows' AND worst < 0.295 THEN 'clean' WHEN choice = 'not_applicable' AND worst < 0.295 THEN 'na' END",
     "doc": "CASE WHEN choice IN ('stale_signature', 'stale_behaviour') THEN 'act' WHEN choice = 'consistent' AND worst < 0.295 THEN 'clean' WHEN choice = 'too_general' AND worst < 0.295 THEN 'na' END",
@@ -570,12 +571,13 @@ def _screen_query(family: str) -> None:
     a AS (SELECT request_key, n, {_duck_answer(family, "n")} FROM (SELECT DISTINCT request_key FROM r), (SELECT unnest([0, 1, 2]) AS n)),
     one AS (SELECT request_key, {_DUCK_GATES[family]} AS action FROM a WHERE n = 0),
     three AS (SELECT request_key, CASE WHEN count(DISTINCT choice) = 1 AND min(confidence) >= {floor} THEN ({_DUCK_AGREED[family]}) END AS agreed FROM
-      (SELECT request_key, choice, confidence, max(noul) OVER (PARTITION BY request_key) AS worst FROM a) GROUP BY request_key, choice, worst HAVING count(*) = 3)
+      (SELECT request_key, choice, confidence, max(noul) OVER (PARTITION BY request_key) AS worst, bool_and(cause = 'change_broke_code') OVER (PARTITION BY request_key) AS causes FROM a)
+      GROUP BY request_key, choice, worst, causes HAVING count(*) = 3)
     SELECT r.item_id, CASE CASE WHEN action IN ({settled}) THEN action ELSE coalesce(agreed, action) END {labels} END AS label
     FROM r JOIN one USING (request_key) LEFT JOIN three USING (request_key)
     """)
     def screen(spark, sf_dir):
-        out, _ = engine.screen(_requests(spark, sf_dir), family, engine.hashed_scorer(_CHOICES[family], _CAUSES))
+        out, _ = engine.screen(_requests(spark, sf_dir), family, engine.hashed_scorer(_CHOICES[family], _CAUSES), samples=3)
         return out.select("item_id", "label")
 
     _queries[f"screen_{family}"], _sql[f"screen_{family}"] = _queries.pop("screen"), _sql.pop("screen")
