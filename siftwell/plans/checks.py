@@ -15,6 +15,7 @@ from siftwell.functions import redact as R
 from siftwell.functions import text as T
 from siftwell.operators import budget, changes, code, lines, logs, merging, pairing
 from siftwell.plans import engine
+from siftwell.tables import written
 
 CODE_CHARS, RULE_CHARS, CONFIRM_ABOVE = 2600, 1200, 400
 #: What is asked, by family: options of the verdict and the second opinion. Part of every request's key.
@@ -237,7 +238,7 @@ def audit_requests(pairs: DataFrame) -> DataFrame:
 
 def check_code_rules(rules: DataFrame, files: DataFrame, scorer: engine.Scorer, verdicts: DataFrame | None = None, changed_lines: DataFrame | None = None, confirmed: int | None = None) -> DataFrame:
     """Does each unit keep the rules in whose scope it is? Above CONFIRM_ABOVE requests, `confirmed` must be their number."""
-    requests = audit_requests(audit_pairs(rules, files, changed_lines))
+    requests = written(audit_requests(audit_pairs(rules, files, changed_lines)), "audit-requests")  # counted, then asked
     n = requests.select("request_key").distinct().count()
     if n > CONFIRM_ABOVE and confirmed != n:
         raise ValueError(f"{n} requests would be asked; pass confirmed={n} to do so")
