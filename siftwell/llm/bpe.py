@@ -2,9 +2,11 @@
 
 `encode` cuts texts into words by the tokenizer's pattern, sends the distinct words of each chunk of
 documents to the word's partition, merges each word once by the ranks, joins the ids back to the
-chunk and reassembles every document by position. `decode` joins ids with the token-byte table, of
-the vocabulary's size, and concatenates. The rank file is read by the driver from a path that is a
-parameter; its size is the vocabulary's.
+chunk and reassembles every document by position. `decode` explodes ids and joins them with the
+token-byte table, which is broadcast (its size is the vocabulary's): rows of documents stay where they are,
+and as a broadcast join streams the other side, the pieces of a document stay in order and are its bytes
+one after another. Their number is held against the ids, so a plan that broke the order would be an error.
+The rank file is read by the driver from a path that is a parameter; its size is the vocabulary's.
 
 Cases: null and empty texts have no ids; special tokens in a text are ordinary text; repeated rows
 and null ids are documents of their own; an id outside the vocabulary decodes to nothing and is
@@ -15,6 +17,7 @@ are ignored by encode and kept by decode.
 from __future__ import annotations
 
 import base64
+import heapq
 import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -22,12 +25,14 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import regex
-import tiktoken
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from siftwell.llm import chunks
 
+#: Ids of a document that are exploded at once, so that a long one is never held as rows.
+SLICE = 4096
 #: Letters of the Latin blocks, a range in which the built-in `re` and \p{L} agree.
 _LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+")
@@ -51,9 +56,32 @@ def _ranks(raw: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in map(bytes.split, raw.splitlines()) if a}
 
 
-@lru_cache(maxsize=2)
-def _merger(raw: bytes, pattern: str) -> tiktoken.Encoding:
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=_ranks(raw), special_tokens={})
+def merged(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """The ids of one word: the pair of neighbours with the lowest rank is joined, the left one of equals, until none has a rank.
+
+    Pairs wait in a heap and parts are linked by their starts, so a word of n bytes takes n log n steps.
+    """
+    n = len(word)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    pairs = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i : i + 2])) is not None]
+    heapq.heapify(pairs)
+    while pairs:
+        _, i, end = heapq.heappop(pairs)
+        j = after[i]
+        if j < 0 or j >= n or after[j] != end:  # one of the two was joined meanwhile
+            continue
+        after[i], after[j] = end, -1
+        if end < n:
+            before[end] = i
+            if (r := ranks.get(word[i : after[end]])) is not None:
+                heapq.heappush(pairs, (r, i, after[end]))
+        if (p := before[i]) >= 0 and (r := ranks.get(word[p:end])) is not None:
+            heapq.heappush(pairs, (r, p, end))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i : after[i]]])
+        i = after[i]
+    return out
 
 
 def splitter(pattern: str) -> Callable[[], Callable[[str], list[str]]]:
@@ -75,10 +103,10 @@ def encode(df: DataFrame, ranks_path: str, pattern: str = KNOWN_PATTERN) -> Data
     raw = spark.sparkContext.broadcast(read_ranks(ranks_path))  # as large as the vocabulary
 
     def work() -> Callable[[list[bytes], np.ndarray], chunks.Values]:
-        ranks, one = _ranks(raw.value), _merger(raw.value, pattern)._core_bpe.encode_single_piece
+        ranks = _ranks(raw.value)
 
         def ids_of(words: list[bytes], _: np.ndarray) -> chunks.Values:
-            out = [[whole] if (whole := ranks.get(w)) is not None else one(w) for w in words]
+            out = [[whole] if (whole := ranks.get(w)) is not None else merged(w, ranks) for w in words]
             count = np.fromiter(map(len, out), np.int64, len(out))
             return chunks.Values(np.fromiter((i for x in out for i in x), np.int64, int(count.sum())), count)
 
@@ -97,34 +125,55 @@ def encode(df: DataFrame, ranks_path: str, pattern: str = KNOWN_PATTERN) -> Data
     return chunks.reassembled(codes, chunks.by_word(packs, work), finish, "doc_id long, ids array<int>", arrays=True)
 
 
+def token_bytes(spark: SparkSession, ranks_path: str) -> DataFrame:
+    """(id, piece): the token-byte table, a row for each entry of the vocabulary."""
+    ranks = _ranks(read_ranks(ranks_path))
+    return spark.createDataFrame(pa.table({"id": pa.array(ranks.values(), pa.int64()), "piece": pa.array(ranks.keys(), pa.binary())}))
+
+
 def decode(df: DataFrame, ranks_path: str) -> DataFrame:
     """df with the columns decoded (bytes) and n_unknown, from its column ids."""
-    raw = df.sparkSession.sparkContext.broadcast(read_ranks(ranks_path))
     fields = [f for f in df.schema.fields if f.name not in ("decoded", "n_unknown")]
-    at = [f.name for f in fields].index("ids")
+    row = StructType([StructField(f.name, f.dataType, True) for f in fields])
+    element = StructType([StructField("id", LongType()), StructField("row", row)])
+    empty = F.filter(F.array(F.lit(None).cast(element)), lambda e: F.lit(False))
+    last = F.greatest(F.lit(0), F.floor((F.coalesce(F.size("ids"), F.lit(0)) - 1) / SLICE).cast("int"))
+    parts = df.select(F.struct(*[F.col(f"`{f.name}`") for f in fields]).alias("row"), F.explode(F.sequence(F.lit(0), last)).alias("part"))
+    head = F.when(F.col("part") == 0, F.array(F.struct(F.lit(None).cast("long").alias("id"), F.col("row").cast(row).alias("row")))).otherwise(empty)
+    ids = F.slice("row.ids", F.col("part") * SLICE + 1, SLICE)
+    body = F.coalesce(F.transform(ids, lambda i: F.struct(i.cast("long").alias("id"), F.lit(None).cast(row).alias("row"))), empty)
+    each = parts.select(F.explode(F.concat(head, body)).alias("e")).select("e.id", "e.row")
+    pieces = each.join(F.broadcast(token_bytes(df.sparkSession, ranks_path)), "id", "left").select("row", "piece")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ranks = _ranks(raw.value)
-        table = [b""] * (max(ranks.values()) + 2)
-        for piece, i in ranks.items():
-            table[i] = piece
-        known = np.zeros(len(table), bool)
-        known[list(ranks.values())] = True
-        take = table.__getitem__
+        whole, found, n, unknown = None, [], 0, 0
+
+        def closed() -> tuple:
+            of = whole.field("ids")[0]
+            if n != (len(of) if of.is_valid else 0):
+                raise RuntimeError("the pieces of a document are not in one row of pieces")
+            return (whole, b"".join(found), unknown) if of.is_valid else (whole, None, None)
+
+        def batch_of(done: list[tuple]) -> pa.RecordBatch:
+            rows = pa.concat_arrays([d[0] for d in done])
+            return pa.RecordBatch.from_arrays([*rows.flatten(), pa.array([d[1] for d in done], pa.binary()), pa.array([d[2] for d in done], pa.int64())], [*row.names, "decoded", "n_unknown"])
+
         for batch in batches:
-            for a in range(0, len(batch), 256):
-                part, decoded, unknown = batch.slice(a, 256), [], []
-                for x in part.column(at):
-                    if not x.is_valid:
-                        decoded.append(None)
-                        unknown.append(None)
-                        continue
-                    ids = np.array([-1 if i is None else i for i in x.as_py()]) if x.values.null_count else np.asarray(x.values)
-                    ids = np.where((ids >= 0) & (ids < len(table)), ids, len(table) - 1)
-                    ok = known[ids] if len(ids) else np.zeros(0, bool)
-                    unknown.append(int(len(ids) - ok.sum()))
-                    decoded.append(b"".join(map(take, ids.tolist())))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(decoded, pa.binary()), pa.array(unknown, pa.int64())], [*part.schema.names, "decoded", "n_unknown"])
-
-    schema = StructType([*[StructField(f.name, f.dataType, True) for f in fields], StructField("decoded", BinaryType()), StructField("n_unknown", LongType())])
-    return df.select(*[f"`{f.name}`" for f in fields]).mapInArrow(run, schema)
+            rows, piece, done = batch.column(0), batch.column(1).cast(pa.binary()), []
+            heads = np.flatnonzero(rows.is_valid().to_numpy(zero_copy_only=False)).tolist()
+            lost = np.concatenate([[0], np.cumsum(piece.is_null().to_numpy(zero_copy_only=False))])
+            at = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + len(piece) + 1] if len(piece) else np.zeros(1, np.int32)
+            data = memoryview(piece.buffers()[2] or b"")
+            for begin, end in zip([-1, *heads], [*heads, len(batch)]):
+                if begin >= 0:  # a document begins here, the one before is complete
+                    if whole is not None:
+                        done.append(closed())
+                    whole, found, n, unknown = rows.slice(begin, 1), [], 0, 0
+                found.append(bytes(data[at[begin + 1] : at[end]]))
+                n, unknown = n + end - begin - 1, unknown + int(lost[end] - lost[begin + 1])
+            if done:
+                yield batch_of(done)
+        if whole is not None:
+            yield batch_of([closed()])
+
+    return pieces.mapInArrow(run, StructType([*row.fields, StructField("decoded", BinaryType()), StructField("n_unknown", LongType())]))

@@ -26,6 +26,30 @@ def test_split_of_odd_texts():
         assert [i for w in words for i in ENC._core_bpe.encode_single_piece(w.encode())] == ENC.encode_ordinary(text), repr(text)
 
 
+def test_merging_is_the_librarys():
+    r = random.Random(7)
+    ranks = bpe._ranks(bpe.read_ranks(RANKS))
+    words = [bytes(r.choice(b"aest -=\xe6\x97") for _ in range(r.randint(1, 60))) for _ in range(3000)]
+    words += [b"a" * n for n in range(1, 200)] + [b"=" * 5000, b"ab" * 4000, b" " * 333, bytes(range(256))]
+    for w in words:
+        assert bpe.merged(w, ranks) == ENC._core_bpe.encode_single_piece(w), w
+
+
+def test_decoding_is_a_broadcast_join_without_a_shuffle(spark):
+    df = spark.range(3).selectExpr("id doc_id", "array(cast(64 as int)) ids")
+    plan = bpe.decode(df, RANKS)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+def test_long_documents_cross_slices_and_batches(spark):
+    sizes = [0, 1, 4095, 4096, 4097, 50_000, 8192, 0, 3]
+    df = spark.createDataFrame([(i, [64 + (i + j) % 20 for j in range(n)], f"k{i}") for i, n in enumerate(sizes)], "doc_id long, ids array<int>, piece string").repartition(2)
+    ranks = {i: b for b, i in bpe._ranks(bpe.read_ranks(RANKS)).items()}
+    rows = bpe.decode(df, RANKS).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(sizes)))
+    assert all(bytes(r.decoded) == b"".join(ranks[i] for i in r.ids) and len(r.ids) == sizes[r.doc_id] and r.piece == f"k{r.doc_id}" for r in rows)
+
+
 def test_given_table(spark):
     d = "/root/testdata/sf0.01"
     want = {}
