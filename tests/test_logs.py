@@ -79,3 +79,80 @@ def test_empty(spark):
     none = spark.createDataFrame([], "file string, text string")
     assert logs.failures(logs.step_lines(none)).count() == 0
     assert logs.failures(logs.step_lines(spark.createDataFrame([("f", ""), ("g", None)], "file string, text string"))).where(F.size("jobs") > 1).count() == 0
+
+
+#: A line of each format, and what it is: an error by itself, a hint, an end without a cause, a summary, noise, or nothing.
+FORMS = [
+    ("FAILED tests/test_a.py::test_x - assert 1 == 2", "strong"),
+    ("E       AssertionError: no", "strong"),
+    ("builtins.KeyboardInterrupt", "strong"),
+    ("pkg.errors.ParseError", "strong"),
+    ("Caused by: java.io.IOException", "strong"),
+    ("org.junit.ComparisonFailure: expected", "strong"),
+    ("FAILURE: nothing", "strong"),
+    ("test_failure: passed", ""),
+    ("[ERROR] Failed to execute goal", "strong"),
+    ("> Task :compileJava FAILED", "strong"),
+    ("Some FAILED thing", "strong"),
+    ("reading failed.log", ""),
+    ("writing out/FAILED/x", ""),
+    ("12 failed, 3 passed", "strong"),
+    ("0 failed, 3 passed", ""),
+    ("--- FAIL: TestA (0.00s)", "strong"),
+    ("panic: nil map", "strong"),
+    ("error[E0425]: cannot find value", "strong"),
+    ("  --> src/main.rs:3", "strong"),
+    ("✕ adds numbers (3 ms)", "strong"),
+    ("npm ERR! missing script", "strong"),
+    ("src/a.ts(3,1): error TS2304: no name", "strong"),
+    ("mypy.....................................Failed", "strong"),
+    ("- hook id: mypy", "strong"),
+    ("Found 3 errors in 1 file", "strong"),
+    ("CVE-2024-12 x", "strong"),
+    ("   Total: 4 (HIGH: 1)", "strong"),
+    ("x: the name of a cmdlet", ""),
+    ("'x' is not recognized as an internal or external command", "strong"),
+    ("E: Failed to fetch http://x", "strong"),
+    ("src/app.py:12: in run", "weak"),
+    ("F401 unused import", "weak"),
+    ("expected 3 but found 4, got 5", "weak"),
+    ("job x ERROR y", "weak"),
+    ("at frame src/app/x.py:12", "weak"),
+    ("all is well", ""),
+    ("issues found", "terminal"),
+    ("##[error]Process completed with exit code 2.", "terminal"),
+    ("make: *** [all] Error 2", "terminal"),
+    ("npm ERR! code ELIFECYCLE", "terminal"),
+    ("=== short test summary info ===", "summary"),
+    ("Results:", "summary"),
+    ("Downloading x-1.0.whl", "noise"),
+    ("2026-01-01T00:00:00Z INFO error: none", "noise"),
+    ("    --- PASS: TestB", "noise"),
+]
+
+
+def test_forms_of_lines(spark):
+    df = spark.createDataFrame(list(enumerate(FORMS)), "i int, f struct<line: string, kind: string>").select("i", "f.*")
+    line = F.col("line")
+    trimmed = F.trim(line)
+    kind = (
+        F.when(line.rlike(logs.NOISE), "noise").when(trimmed.rlike(logs.TERMINAL), "terminal").when(line.rlike(logs.SUMMARY) & ~line.rlike(logs.STRONG), "summary")
+        .when(line.rlike(logs.STRONG), "strong").when(line.rlike(logs.WEAK), "weak").otherwise("")
+    )
+    wrong = [(r.line, r.kind, r.got) for r in df.withColumn("got", kind).collect() if r.got != r.kind]
+    assert not wrong
+
+
+def test_kinds_of_steps(spark):
+    rows = [("Run make test", None, "test"), ("x", "E: Failed to fetch http://a", "install"), ("unit test", "TypeError: Failed to fetch", "test"), ("x", "[3]E: failed to fetch", "install"), (None, None, "other"), ("Lint", "1 ERROR TS2304", "type"), ("compile", "", "build")]
+    df = spark.createDataFrame(rows, "name string, tail string, kind string")
+    assert [(r.name, r.got) for r in df.withColumn("got", logs.step_kind(F.col("name"), F.col("tail"))).collect()] == [(n, k) for n, _, k in rows]
+
+
+def test_names_of_tests(spark):
+    rows = [
+        ("FAILED a/b.py::C::d - x", "a/b.py::C::d"), ("--- FAIL: TestA (0.1s)", "TestA"), ("test m::t ... FAILED", "m::t"), ("● adds (3 ms)", "adds"),
+        ("[ERROR] t(a.B)  Time elapsed: 1 s  <<< FAILURE!", "t(a.B)"), ("BTest > adds FAILED", "BTest > adds"), ("ok", None),
+    ]
+    df = spark.createDataFrame(rows, "line string, want string")
+    assert [r.got for r in df.withColumn("got", logs.test_name(F.col("line"))).collect()] == [w for _, w in rows]
