@@ -5,7 +5,8 @@ documents to the word's partition, merges each word once by the ranks, joins the
 chunk and reassembles every document by position. `decode` explodes ids and joins them with the
 token-byte table, which is broadcast (its size is the vocabulary's): rows of documents stay where they are,
 and as a broadcast join streams the other side, the pieces of a document stay in order and are its bytes
-one after another. Their number is held against the ids, so a plan that broke the order would be an error.
+one after another. Their positions are checked, so a plan that broke the order would be an error. Further
+columns travel with every id: join long ones, such as texts, afterwards.
 The rank file is read by the driver from a path that is a parameter; its size is the vocabulary's.
 
 Cases: null and empty texts have no ids; special tokens in a text are ordinary text; repeated rows
@@ -31,8 +32,6 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from siftwell.llm import chunks
 
-#: Ids of a document that are exploded at once, so that a long one is never held as rows.
-SLICE = 4096
 #: Letters of the Latin blocks, a range in which the built-in `re` and \p{L} agree.
 _LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+")
@@ -126,54 +125,59 @@ def encode(df: DataFrame, ranks_path: str, pattern: str = KNOWN_PATTERN) -> Data
 
 
 def token_bytes(spark: SparkSession, ranks_path: str) -> DataFrame:
-    """(id, piece): the token-byte table, a row for each entry of the vocabulary."""
+    """(_token, _piece): the token-byte table, a row for each entry of the vocabulary."""
     ranks = _ranks(read_ranks(ranks_path))
-    return spark.createDataFrame(pa.table({"id": pa.array(ranks.values(), pa.int64()), "piece": pa.array(ranks.keys(), pa.binary())}))
+    return spark.createDataFrame(pa.table({"_token": pa.array(ranks.values(), pa.int64()), "_piece": pa.array(ranks.keys(), pa.binary())}))
 
 
 def decode(df: DataFrame, ranks_path: str) -> DataFrame:
     """df with the columns decoded (bytes) and n_unknown, from its column ids."""
     fields = [f for f in df.schema.fields if f.name not in ("decoded", "n_unknown")]
-    row = StructType([StructField(f.name, f.dataType, True) for f in fields])
-    element = StructType([StructField("id", LongType()), StructField("row", row)])
-    empty = F.filter(F.array(F.lit(None).cast(element)), lambda e: F.lit(False))
-    last = F.greatest(F.lit(0), F.floor((F.coalesce(F.size("ids"), F.lit(0)) - 1) / SLICE).cast("int"))
-    parts = df.select(F.struct(*[F.col(f"`{f.name}`") for f in fields]).alias("row"), F.explode(F.sequence(F.lit(0), last)).alias("part"))
-    head = F.when(F.col("part") == 0, F.array(F.struct(F.lit(None).cast("long").alias("id"), F.col("row").cast(row).alias("row")))).otherwise(empty)
-    ids = F.slice("row.ids", F.col("part") * SLICE + 1, SLICE)
-    body = F.coalesce(F.transform(ids, lambda i: F.struct(i.cast("long").alias("id"), F.lit(None).cast(row).alias("row"))), empty)
-    each = parts.select(F.explode(F.concat(head, body)).alias("e")).select("e.id", "e.row")
-    pieces = each.join(F.broadcast(token_bytes(df.sparkSession, ranks_path)), "id", "left").select("row", "piece")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, found, n, unknown = None, [], 0, 0
-
-        def closed() -> tuple:
-            of = whole.field("ids")[0]
-            if n != (len(of) if of.is_valid else 0):
-                raise RuntimeError("the pieces of a document are not in one row of pieces")
-            return (whole, b"".join(found), unknown) if of.is_valid else (whole, None, None)
-
-        def batch_of(done: list[tuple]) -> pa.RecordBatch:
-            rows = pa.concat_arrays([d[0] for d in done])
-            return pa.RecordBatch.from_arrays([*rows.flatten(), pa.array([d[1] for d in done], pa.binary()), pa.array([d[2] for d in done], pa.int64())], [*row.names, "decoded", "n_unknown"])
-
+    rest, schema = [f.name for f in fields if f.name != "ids"], StructType([*[StructField(f.name, f.dataType, True) for f in fields], StructField("decoded", BinaryType()), StructField("n_unknown", LongType())])
+
+    def whole(rows: pa.RecordBatch, starts: list[int], end: int) -> pa.RecordBatch:
+        """The documents that begin at the starts, the last of which ends before end."""
+        size, at, ids, piece = (rows.column(i).slice(0, end) for i in range(len(rest), len(rest) + 4))
+        begins, n = np.array(starts), size.to_numpy()[starts]
+        place = np.arange(end) - np.repeat(begins, np.maximum(n, 1))
+        if (at.fill_null(0).to_numpy() != place).any():
+            raise RuntimeError("the join has not kept the pieces of documents in their order")
+        edges = np.array([*starts, end])
+        real = np.repeat(n > 0, np.maximum(n, 1))
+        offsets = np.concatenate([[0], np.cumsum(np.maximum(n, 0))])
+        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids.filter(pa.array(real)), mask=pa.array(n < 0))
+        lost = np.concatenate([[0], np.cumsum(piece.is_null().to_numpy(zero_copy_only=False) & real)])[edges]
+        piece = piece.cast(pa.binary())
+        to = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + end + 1][edges].tolist()
+        data = memoryview(piece.buffers()[2] or b"")
+        known = (n >= 0).tolist()
+        made = {
+            "ids": lists,
+            "decoded": pa.array([bytes(data[a:b]) if k else None for a, b, k in zip(to, to[1:], known)], pa.binary()),
+            "n_unknown": pa.array(np.diff(lost), pa.int64(), mask=n < 0),
+        }
+        return pa.RecordBatch.from_arrays([made[f] if f in made else rows.column(rest.index(f)).take(pa.array(begins)) for f in schema.names], schema.names)
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, have, need = [], 0, 1
         for batch in batches:
-            rows, piece, done = batch.column(0), batch.column(1).cast(pa.binary()), []
-            heads = np.flatnonzero(rows.is_valid().to_numpy(zero_copy_only=False)).tolist()
-            lost = np.concatenate([[0], np.cumsum(piece.is_null().to_numpy(zero_copy_only=False))])
-            at = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + len(piece) + 1] if len(piece) else np.zeros(1, np.int32)
-            data = memoryview(piece.buffers()[2] or b"")
-            for begin, end in zip([-1, *heads], [*heads, len(batch)]):
-                if begin >= 0:  # a document begins here, the one before is complete
-                    if whole is not None:
-                        done.append(closed())
-                    whole, found, n, unknown = rows.slice(begin, 1), [], 0, 0
-                found.append(bytes(data[at[begin + 1] : at[end]]))
-                n, unknown = n + end - begin - 1, unknown + int(lost[end] - lost[begin + 1])
-            if done:
-                yield batch_of(done)
-        if whole is not None:
-            yield batch_of([closed()])
-
-    return pieces.mapInArrow(run, StructType([*row.fields, StructField("decoded", BinaryType()), StructField("n_unknown", LongType())]))
+            waiting.append(batch)
+            have += len(batch)
+            if have < need:
+                continue
+            rows = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+            sizes, starts, end = np.maximum(rows.column(len(rest)).to_numpy(), 1), [], 0
+            while end < len(rows) and end + sizes[end] <= len(rows):
+                starts.append(end)
+                end += int(sizes[end])
+            if starts:
+                yield whole(rows, starts, end)
+            left = rows.slice(end)
+            waiting, have, need = ([left], len(left), int(sizes[end])) if len(left) else ([], 0, 1)
+        if have:
+            raise RuntimeError("the join has not kept the pieces of documents in one place")
+
+    others = [f"`{f}`" for f in rest]
+    each = df.select(*others, F.coalesce(F.size("ids"), F.lit(-1)).alias("_size"), F.posexplode_outer("ids").alias("_at", "_id"))
+    pieces = each.join(F.broadcast(token_bytes(df.sparkSession, ranks_path)), F.col("_id").cast("long") == F.col("_token"), "left")
+    return pieces.select(*others, "_size", "_at", "_id", "_piece").mapInArrow(assemble, schema)

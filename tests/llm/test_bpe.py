@@ -41,9 +41,9 @@ def test_decoding_is_a_broadcast_join_without_a_shuffle(spark):
     assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
 
 
-def test_long_documents_cross_slices_and_batches(spark):
-    sizes = [0, 1, 4095, 4096, 4097, 50_000, 8192, 0, 3]
-    df = spark.createDataFrame([(i, [64 + (i + j) % 20 for j in range(n)], f"k{i}") for i, n in enumerate(sizes)], "doc_id long, ids array<int>, piece string").repartition(2)
+def test_long_documents_cross_batches(spark):
+    sizes = [70_000, 0, 1, 4095, 4096, 4097, 50_000, 8192, 0, 3]
+    df = spark.createDataFrame([(i, [64 + (i + j) % 20 for j in range(n)], f"k{i}") for i, n in enumerate(sizes)], "doc_id long, ids array<int>, piece string").coalesce(1)
     ranks = {i: b for b, i in bpe._ranks(bpe.read_ranks(RANKS)).items()}
     rows = bpe.decode(df, RANKS).collect()
     assert sorted(r.doc_id for r in rows) == list(range(len(sizes)))
