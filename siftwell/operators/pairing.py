@@ -93,13 +93,13 @@ def word_overlap(queries: DataFrame, query_id: str, texts: DataFrame, text_id: s
     """(query_id, text_id, score, place): texts that share the rarest words with each query, by an inverted index.
 
     queries and texts have an array column words of distinct words. A word in df texts weighs
-    1 + 1 / (1 + df / 5).
+    1 + 1 / (1 + df / 5). Sums in another order differ in their last digits, so scores rank by six decimals.
     """
     index = texts.select(text_id, F.explode("words").alias("word"))
     weight = index.groupBy("word").agg(F.count(F.lit(1)).alias("df")).select("word", (1 + 1 / (1 + F.col("df") / 5)).alias("weight"))
     asked = queries.select(query_id, F.explode("words").alias("word")).join(weight, "word")
     scores = asked.join(index, "word").groupBy(query_id, text_id).agg(F.sum("weight").alias("score"), F.count(F.lit(1)).alias("shared"))
-    order = Window.partitionBy(query_id).orderBy(F.col("shared").desc(), F.col("score").desc(), text_id)
+    order = Window.partitionBy(query_id).orderBy(F.col("shared").desc(), F.round("score", 6).desc(), F.col(text_id).asc_nulls_last())
     return scores.withColumn("place", F.row_number().over(order)).where(F.col("place") <= most)
 
 

@@ -28,3 +28,13 @@ def test_known_paths_of_any_page(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
     got = sorted(map(tuple, catalog.pages_by_suffix_all(spark, str(tmp_path)).collect()))
     assert got == [(1, "en/5"), (1, "x/en/5"), (4, "en/5"), (4, "x/en/5"), (5, "fr/7/")]
+
+
+def test_scores_that_differ_by_the_order_of_sums_are_ties(spark):
+    # each text has one word of every frequency, so all weigh alike; the words come in another order in each
+    texts = [(i, [f"{f}-{(i * (2 * f + 1) + f) % 20}" for f in range(12)]) for i in range(40)]
+    fill = [(10**6 * f + 1000 * j + k + 10**7, [f"{f}-{j}"]) for f in range(12) for j in range(20) for k in range(3 * f + 10 - sum(f"{f}-{j}" in w for _, w in texts))]
+    t = spark.createDataFrame(texts + fill, "id long, words array<string>")
+    q = spark.createDataFrame([(7, [f"{f}-{j}" for f in range(12) for j in range(20)])], "q long, words array<string>")
+    got = pairing.word_overlap(q, "q", t, "id", most=10).collect()
+    assert sorted((r.place, r.id) for r in got) == [(i + 1, i) for i in range(10)]
