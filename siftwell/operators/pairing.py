@@ -37,16 +37,28 @@ def by_route(wanted: DataFrame, routes: DataFrame) -> DataFrame:
 def in_scope(files: DataFrame, rules: DataFrame) -> DataFrame:
     """files(path, ...) and rules(rule, scope): a rule meets the files that a glob of its scope names and no '!' glob excludes.
 
-    The join is on the globs' fixed last extension where they have one; rules without globs meet all files.
+    Each row of files meets a rule once, at the first glob that fits, whatever rows share its path. The join is
+    on the globs' fixed last extension where they have one; rules without globs meet all files.
     """
-    globs = rules.withColumn("_glob", F.explode(F.when(F.size(F.filter("scope", lambda g: ~g.startswith("!"))) > 0, F.filter("scope", lambda g: ~g.startswith("!"))).otherwise(F.array(F.lit("**/*")))))
-    globs = globs.withColumn("_ext", F.regexp_extract("_glob", r"\.([A-Za-z0-9]+)$", 1)).withColumn("_pattern", K.glob_pattern(F.col("_glob")))
-    skips = F.transform(F.filter("scope", lambda g: g.startswith("!")), lambda g: K.glob_pattern(F.substring(g, 2, 10_000)))
-    globs = globs.withColumn("_skips", skips)
+
+    def named(scope: Column) -> Column:
+        return F.filter(scope, lambda g: ~g.startswith("!"))
+
+    def tests(rule: Column) -> Column:
+        """The globs of a row of rules, each with its extension and all exclusions."""
+        skips = F.transform(F.filter(rule["scope"], lambda g: g.startswith("!")), lambda g: K.glob_pattern(F.substring(g, 2, 10_000)))
+        globs = F.when(F.size(named(rule["scope"])) > 0, named(rule["scope"])).otherwise(F.array(F.lit("**/*")))
+        return F.transform(globs, lambda g: F.struct(rule.alias("rule"), F.regexp_extract(g, r"\.([A-Za-z0-9]+)$", 1).alias("ext"), K.glob_pattern(g).alias("pattern"), skips.alias("skips")))
+
+    per = rules.groupBy("rule").agg(F.collect_list(F.struct(*rules.columns)).alias("_rows"))
+    globs = per.select(F.flatten(F.transform("_rows", tests)).alias("_tests"))
+    globs = globs.select(F.posexplode("_tests").alias("_i", "_glob"), F.transform("_tests", lambda t: F.struct(t["pattern"].alias("pattern"), t["skips"].alias("skips"))).alias("_tests"))
+    globs = globs.select("_glob.rule.*", F.col("_glob.ext").alias("_ext"), F.expr("slice(_tests, 1, _i)").alias("_before"), F.struct("_glob.pattern", "_glob.skips").alias("_glob"))
     ext = F.regexp_extract("path", r"\.([A-Za-z0-9]+)$", 1)
     f = files.withColumn("_fext", F.explode(F.array_distinct(F.array(ext, F.lit("")))))
-    met = f.join(globs, F.col("_fext") == F.col("_ext")).where(F.expr("path rlike _pattern and not exists(_skips, s -> path rlike s)"))
-    return met.drop("_glob", "_ext", "_pattern", "_skips", "_fext").dropDuplicates(["path", "rule"])
+    fits = lambda t: f"path rlike {t}.pattern and not exists({t}.skips, s -> path rlike s)"
+    met = f.join(globs, F.col("_fext") == F.col("_ext")).where(F.expr(f"{fits('_glob')} and not exists(_before, t -> {fits('t')})"))
+    return met.drop("_glob", "_ext", "_before", "_fext")
 
 
 def by_suffix(named: DataFrame, known: DataFrame) -> DataFrame:

@@ -221,7 +221,7 @@ def audit_pairs(rules: DataFrame, files: DataFrame, changed_lines: DataFrame | N
     """Reviewed rules(rule, scope, status, keep_comments) with the units of files(path, text) in their scope; of changed_lines(path, line_no) alone where given."""
     files = files.withColumn("text", R.redact_lines(F.col("text")))  # whole, as a key may go on beyond a unit
     reviewed = rules.where("status = 'reviewed'").select("rule", F.coalesce("scope", F.array(F.lit("**/*"))).alias("scope"), F.coalesce("keep_comments", F.lit(False)).alias("keep_comments"))
-    met = pairing.in_scope(files.where(~R.secret_file(F.col("path"))).select("path"), reviewed.withColumn("scope", F.filter("scope", lambda g: g != "tests-only")))
+    met = pairing.in_scope(files.where(~R.secret_file(F.col("path"))).select("path").distinct(), reviewed.withColumn("scope", F.filter("scope", lambda g: g != "tests-only")))
     plain = code.code_units(code.stripped(files)).withColumn("keep_comments", F.lit(False))
     whole = code.code_units(files).withColumn("keep_comments", F.lit(True))
     pairs = met.select("path", "rule", "keep_comments").join(plain.unionByName(whole), ["path", "keep_comments"]).where(F.trim("text") != "")

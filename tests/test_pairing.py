@@ -38,3 +38,17 @@ def test_scores_that_differ_by_the_order_of_sums_are_ties(spark):
     q = spark.createDataFrame([(7, [f"{f}-{j}" for f in range(12) for j in range(20)])], "q long, words array<string>")
     got = pairing.word_overlap(q, "q", t, "id", most=10).collect()
     assert sorted((r.place, r.id) for r in got) == [(i + 1, i) for i in range(10)]
+
+
+def test_files_of_one_path_all_meet_a_rule_once(spark):
+    rows = [(1, "a/x.py"), (2, "a/x.py"), (2, "a/x.py"), (3, "a/test.py"), (4, "b.go"), (5, None)]
+    files = spark.createDataFrame(rows, "id long, path string")
+    rules = spark.createDataFrame([("two", ["**/*.py", "a/*", "*x*", "!*test*"]), ("twice", ["*.go"]), ("twice", ["b*"]), ("all", ["!*.go"])], "rule string, scope array<string>")
+    got = pairing.in_scope(files, rules).select("rule", "id", "path").collect()
+    x = rows[:3]
+    assert sorted(map(tuple, got)) == sorted([("two", *r) for r in x] + [("twice", 4, "b.go")] + [("all", *r) for r in rows[:4]])
+
+
+def test_pages_of_one_url_all_count(spark, tmp_path):
+    spark.createDataFrame([(3, "http://a.example.com/en/1"), (2, "http://a.example.com/en/1"), (2, "http://a.example.com/en/1")], "page_id long, url string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert {tuple(r) for r in catalog.rules_in_scope(spark, str(tmp_path)).collect()} == {("news", 3, 2), ("english", 3, 2)}
