@@ -27,13 +27,23 @@ def to_triage(jobs: DataFrame) -> DataFrame:
 def cancelled_jobs(jobs: DataFrame) -> DataFrame:
     """(run, name, by_fail_fast): cancelled jobs, and whether a failure of the same matrix cancelled them.
 
-    Where an end isn't known, the matrix alone decides. The join meets within a run and a matrix.
+    Where an end isn't known, the matrix alone decides. Ends are dealt to bins as long as the interval, so an
+    interval reaches into two neighbouring bins at most: it holds a failure if the last one of the first bin or the first
+    one of the second lies in it. So no row meets more than one row a bin, however many failures a matrix has.
     """
+    before, after = FAIL_FAST
     rows = jobs.select("run", "name", "conclusion", matrix_base(F.col("name")).alias("base"), F.unix_seconds("completed_at").alias("end"))
-    failed = rows.where(F.col("conclusion").isin("failure", "timed_out")).groupBy("run", "base").agg(F.array_sort(F.collect_set("end")).alias("ends"))
-    met = rows.where("conclusion = 'cancelled'").join(failed, ["run", "base"], "left")
-    near = F.exists("ends", lambda t: (F.col("end") - t).between(*FAIL_FAST))
-    return met.select("run", "name", (F.col("ends").isNotNull() & (F.col("end").isNull() | (F.size("ends") == 0) | F.coalesce(near, F.lit(False)))).alias("by_fail_fast"))
+    bin_of = lambda t: F.floor(t / (after - before + 1))
+    failed = rows.where(F.col("conclusion").isin("failure", "timed_out"))
+    per = failed.groupBy("run", "base", bin_of(F.col("end")).alias("_bin")).agg(F.min("end").alias("first"), F.max("end").alias("last"))
+    no_end = F.lit(None).cast("long")
+    sides = F.array(F.struct("_bin", no_end.alias("next"), F.col("last").alias("last")), F.struct((F.col("_bin") - 1).alias("_bin"), F.col("first").alias("next"), no_end.alias("last")))
+    near = per.where("_bin is not null").select("run", "base", F.explode(sides).alias("s")).groupBy("run", "base", "s._bin").agg(F.max("s.last").alias("_last"), F.min("s.next").alias("_next"))
+    matrix = per.groupBy("run", "base").agg(F.max("last").isNotNull().alias("_ends"))
+    cancelled = rows.where("conclusion = 'cancelled'").withColumn("_bin", bin_of(F.col("end") - after))
+    met = cancelled.join(near, ["run", "base", "_bin"], "left").join(matrix, ["run", "base"], "left")
+    held = F.coalesce(F.col("_last") >= F.col("end") - after, F.lit(False)) | F.coalesce(F.col("_next") <= F.col("end") - before, F.lit(False))
+    return met.select("run", "name", (F.col("_ends").isNotNull() & (F.col("end").isNull() | ~F.col("_ends") | held)).alias("by_fail_fast"))
 
 
 def passed_in(failed_steps: DataFrame, steps: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import datetime
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -70,6 +71,22 @@ def test_runs(spark):
     assert {(r.run, r.job): r.passed_before for r in runs.default_branch_record(mine, past, done).collect()} == {(1, "j"): True, (1, "k"): False, (1, "l"): None}
 
 
+def test_cancelled_jobs_against_brute_force(spark):
+    r, at = random.Random(5), lambda s: None if s is None else datetime.datetime(1970, 1, 1, 0, 0, 0, 999, datetime.timezone.utc) + datetime.timedelta(seconds=s)
+    rows = [(i % 5, r.choice("tu") + f" ({i})", r.choice(["failure", "timed_out", "cancelled", "cancelled", "success", None]), r.choice([None, r.randint(-9000, 9000)])) for i in range(400)]
+    rows += [(9, "e (0)", "failure", 0)] + [(9, f"e ({d})", "cancelled", d) for d in (-306, -305, -6, -5, 0, 300, 301, 305, 306)] + [(8, "n (a)", "timed_out", None), (8, "n (b)", "cancelled", 7), (8, "m", "cancelled", None)]
+
+    def near(run, name, end):
+        ends = [e for k, n, c, e in rows if k == run and n.split(" (")[0] == name.split(" (")[0] and c in ("failure", "timed_out")]
+        known = [e for e in ends if e is not None]
+        return bool(ends) and (end is None or not known or any(-5 <= end - e <= 300 for e in known))
+
+    got = runs.cancelled_jobs(spark.createDataFrame([(*x[:3], at(x[3])) for x in rows], "run int, name string, conclusion string, completed_at timestamp"))
+    assert sorted(map(tuple, got.collect())) == sorted((k, n, near(k, n, e)) for k, n, c, e in rows if c == "cancelled")
+    # no row carries the ends of all its matrix's failures
+    assert "collect_set" not in (plan := got._jdf.queryExecution().optimizedPlan().toString()) and "collect_list" not in plan
+
+
 def test_outside(spark):
     named = spark.createDataFrame([("src\\App.py",), ("tmp/case/x.py",), ("lib/sub/y.c",)], "path string")
     project = spark.createDataFrame([("svc/src/app.py",)], "path string")
