@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftwell.tables import written
+from siftwell.tables import dealt, tasks_for, written
 
 
 def prefixes_above(edges: DataFrame) -> DataFrame:
@@ -13,18 +13,24 @@ def prefixes_above(edges: DataFrame) -> DataFrame:
 
     A root is a parent that is no child; it has an empty path to itself. Paths that meet a node again are
     cut, so cycles give none. Each round joins paths with those that lead to where they begin, so their length
-    doubles. Repeated edges count once; edges with a null end take no part, null prefixes are empty.
+    doubles; it has as many partitions as the paths' size asks for. Repeated edges count once; edges with a null
+    end take no part, null prefixes are empty.
     """
-    own = edges.where("parent is not null and child is not null").select("parent", "child", F.coalesce("prefix", F.lit("")).alias("prefix")).distinct()
-    roots = own.select(F.col("parent").alias("node")).distinct().join(own.select(F.col("child").alias("node")).distinct(), "node", "left_anti")
+    own = written(edges.where("parent is not null and child is not null").select("parent", "child", F.coalesce("prefix", F.lit("")).alias("prefix")), "edges")
+    n = tasks_for(own, 64 + F.length("prefix"))
+    own = written(dealt(own, n, "parent").distinct(), "edges")
+    ends = lambda c: dealt(own.select(F.col(c).alias("node")), n, "node").distinct()
+    roots = written(ends("parent").join(ends("child"), "node", "left_anti"), "roots")
     is_root = roots.withColumnRenamed("node", "top").withColumn("done", F.lit(True))
-    start = own.where("parent <> child").select(F.col("child").alias("node"), F.col("parent").alias("top"), "prefix", F.array("child").alias("seen")).join(is_root, "top", "left")
+    start = own.where("parent <> child").select(F.col("child").alias("node"), F.col("parent").alias("top"), "prefix", F.array("child").alias("seen"))
+    start = dealt(start, n, "top").join(dealt(is_root, n, "top"), "top", "left")
     nothing = own.schema["child"].dataType
     trivial = roots.select("node", F.col("node").alias("top"), F.lit("").alias("prefix"), F.array().cast(f"array<{nothing.simpleString()}>").alias("seen"), F.lit(True).alias("done"))
     paths = written(start.withColumn("done", F.coalesce("done", F.lit(False))).select("node", "top", "prefix", "seen", "done").unionByName(trivial), "paths")
     while not (open_paths := paths.where("not done")).isEmpty():
+        n = tasks_for(paths, 64 + F.length("prefix") + 24 * F.size("seen"))
         above = paths.select(F.col("node").alias("top"), F.col("top").alias("_top"), F.col("prefix").alias("_prefix"), F.col("seen").alias("_seen"), F.col("done").alias("_done"))
-        met = open_paths.drop("done").join(above, "top").where(~F.arrays_overlap("seen", "_seen") & ~F.array_contains("seen", F.col("_top")))
+        met = dealt(open_paths.drop("done"), n, "top").join(dealt(above, n, "top"), "top").where(~F.arrays_overlap("seen", "_seen") & ~F.array_contains("seen", F.col("_top")))
         longer = met.select("node", F.col("_top").alias("top"), F.concat("_prefix", "prefix").alias("prefix"), F.concat("_seen", "seen").alias("seen"), F.col("_done").alias("done"))
         paths = written(paths.where("done").unionByName(longer), "paths")
     return paths.select("node", F.col("top").alias("root"), F.size("seen").alias("depth"), "prefix")

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from siftwell.operators import budget, changes, closure, history, matching, merging, runs
+from siftwell.tables import dealt, tasks_for
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -52,7 +53,8 @@ SELECT node, root, depth, prefix FROM up
 def mounted_orders(spark, sf_dir):
     """Path closure by doubling: each order hangs below the customer's order before it; the path above every one."""
     along = Window.partitionBy("o_custkey").orderBy("o_orderkey")
-    edges = table(spark, sf_dir, "orders").select(F.lag("o_orderkey").over(along).alias("parent"), F.col("o_orderkey").alias("child"), F.concat(F.lit("/"), "o_orderpriority").alias("prefix"))
+    orders = table(spark, sf_dir, "orders").select("o_custkey", "o_orderkey", "o_orderpriority")
+    edges = dealt(orders, tasks_for(orders, F.lit(64)), "o_custkey").select(F.lag("o_orderkey").over(along).alias("parent"), F.col("o_orderkey").alias("child"), F.concat(F.lit("/"), "o_orderpriority").alias("prefix"))
     return closure.prefixes_above(edges)
 
 

@@ -2,6 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from siftwell import tables
 from siftwell.operators import budget, closure, history, matching
 
 
@@ -17,6 +18,15 @@ def test_long_chains_cycles_and_several_parents(spark):
     assert closure.prefixes_above(loop.limit(0)).count() == 0
 
 
+def test_paths_take_as_many_tasks_as_their_size_asks_for(spark, monkeypatch):
+    edges = spark.createDataFrame([(c * 100 + i, c * 100 + i + 1, f"/{i}") for c in range(50) for i in range(20)], "parent long, child long, prefix string")
+    want = {(c * 100 + i, c * 100, i, "".join(f"/{j}" for j in range(i))) for c in range(50) for i in range(21)}
+    monkeypatch.setattr(tables, "TASK_BYTES", 10_000)
+    got = closure.prefixes_above(edges)
+    assert {(r.node, r.root, r.depth, r.prefix) for r in got.collect()} == want
+    assert len(got.inputFiles()) > 3 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
 def test_newest_names(spark):
     rows = [(f"v{i}", f"v{i + 1}") for i in range(70)] + [("a", "b"), ("b", "a"), ("x", "x"), (None, "y"), ("p", "q"), ("p", "r")]
     got = {r.name: r.newest for r in closure.newest_names(spark.createDataFrame(rows, "old string, new string")).collect()}
