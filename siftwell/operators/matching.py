@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siftwell.functions import redact as R
+from siftwell.tables import dealt, tasks_for, written
 
 #: Length of the pieces by which key material is found again, and groups that the texts of a hot piece are dealt to.
 PIECE, SALTS = 16, 16
@@ -83,11 +84,15 @@ def key_pieces(texts: DataFrame) -> DataFrame:
 def key_material(texts: DataFrame, text_id: str, pieces: DataFrame) -> DataFrame:
     """(text_id, piece): the known pieces of keys that stand anywhere in texts(text_id, text), however they were moved or wrapped.
 
-    Runs of key characters in the texts are cut at every offset and meet the pieces by equality; the
-    texts of one piece are dealt to SALTS groups, as a third of all may hold it.
+    Runs of key characters in the texts are stored, cut at every offset and meet the pieces by equality, in as many
+    partitions as there are cuts to share; the texts of one piece are dealt to SALTS groups, as a third of all may
+    hold it. The pieces are the side that is held, so cuts stream past and only those that are pieces are told apart.
     """
     runs = texts.select(text_id, F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(rf"[A-Za-z0-9+/=]{{{PIECE},}}"), F.lit(0)))).alias("run"))
-    cut = runs.select(text_id, F.explode(_grams(F.col("run"), PIECE)).alias("piece"))
-    dealt = cut.distinct().withColumn("_salt", F.pmod(F.xxhash64(text_id), F.lit(SALTS)).cast("int"))
-    known = pieces.select("piece").distinct().withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return dealt.join(known, ["piece", "_salt"]).select(text_id, "piece")
+    runs = written(runs, "key-runs")
+    known = written(pieces.select("piece").distinct(), "key-pieces")
+    n = max(tasks_for(runs, 64 * (F.length("run") - PIECE + 1)), tasks_for(known, F.lit(128 * SALTS)))
+    cut = runs.select(text_id, F.explode(_grams(F.col("run"), PIECE)).alias("piece")).withColumn("_salt", F.pmod(F.xxhash64(text_id), F.lit(SALTS)).cast("int"))
+    known = known.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    met = dealt(cut, n, "piece", "_salt").join(dealt(known, n, "piece", "_salt").hint("shuffle_hash"), ["piece", "_salt"])
+    return met.select(text_id, "piece").distinct()

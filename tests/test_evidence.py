@@ -55,6 +55,19 @@ def test_containment_and_names(spark):
     assert {(x.wanted, x.name, x.distance, x.place) for x in got} == want
 
 
+def test_key_material_is_dealt_by_its_size_and_streams(spark, monkeypatch):
+    r = random.Random(6)
+    rand = lambda n: "".join(r.choices("ABCDEFabcdef0123456789+/=", k=n))
+    key = [rand(40) for _ in range(30)]
+    texts = [(i, f"{rand(i)} x{key[i % 30][3 : 3 + i % 40]} {key[i % 7]}{rand(5)}\n{key[i % 7]}") for i in range(90)] + [(90, None), (91, ""), (91, key[0]), (None, key[1])]
+    pieces = {k[i : i + 16] for k in key for i in (0, 16, 24)}
+    monkeypatch.setattr(tables, "TASK_BYTES", 10_000)
+    got = matching.key_material(spark.createDataFrame(texts, "tid long, text string"), "tid", spark.createDataFrame([(p,) for p in [*pieces, "A" * 16]], "piece string"))
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted({str((i, p)) for i, t in texts for p in pieces if t and p in t})
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "SortMergeJoin" not in plan and "REPARTITION_BY_NUM" in plan
+
+
 def test_versions(spark):
     files = lambda rows: spark.createDataFrame(rows, "path string, text string")
     a, b = files([("same", "x"), ("gone", "y"), ("new text", "1"), (None, "z"), ("null", None)]), files([("same", "x"), ("new text", "2"), ("added", ""), ("null", "")])
