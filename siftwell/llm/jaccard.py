@@ -17,7 +17,8 @@ shorter), as 64-bit hashes; sets are equal if 128 bits of a hash of theirs are.
    the global order. A set walks the trie with its partial overlap, shared by all sets below a node; a
    subtree is passed over when even its remaining length can't reach the overlap needed, or when all its
    sets are linked to the walker already. Then the blocks' classes meet by representatives, and last every set that is not
-   of its home's largest class visits the blocks of fitting bands that hold one of its heads in another class.
+   of its home's largest class visits the blocks of fitting bands that hold another class; in homes of more than
+   FEW_BLOCKS blocks only those that hold one of its heads too.
 
 Only links between sets are kept, as forests, and never collected. Copies are not expanded to pairs.
 
@@ -39,12 +40,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftwell.llm import chunks
-from siftwell.llm.common import written
+from siftwell.llm.common import shuffle_partitions, written, written_bucketed
 
 #: Share of a set by which the first filter's prefixes are longer, in hundredths.
 EXTRA = 5
 #: Sets, and shingles of sets, that one task joins.
 BLOCK, BLOCK_TOKENS = 128, 250_000
+#: Blocks of a home that a set visits without asking for common heads.
+FEW_BLOCKS = 64
 #: Characters of a chunk in the first and second step: shingles hardly repeat, so chunks are small.
 CHUNKS = (2 << 20, 1 << 19)
 _P = [np.uint64(x) for x in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -398,11 +401,19 @@ def _set_links(sets: DataFrame, percent: int) -> DataFrame:
         main = written(count.groupBy("home").agg(F.max(F.struct("k", "label")).alias("m")).select("home", F.col("m.label").alias("main")), "jaccard-main")
         guest = (F.col("label") != F.col("main")).alias("guest")
         places = written(heads.join(rows.join(main, "home").select("sid", "home", "band", "block", "label", guest), "sid"), "jaccard-places")
-        hosts = places.select("h", "home", F.col("band").alias("to_band"), F.col("block").alias("to_block"), F.col("label").alias("other")).distinct()
-        seek = places.where("guest").select("h", "home", "band", "block", "sid", "label").join(hosts, ["h", "home"])
-        seek = seek.where("label <> other and abs(band - to_band) <= 1 and (band <> to_band or block <> to_block)")
+        # of the labels of a block the least and the largest tell whether it holds another than a guest's
+        other = (F.min("label").alias("least"), F.max("label").alias("most"))
+        guests = places.where("guest").select("sid", "home", "band", "block", "label", "h")
+        hosts = places.groupBy("h", "home", F.col("band").alias("to_band"), F.col("block").alias("to_block")).agg(*other)
+        all_blocks = rows.groupBy("home", F.col("band").alias("to_band"), F.col("block").alias("to_block")).agg(*other)
+        # heads choose among the blocks of a home only where these are many: guests of others visit all, which takes no row a head
+        many = written(all_blocks.groupBy("home").agg((F.count(F.lit(1)) > FEW_BLOCKS).alias("many")), "jaccard-many")
+        by_head = guests.join(many.where("many"), "home").join(hosts, ["h", "home"])
+        by_home = guests.drop("h").distinct().join(many.where("not many"), "home").join(all_blocks, "home")
         keys = ["home", "to_band", "to_block"]
-        seek = written(seek.select("sid", *keys, "label").distinct(), "jaccard-seek")
+        fits = "(label <> least or label <> most) and abs(band - to_band) <= 1 and (band <> to_band or block <> to_block)"
+        met = by_head.where(fits).select("sid", *keys, "label").distinct().union(by_home.where(fits).select("sid", *keys, "label"))
+        seek = written(met, "jaccard-seek")
         # a block meets its guests in parties of about four times a block
         parties = written(seek.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / (4 * BLOCK)).alias("parties")), "jaccard-parties")
         guests = seek.join(parties, keys).withColumn("party", F.pmod(F.xxhash64("sid"), F.col("parties"))).withColumn("walks", F.lit(True))
@@ -424,7 +435,9 @@ def classes(docs: DataFrame, words: int = 4, percent: int = 85) -> DataFrame:
     # what any linked set would share at least of the first shingles
     asked = F.greatest(F.lit(1), F.floor(F.ceil(F.col("n") * percent / 100) * EXTRA / 100))
     kept = least_id.where(F.col("shared") >= asked).select("place.chunk", "place.at")
-    sets = written(_ordered(chunks.texts_at(codes, kept), words, percent), "jaccard-ordered")
+    # stored by sid, so shingles move to each join's groups but not to the joins themselves
+    parts = shuffle_partitions(docs.sparkSession)
+    sets = written_bucketed(_ordered(chunks.texts_at(codes, kept), words, percent).repartition(parts, "sid"), "jaccard_ordered", "sid", parts)
     linked = least_id.join(_set_links(sets, percent).withColumnRenamed("node", "sid"), "sid")
     linked = written(linked.select("sid", "sid2", "label", "first"), "jaccard-linked")
     whole = linked.groupBy("label").agg(F.min("first").alias("whole"))

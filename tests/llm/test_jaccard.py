@@ -73,6 +73,14 @@ def test_small_blocks(spark, monkeypatch):
     assert _got(spark.createDataFrame(rows, "doc_id long, text string")) == want
 
 
+def test_homes_of_few_and_of_many_blocks(spark, monkeypatch):
+    """All of a few blocks are visited, of many those with a common head: the same components."""
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "FEW_BLOCKS", 3)
+    rows = _corpus(11, 6, 60, 6, 30)
+    assert _got(spark.createDataFrame(rows, "doc_id long, text string")) == _brute(rows)
+
+
 def test_given_table(spark):
     d = "/root/testdata/sf0.001"
     rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{d}/documents.parquet").collect()]
