@@ -2,11 +2,11 @@
 
 `encode` cuts texts into words by the tokenizer's pattern, sends the distinct words of each chunk of
 documents to the word's partition, merges each word once by the ranks, joins the ids back to the
-chunk and reassembles every document by position. `decode` explodes ids and joins them with the
-token-byte table, which is broadcast (its size is the vocabulary's): rows of documents stay where they are,
-and as a broadcast join streams the other side, the pieces of a document stay in order and are its bytes
-one after another. Their positions are checked, so a plan that broke the order would be an error. Further
-columns travel with every id: join long ones, such as texts, afterwards.
+chunk and reassembles every document by position. `decode` explodes the distinct ids of each document and
+joins them with the token-byte table, which is broadcast (its size is the vocabulary's): rows of documents
+stay where they are, and as a broadcast join streams the other side, a document's rows stay together. The
+first of them carries its ids and its further columns; the joined pieces are then taken in the order of
+the ids. The positions of rows are checked, so a plan that broke their order would be an error.
 The rank file is read by the driver from a path that is a parameter; its size is the vocabulary's.
 
 Cases: null and empty texts have no ids; special tokens in a text are ordinary text; repeated rows
@@ -25,6 +25,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,6 +33,8 @@ from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 from siftwell.llm import chunks
 
+#: Ids whose pieces are put together at once, besides the rest of a document.
+IDS_AT_ONCE = 1 << 20
 #: Letters of the Latin blocks, a range in which the built-in `re` and \p{L} agree.
 _LATIN = "A-Za-z\xc0-\xd6\xd8-\xf6\xf8-ɏ"
 _PLAIN = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_LATIN}]+| ?[0-9]+| ?[^\s{_LATIN}0-9]+|\s+(?!\S)|\s+")
@@ -133,30 +136,33 @@ def token_bytes(spark: SparkSession, ranks_path: str) -> DataFrame:
 def decode(df: DataFrame, ranks_path: str) -> DataFrame:
     """df with the columns decoded (bytes) and n_unknown, from its column ids."""
     fields = [f for f in df.schema.fields if f.name not in ("decoded", "n_unknown")]
-    rest, schema = [f.name for f in fields if f.name != "ids"], StructType([*[StructField(f.name, f.dataType, True) for f in fields], StructField("decoded", BinaryType()), StructField("n_unknown", LongType())])
-
-    def whole(rows: pa.RecordBatch, starts: list[int], end: int) -> pa.RecordBatch:
-        """The documents that begin at the starts, the last of which ends before end."""
-        size, at, ids, piece = (rows.column(i).slice(0, end) for i in range(len(rest), len(rest) + 4))
-        begins, n = np.array(starts), size.to_numpy()[starts]
-        place = np.arange(end) - np.repeat(begins, np.maximum(n, 1))
+    names, schema = [f.name for f in fields], StructType([*[StructField(f.name, f.dataType, True) for f in fields], StructField("decoded", BinaryType()), StructField("n_unknown", LongType())])
+
+    def spelled(docs: pa.RecordBatch, token: pa.Array, piece: pa.Array) -> pa.RecordBatch:
+        """docs with the bytes of their ids, of which those in token have the piece of the same place."""
+        lists = docs.column(names.index("ids"))
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().fill_null(0).to_numpy())])
+        at = pc.index_in(lists.flatten(), value_set=token, skip_nulls=True)
+        found, lost = piece.take(at), np.concatenate([[0], np.cumsum(at.is_null().to_numpy(zero_copy_only=False))])[ends]
+        to = np.frombuffer(found.buffers()[1], np.int32)[ends] if len(found) else np.zeros(len(ends), np.int32)
+        data = pa.Array.from_buffers(pa.binary(), len(docs), [None, pa.py_buffer(to), found.buffers()[2] or pa.py_buffer(b"")])
+        known = lists.is_valid()
+        made = [pc.if_else(known, x, pa.scalar(None, x.type)) for x in (data, pa.array(np.diff(lost), pa.int64()))]
+        return pa.RecordBatch.from_arrays([*docs.columns, *made], schema.names)
+
+    def whole(rows: pa.RecordBatch, starts: list[int], sizes: list[int]) -> Iterator[pa.RecordBatch]:
+        """The documents whose rows begin at the starts."""
+        place = np.arange(len(rows)) - np.repeat(starts, sizes)
+        at, token, piece = (rows.column(i) for i in range(len(names) + 1, len(names) + 4))
         if (at.fill_null(0).to_numpy() != place).any():
             raise RuntimeError("the join has not kept the pieces of documents in their order")
-        edges = np.array([*starts, end])
-        real = np.repeat(n > 0, np.maximum(n, 1))
-        offsets = np.concatenate([[0], np.cumsum(np.maximum(n, 0))])
-        lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), ids.filter(pa.array(real)), mask=pa.array(n < 0))
-        lost = np.concatenate([[0], np.cumsum(piece.is_null().to_numpy(zero_copy_only=False) & real)])[edges]
-        piece = piece.cast(pa.binary())
-        to = np.frombuffer(piece.buffers()[1], np.int32)[piece.offset : piece.offset + end + 1][edges].tolist()
-        data = memoryview(piece.buffers()[2] or b"")
-        known = (n >= 0).tolist()
-        made = {
-            "ids": lists,
-            "decoded": pa.array([bytes(data[a:b]) if k else None for a, b, k in zip(to, to[1:], known)], pa.binary()),
-            "n_unknown": pa.array(np.diff(lost), pa.int64(), mask=n < 0),
-        }
-        return pa.RecordBatch.from_arrays([made[f] if f in made else rows.column(rest.index(f)).take(pa.array(begins)) for f in schema.names], schema.names)
+        known = piece.is_valid()
+        token, piece = token.filter(known), piece.filter(known).cast(pa.binary())
+        docs = pa.RecordBatch.from_arrays([c.take(pa.array(starts)) for c in rows.columns[: len(names)]], names)
+        n = docs.column(names.index("ids")).value_lengths().fill_null(0).to_numpy().astype(np.int64)
+        cuts = np.flatnonzero(np.diff((np.cumsum(n) - n) // IDS_AT_ONCE)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(docs)]):
+            yield spelled(docs.slice(a, b - a), token, piece)
 
     def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting, have, need = [], 0, 1
@@ -166,18 +172,23 @@ def decode(df: DataFrame, ranks_path: str) -> DataFrame:
             if have < need:
                 continue
             rows = pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
-            sizes, starts, end = np.maximum(rows.column(len(rest)).to_numpy(), 1), [], 0
-            while end < len(rows) and end + sizes[end] <= len(rows):
+            size, starts, end = rows.column(len(names)).fill_null(0).to_numpy(), [], 0
+            while end < len(rows) and end + size[end] <= len(rows):
+                if size[end] < 1:
+                    raise RuntimeError("the join has not kept the pieces of documents in their order")
                 starts.append(end)
-                end += int(sizes[end])
+                end += int(size[end])
             if starts:
-                yield whole(rows, starts, end)
+                yield from whole(rows.slice(0, end), starts, size[starts].tolist())
             left = rows.slice(end)
-            waiting, have, need = ([left], len(left), int(sizes[end])) if len(left) else ([], 0, 1)
+            waiting, have, need = ([left], len(left), int(size[end])) if len(left) else ([], 0, 1)
         if have:
             raise RuntimeError("the join has not kept the pieces of documents in one place")
 
-    others = [f"`{f}`" for f in rest]
-    each = df.select(*others, F.coalesce(F.size("ids"), F.lit(-1)).alias("_size"), F.posexplode_outer("ids").alias("_at", "_id"))
+    columns = [f"`{f}`" for f in names]
+    each = df.select(*columns, F.array_distinct("ids").alias("_own")).select(*columns, "_own", F.posexplode_outer("_own").alias("_at", "_id"))
+    first = lambda c, name: F.when(F.coalesce("_at", F.lit(0)) == 0, c).alias(name)
+    size = F.greatest(F.coalesce(F.size("_own"), F.lit(1)), F.lit(1))
+    each = each.select(*[first(F.col(c), n) for c, n in zip(columns, names)], first(size, "_size"), "_at", "_id")
     pieces = each.join(F.broadcast(token_bytes(df.sparkSession, ranks_path)), F.col("_id").cast("long") == F.col("_token"), "left")
-    return pieces.select(*others, "_size", "_at", "_id", "_piece").mapInArrow(assemble, schema)
+    return pieces.select(*columns, "_size", "_at", "_id", "_piece").mapInArrow(assemble, schema)

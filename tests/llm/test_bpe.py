@@ -85,3 +85,37 @@ def test_pack():
 def test_other_patterns(spark, pattern):
     df = spark.createDataFrame([(1, "ab cd é")], "doc_id long, text string")
     assert bytes(bpe.decode(bpe.encode(df, RANKS, pattern), RANKS).first().decoded).decode() == "ab cd é"
+
+
+def _joined_rows(df):
+    """Rows that the broadcast join of a plan made in its last run."""
+    todo = [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "BroadcastHashJoin":
+            return node.metrics().apply("numOutputRows").value()
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+
+
+@pytest.fixture
+def fixed_plans(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_an_id_is_joined_once_a_document(spark, monkeypatch, fixed_plans):
+    monkeypatch.setattr(bpe, "IDS_AT_ONCE", 1000, raising=False)
+    ranks = {i: b for b, i in bpe._ranks(bpe.read_ranks(RANKS)).items()}
+    r = random.Random(5)
+    docs = [(i, [r.choice([64, 70, 262, 999_999, 2**40, -1, None]) for _ in range(n)], "x" * 1000) for i, n in enumerate([30_000, 0, 1, 700, 700, 5000])] + [(6, None, None)]
+    out = bpe.decode(spark.createDataFrame(docs, "doc_id long, ids array<long>, note string").coalesce(1), RANKS)
+    rows = {x.doc_id: x for x in out.collect()}
+    assert len(rows) == len(docs)
+    for i, ids, note in docs:
+        assert (rows[i].ids, rows[i].note) == (ids, note)
+        if ids is None:
+            assert rows[i].decoded is None and rows[i].n_unknown is None
+        else:
+            assert bytes(rows[i].decoded) == b"".join(ranks.get(j, b"") for j in ids) and rows[i].n_unknown == sum(j not in ranks for j in ids)
+    assert _joined_rows(out) == sum(max(len(set(ids or [])), 1) for _, ids, _ in docs)
