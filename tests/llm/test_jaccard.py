@@ -1,9 +1,11 @@
 import random
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from siftwell.llm import jaccard, queries
+from siftwell.llm import hashes, jaccard, queries
 
 
 def _brute(rows, words=4, percent=85):
@@ -131,3 +133,93 @@ def test_components(spark):
         parent = {k: min(a, b) if p in (a, b) else p for k, p in parent.items()}
     got = {x.node: x.label for x in jaccard.components(spark.createDataFrame(edges, "u long, v long").repartition(4)).collect()}
     assert all(got.get(k, k) == p for k, p in parent.items())
+
+
+def _family(seed, sets, size, edits):
+    """Sets of one base, each with so many shingles of its own instead."""
+    r = np.random.default_rng(seed)
+    out = []
+    for i in range(sets):
+        lost = r.choice(size, edits, replace=False)
+        out.append(np.sort(np.concatenate([np.arange(edits) + i * edits, sets * edits + np.delete(np.arange(size), lost)])))
+    return out
+
+
+def test_a_family_walks_its_trie_at_once(monkeypatch):
+    """The steps over a trie don't grow with the number of sets that walk it."""
+    steps, needed = Counter(), jaccard.Trie.needed
+    monkeypatch.setattr(jaccard.Trie, "needed", lambda self, a, b: steps.update(n=1) or needed(self, a, b))
+    sets = _family(5, 200, 100, 9)  # two share 82 to 91 of 109: few links
+    cls = jaccard.linked_classes(sets, [len(s) for s in sets], 85)
+    want = list(range(200))
+    for i in range(200):
+        for j in range(i):
+            k = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * k >= 85 * (len(sets[i]) + len(sets[j]) - k):
+                a, b = want[i], want[j]
+                want = [min(a, b) if c in (a, b) else c for c in want]
+    assert [cls.index(c) for c in cls] == [want.index(c) for c in want]
+    assert steps["n"] <= 3 * 2 * len(sets)
+
+
+def test_guests_without_possible_links_make_no_visits(spark, monkeypatch):
+    """A set shares too little with others for a link of its length: no block is visited, and the components are the same."""
+    visits, written = [], jaccard.written
+
+    def counting(df, name, *a):
+        out = written(df, name, *a)
+        if name == "jaccard-seek":
+            visits.append(out.count())
+        return out
+
+    monkeypatch.setattr(jaccard, "BLOCK", 4)
+    monkeypatch.setattr(jaccard, "written", counting)
+    r = random.Random(4)
+    base = [f"b{i}" for i in range(103)]
+    rows = []
+    for i in range(24):  # 12 of 100 shingles are a set's own: it keeps 88, a link asks for 92
+        w = list(base)
+        for j in range(3):
+            w[10 + 30 * j + r.randrange(20)] = f"own{i}x{j}"
+        rows.append((i, " ".join(w)))
+    assert _got(spark.createDataFrame(rows, "doc_id long, text string")) == _brute(rows)
+    assert len({c for _, _, c in _brute(rows)}) == len(rows)
+    assert visits == [0]
+
+
+@pytest.mark.parametrize("width", [5, 8])
+def test_hashes_are_counted_over_all_chunks(spark, monkeypatch, width):
+    """Each document gets its own hashes' counts, and a chunk has at most one pack a bucket."""
+    texts = [" ".join(str(7 * i % m) for i in range(40)) for m in range(2, 40)] + [None, "", "7", "7"]
+    mask = np.uint64(2 ** (8 * width) - 1)
+
+    def cutter():
+        shingles = jaccard.hasher(1)
+        return lambda text: (shingles(text), b"n")
+
+    table = hashes.hash_table(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3), cutter, "test_hashes", width, texts=True, chunk_chars=200)
+    parts = hashes.counted(table, width)
+    n_chunks, buckets = table.count(), hashes.buckets_of(spark)
+    assert n_chunks > 6 and parts.count() == parts.select("chunk", "bucket").distinct().count() <= n_chunks * buckets
+
+    def finish(row, lens, own, counts):
+        ids, ends = row.column("ids").combine_chunks().flatten(), np.cumsum(lens)
+        both = np.stack([own.view(np.int64), counts], 1)
+        return pa.table({"doc_id": ids, "got": pa.array([both[a:z].ravel().tolist() for a, z in zip(ends - lens, ends)], pa.list_(pa.int64()))})
+
+    got = {r.doc_id: r.got for r in hashes.reassembled(table, parts, finish, "doc_id long, got array<long>", width).collect()}
+    sets = [(jaccard.hasher(1)(t) & mask).view(np.int64).tolist() for t in texts]
+    total = Counter(h for s in sets for h in s)
+    assert got == {i: [x for h in s for x in (h, total[h])] for i, s in enumerate(sets)}
+    places = table.selectExpr("chunk", "posexplode(ids) AS (at, doc_id)").where("doc_id % 5 = 0").select("chunk", "at")
+    assert {(r.doc_id, r.text) for r in hashes.texts_at(table, places).collect()} == {(i, t or "") for i, t in enumerate(texts) if i % 5 == 0}
+
+
+def test_few_packs_a_chunk():
+    """Packs of a chunk grow by a quarter of the shuffle partitions."""
+
+    class Session:
+        class conf:  # noqa: N801
+            get = staticmethod(lambda key: "3000")
+
+    assert hashes.buckets_of(Session) == 750
