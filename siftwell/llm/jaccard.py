@@ -19,7 +19,8 @@ shorter), as 64-bit hashes; sets are equal if 128 bits of a hash of theirs are.
    sets are linked to the walker already. Sets walk in groups, so each node is visited once a group. Then the blocks'
    classes meet by representatives, and last every set that is not of its home's largest class visits the blocks
    that hold another class and where lengths and shared shingles leave room for a link; in homes of more than
-   FEW_BLOCKS blocks only those that hold one of its heads too, where finding these takes at most two rows a visit saved.
+   FEW_BLOCKS blocks only those that hold one of its heads too, if finding these takes at most twice as many rows as
+   visits to all would be.
 
 Only links between sets are kept, as forests, and never collected. Copies are not expanded to pairs.
 
@@ -395,7 +396,7 @@ def _set_links(sets: DataFrame, percent: int) -> DataFrame:
         fits = f"""(label <> least or label <> most) and (band <> to_band or block <> to_block) and 100 * large >= {percent} * n and {percent} * small <= 100 * n
             and {100 + percent} * least(k, shared) >= {percent} * (n + greatest(small, ceil({percent} * n / 100)))"""
         keys = ["home", "to_band", "to_block"]
-        # in homes of many blocks heads choose among these, if that takes hardly more rows than visits to all would be
+        # in homes of many blocks heads choose among these, if that takes at most twice as many rows as visits to all would be
         many = blocks.groupBy("home").agg(F.count(F.lit(1)).alias("blocks")).where(F.col("blocks") > FEW_BLOCKS)
         many = written(many.join(guests.groupBy("home").agg(F.count(F.lit(1)).alias("guests")), "home"), "jaccard-many")
         if many.isEmpty():
